@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kgspark.llm import jaccard_join, line_dedup, mixing, packing, quality_rules, url_filter
+from kgspark.llm import ann, jaccard_join, licenses, line_dedup, mixing, packing, quality_rules, suffix_dedup, toxicity, url_filter
 from kgspark.llm._common import load
 
 #: The rules of the query: fixed values.
@@ -20,11 +21,19 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(load(spark, sf_dir, "documents")))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(load(spark, sf_dir, "embeddings"), k=20, query="id % 20 = 0")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.digest(line_dedup.drop_frequent_lines(docs))
@@ -35,6 +44,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(load(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(load(spark, sf_dir, "pages"), URL_RULES)
 
@@ -43,13 +56,25 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(load(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def held_out(key: str = "doc_id") -> Column:
+    """Rows that no model learns from."""
+    return F.crc32(F.col(key).cast("string")) % 5 == 0
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.labelled_sample(docs, labels.where(~held_out())))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_rules, op4_line_dedup, op5_mixing, op7_url_filter, op8_jaccard_join, op10_packing)
+    for f in (op1_suffix_dedup, op2_quality_rules, op3_nearest_neighbours, op4_line_dedup, op5_mixing, op6_license_scan, op7_url_filter, op8_jaccard_join, op9_toxicity, op10_packing)
 }
 
 #: SQL that DuckDB runs on the same tables.
