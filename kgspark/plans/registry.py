@@ -5,10 +5,681 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kgspark.functions import json_text as J
+from kgspark.functions import text as T
+from kgspark.functions import urls as U
+from kgspark.operators import blocks as B
+from kgspark.operators import concepts as C
+from kgspark.operators import metrics as M
+from kgspark.operators import normalize as N
+from kgspark.operators import pages as P
+from kgspark.operators import reason as H
+from kgspark.operators import refine as G
+from kgspark.operators import relations as R
+from kgspark.operators import replies as L
+from kgspark.operators import sessions as S
+from kgspark.plans import inputs as I
+from kgspark.plans import pipeline
+from kgspark.plans.oracles import ORACLES
+from kgspark.sources import tables
+from kgspark.sources.tables import load, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def joined(c: str, sep: str = " > "):
+    return F.array_join(c, sep).alias(c)
+
+
+# Semantic blocks -----------------------------------------------------------
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Block types and token statistics per language."""
+    semantic = B.semantic_blocks(I.content_blocks(spark, sf_dir)).join(load(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return B.block_stats(semantic, "lang")
+
+
+@query
+def block_types(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query
+def sentence_split(spark, sf_dir):
+    rows = I.content_blocks(spark, sf_dir).select("doc_id", "position", T.sentences(F.col("text")).alias("s"))
+    return rows.select("doc_id", "position", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("digest"))
+
+
+@query
+def normalized_text(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.length(T.collapse(F.coalesce("text", F.lit("")))).alias("n"), T.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query
+def semantic_chunks(spark, sf_dir):
+    return B.semantic_chunks(I.content_blocks(spark, sf_dir).where("type <> 'heading'")).select("doc_id", "position", "chunk", F.md5("text").alias("digest"))
+
+
+@query
+def section_tree(spark, sf_dir):
+    return B.sections(I.content_blocks(spark, sf_dir)).select("doc_id", "section_id", F.md5("heading").alias("heading"), "level", "order_index", "parent_section_id")
+
+
+@query
+def heading_paths(spark, sf_dir):
+    return B.sections(I.content_blocks(spark, sf_dir)).select("doc_id", "section_id", F.size("heading_path").alias("depth"), F.md5(F.array_join("heading_path", " > ")).alias("path"))
+
+
+@query
+def semantic_blocks(spark, sf_dir):
+    return B.semantic_blocks(I.content_blocks(spark, sf_dir)).select("block_id", "doc_id", "section_id", F.md5("text").alias("digest"), "block_type", "order_index", "token_estimate")
+
+
+@query
+def sections_roots_only(spark, sf_dir):
+    return B.semantic_blocks(I.content_blocks(spark, sf_dir), roots_only=True).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum("token_estimate").alias("tokens"))
+
+
+@query
+def block_validation(spark, sf_dir):
+    return B.violations(B.semantic_blocks(I.content_blocks(spark, sf_dir)))
+
+
+@query
+def max_blocks_per_doc(spark, sf_dir):
+    return B.first_blocks(B.semantic_blocks(I.content_blocks(spark, sf_dir)), 3).select("doc_id", "block_id", "order_index")
+
+
+# Pages ---------------------------------------------------------------------
+
+
+@query
+def page_title(spark, sf_dir):
+    return P.page_titles(load(spark, sf_dir, "pages"))
+
+
+@query
+def page_blocks(spark, sf_dir):
+    return P.content_blocks(load(spark, sf_dir, "pages")).select("page_id", "position", "type", "tag", F.md5("text").alias("digest"))
+
+
+@query
+def page_links(spark, sf_dir):
+    return P.links(load(spark, sf_dir, "pages"), main_only=False, clean=True)
+
+
+@query
+def density_container(spark, sf_dir):
+    toks = P.tokens(load(spark, sf_dir, "pages"))
+    return P.densest(toks, P.elements(toks)).select("page_id", "begin", F.round("density", 4).alias("density"))
+
+
+@query
+def main_container(spark, sf_dir):
+    return P.containers(P.tokens(load(spark, sf_dir, "pages"))).select("page_id", "begin")
+
+
+def _page_sections(spark, sf_dir):
+    blocks = P.content_blocks(load(spark, sf_dir, "pages")).withColumnRenamed("page_id", "doc_id")
+    return P.section_texts(B.with_sections(blocks).where("not is_heading"), B.sections(blocks))
+
+
+@query
+def page_digest(spark, sf_dir):
+    return P.digest(_page_sections(spark, sf_dir)).select("doc_id", "n_sections", F.md5("content").alias("digest"))
+
+
+@query
+def page_full_text(spark, sf_dir):
+    return P.digest(_page_sections(spark, sf_dir), None, None).select("doc_id", "n_sections", F.length("content").alias("n_chars"))
+
+
+@query
+def page_documents(spark, sf_dir):
+    return P.documents(load(spark, sf_dir, "pages"))
+
+
+@query
+def error_pages(spark, sf_dir):
+    rows = load(spark, sf_dir, "pages").join(P.page_titles(load(spark, sf_dir, "pages")), "page_id")
+    body = F.regexp_replace(P.clean_html(F.col("html")), r"<[^>]*>", " ")
+    return rows.select("page_id", T.is_error_page(F.col("title"), body).alias("is_error"))
+
+
+@query
+def url_domain(spark, sf_dir):
+    url = F.col("url")
+    return load(spark, sf_dir, "pages").select("page_id", U.domain(url).alias("domain"), U.document_id(url).alias("id"), U.is_valid(url).alias("valid"), U.same_domain(url, F.concat(U.part(url, "scheme"), F.lit("://"), U.domain(url), F.lit("/x"))).alias("same"))
+
+
+@query
+def url_normalize(spark, sf_dir):
+    rel = F.when(F.col("page_id") % 4 == 0, "../a/./b?x=1#f").when(F.col("page_id") % 4 == 1, "/top/../up").when(F.col("page_id") % 4 == 2, "?q=2").otherwise("//other.example/c#d")
+    return load(spark, sf_dir, "pages").select("page_id", U.normalize(F.col("url")).alias("plain"), U.normalize(rel, F.col("url")).alias("resolved"))
+
+
+@query
+def url_strip_tracking(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", U.strip_tracking(F.col("url")).alias("clean"))
+
+
+@query
+def url_sanitize(spark, sf_dir):
+    typed = F.concat(F.lit(" <"), "url", F.when(F.col("page_id") % 3 == 0, "),'").when(F.col("page_id") % 3 == 1, "(a)").otherwise("];"), F.lit("> "))
+    return load(spark, sf_dir, "pages").select("page_id", U.sanitize(typed).alias("clean"))
+
+
+@query
+def crawl_frontier(spark, sf_dir):
+    pages = load(spark, sf_dir, "pages").select("page_id")
+    n = pages.count()
+    edges = pages.select(F.col("page_id").alias("src"), F.posexplode(F.array((F.col("page_id") * 7 + 1) % n, (F.col("page_id") * 3 + 2) % n)).alias("ordinal", "dst"))
+    return P.crawl(edges, pages.where("page_id = 0").select(F.col("page_id").alias("node")), 6, n, store).select("node", "depth")
+
+
+# Concept candidates --------------------------------------------------------
+
+
+@query
+def concept_parse(spark, sf_dir):
+    return C.parse(I.concept_replies(spark, sf_dir)).select("doc_id", "block_id", "place", "name", "type", F.md5("description").alias("description"), "confidence")
+
+
+@query
+def concept_filter(spark, sf_dir):
+    return C.filter_candidates(C.parse(I.concept_replies(spark, sf_dir)), 0.6).select("doc_id", "block_id", "name", "confidence")
+
+
+@query
+def concept_dedup_doc(spark, sf_dir):
+    kept = C.dedup_documents(C.filter_candidates(C.parse(I.concept_replies(spark, sf_dir))))
+    return kept.select("doc_id", "name", "block_id", "confidence")
+
+
+@query
+def concept_counters(spark, sf_dir):
+    return C.run_counters(I.concept_replies(spark, sf_dir))
+
+
+@query
+def concept_summary(spark, sf_dir):
+    return C.summary(C.parse(I.concept_replies(spark, sf_dir)))
+
+
+@query
+def concept_top(spark, sf_dir):
+    return C.top(C.parse(I.concept_replies(spark, sf_dir)), 10).select("doc_id", "block_id", "name", "confidence")
+
+
+@query
+def eligible_prompts(spark, sf_dir):
+    rows = C.prompts(C.eligible(B.semantic_blocks(I.content_blocks(spark, sf_dir))))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_prompts"), F.sum(F.length("text")).alias("n_chars"))
+
+
+# Normalization -------------------------------------------------------------
+
+
+@query
+def name_keys(spark, sf_dir):
+    return load(spark, sf_dir, "part").select("p_partkey", T.name_key(F.col("p_name")).alias("name_key"))
+
+
+@query
+def exact_dedup(spark, sf_dir):
+    return N.exact_dedup(I.concept_rows(spark, sf_dir)).select("doc_id", "ord", "name_key", "confidence")
+
+
+@query
+def cosine_pairs(spark, sf_dir):
+    v = load(spark, sf_dir, "embeddings")
+    return N.similar_pairs(v, 0.45, group="label", ident="vec_id").select("label", "a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def cosine_pairs_corpus(spark, sf_dir):
+    v = load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    near = v.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), "label", F.transform("embedding", lambda x, i: F.when(i == 0, x + F.lit(0.01).cast("float")).otherwise(x)).alias("embedding"))
+    return N.similar_pairs(v.unionByName(near), 0.95, "corpus", group="label", ident="vec_id").select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def _clustered(spark, sf_dir):
+    rows = store(N.exact_dedup(I.concept_rows(spark, sf_dir)))
+    return rows, N.clusters(rows, store(I.name_pairs(rows)), store)
+
+
+@query
+def components(spark, sf_dir):
+    return _clustered(spark, sf_dir)[1].select("doc_id", "ord", "cluster", "size", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def cluster_stats(spark, sf_dir):
+    return N.cluster_stats(_clustered(spark, sf_dir)[1])
+
+
+@query
+def verdict_split(spark, sf_dir):
+    members = store(_clustered(spark, sf_dir)[1])
+    said = F.when(F.col("cluster") % 3 == 0, " Yes, all the same.").when(F.col("cluster") % 3 == 1, "No.").otherwise("I think that yes")
+    replies = members.select("doc_id", "cluster").distinct().withColumn("reply", said)
+    return N.apply_verdicts(members, replies).select("doc_id", "ord", "cluster", "size")
+
+
+@query
+def canonical_names(spark, sf_dir):
+    return N.canonical_names(*_clustered(spark, sf_dir))
+
+
+@query
+def canonical_merge(spark, sf_dir):
+    rows, members = _clustered(spark, sf_dir)
+    totals = I.concept_rows(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("total"))
+    out = N.canonical_concepts(rows, members, totals)
+    return out.select("doc_id", "canonical_id", "canonical_name", joined("aliases", ","), "type", joined("source_blocks", ","), "occurrence_count", "importance_score")
+
+
+@query
+def normalization_funnel(spark, sf_dir):
+    raw = I.concept_rows(spark, sf_dir)
+    rows, members = _clustered(spark, sf_dir)
+    return N.funnel(raw, rows, members.select("doc_id", "cluster").distinct())
+
+
+@query
+def canonical_summary(spark, sf_dir):
+    rows, members = _clustered(spark, sf_dir)
+    totals = I.concept_rows(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("total"))
+    return N.canonical_summary(N.canonical_concepts(rows, members, totals))
+
+
+# Relations -----------------------------------------------------------------
+
+
+def _mentions(spark, sf_dir):
+    return R.mentions(I.line_blocks(spark, sf_dir), R.name_lookup(I.document_concepts(spark, sf_dir)))
+
+
+@query
+def name_lookup(spark, sf_dir):
+    return R.name_lookup(I.document_concepts(spark, sf_dir))
+
+
+@query
+def mention_map(spark, sf_dir):
+    return _mentions(spark, sf_dir)
+
+
+@query
+def candidate_pairs(spark, sf_dir):
+    return R.candidate_pairs(_mentions(spark, sf_dir))
+
+
+@query
+def candidate_stats(spark, sf_dir):
+    return R.candidate_stats(I.line_blocks(spark, sf_dir), _mentions(spark, sf_dir))
+
+
+def _resolved(spark, sf_dir):
+    return R.resolve(R.parse(I.relation_replies(spark, sf_dir)), R.name_lookup(I.document_concepts(spark, sf_dir)))
+
+
+@query
+def relation_parse(spark, sf_dir):
+    return R.parse(I.relation_replies(spark, sf_dir)).select("doc_id", "block_id", "place", "source", "target", "relation_type", "confidence")
+
+
+@query
+def edge_validate(spark, sf_dir):
+    return R.valid_edges(_resolved(spark, sf_dir), I.document_concepts(spark, sf_dir)).select("edge_id", "doc_id", "source_concept_id", "target_concept_id", "relation_type", "evidence_block_id", "confidence")
+
+
+@query
+def edge_dedup(spark, sf_dir):
+    return R.dedup_edges(R.valid_edges(_resolved(spark, sf_dir), I.document_concepts(spark, sf_dir))).withColumn("confidence", F.round("confidence", 2))
+
+
+@query
+def edge_summary(spark, sf_dir):
+    return R.edge_summary(R.valid_edges(_resolved(spark, sf_dir), I.document_concepts(spark, sf_dir)))
+
+
+# Graph ---------------------------------------------------------------------
+
+
+def _refined(spark, sf_dir):
+    nodes = store(G.valid_nodes(I.trade_nodes(spark, sf_dir)))
+    return nodes, store(G.refine(G.valid_edges(I.trade_edges(spark, sf_dir), nodes)))
+
+
+@query
+def graph_validate(spark, sf_dir):
+    return G.validation_counts(I.trade_nodes(spark, sf_dir), I.trade_edges(spark, sf_dir))
+
+
+@query
+def merge_duplicates(spark, sf_dir):
+    once = I.trade_edges(spark, sf_dir)
+    again = once.withColumns({"id": F.concat("id", F.lit("x")), "confidence": F.col("confidence") / 2, "ord": F.col("ord") + 1000, "evidence_blocks": F.array(F.lit("0"))})
+    out = G.merge_duplicates(once.unionByName(again))
+    return out.select("id", "source", "target", "relation_type", F.round("confidence", 6).alias("confidence"), joined("evidence_blocks", ","))
+
+
+@query
+def graph_refine(spark, sf_dir):
+    return _refined(spark, sf_dir)[1].select("id", "source", "target", "relation_type", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def conflict_resolution(spark, sf_dir):
+    nodes = G.valid_nodes(I.trade_nodes(spark, sf_dir))
+    return G.resolve_conflicts(G.valid_edges(I.trade_edges(spark, sf_dir), nodes)).select("id", "source", "target", "relation_type")
+
+
+@query
+def degree_centrality(spark, sf_dir):
+    nodes, edges = _refined(spark, sf_dir)
+    return M.degree_centrality(nodes, M.arcs(edges)).select("id", F.round("degree_centrality", 6).alias("degree_centrality"))
+
+
+@query
+def clustering_coefficient(spark, sf_dir):
+    nodes, edges = _refined(spark, sf_dir)
+    return M.clustering(nodes, M.arcs(edges)).select("id", F.round("clustering_coefficient", 6).alias("clustering_coefficient"))
+
+
+@query
+def betweenness(spark, sf_dir):
+    nodes, edges = _refined(spark, sf_dir)
+    return M.betweenness(nodes, M.arcs(edges), store).select("id", F.round("betweenness_centrality", 6).alias("betweenness_centrality"))
+
+
+@query
+def graph_metrics(spark, sf_dir):
+    nodes, edges = _refined(spark, sf_dir)
+    r = lambda c: F.round(c, 6).alias(c)
+    return M.graph_metrics(nodes, edges, store).select("num_nodes", "num_edges", r("density"), r("average_degree"), "num_components")
+
+
+@query
+def final_graph_nodes(spark, sf_dir):
+    n, _, _ = G.final_graph(I.trade_nodes(spark, sf_dir), I.trade_edges(spark, sf_dir), store)
+    return n.select("id", "label", "occurrence_count", F.round("importance_score", 4).alias("importance_score"), "rank")
+
+
+@query
+def final_graph_edges(spark, sf_dir):
+    _, e, _ = G.final_graph(I.trade_nodes(spark, sf_dir), I.trade_edges(spark, sf_dir), store)
+    return G.minimal_format(I.trade_nodes(spark, sf_dir).withColumn("importance_score", F.lit(0.0)), e)[1].drop("doc_id")
+
+
+@query
+def final_graph_json(spark, sf_dir):
+    n, e, _ = G.final_graph(I.trade_nodes(spark, sf_dir), I.trade_edges(spark, sf_dir), store)
+    return G.full_format(n, e)
+
+
+@query
+def prune(spark, sf_dir):
+    nodes, edges = _refined(spark, sf_dir)
+    few = edges.where("source % 5 <> 0 and target % 5 <> 0")
+    n, e = G.prune(nodes.withColumn("occurrence_count", F.col("id") % 2), few)
+    return n.select("id").join(e.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n_out")), "id", "left").select("id", F.coalesce("n_out", F.lit(0)).alias("n_out"))
+
+
+@query
+def relation_summary(spark, sf_dir):
+    return G.relation_summary(_refined(spark, sf_dir)[1])
+
+
+@query
+def node_degrees(spark, sf_dir):
+    return G.degrees(*_refined(spark, sf_dir)).select("id", "degree")
+
+
+def _viewed(spark, sf_dir):
+    e = I.trade_edges(spark, sf_dir)
+    return e.select("source", "target", F.col("relation_type").alias("relation"), F.round(F.col("confidence") + 1e-9, 2).alias("weight"))
+
+
+@query
+def node_panel(spark, sf_dir):
+    return H.node_panel(_viewed(spark, sf_dir), load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node")))
+
+
+@query
+def neighbors(spark, sf_dir):
+    return H.neighbours(_viewed(spark, sf_dir), load(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("node")))
+
+
+@query
+def viewer_defaults(spark, sf_dir):
+    edges = _viewed(spark, sf_dir).select(F.lit(0).alias("doc_id"), "source", "target", F.when(F.col("source") % 3 > 0, F.col("relation")).alias("relation"), F.when(F.col("target") % 3 > 0, F.col("weight")).otherwise(0.0).alias("weight"))
+    nodes = I.trade_nodes(spark, sf_dir).withColumn("importance", F.lit(None).cast("double"))
+    return H.viewer_defaults(nodes, edges)[1].drop("doc_id")
+
+
+@query
+def graph_catalog(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders")
+    nodes = orders.select(F.concat(F.lit("year_"), F.year("o_orderdate").cast("string")).alias("doc_id"), "o_custkey").distinct()
+    edges = orders.select(F.concat(F.lit("year_"), F.year("o_orderdate").cast("string")).alias("doc_id"))
+    return tables.catalog(nodes, edges)
+
+
+@query
+def graph_by_id(spark, sf_dir):
+    edges = load(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("doc_id"), "o_orderkey")
+    return tables.with_id(edges, "doc_id", 1996)
+
+
+# Reasoning -----------------------------------------------------------------
+
+
+def _graph(spark, sf_dir):
+    concepts = I.trade_concepts(spark, sf_dir)
+    return concepts, store(H.load_graph(concepts, I.trade_relations(spark, sf_dir)))
+
+
+@query
+def relationships(spark, sf_dir):
+    return H.relationships(_graph(spark, sf_dir)[1])
+
+
+@query
+def dependencies(spark, sf_dir):
+    concepts, graph = _graph(spark, sf_dir)
+    return H.dependencies(graph, concepts, store, 1)
+
+
+@query
+def dependents(spark, sf_dir):
+    return H.dependents(_graph(spark, sf_dir)[1])
+
+
+@query
+def related_unexplored(spark, sf_dir):
+    concepts, graph = _graph(spark, sf_dir)
+    return H.related_unexplored(graph, concepts, I.explored(spark, sf_dir)).select("start", "concept")
+
+
+@query
+def prereq_chain(spark, sf_dir):
+    concepts, graph = _graph(spark, sf_dir)
+    number = concepts.select("name", "ord")
+    forward = graph.join(number.select(F.col("name").alias("src"), F.col("ord").alias("a")), "src").join(number.select(F.col("name").alias("dst"), F.col("ord").alias("b")), "dst").where("a < b").select("src", "dst", "dep_kind")
+    return H.prerequisite_chain(forward, concepts, store)
+
+
+@query
+def knowledge_gaps(spark, sf_dir):
+    concepts, graph = _graph(spark, sf_dir)
+    return H.knowledge_gaps(graph, concepts, I.explored(spark, sf_dir), store).withColumn("relevance", F.round("relevance", 4))
+
+
+@query
+def suggest_next(spark, sf_dir):
+    concepts, graph = _graph(spark, sf_dir)
+    return H.suggest_next(concepts, graph, concepts, I.explored(spark, sf_dir)).drop("needed_by")
+
+
+@query
+def suggestions(spark, sf_dir):
+    concepts, graph = _graph(spark, sf_dir)
+    return H.unexplored_ranking(concepts, graph, I.explored(spark, sf_dir), store)
+
+
+@query
+def question_suggestions(spark, sf_dir):
+    return H.question_suggestions(I.trade_concepts(spark, sf_dir), I.explored(spark, sf_dir))
+
+
+@query
+def valid_suggestions(spark, sf_dir):
+    made = load(spark, sf_dir, "customer").select(F.concat("c_mktsegment", F.lit("")).alias("seg"), "c_nationkey", F.col("c_acctbal").alias("relevance"))
+    named = made.join(load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("concept")), "c_nationkey")
+    return H.valid_suggestions(named, I.trade_concepts(spark, sf_dir), I.explored(spark, sf_dir)).groupBy("concept").agg(F.count("*").alias("n"))
+
+
+@query
+def exported_graph(spark, sf_dir):
+    concepts, graph = _graph(spark, sf_dir)
+    return H.export_graph(concepts, graph, dedupe=True)[1]
+
+
+@query
+def claim_verdict(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    hits = e.select(F.col("user_id").alias("claim"), F.col("event_id").alias("rank"), F.col("event_id").cast("string").alias("url"), F.least(F.lit(1.0), F.col("value") / 500).alias("score"))
+    return H.claim_verdicts(hits)
+
+
+@query
+def search_results(spark, sf_dir):
+    return H.search_projection(load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))).select("doc_id", F.md5("content").alias("digest"))
+
+
+# Sessions ------------------------------------------------------------------
+
+
+@query
+def history_last_n(spark, sf_dir):
+    return S.last_messages(I.messages(spark, sf_dir), 3).select("session_id", "id", "place", "role")
+
+
+@query
+def context_string(spark, sf_dir):
+    return S.context(I.messages(spark, sf_dir)).select("session_id", F.md5("context").alias("digest"))
+
+
+@query
+def concept_state(spark, sf_dir):
+    return S.concept_states(I.changes(spark, sf_dir))
+
+
+@query
+def explored_states(spark, sf_dir):
+    return S.states(S.concept_states(I.changes(spark, sf_dir)), True).select("session_id", "concept_name")
+
+
+@query
+def latest_article(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    stored = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("id"), F.col("ts").alias("created_at"), (F.col("event_id") % 2 + 1).alias("tier"), F.col("props").alias("content_json"))
+    return S.latest(stored, "content_json", tier=1)
+
+
+@query
+def session_updates(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    table = e.groupBy(F.col("user_id").alias("session_id")).agg(F.min("ts").alias("created_at"))
+    return S.with_updated_at(table, e.select(F.col("user_id").alias("session_id"), "ts"))
+
+
+@query
+def cascade_delete(spark, sf_dir):
+    m = I.messages(spark, sf_dir)
+    gone = m.where("session_id % 4 = 1").select("session_id").distinct()
+    return S.delete_sessions({"messages": m}, gone)["messages"].groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+@query
+def constraint_violations(spark, sf_dir):
+    m = I.messages(spark, sf_dir)
+    odd = m.withColumns({"role": F.when(F.col("session_id") % 5 == 0, "robot").otherwise(F.col("role")), "id": F.when(F.col("session_id") % 3 == 0, 0).otherwise(F.col("id"))})
+    return S.constraint_violations(odd)
+
+
+@query
+def seed_states(spark, sf_dir):
+    last = F.lit("2100-01-01").cast("timestamp")
+    concepts = load(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct().select("name", last.alias("ts"), F.struct(last.alias("ts"), F.lit(0).cast("long").alias("event_id")).alias("seq"))
+    return S.concept_states(S.seed_states(I.changes(spark, sf_dir), concepts, 1)).select("session_id", "concept_name", "explored")
+
+
+# Replies -------------------------------------------------------------------
+
+
+@query
+def intent_parse(spark, sf_dir):
+    c = load(spark, sf_dir, "conversations")
+    said = F.when(F.col("turn") % 4 == 0, '{"intent":"SUMMARIZE","entities":{"concept":"x"},"confidence":0.9}').when(F.col("turn") % 4 == 1, 'Sure: {"intent":"navigate"} ok').when(F.col("turn") % 4 == 2, '{"intent":"dance","confidence":"high"}').otherwise("no idea")
+    out = L.intents(c.select(F.struct("conv_id", "turn").alias("key"), said.alias("raw_output")))
+    return out.select("key.conv_id", "key.turn", "intent", F.coalesce(F.col("entities")["concept"], F.lit("-")).alias("concept"), "confidence")
+
+
+@query
+def quality_parse(spark, sf_dir):
+    labels = load(spark, sf_dir, "labels")
+    raw = F.concat(F.lit('{"credibility_score":0.'), ((F.col("doc_id") % 9) + 1).cast("string"), F.lit(',"bias_type":"none","strengths":["a","b","c","d"]}'))
+    out = L.quality_reports(labels.select(F.col("doc_id").alias("key"), F.when(F.col("toxic") == 0, raw).otherwise("nothing").alias("raw_output")))
+    return out.select("key", "credibility", "bias", "bias_type", "readability", F.size("strengths").alias("n_strengths"), F.size("weaknesses").alias("n_weaknesses"), F.length("bar").alias("bar"))
+
+
+@query
+def prereq_parse(spark, sf_dir):
+    labels = load(spark, sf_dir, "labels")
+    item = lambda n, level: f'{{"concept":"{n}","level":"{level}","reason":"r{n}"}}'
+    listed = "[" + ",".join(item(n, ("basic", "intermediate", "advanced")[n % 3]) for n in range(8)) + "]"
+    raw = F.when(F.col("doc_id") % 3 == 0, F.lit(listed)).when(F.col("doc_id") % 3 == 1, F.lit('So: {"prerequisites":' + listed + "}")).otherwise("[]")
+    return L.prerequisites(labels.select(F.col("doc_id").alias("key"), raw.alias("raw_output")))
+
+
+@query
+def prompt_columns(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    articles = docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("content"), F.array(F.lit("a"), F.lit("b")).alias("concepts"), F.lit("why?").alias("question"))
+    return L.prompts(articles).where("kind = 'summary'").select("key", F.length("prompt").alias("n"))
+
+
+@query
+def article_graph(spark, sf_dir):
+    labels = load(spark, sf_dir, "labels")
+    raw = F.concat(F.lit('{"nodes":[{"id":"a"},{"id":"b","label":"B"}],"edges":[{"source":"a","target":"b","relation":"R'), F.col("doc_id").cast("string"), F.lit('"}]}'))
+    return L.article_graphs(labels.select(F.col("doc_id").alias("key"), F.when(F.col("toxic") == 0, raw).otherwise("no graph").alias("raw_output")))[1]
+
+
+@query
+def reply_json(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    said = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("See "), "props", F.lit(" there."))).otherwise("none { at all")
+    return e.select("event_id", F.md5(J.reply_json_of(said)).alias("digest"))
+
+
+@query
+def ready_documents(spark, sf_dir):
+    return pipeline.ready(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query
+def ready_listing(spark, sf_dir):
+    return pipeline.ready_listing(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
