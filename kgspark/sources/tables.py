@@ -7,10 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CONTENT_BLOCK = T.StructType.fromDDL("type string, tag string, text string, position int")
-LINK = T.StructType.fromDDL("source_doc_id string, target_url string, anchor_text string, is_internal boolean")
 SCHEMAS = {
     "documents": "id string, url string, title string, domain string, timestamp timestamp, depth int, parent_url string, links array<struct<source_doc_id:string,target_url:string,anchor_text:string,is_internal:boolean>>",
     "content_blocks": "doc_id string, position int, type string, tag string, text string",
