@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +63,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Rows of a batch, with their texts, in parts of about ``limit`` characters."""
+    values = batch[column].to_pylist()
+    begin = held = 0
+    for k, v in enumerate(values):
+        held += len(v or "")
+        if held >= limit or k == len(values) - 1:
+            yield batch.slice(begin, k + 1 - begin), values[begin : k + 1]
+            begin, held = k + 1, 0

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgspark.llm._common import materialize
+from kgspark.llm._common import materialize, slices
 
 #: Tokens of a sequence, and the id that ends each document.
 CAPACITY = 4096
@@ -26,7 +26,7 @@ GRID = 64
 #: Most pieces of a pattern.
 MOST = 4
 #: Words kept per Python worker between documents; only speed depends on it.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 1_600_000
 #: Pieces of one length are numbered in so many parts.
 SALTS = 64
 
@@ -120,10 +120,9 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, key: st
         tokens = _loaded[tokenizer]
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part, texts in slices(batch, 1):
                 rows = []
-                for k, ids in enumerate(tokens.encode([t or "" for t in part[1].to_pylist()])):
+                for k, ids in enumerate(tokens.encode([t or "" for t in texts])):
                     whole = ids + end
                     for n, begin in enumerate(range(0, len(whole), 4 * capacity)):
                         piece = whole[begin : begin + 4 * capacity]
