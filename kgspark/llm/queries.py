@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from kgspark.llm import ann, jaccard_join, licenses, line_dedup, mixing, packing, quality_rules, suffix_dedup, toxicity, url_filter
 from kgspark.llm._common import load
+from kgspark.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 #: The rules of the query: fixed values.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -76,6 +79,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_suffix_dedup, op2_quality_rules, op3_nearest_neighbours, op4_line_dedup, op5_mixing, op6_license_scan, op7_url_filter, op8_jaccard_join, op9_toxicity, op10_packing)
 }
-
-#: SQL that DuckDB runs on the same tables.
-ORACLES: dict[str, str] = {}
