@@ -17,6 +17,8 @@ from kgspark.functions import text as T
 from kgspark.functions import urls as U
 from kgspark.functions import vocabulary as V
 
+Store = Callable[[DataFrame], DataFrame]
+
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 BLOCKS = (*HEADINGS, "p", "pre", "code", "ul", "ol")
 #: Tags that end an open paragraph or heading.
@@ -111,13 +113,14 @@ def is_ignored(tag: Column, attrs: Column) -> Column:
     return tag.isin(*V.IGNORED_TAGS) | T.contains_any(F.lower(attribute(attrs, "class")), V.IGNORED_CLASSES)
 
 
-def content_blocks(pages: DataFrame) -> DataFrame:
+def content_blocks(pages: DataFrame, store: Store | None = None) -> DataFrame:
     """Blocks in reading order: page_id, position, type, tag, text.
 
     Elements within the main content that aren't ignored themselves and hold
-    text; nested lists and code in pre come twice.
+    text; nested lists and code in pre come twice.  With ``store`` the tokens,
+    which several joins read, are written once instead of being cut again.
     """
-    toks = tokens(pages)
+    toks = tokens(pages) if store is None else store(tokens(pages))
     own = elements(toks).where(F.col("tag").isin(*BLOCKS) & ~is_ignored(F.col("tag"), F.col("attrs")))
     main = containers(toks).withColumnsRenamed({"begin": "main_begin", "stop": "main_stop"})
     own = own.join(main, "page_id").where("begin > main_begin and begin < main_stop")
@@ -131,9 +134,9 @@ def content_blocks(pages: DataFrame) -> DataFrame:
     return kept.select("page_id", position.alias("position"), "type", "tag", "text")
 
 
-def links(pages: DataFrame, main_only: bool = True, clean: bool = False) -> DataFrame:
+def links(pages: DataFrame, main_only: bool = True, clean: bool = False, store: Store | None = None) -> DataFrame:
     """Links: page_id, ordinal, target_url, anchor_text, is_internal."""
-    toks = tokens(pages)
+    toks = tokens(pages) if store is None else store(tokens(pages))
     anchors = elements(toks).where("tag = 'a'").withColumn("href", unescape(attribute(F.col("attrs"), "href"))).where("href <> ''")
     if main_only:
         main = containers(toks).withColumnsRenamed({"begin": "main_begin", "stop": "main_stop"})
@@ -172,16 +175,16 @@ def digest(texts: DataFrame, most: int | None = 8, cut: int | None = 700) -> Dat
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "\n\n").alias("content"), F.count("*").alias("n_sections"))
 
 
-def documents(pages: DataFrame) -> DataFrame:
+def documents(pages: DataFrame, store: Store | None = None) -> DataFrame:
     """One row per page: id, url, title, domain, n_blocks, n_links, n_internal."""
-    blocks = content_blocks(pages).groupBy("page_id").agg(F.count("*").alias("n_blocks"))
-    out = links(pages).groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_if("is_internal").alias("n_internal"))
+    blocks = content_blocks(pages, store).groupBy("page_id").agg(F.count("*").alias("n_blocks"))
+    out = links(pages, store=store).groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_if("is_internal").alias("n_internal"))
     rows = pages.select("page_id", "url").join(page_titles(pages), "page_id").join(blocks, "page_id", "left").join(out, "page_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return rows.select("page_id", U.document_id(F.col("url")).alias("id"), "url", "title", U.domain(F.col("url")).alias("domain"), zero("n_blocks"), zero("n_links"), zero("n_internal"))
 
 
-def crawl(links_: DataFrame, roots: DataFrame, max_depth: int, max_pages: int, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def crawl(links_: DataFrame, roots: DataFrame, max_depth: int, max_pages: int, store: Store) -> DataFrame:
     """Pages reached from the roots breadth first: node, depth, parent.
 
     ``links_`` rows are (src, dst, ordinal); ``roots`` has node.  A page's

@@ -107,6 +107,11 @@ SELECT node, min(depth) AS depth FROM b GROUP BY node"""
 ORACLES["page_documents"] = rf"""WITH {_ARTICLE}, n AS (SELECT page_id, count(*) AS n FROM pb GROUP BY page_id)
 SELECT page_id, substr(md5(url), 1, 12) AS id, url, {_TITLE} AS title, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain, coalesce(n, 0) AS n_blocks,
  len(regexp_extract_all(regexp_extract({_CLEAN}, '(?s)<article>(.*?)</article>', 1), '<a ')) AS n_links, len(regexp_extract_all(regexp_extract({_CLEAN}, '(?s)<article>(.*?)</article>', 1), '<a ')) AS n_internal FROM pages LEFT JOIN n USING (page_id)"""
+# The article's heading, if it has one, comes first; the rest is one section.
+_DIGEST = f"""WITH {_ARTICLE}, body AS (SELECT page_id, string_agg(text, chr(10) ORDER BY position) FILTER (NOT tag LIKE 'h%') AS content,
+  coalesce(max(text) FILTER (tag LIKE 'h%'), 'Introduction') AS heading FROM pb GROUP BY page_id)"""
+ORACLES["page_digest"] = f"{_DIGEST} SELECT page_id AS doc_id, 1 AS n_sections, md5('## ' || heading || chr(10) || left(content, 700)) AS digest FROM body WHERE content IS NOT NULL"
+ORACLES["page_full_text"] = f"{_DIGEST} SELECT page_id AS doc_id, 1 AS n_sections, length('## ' || heading || chr(10) || content) AS n_chars FROM body WHERE content IS NOT NULL"
 
 # Concept candidates --------------------------------------------------------
 

@@ -109,27 +109,27 @@ def page_title(spark, sf_dir):
 
 @query
 def page_blocks(spark, sf_dir):
-    return P.content_blocks(load(spark, sf_dir, "pages")).select("page_id", "position", "type", "tag", F.md5("text").alias("digest"))
+    return P.content_blocks(load(spark, sf_dir, "pages"), store).select("page_id", "position", "type", "tag", F.md5("text").alias("digest"))
 
 
 @query
 def page_links(spark, sf_dir):
-    return P.links(load(spark, sf_dir, "pages"), main_only=False, clean=True)
+    return P.links(load(spark, sf_dir, "pages"), main_only=False, clean=True, store=store)
 
 
 @query
 def density_container(spark, sf_dir):
-    toks = P.tokens(load(spark, sf_dir, "pages"))
+    toks = store(P.tokens(load(spark, sf_dir, "pages")))
     return P.densest(toks, P.elements(toks)).select("page_id", "begin", F.round("density", 4).alias("density"))
 
 
 @query
 def main_container(spark, sf_dir):
-    return P.containers(P.tokens(load(spark, sf_dir, "pages"))).select("page_id", "begin")
+    return P.containers(store(P.tokens(load(spark, sf_dir, "pages")))).select("page_id", "begin")
 
 
 def _page_sections(spark, sf_dir):
-    blocks = P.content_blocks(load(spark, sf_dir, "pages")).withColumnRenamed("page_id", "doc_id")
+    blocks = store(P.content_blocks(load(spark, sf_dir, "pages"), store).withColumnRenamed("page_id", "doc_id"))
     return P.section_texts(B.with_sections(blocks).where("not is_heading"), B.sections(blocks))
 
 
@@ -145,7 +145,7 @@ def page_full_text(spark, sf_dir):
 
 @query
 def page_documents(spark, sf_dir):
-    return P.documents(load(spark, sf_dir, "pages"))
+    return P.documents(load(spark, sf_dir, "pages"), store)
 
 
 @query
