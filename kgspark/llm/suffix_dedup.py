@@ -31,8 +31,10 @@ from kgspark.llm.jaccard_join import _mix, shared_signatures
 LENGTH = 200
 #: A sampled position starts less than so many bytes after the string.
 SPAN = 128
-#: Bytes of text in a block, about; a longer document has its own.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a block, and of those looked at together, about; a longer
+#: document is not cut.
+BLOCK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _GRAM = 16
 _BASE = 0x9E3779B97F4A7C15
@@ -92,6 +94,17 @@ def _window_min(keys: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sampled positions of a block, the document each is in, and the prefix hashes."""
+    ends = np.cumsum(lengths)
+    parts, first, start = [], 0, 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(ends, start + CHUNK_BYTES, side="right")))
+        picked, doc, hashed = _anchors(data[start : ends[last - 1]], lengths[first:last])
+        parts.append((picked + start, doc + first, hashed))
+        first, start = last, int(ends[last - 1])
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.cumsum(lengths)
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(data) < LENGTH or not (lengths >= LENGTH).any():
