@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -54,14 +55,27 @@ def existing(df: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame
     return wanted.join(df.select(key), key, "left_semi")
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back."""
-    spark = df.sparkSession
+def work_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
+
+    Where that is unset it is set: to a temporary folder in local mode, as in
+    tests, else to one beside the warehouse's tables, which executors share.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-work-")
+        local = re.match(r"local(\[|$)", spark.sparkContext.master)
+        shared = tempfile.mkdtemp(prefix="spark-work-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
         spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def store(df: DataFrame, tag: str = "step") -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    This cuts the lineage at a table that outlives any executor.
+    """
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
