@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.sources.tables import load, work_dir
+from kgspark.sources.tables import store as materialize
+
+__all__ = ["BROADCAST_LIMIT", "SPACES", "SPACE_RUN", "fits_broadcast", "join_sized", "let", "load", "materialize", "slices", "words_of", "work_dir"]
+
 #: White space that separates words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -18,33 +21,6 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 BROADCAST_LIMIT = 32 << 20
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
-
-    Only where that is unset, as in local tests, a temporary folder is set.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-work-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage at a table that outlives any executor.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> bool:
     """Whether a materialised table is below the limit; counts its rows."""
     return df.count() * row_bytes <= limit

@@ -6,30 +6,35 @@ universe is split into segments that are allocated 1 (the segment's tokens
 must be equal to match) or 2 (they may differ by one token, found through
 one-deletion neighbourhoods).  As the allocations add up to more than ``H``,
 two linked sets match in some segment.  How many segments get 1 or 2, and how
-many are kept in reserve for empty ones, is chosen per band by cost.  Matches
-are verified on the texts.
+many are kept in reserve for empty ones, is chosen per band by cost; each set
+takes the subset of the first segments that suffices for its own size.
+Candidates whose parity bitmaps differ in more bits than linked sets of their
+sizes can differ in tokens are left out; the others are verified on the texts.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgspark.llm._common import join_sized, materialize
+from kgspark.llm._common import join_sized, materialize, slices
 from kgspark.operators.components import connected_components
 
 #: Unless a contract says otherwise: five words, similarity 0.8.
 WORDS = 5
 PERCENT = 80
-#: Ratio of the ends of a size band.
-BAND = 1.5
+#: A band spans sizes up to where the smallest set has so many tokens a segment.
+LEAST_LOAD = 2.6
+#: Classes of each signature that its others are tried with first.
+FRONT = 3
+#: 64-bit words of a set's parity bitmap.
+BITMAP = 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -126,6 +131,17 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
     return np.concatenate(out), sizes
 
 
+def _poisson_above(k: int, mean: float) -> float:
+    """Probability that a Poisson number is over k; by the normal one for large means."""
+    if mean > 100:
+        return 0.5 * math.erfc((k + 0.5 - mean) / math.sqrt(2 * mean))
+    term, above = math.exp(-mean), 1.0
+    for n in range(min(k, 400) + 1):
+        above -= term
+        term *= mean / (n + 1)
+    return max(0.0, above)
+
+
 class Band:
     """Sizes from ``lo`` to ``hi`` of the larger set, and their segments."""
 
@@ -137,6 +153,12 @@ class Band:
         self.differ = (100 - percent) * 2 * hi // (100 + percent)
         self.ones = self.twos = 0
 
+    def needed(self, sizes: np.ndarray, percent: int) -> np.ndarray:
+        """Allocation that sets of these sizes need: one more than they can differ by
+        from any set, not smaller than ``lo`` or larger than ``hi``, that they link with."""
+        partner = np.maximum(np.minimum(sizes * 100 // percent, self.hi), self.lo)
+        return (100 - percent) * (sizes + partner) // (100 + percent) + 1
+
     def allocate(self, docs: int) -> None:
         """Choose the numbers of segments by the rows they make and the matches expected.
 
@@ -147,17 +169,15 @@ class Band:
         need = self.differ + 1
         size = self.least  # the smallest sets have the emptiest segments
         best = math.inf
+        reserves = range(12 + need // 4) if need <= 400 else [0, *(int(need * f) for f in (0.01, 0.02, 0.04, 0.06, 0.08, 0.12, 0.18, 0.25))]
         for twos in sorted({0, 1, 2, 3, need // 8, need // 4, need // 2, (need + 1) // 2}):
-            for spare in range(0, 12 + need // 4):
-                ones = max(0, need + spare - 2 * twos)
+            for reserve in reserves:
+                ones = max(0, need + reserve - 2 * twos)
                 m, spare = ones + twos, ones + 2 * twos - need
                 load = size / m
                 lost = math.exp(-load) * (ones + twos * (2 + load))
-                term, short = math.exp(-lost), 1.0
-                for k in range(spare + 1):
-                    short -= term
-                    term *= lost / (k + 1)
-                cost = m + twos * load + docs * max(0.0, short) ** 2 * m
+                short = _poisson_above(spare, lost)
+                cost = m + twos * load + docs * short**2 * m
                 if cost < best:
                     best, self.ones, self.twos = cost, ones, twos
 
@@ -167,16 +187,18 @@ class Band:
 
 
 def bands_of(largest: int, percent: int) -> list[Band]:
+    """Bands of sizes; a set falls into its own and at most the next one."""
+    ratio = percent * (100 + percent) / (200 * (100 - percent) * LEAST_LOAD) if percent < 100 else 2.0
     out, lo = [], 1
     while lo <= largest:
-        hi = max(lo, math.floor(lo * BAND))
+        hi = max(lo, math.floor(lo * ratio))
         hi = max(hi, -(-lo * 100 // percent))  # at most two bands per set
         out.append(Band(len(out), lo, hi, percent))
         lo = hi + 1
     return out
 
 
-def signatures(tokens: np.ndarray, sizes: np.ndarray, bands: list[Band]) -> tuple[np.ndarray, np.ndarray]:
+def signatures(tokens: np.ndarray, sizes: np.ndarray, bands: list[Band], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of all sets, and the set that each belongs to."""
     ends = np.cumsum(sizes)
     sigs, owners = [], []
@@ -188,7 +210,7 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, bands: list[Band]) -> tupl
             own = np.flatnonzero((sizes >= max(1, band.least)) & (sizes <= band.hi))
             if not len(own):
                 continue
-            m, need = band.segments, band.differ + 1
+            m = band.segments
             count = sizes[own]
             row = np.repeat(np.arange(len(own)), count)
             at = np.repeat(ends[own] - count - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
@@ -199,15 +221,19 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, bands: list[Band]) -> tupl
             np.add.at(acc, slot, mixed[at])
             salt = _mix(np.arange(1, m + 1, dtype=np.uint64) * _P1 + np.uint64(band.number + 1) * _P2)
             # Allocation 2 goes to the first segments, 1 to the others.  A set can
-            # count on a segment only as far as it has tokens there; if that is
-            # too little in all, it also takes its empty segments.
+            # count on a segment only as far as it has tokens there, and takes
+            # the first segments until they add up to what it needs; if all are
+            # too little, it also takes its empty segments.
             worth = np.where(np.arange(m) < band.twos, 2, 1)
             grid = held.reshape(-1, m)
-            short = np.minimum(grid, worth).sum(1) < need
-            r, s = np.nonzero((grid > 0) | short[:, None])
+            need = band.needed(count, percent)[:, None]
+            sums = np.cumsum(np.minimum(grid, worth), axis=1)
+            short = sums[:, -1] < need[:, 0]
+            taken = (sums - np.minimum(grid, worth) < need) & (grid > 0) | short[:, None]
+            r, s = np.nonzero(taken)
             sigs.append(_mix(acc.reshape(-1, m)[r, s] + salt[s]))
             owners.append(own[r])
-            near = (segment < band.twos) & ((held[slot] > 1) | short[row])
+            near = (segment < band.twos) & ((held[slot] > 1) | short[row]) & taken.reshape(-1)[slot]
             sigs.append(_mix(acc[slot[near]] - mixed[at[near]] + salt[segment[near]]))
             owners.append(own[row[near]])
     if not sigs:
@@ -226,41 +252,42 @@ def set_ids(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Rows of a batch, with their texts, in parts of about ``limit`` characters."""
-    values = batch[column].to_pylist()
-    begin = held = 0
-    for k, v in enumerate(values):
-        held += len(v or "")
-        if held >= limit or k == len(values) - 1:
-            yield batch.slice(begin, k + 1 - begin), values[begin : k + 1]
-            begin, held = k + 1, 0
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def bitmaps(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Parity bitmap of each set: a token flips one bit.
+
+    Two sets differ in at least as many tokens as their bitmaps in bits.
+    """
+    bits = 64 * BITMAP
+    at = np.repeat(np.arange(len(sizes)), sizes) * bits + ((tokens >> np.uint64(7)) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(sizes) * bits) & 1).astype(bool)
+    return np.packbits(odd, bitorder="little").view("<i8").reshape(len(sizes), BITMAP)
+
+
 def fingerprints(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """Per row: doc, n_shingles, set_id (null without shingles)."""
+    """Per row: doc, n_shingles, set_id (null without shingles), bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in _slices(batch, 1):
+            for part, texts in slices(batch, 1):
                 tokens, sizes = shingle_sets(texts, words)
                 ids = pa.array(set_ids(tokens, sizes).view(np.int64), mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([part[0], pa.array(sizes), ids], names=["doc", "n_shingles", "set_id"])
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BITMAP), pa.array(bitmaps(tokens, sizes).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part[0], pa.array(sizes), ids, bits], names=["doc", "n_shingles", "set_id", "bits"])
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "doc long, n_shingles long, set_id long")
+    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "doc long, n_shingles long, set_id long, bits array<long>")
 
 
-def signature_rows(docs: DataFrame, bands: list[Band], words: int, text: str) -> DataFrame:
+def signature_rows(docs: DataFrame, bands: list[Band], words: int, percent: int, text: str) -> DataFrame:
     """Rows (sig, set_id); a set met again in a task is left out there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, texts in _slices(batch, 0):
+            for _, texts in slices(batch, 0):
                 tokens, sizes = shingle_sets(texts, words)
                 ids = set_ids(tokens, sizes)
                 new = np.zeros(len(ids), bool)
@@ -269,7 +296,7 @@ def signature_rows(docs: DataFrame, bands: list[Band], words: int, text: str) ->
                         seen.add(x)
                         new[k] = True
                 tokens, sizes, ids = tokens[np.repeat(new, sizes)], sizes[new], ids[new]
-                sigs, owner = signatures(tokens, sizes, bands)
+                sigs, owner = signatures(tokens, sizes, bands, percent)
                 for k in range(0, len(sigs), 500_000):
                     yield pa.RecordBatch.from_arrays([_signed(sigs[k : k + 500_000]), _signed(ids[owner[k : k + 500_000]])], names=["sig", "set_id"])
 
@@ -343,60 +370,85 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     with the component of their text and name none; rows with equal keys are
     told apart by their texts.  Sets are told apart by 64-bit hashes.
 
-    Documents of equal sets are one class; only classes make signatures.
-    Candidates of a signature need not all be paired to find components: first
-    each class is verified against the smallest one it shares a signature with.
-    Then, as long as a signature holds classes of several components, further
-    members in turn (1, 2, 4, ... of them) are verified against all that follow
-    and are still elsewhere, until every pair within a signature is either
-    verified or already connected.
+    Documents of equal sets are one class; only classes make signatures.  To
+    find components, not all pairs of a signature need be verified: in two
+    rounds classes are tried with the FRONT first ones in other components of
+    their signatures that sizes and bitmaps allow, first being those that share
+    most signatures with others; in the first round each with one.  Then all
+    pairs of a signature that are still in different components are tried,
+    which takes only classes outside its largest component against the rest.
     """
-    # Only equal sets link below this size; it also bounds the bands.
     prints = materialize(fingerprints(docs, words, key, text), "shingles")
     some = prints.where("n_shingles > 0")
     largest = some.agg(F.max("n_shingles")).first()[0] or 1
     bands = bands_of(largest, percent)
-    edges = [b.lo for b in bands]
     sizes = some.select("set_id", "n_shingles").distinct().groupBy("n_shingles").count()
-    level = sum((F.when(F.col("n_shingles") >= lo, 1).otherwise(0) for lo in edges), F.lit(-1))
+    level = sum((F.when(F.col("n_shingles") >= b.lo, 1).otherwise(0) for b in bands), F.lit(-1))
     counts = {r[0]: r[1] for r in sizes.groupBy(level.alias("band")).agg(F.sum("count")).collect()}  # one row per band
     for band in bands:
         band.allocate(counts.get(band.number, 0) + counts.get(band.number - 1, 0))
 
-    found = shared_signatures(signature_rows(docs, bands, words, text))
     # Sets of one signature; hashes may repeat a set that several tasks met.
-    members = found.distinct()
-    many = members.groupBy("sig").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).where("least < most")
-    members = materialize(members.join(many.select("sig", "least"), "sig"), "signatures")
-    reps = some.join(members.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n"))
-    reps = materialize(reps, "representatives")
+    members = shared_signatures(signature_rows(docs, bands, words, percent, text)).distinct()
+    many = members.groupBy("sig").agg(F.count("*").alias("n_sets")).where("n_sets > 1")
+    members = materialize(members.join(many, "sig"), "signatures")
+    shares = members.groupBy("set_id").agg(F.sum("n_sets").alias("shares"))
+    classes = some.groupBy("set_id").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    classes = materialize(classes.join(shares, "set_id"), "classes")
+    about = classes.select("set_id", "n", "bits")
     lookup = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    texts = materialize(join_sized(lookup, reps.select("doc", "set_id"), "doc", "inner", row_bytes=40), "candidate-texts")
 
     def stored(df: DataFrame) -> DataFrame:
         return materialize(df, "links")
 
-    first = members.where("least < set_id").groupBy("set_id").agg(F.min("least").alias("a")).select("a", F.col("set_id").alias("b"))
-    links = stored(verify(first, texts, words, percent))
-    for turn in itertools.count():
-        named = connected_components(links, stored, "a", "b")
-        label = members.select("sig", "set_id").join(named.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        mixed = label.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-        label = label.join(mixed, "sig", "left_semi").join(reps.select("set_id", "n"), "set_id")
-        label = materialize(label.withColumn("k", F.row_number().over(W.partitionBy("sig").orderBy("set_id"))), "open")
-        hubs = label.where((F.col("k") >= 2**turn) & (F.col("k") < 2 ** (turn + 1))).select("sig", *[F.col(c).alias(f"{c}_a") for c in ("set_id", "component", "n", "k")])
-        apart = (F.col("k") > F.col("k_a")) & (F.col("component") != F.col("component_a"))
-        like = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
-        pairs = label.join(hubs, "sig").where(apart & like).select(F.col("set_id_a").alias("a"), F.col("set_id").alias("b")).distinct()
-        if hubs.isEmpty():
-            break
-        links = materialize(links.unionByName(verify(pairs, texts, words, percent)), "links")
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Verified pairs among (a, b) with their texts fetched."""
+        pairs = materialize(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+        reps = materialize(classes.select("set_id", "doc").join(ends, "set_id", "left_semi"), "representatives")
+        texts = materialize(join_sized(lookup, reps, "doc", "inner", row_bytes=40), "candidate-texts")
+        return verify(pairs, texts, words, percent)
+
+    def like(a: str, b: str) -> Column:
+        """Whether sizes and bitmaps allow a link."""
+        n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+        apart = sum((F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])) for k in range(BITMAP)), F.lit(0))
+        return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (apart * (100 + percent) <= (100 - percent) * (n_a + n_b))
+
+    links = None
+    for _ in range(2):
+        placed = members.select("sig", "set_id").join(classes.select("set_id", "shares"), "set_id")
+        if links is None:
+            placed = placed.withColumn("component", F.col("set_id"))
+        else:
+            named = connected_components(links, stored, "a", "b").withColumnRenamed("node", "set_id")
+            placed = placed.join(named, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        # Of the components in a signature, the foremost sets of the first few.
+        front = placed.groupBy("sig", "component").agg(F.max(F.struct("shares", "set_id")).alias("f"))
+        front = front.withColumn("k", F.row_number().over(W.partitionBy("sig").orderBy(F.desc("f")))).where(F.col("k") <= FRONT)
+        front = front.select("sig", F.col("component").alias("other"), F.col("f.set_id").alias("a"))
+        tried = placed.join(front, "sig").where("component <> other").select("a", F.col("set_id").alias("b")).distinct()
+        pairs = tried.join(about.alias("p"), F.col("a") == F.col("p.set_id")).join(about.alias("q"), F.col("b") == F.col("q.set_id")).where(like("p", "q"))
+        if links is None:
+            # One link is enough for a class to join the others of its group.
+            pairs = pairs.join(classes.select(F.col("set_id").alias("a"), "shares"), "a").groupBy("b").agg(F.max_by("a", F.struct("shares", "a")).alias("a"))
+        new = linked(pairs.select("a", "b"))
+        links = stored(new if links is None else links.unionByName(new))
+
+    named = connected_components(links, stored, "a", "b").withColumnRenamed("node", "set_id")
+    placed = members.select("sig", "set_id").join(named, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    held = placed.groupBy("sig", "component").agg(F.count("*").alias("k"))
+    mixed = held.groupBy("sig").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("sig", F.col("top.component").alias("top"))
+    open_ = materialize(placed.join(mixed, "sig").join(about, "set_id"), "open")
+    probes = open_.where("component <> top")
+    apart = (F.col("p.component") != F.col("q.component")) & ((F.col("q.component") == F.col("q.top")) | (F.col("p.set_id") < F.col("q.set_id")))
+    pairs = probes.alias("p").join(open_.alias("q"), (F.col("p.sig") == F.col("q.sig")) & apart & like("p", "q")).select(F.col("p.set_id").alias("a"), F.col("q.set_id").alias("b")).distinct()
+    links = stored(links.unionByName(linked(pairs)))
 
     named = connected_components(links, stored, "a", "b").withColumnRenamed("node", "set_id")
-    placed = prints.join(named, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    placed = materialize(placed, "placed")
-    least = placed.where("component is not null").groupBy("component").agg(F.min("doc").alias("component_id"))
-    out = placed.join(least, "component", "left")
+    ends = materialize(prints.drop("bits").join(named, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "placed")
+    least = ends.where("component is not null").groupBy("component").agg(F.min("doc").alias("component_id"))
+    out = ends.join(least, "component", "left")
     return out.select(F.col("doc").alias(key), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
 
 

@@ -234,7 +234,7 @@ def test_signatures_meet_for_linked_sets():
         both = len(np.intersect1d(a, b))
         if len(a) != len(b) or both != len(a):
             if 100 * both >= 85 * (len(a) + len(b) - both):
-                sig, own = jaccard_join.signatures(np.concatenate([a, b]), np.array([len(a), len(b)]), bands)
+                sig, own = jaccard_join.signatures(np.concatenate([a, b]), np.array([len(a), len(b)]), bands, 85)
                 assert set(sig[own == 0].tolist()) & set(sig[own == 1].tolist())
 
 
