@@ -21,6 +21,8 @@ LIST_SIZE, MAX_LISTS = 2_000, 4_096
 #: Vectors of a part, and queries that visit it together: longer lists are
 #: split, and a part is copied for further queries.
 PART, QUERIES = 20_000, 20_000
+#: Pairs of queries and vectors looked at together in a task.
+PAIRS = 100_000
 #: Dimensions looked at together after the rotation.
 BLOCK = 16
 #: A candidate is given up when the rest of its dimensions, which after a
@@ -208,7 +210,7 @@ def search(vectors: DataFrame, *, k: int = 20, query: str | None = None, key: st
         if queries.num_rows and held_.num_rows:
             q, x = (_rows(t["v"].combine_chunks(), dim) for t in (queries, held_))
             q_ids, x_ids = queries["id"].to_numpy(), held_["id"].to_numpy()
-            step = max(1, 4_000_000 // len(x))
+            step = max(1, PAIRS // len(x))
             for b in range(0, len(q), step):
                 i, j, score = scan(q[b : b + step], q_ids[b : b + step], x, x_ids, made.value.rotation, k)
                 out.append((q_ids[b : b + step][i], x_ids[j], score))
