@@ -17,18 +17,19 @@ from kgspark.llm._common import materialize
 #: digests of their ids; every vector is indexed.
 MAX_SAMPLE = 20_000
 #: Vectors of a list, about; more lists than this are never made.
-LIST_SIZE, MAX_LISTS = 2_000, 4_096
+LIST_SIZE, MAX_LISTS = 4_000, 4_096
 #: Vectors of a part, and queries that visit it together: longer lists are
 #: split, and a part is copied for further queries.
 PART, QUERIES = 20_000, 20_000
 #: Pairs of queries and vectors looked at together in a task.
 PAIRS = 100_000
-#: Dimensions looked at together after the rotation.
+#: Dimensions looked at together after the rotation, once half of them, which
+#: decide little one by one, have been looked at as one block.
 BLOCK = 16
 #: A candidate is given up when the rest of its dimensions, which after a
 #: random rotation add about N(0, |q|^2 |x|^2 / rest), would have to add more
 #: than so many deviations to reach the nearest found.
-DEVIATIONS = 3.5
+DEVIATIONS = 3.0
 #: Share of the true neighbours within the sample that the probed lists must hold.
 WANTED = 0.97
 SEED = 7
@@ -106,17 +107,26 @@ def fit(rows: DataFrame, n: int, *, k: int = 20, seed: int = SEED) -> Index | No
     return index
 
 
-def scan(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cuts_of(dim: int) -> list[int]:
+    """Where the blocks of dimensions end."""
+    return [*range(max(BLOCK, dim // 2), dim, BLOCK), dim]
+
+
+def tails(rotated: np.ndarray) -> list[np.ndarray]:
+    """Norms of what is left after each block."""
+    return [np.sqrt((rotated[:, c:] ** 2).sum(1)) for c in cuts_of(rotated.shape[1])]
+
+
+def scan(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, qr: np.ndarray, xr: np.ndarray, x_tails: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of ``x`` for each query: query number, row of ``x``, score.
 
-    Partial inner products grow by BLOCK rotated dimensions; a pair goes on
-    only while its partial sum and what the rest may add reach the query's
-    k-th best score so far.  What is left is scored on the original vectors.
+    ``qr`` and ``xr`` are the rotated vectors.  Partial inner products grow by
+    blocks of dimensions; a pair goes on only while its partial sum and what
+    the rest may add reach the query's k-th best score so far.  What is left
+    is scored on the original vectors.
     """
-    dim = len(rotation)
-    qr, xr = q @ rotation, x @ rotation
-    cuts = [*range(BLOCK, dim, BLOCK), dim]
-    tail = lambda m, c: np.sqrt((m[:, c:] ** 2).sum(1))
+    dim = qr.shape[1]
+    cuts, q_tails = cuts_of(dim), tails(qr)
     part = qr[:, : cuts[0]] @ xr[:, : cuts[0]].T
     other = q_ids[:, None] != x_ids[None, :]
     part = np.where(other, part, -np.inf)
@@ -130,11 +140,11 @@ def scan(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, rot
     slack = 1e-9 * (1 + np.abs(best, where=np.isfinite(best), out=np.zeros_like(best)))
     best = best - slack
     spread = DEVIATIONS / np.sqrt(max(dim - cuts[0], 1))
-    i, j = np.nonzero(other & (part + spread * tail(qr, cuts[0])[:, None] * tail(xr, cuts[0])[None, :] >= best[:, None]))
+    i, j = np.nonzero(other & (part + spread * q_tails[0][:, None] * x_tails[0][None, :] >= best[:, None]))
     sums = part[i, j]
-    for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+    for n, (begin, end) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), 1):
         sums = sums + np.einsum("nd,nd->n", qr[i, begin:end], xr[j, begin:end])
-        rest = DEVIATIONS / np.sqrt(max(dim - end, 1)) * tail(qr, end)[i] * tail(xr, end)[j]
+        rest = DEVIATIONS / np.sqrt(max(dim - end, 1)) * q_tails[n][i] * x_tails[n][j]
         on = sums + rest >= best[i]
         i, j, sums = i[on], j[on], sums[on]
     score = (q[i] * x[j]).sum(axis=1)
@@ -211,8 +221,10 @@ def search(vectors: DataFrame, *, k: int = 20, query: str | None = None, key: st
             q, x = (_rows(t["v"].combine_chunks(), dim) for t in (queries, held_))
             q_ids, x_ids = queries["id"].to_numpy(), held_["id"].to_numpy()
             step = max(1, PAIRS // len(x))
+            qr, xr = q @ made.value.rotation, x @ made.value.rotation
+            x_tails = tails(xr)
             for b in range(0, len(q), step):
-                i, j, score = scan(q[b : b + step], q_ids[b : b + step], x, x_ids, made.value.rotation, k)
+                i, j, score = scan(q[b : b + step], q_ids[b : b + step], x, x_ids, qr[b : b + step], xr, x_tails, k)
                 out.append((q_ids[b : b + step][i], x_ids[j], score))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cols), strict=True)))
