@@ -26,10 +26,9 @@ PAIRS = 100_000
 #: Dimensions looked at together after the rotation, once half of them, which
 #: decide little one by one, have been looked at as one block.
 BLOCK = 16
-#: A candidate is given up when the rest of its dimensions, which after a
-#: random rotation add about N(0, |q|^2 |x|^2 / rest), would have to add more
-#: than so many deviations to reach the nearest found.
-DEVIATIONS = 3.0
+#: Share of the pairs left after the first block beyond which the rest of the
+#: dimensions is added to all pairs by one matrix product.
+DENSE = 0.05
 #: Share of the true neighbours within the sample that the probed lists must hold.
 WANTED = 0.97
 SEED = 7
@@ -121,32 +120,38 @@ def scan(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, qr:
     """The k best of ``x`` for each query: query number, row of ``x``, score.
 
     ``qr`` and ``xr`` are the rotated vectors.  Partial inner products grow by
-    blocks of dimensions; a pair goes on only while its partial sum and what
-    the rest may add reach the query's k-th best score so far.  What is left
-    is scored on the original vectors.
+    blocks of dimensions; a pair goes on while its partial sum and the most
+    that the rest can add, the product of the norms of what is left, reach the
+    query's k-th best score so far.  So no pair of the k best is given up, and
+    each query gets ``k`` rows or all its candidates.  What is left is scored
+    on the original vectors.
     """
     dim = qr.shape[1]
     cuts, q_tails = cuts_of(dim), tails(qr)
     part = qr[:, : cuts[0]] @ xr[:, : cuts[0]].T
     other = q_ids[:, None] != x_ids[None, :]
     part = np.where(other, part, -np.inf)
+    # Rounding of the rotated sums.
+    slack = 1e-9 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
     # A first threshold: the k that look best after one block.
     best = np.full(len(q), -np.inf)
     if len(x) > k:
         top = np.argpartition(-part, k - 1, axis=1)[:, :k]
         exact = np.einsum("qkd,qd->qk", x[top], q)
         exact[~np.take_along_axis(other, top, axis=1)] = -np.inf
-        best = exact.min(axis=1)
-    slack = 1e-9 * (1 + np.abs(best, where=np.isfinite(best), out=np.zeros_like(best)))
-    best = best - slack
-    spread = DEVIATIONS / np.sqrt(max(dim - cuts[0], 1))
-    i, j = np.nonzero(other & (part + spread * q_tails[0][:, None] * x_tails[0][None, :] >= best[:, None]))
-    sums = part[i, j]
-    for n, (begin, end) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), 1):
-        sums = sums + np.einsum("nd,nd->n", qr[i, begin:end], xr[j, begin:end])
-        rest = DEVIATIONS / np.sqrt(max(dim - end, 1)) * q_tails[n][i] * x_tails[n][j]
-        on = sums + rest >= best[i]
-        i, j, sums = i[on], j[on], sums[on]
+        best = exact.min(axis=1) - slack
+    on = other & (part + q_tails[0][:, None] * x_tails[0][None, :] >= best[:, None])
+    if len(x) > k and on.sum() > DENSE * on.size:
+        part += qr[:, cuts[0] :] @ xr[:, cuts[0] :].T
+        kth = np.partition(part, len(x) - k, axis=1)[:, len(x) - k]
+        i, j = np.nonzero(other & (part >= (kth - slack)[:, None]))
+    else:
+        i, j = np.nonzero(on)
+        sums = part[i, j]
+        for n, (begin, end) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), 1):
+            sums = sums + np.einsum("nd,nd->n", qr[i, begin:end], xr[j, begin:end])
+            near = sums + q_tails[n][i] * x_tails[n][j] >= best[i]
+            i, j, sums = i[near], j[near], sums[near]
     score = (q[i] * x[j]).sum(axis=1)
     order = np.lexsort((x_ids[j], -score, i))
     i, j, score = i[order], j[order], score[order]

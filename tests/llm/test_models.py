@@ -99,6 +99,20 @@ def test_neighbours_with_edges(spark):
     assert ann.search(table.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("dim", [64, 128])
+def test_neighbours_among_near_copies(spark, dim):
+    rng = np.random.default_rng(dim)
+    centres = np.repeat(rng.normal(size=(20, dim)), 50, axis=0)
+    v = centres + rng.normal(size=centres.shape) * rng.choice([0.05, 0.3, 0.8], (len(centres), 1))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in ann.search(table, k=20, query="id % 5 = 0").orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    scores = v @ v.T
+    np.fill_diagonal(scores, -np.inf)
+    assert found == {q: np.argsort(-scores[q], kind="stable")[:20].tolist() for q in range(0, len(v), 5)}
+
+
 def test_neighbours_recall_over_lists(spark, monkeypatch):
     monkeypatch.setattr(ann, "LIST_SIZE", 100)
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
