@@ -1,6 +1,7 @@
 """License scan, toxicity, nearest neighbours and the pipeline on small tables."""
 
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -37,6 +38,34 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs.limit(0)).collect() == []
 
 
+def test_licenses_in_windows(spark):
+    """Wrapped, embedded and whole licences, against all windows."""
+    mit, apache = licenses.TEXTS["MIT"][1], licenses.TEXTS["Apache-2.0"][0]
+    wrapped = lambda t: "Some words before it.\n# " + "\n# ".join(textwrap.wrap(t, 70)) + "\nAnd more after it."
+    short = licenses.TEMPLATES["Apache-2.0"][0]
+    texts = [wrapped(mit), wrapped(apache), "Our long tale of a library ends here; it was " + licenses.TEMPLATES["MIT"][0] + " Nobody knew what that meant, least of all the author of it.", "x y " * 50 + short + " a b" * 50 + " " + short + " c d e f g h", wrapped(licenses.TEXTS["BSD-3-Clause"][0]), wrapped(licenses.TEMPLATES["ISC"][0]), wrapped(licenses.TEMPLATES["GPL-3.0"][1]), "The license of the software under which it was released is not known to the author of this text."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.license): r for r in licenses.scan_licenses(docs).collect()}
+    for at, name in enumerate(["MIT", "Apache-2.0", "MIT", "Apache-2.0", "BSD-3-Clause", "ISC", "GPL-3.0"]):
+        assert got[at, name].score >= licenses.THRESHOLD
+    assert got[3, "Apache-2.0"].n_passages == 1 and not any(d == 7 for d, _ in got)
+    given = {"a": ("one two three four five six",), "b": ("two three two three two three nine",)}
+    rng = np.random.default_rng(1)
+    rows = [(i, "\n".join(" ".join(rng.choice(["one", "two", "three", "four", "five", "six", "nine"], 5, p=[0.1, 0.25, 0.25, 0.1, 0.1, 0.1, 0.1])) for _ in range(4))) for i in range(60)]
+    want = {}
+    for i, text in rows:
+        words = text.split()
+        for name, (wording,) in given.items():
+            form, longest = pairs_of(wording), int((len(wording.split()) - 1) / 0.5 * 1.5)
+            score = lambda p: 2 * len(pairs_of(p) & form) / max(1, len(pairs_of(p)) + len(form))
+            by_line = max(map(score, [*text.split("\n"), text]))
+            best = max(score(" ".join(words[b:e])) for b in range(len(words)) for e in range(b + 2, min(len(words), b + longest + 1) + 1) if e <= len(words)) if by_line < 2 / 3 else by_line
+            if best >= 2 / 3:
+                want[i, name] = best
+    got = {(r.doc_id, r.license): r.score for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), given, threshold=2 / 3).collect()}
+    assert got == pytest.approx(want) and len(want) > 20
+
+
 def test_fold():
     assert toxicity.fold("You M0RON, іdіоt! c1own 12 ｉdiot").split() == ["you", "moron", "idiot", "ciown", "12", "idiot"]
     assert toxicity.fold(None) == "  "
