@@ -26,7 +26,7 @@ def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT)
     return df.count() * row_bytes <= limit
 
 
-def join_sized(big: DataFrame, small: DataFrame, on: str | list[str], how: str, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
+def join_sized(big: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Join that broadcasts ``small`` if its counted size allows, else shuffles."""
     return big.join(F.broadcast(small) if fits_broadcast(small, row_bytes, limit) else small, on, how)
 

@@ -33,7 +33,8 @@ PERCENT = 80
 LEAST_LOAD = 2.6
 #: Classes of each signature that its others are tried with first.
 FRONT = 3
-#: 64-bit words of a set's parity bitmap.
+#: 64-bit words of a set's parity bitmap; sets of more tokens than bits have a
+#: second one, of as many bits as tokens, up to the next power of two.
 BITMAP = 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -256,29 +257,51 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def bitmaps(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Parity bitmap of each set: a token flips one bit.
+def bitmaps(tokens: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> pa.Array:
+    """Parity bitmaps of all sets, of so many 64-bit words each: a token flips one bit.
 
-    Two sets differ in at least as many tokens as their bitmaps in bits.
+    Two sets differ in at least as many tokens as their bitmaps in bits.  Lengths
+    are powers of two, or 0 for no bitmap (null); a longer bitmap folds to a
+    shorter one by exclusive or.
     """
-    bits = 64 * BITMAP
-    at = np.repeat(np.arange(len(sizes)), sizes) * bits + ((tokens >> np.uint64(7)) % np.uint64(bits)).astype(np.int64)
-    odd = (np.bincount(at, minlength=len(sizes) * bits) & 1).astype(bool)
-    return np.packbits(odd, bitorder="little").view("<i8").reshape(len(sizes), BITMAP)
+    ends = np.cumsum(words)
+    own = np.repeat(words > 0, sizes)
+    bit = (tokens >> np.uint64(7)) & np.repeat(words * 64 - 1, sizes).astype(np.uint64)
+    at = (np.repeat((ends - words) * 64, sizes) + bit.astype(np.int64))[own]
+    odd = (np.bincount(at, minlength=int(words.sum()) * 64) & 1).astype(bool)
+    cells = np.packbits(odd, bitorder="little").view("<i8")
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(cells), mask=pa.array(words == 0))
 
 
 def fingerprints(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """Per row: doc, n_shingles, set_id (null without shingles), bits."""
+    """Per row: doc, text_hash, n_shingles, set_id (null without shingles), bits, wide, stray.
+
+    ``wide`` is the larger bitmap of a large set, else null; ``stray`` the text
+    of a row without a key, by which it could be found.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, 1):
+            for part, texts in slices(batch, 2):
                 tokens, sizes = shingle_sets(texts, words)
                 ids = pa.array(set_ids(tokens, sizes).view(np.int64), mask=sizes == 0)
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BITMAP), pa.array(bitmaps(tokens, sizes).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part[0], pa.array(sizes), ids, bits], names=["doc", "n_shingles", "set_id", "bits"])
+                large = np.where(sizes > 64 * BITMAP, 1 << np.ceil(np.log2(np.maximum(sizes, 64) / 64)).astype(np.int64), 0)
+                bits, wide = bitmaps(tokens, sizes, np.full(len(sizes), BITMAP)), bitmaps(tokens, sizes, large)
+                stray = pa.array([t if lost else None for t, lost in zip(texts, part[0].is_null().to_pylist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([part[0], part[1], pa.array(sizes), ids, bits, wide, stray], names=["doc", "text_hash", "n_shingles", "set_id", "bits", "wide", "stray"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key), F.xxhash64(F.col(text)), F.col(text))
+    return rows.mapInArrow(run, f"doc {kind}, text_hash long, n_shingles long, set_id long, bits array<long>, wide array<long>, stray string")
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "doc long, n_shingles long, set_id long, bits array<long>")
+
+def bits_apart(x: Column, y: Column) -> Column:
+    """In how many bits two wide bitmaps differ, the longer one folded to the shorter."""
+    least = F.least(F.size(x), F.size(y))
+    word = lambda bits, k: F.aggregate(F.sequence(k, F.size(bits) - 1, least), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseXOR(bits[i]))
+    folded = F.aggregate(F.sequence(F.lit(0), least - 1), F.lit(0), lambda acc, k: acc + F.bit_count(word(x, k).bitwiseXOR(word(y, k))))
+    equal = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, n: acc + n)
+    return F.when(F.size(x) == F.size(y), equal).otherwise(folded)
 
 
 def signature_rows(docs: DataFrame, bands: list[Band], words: int, percent: int, text: str) -> DataFrame:
@@ -354,32 +377,15 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], names=["a", "b"])
 
-    # Pairs are two numbers each, so mostly only the texts of the foremost sets move.
+    # Pairs are two numbers each and sent to the texts while they are few.
     foremost = pairs.select("a").distinct()
     left = join_sized(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), materialize(foremost, "foremost"), "a", "left_semi", row_bytes=40)
     right = join_sized(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), pairs, "b", "inner", row_bytes=40)
     return right.join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Groups of linked documents: key, n_shingles, component_id.
-
-    Two documents link when 100 * |common n-grams| >= percent * |all of both|;
-    a component holds all that are reachable by links, and is named by its
-    smallest key.  Words are runs of bytes other than white space, A-Z
-    lower-cased.  Texts without words (null too) link with nothing; a text
-    of fewer than ``words`` words has one n-gram.  Null keys stay in the result
-    with the component of their text and name none; rows with equal keys are
-    told apart by their texts.  Sets are told apart by 64-bit hashes.
-
-    Documents of equal sets are one class; only classes make signatures.  To
-    find components, not all pairs of a signature need be verified: in two
-    rounds classes are tried with the FRONT first ones in other components of
-    their signatures that sizes and bitmaps allow, first being those that share
-    most signatures with others; in the first round each with one.  Then all
-    pairs of a signature that are still in different components are tried,
-    which takes only classes outside its largest component against the rest.
-    """
+def _components(docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
+    """Per row: doc, text_hash, n_shingles, set_id and component, the id of one of its sets."""
     prints = materialize(fingerprints(docs, words, key, text), "shingles")
     some = prints.where("n_shingles > 0")
     largest = some.agg(F.max("n_shingles")).first()[0] or 1
@@ -395,70 +401,120 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     many = members.groupBy("sig").agg(F.count("*").alias("n_sets")).where("n_sets > 1")
     members = materialize(members.join(many, "sig"), "signatures")
     shares = members.groupBy("set_id").agg(F.sum("n_sets").alias("shares"))
-    classes = some.groupBy("set_id").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    classes = some.groupBy("set_id").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
     classes = materialize(classes.join(shares, "set_id"), "classes")
-    about = classes.select("set_id", "n", "bits")
-    lookup = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    about = classes.select("set_id", "n", "bits", "wide")
+    lookup = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    strays = some.where("doc is null").select("set_id", F.col("stray").alias("text"))
 
     def stored(df: DataFrame) -> DataFrame:
         return materialize(df, "links")
 
+    tried: list[DataFrame] = []
+
     def linked(pairs: DataFrame) -> DataFrame:
-        """Verified pairs among (a, b) with their texts fetched."""
+        """Verified pairs among (a, b), of those not looked at before, with their texts fetched."""
+        for past in tried:
+            pairs = pairs.join(past, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
+        tried.append(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
         reps = materialize(classes.select("set_id", "doc").join(ends, "set_id", "left_semi"), "representatives")
-        texts = materialize(join_sized(lookup, reps, "doc", "inner", row_bytes=40), "candidate-texts")
-        return verify(pairs, texts, words, percent)
+        keyed = join_sized(lookup, reps.where("doc is not null"), "doc", "inner", row_bytes=40).select("set_id", "text")
+        # Sets that only rows without a key have: one of their texts.
+        unkeyed = strays.join(reps.where("doc is null"), "set_id", "left_semi").groupBy("set_id").agg(F.min("text").alias("text"))
+        return verify(pairs, materialize(keyed.unionByName(unkeyed), "candidate-texts"), words, percent)
 
     def like(a: str, b: str) -> Column:
         """Whether sizes and bitmaps allow a link."""
-        n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-        apart = sum((F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])) for k in range(BITMAP)), F.lit(0))
-        return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (apart * (100 + percent) <= (100 - percent) * (n_a + n_b))
+        n_a, bits_a, wide_a = (F.col(f"{a}.{c}") for c in ("n", "bits", "wide"))
+        n_b, bits_b, wide_b = (F.col(f"{b}.{c}") for c in ("n", "bits", "wide"))
+        few = lambda apart: apart * (100 + percent) <= (100 - percent) * (n_a + n_b)
+        apart = sum((F.bit_count(bits_a[k].bitwiseXOR(bits_b[k])) for k in range(BITMAP)), F.lit(0))
+        sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+        return sizes & few(apart) & F.when(wide_a.isNull() | wide_b.isNull(), True).otherwise(few(bits_apart(wide_a, wide_b)))
+
+    def named(links: DataFrame) -> DataFrame:
+        return connected_components(links, stored, "a", "b").withColumnRenamed("node", "set_id")
+
+    def placed(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+        if links is None:
+            return rows.withColumn("component", F.col("set_id"))
+        return rows.join(named(links), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
 
     links = None
     for _ in range(2):
-        placed = members.select("sig", "set_id").join(classes.select("set_id", "shares"), "set_id")
-        if links is None:
-            placed = placed.withColumn("component", F.col("set_id"))
-        else:
-            named = connected_components(links, stored, "a", "b").withColumnRenamed("node", "set_id")
-            placed = placed.join(named, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        spread = placed(members.select("sig", "set_id").join(classes.select("set_id", "shares"), "set_id"), links)
         # Of the components in a signature, the foremost sets of the first few.
-        front = placed.groupBy("sig", "component").agg(F.max(F.struct("shares", "set_id")).alias("f"))
+        front = spread.groupBy("sig", "component").agg(F.max(F.struct("shares", "set_id")).alias("f"))
         front = front.withColumn("k", F.row_number().over(W.partitionBy("sig").orderBy(F.desc("f")))).where(F.col("k") <= FRONT)
         front = front.select("sig", F.col("component").alias("other"), F.col("f.set_id").alias("a"))
-        tried = placed.join(front, "sig").where("component <> other").select("a", F.col("set_id").alias("b")).distinct()
-        pairs = tried.join(about.alias("p"), F.col("a") == F.col("p.set_id")).join(about.alias("q"), F.col("b") == F.col("q.set_id")).where(like("p", "q"))
+        pairs = spread.join(front, "sig").where("component <> other").select("a", F.col("set_id").alias("b")).distinct()
+        pairs = pairs.join(about.alias("p"), F.col("a") == F.col("p.set_id")).join(about.alias("q"), F.col("b") == F.col("q.set_id")).where(like("p", "q"))
         if links is None:
             # One link is enough for a class to join the others of its group.
             pairs = pairs.join(classes.select(F.col("set_id").alias("a"), "shares"), "a").groupBy("b").agg(F.max_by("a", F.struct("shares", "a")).alias("a"))
         new = linked(pairs.select("a", "b"))
         links = stored(new if links is None else links.unionByName(new))
 
-    named = connected_components(links, stored, "a", "b").withColumnRenamed("node", "set_id")
-    placed = members.select("sig", "set_id").join(named, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    held = placed.groupBy("sig", "component").agg(F.count("*").alias("k"))
+    spread = placed(members.select("sig", "set_id"), links)
+    held = spread.groupBy("sig", "component").agg(F.count("*").alias("k"))
     mixed = held.groupBy("sig").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("sig", F.col("top.component").alias("top"))
-    open_ = materialize(placed.join(mixed, "sig").join(about, "set_id"), "open")
+    open_ = materialize(spread.join(mixed, "sig").join(about, "set_id"), "open")
     probes = open_.where("component <> top")
     apart = (F.col("p.component") != F.col("q.component")) & ((F.col("q.component") == F.col("q.top")) | (F.col("p.set_id") < F.col("q.set_id")))
     pairs = probes.alias("p").join(open_.alias("q"), (F.col("p.sig") == F.col("q.sig")) & apart & like("p", "q")).select(F.col("p.set_id").alias("a"), F.col("q.set_id").alias("b")).distinct()
     links = stored(links.unionByName(linked(pairs)))
+    return materialize(placed(prints.drop("bits", "wide", "stray"), links), "placed")
+
 
-    named = connected_components(links, stored, "a", "b").withColumnRenamed("node", "set_id")
-    ends = materialize(prints.drop("bits").join(named, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "placed")
-    least = ends.where("component is not null").groupBy("component").agg(F.min("doc").alias("component_id"))
-    out = ends.join(least, "component", "left")
+def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Groups of linked documents: key, n_shingles, component_id.
+
+    Two documents link when 100 * |common n-grams| >= percent * |all of both|;
+    a component holds all that are reachable by links, and is named by its
+    smallest key.  Words are runs of bytes other than white space, A-Z
+    lower-cased.  Texts without words (null too) link with nothing; a text
+    of fewer than ``words`` words has one n-gram.  Keys are of any type with an
+    order.  Null keys stay in the result with the component of their text and
+    name none; a component of null keys alone has a null name.  Rows with equal
+    keys are told apart by their texts.  Sets are told apart by 64-bit hashes.
+
+    Documents of equal sets are one class; only classes make signatures.  To
+    find components, not all pairs of a signature need be verified: in two
+    rounds classes are tried with the FRONT first ones in other components of
+    their signatures that sizes and bitmaps allow, first being those that share
+    most signatures with others; in the first round each with one.  Then all
+    pairs of a signature that are still in different components are tried,
+    which takes only classes outside its largest component against the rest.
+    No pair is verified twice.
+    """
+    placed = _components(docs, words, percent, key, text)
+    # A table of its own, so that a component of very many rows can be split when joined.
+    least = materialize(placed.where("component is not null").groupBy("component").agg(F.min("doc").alias("component_id")), "names")
+    out = join_sized(placed, least, "component", "left", row_bytes=24)
     return out.select(F.col("doc").alias(key), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their component, with all columns.
+    """One row of ``docs`` of each component, with all columns, and all rows without words.
 
-    Of rows that have that key more than once all stay.
+    The row with the smallest key stays, null keys last; of rows with that key,
+    the one whose text has the smallest hash; of equal rows, any one.
     """
-    groups = similar_documents(docs, words=words, percent=percent, key=key, text=text)
-    gone = materialize(groups.where(F.col(key) != F.col("component_id")).select(key).distinct(), "copies")
-    return join_sized(docs, gone, key, "left_anti", row_bytes=40)
+    placed = _components(docs, words, percent, key, text).where("component is not null")
+    rank = F.struct(F.col("doc").isNull(), F.col("doc"), F.col("text_hash"))
+    first = materialize(placed.groupBy("component").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1"), "groups")
+    rows = join_sized(placed, first, "component", "inner", row_bytes=60)
+    rows = materialize(rows.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), (rank == F.col("first")).alias("__first")), "grouped-rows")
+    same = (F.col(key).eqNullSafe(F.col("__doc"))) & (F.xxhash64(F.col(text)) == F.col("__hash"))
+    gone = materialize(rows.where("not __first").select("__doc", "__hash").distinct(), "copies")
+    kept = join_sized(docs, gone, same, "left_anti", row_bytes=40)
+    # The first row itself may be there several times.
+    twice = materialize(rows.where("__first").groupBy("__doc", "__hash").count().where("count > 1").drop("count"), "repeats")
+    if twice.isEmpty():
+        return kept
+    again = join_sized(kept, twice, same, "left_semi", row_bytes=40)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    again = again.groupBy(F.col(key).alias("__doc"), F.xxhash64(F.col(text)).alias("__hash")).agg(F.first(row).alias("row")).select("row.*")
+    return join_sized(kept, twice, same, "left_anti", row_bytes=40).unionByName(again)

@@ -161,6 +161,8 @@ def test_mixing(docs, rows):
     assert bag(mixing.copies(docs).collect()) == bag(got)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in mixed.collect()} <= {r[:2] for r in rows}
+    assert [mixing._digits(n) for n in (0, 10**6, 10**6 + 1, 16 * 10**6, 17 * 10**6)] == [1, 1, 2, 2, 3]
     assert Counter(r.doc_id for r in mixed.collect()) == sum((Counter({r.doc_id: r.copies}) for r in got), Counter())
 
 
@@ -169,7 +171,8 @@ def grams(text, n):
     return {tuple(words[i : i + n]) for i in range(max(len(words) - n + 1, 1))} if words else set()
 
 
-def joined_brute(rows, n, percent):
+def components_brute(rows, n, percent):
+    """Size of each row's set, and a number of its component; None without words."""
     sets = [grams(t, n) for _, t, _ in rows]
     root = list(range(len(rows)))
 
@@ -185,11 +188,16 @@ def joined_brute(rows, n, percent):
                 both = len(a & b)
                 if 100 * both >= percent * (len(a) + len(b) - both):
                     root[find(i)] = find(j)
+    return [(len(s), find(i) if s else None) for i, s in enumerate(sets)]
+
+
+def joined_brute(rows, n, percent):
+    placed = components_brute(rows, n, percent)
     least = {}
-    for i, (doc, _, _) in enumerate(rows):
+    for (doc, _, _), (_, component) in zip(rows, placed):
         if doc is not None:
-            least[find(i)] = min(least.get(find(i), doc), doc)
-    return bag((doc, len(s), least.get(find(i), doc) if s else doc) for i, ((doc, _, _), s) in enumerate(zip(rows, sets)))
+            least[component] = min(least.get(component, doc), doc)
+    return bag((doc, size, doc if component is None else least.get(component)) for (doc, _, _), (size, component) in zip(rows, placed))
 
 
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
@@ -212,11 +220,48 @@ def test_jaccard_join_near_the_threshold(spark, seed):
     assert bag(jaccard_join.similar_documents(docs, words=2, percent=80).collect()) == joined_brute(table, 2, 80)
 
 
+def one_each(rows, n, percent):
+    """Per component the row with the smallest key, nulls last; rows without words all."""
+    parts = defaultdict(list)
+    for row, (_, component) in zip(rows, components_brute(rows, n, percent)):
+        parts[component].append(row)
+    out = []
+    for component, own in parts.items():
+        out += own if component is None else [min(own, key=lambda r: (r[0] is None, r[0] or 0))[:1]]
+    return out
+
+
 def test_keep_one(docs, rows):
-    groups = {r.doc_id: r.component_id for r in jaccard_join.similar_documents(docs).collect()}
     left = jaccard_join.keep_one(docs)
     assert left.columns == docs.columns
-    assert bag([r.doc_id] for r in left.collect()) == bag([k] for k, _, _ in rows if k is None or groups[k] == k)
+    kept = left.collect()
+    assert bag([r.doc_id] for r in kept) == bag(r[:1] for r in one_each(rows, 5, 80))
+    assert {(r.doc_id, r.text) for r in kept} <= {r[:2] for r in rows}
+
+
+def test_links_through_rows_without_a_key(spark):
+    """Texts whose rows all have a null key, or a key that other texts have too."""
+    words = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join(words[:-k] + [f"x{k}{i}" for i in range(k)])
+    # b links with a and c, which do not link with each other.
+    a, b, c = near(6), near(3), " ".join(words[:-3] + ["y1", "y2", "y3"]).replace("w1 ", "z ", 1)
+    for table in ([(5, a), (None, b), (7, "other words in a row here")], [(5, a), (None, b), (9, c), (None, b)], [(None, a), (None, b), (None, b)], [(5, a), (5, "other words in a row here"), (5, b), (5, b), (8, a)]):
+        rows = [(k, t, "s") for k, t in table]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        assert bag(jaccard_join.similar_documents(docs).collect()) == joined_brute(rows, 5, 80)
+        assert bag([r.doc_id] for r in jaccard_join.keep_one(docs).collect()) == bag(r[:1] for r in one_each(rows, 5, 80))
+
+
+def test_bitmaps_are_lower_bounds(spark):
+    rng = np.random.default_rng(2)
+    for n in (10, 1024, 1500, 2100, 5000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[n // 10 :], rng.integers(0, 2**63, n // 7).astype(np.uint64)]))
+        sizes = np.array([len(a), len(b)])
+        words = np.array([16 * 2 ** (n % 3), 64])
+        cells = jaccard_join.bitmaps(np.concatenate([a, b]), sizes, words).to_pylist()
+        apart = spark.createDataFrame([cells], "x array<long>, y array<long>").select(jaccard_join.bits_apart(F.col("x"), F.col("y"))).first()[0]
+        assert 0 < apart <= len(np.setxor1d(a, b)) and (len(np.setxor1d(a, b)) - apart) % 2 == 0
 
 
 def test_signatures_meet_for_linked_sets():
