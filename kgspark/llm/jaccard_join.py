@@ -327,26 +327,31 @@ def signature_rows(docs: DataFrame, bands: list[Band], words: int, percent: int,
 
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
-    """The rows whose signature another row has too, from rows sorted by it."""
+    """The rows whose ``sig`` another row has too, from rows sorted by it.
+
+    With a column ``n``, a row counts that often.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int, bool] | None = None  # the last row, and whether its signature came before
+        held, before_held = None, False  # the last row, and whether its signature came before
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, own = batch["sig"].to_numpy(), batch["set_id"].to_numpy()
             if held is not None:
-                sig, own = np.concatenate([[held[0]], sig]), np.concatenate([[held[1]], own])
+                batch = pa.concat_batches([held, batch])
+            sig = batch["sig"].to_numpy()
             same = sig[1:] == sig[:-1]
-            before = np.concatenate([[held is not None and held[2]], same])
+            before = np.concatenate([[before_held], same])
             keep = before | np.concatenate([same, [False]])
-            held = (int(sig[-1]), int(own[-1]), bool(before[-1]))
+            if "n" in batch.schema.names:
+                keep |= batch["n"].to_numpy() > 1
+            held, before_held = batch.slice(batch.num_rows - 1), bool(before[-1])
             keep[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(own[keep])], names=["sig", "set_id"])
-        if held is not None and held[2]:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], names=["sig", "set_id"])
+            yield batch.filter(pa.array(keep))
+        if held is not None and (before_held or "n" in held.schema.names and held["n"][0].as_py() > 1):
+            yield held
 
-    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, set_id long")
+    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, rows.schema)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:

@@ -11,6 +11,10 @@ exchanged by ranges of that hash and merged by loser trees that compare
 lengths of common prefixes first and never look at a known prefix again.  The
 merged order and its common prefixes, with the same for the bytes before, say
 for each suffix which strings around it are repeated.
+
+The number of ranges grows with the suffixes that are exchanged.  A prefix that
+more than HOT suffixes begin with, which no split by ranges makes smaller, is
+not merged: the strings around its suffixes are counted by their hashes instead.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm._common import materialize, work_dir
+from kgspark.llm._common import join_sized, materialize, work_dir
 from kgspark.llm.jaccard_join import _mix, shared_signatures
 
 #: Fixed value: length of the strings, in bytes.
@@ -35,6 +39,8 @@ SPAN = 128
 #: document is not cut.
 BLOCK_BYTES = 2 << 20
 CHUNK_BYTES = 1 << 19
+#: Suffixes of a range that is merged, about, and most suffixes of one prefix there.
+PART, HOT = 50_000, 100_000
 
 _GRAM = 16
 _BASE = 0x9E3779B97F4A7C15
@@ -140,20 +146,72 @@ def _block(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_rows(blocks: DataFrame) -> DataFrame:
-    """The distinct prefix hashes of each block: sig, set_id (the block).
+    """The distinct prefix hashes of each block: sig, block, n."""
 
-    A hash met twice within its block comes twice.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield _counted(anchors(*_block(batch, row))[2], batch["block"][row].as_py())
+
+    return blocks.select("block", "lengths", "data").mapInArrow(run, _COUNTED)
+
+
+_COUNTED = "sig long, block long, n long"
+
+
+def _counted(hashed: np.ndarray, block: int) -> pa.RecordBatch:
+    hashed, count = np.unique(hashed, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), pa.array(np.full(len(hashed), block, np.int64)), pa.array(count.astype(np.int64))], names=["sig", "block", "n"])
+
+
+def _among(hashed: np.ndarray, cell: pa.Scalar) -> np.ndarray:
+    """Where the hashes are in the list of a cell."""
+    wanted = np.sort(np.asarray(cell.values.to_numpy(), np.int64).view(np.uint64))
+    return wanted[np.minimum(np.searchsorted(wanted, hashed), len(wanted) - 1)] == hashed
+
+
+def _windows(data: np.ndarray, lengths: np.ndarray, hot: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings around a block's suffixes of hot prefixes: hash, document, start in it."""
+    picked, doc, hashed = anchors(data, lengths)
+    some = _among(hashed, hot)
+    picked, doc = picked[some], doc[some]
+    begin = (np.cumsum(lengths) - lengths)[doc]
+    start = picked[:, None] - np.arange(SPAN)[None, :]
+    inside = (start >= begin[:, None]) & (start + LENGTH <= (begin + lengths[doc])[:, None])
+    start, doc = start[inside], np.repeat(doc, inside.sum(1))
+    start, once = np.unique(start, return_index=True)
+    doc = doc[once]
+    acc = np.zeros(len(start), np.uint64)
+    with np.errstate(over="ignore"):
+        values = _BYTES[data]
+        for k in range(LENGTH):
+            acc = acc * np.uint64(_BASE) + values[start + k]
+        return _mix(acc), doc, start - (np.cumsum(lengths) - lengths)[doc]
+
+
+def window_rows(blocks: DataFrame) -> DataFrame:
+    """The strings around suffixes of the blocks' hot prefixes, by hash: sig, block, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield _counted(_windows(*_block(batch, row), batch["hot"][row])[0], batch["block"][row].as_py())
+
+    return blocks.select("block", "lengths", "data", "hot").mapInArrow(run, _COUNTED)
+
+
+def window_spans(blocks: DataFrame) -> DataFrame:
+    """Where those strings are whose hashes are in ``hashes``: block, doc, start, end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                hashed, count = np.unique(anchors(*_block(batch, row))[2], return_counts=True)
-                hashed = np.repeat(hashed, np.minimum(count, 2))
-                own = np.full(len(hashed), batch["block"][row].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), pa.array(own)], names=["sig", "set_id"])
+                hashed, doc, start = _windows(*_block(batch, row), batch["hot"][row])
+                some = _among(hashed, batch["hashes"][row])
+                own = pa.array(np.full(int(some.sum()), batch["block"][row].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([own, pa.array(doc[some].astype(np.int32)), pa.array(start[some]), pa.array(start[some] + LENGTH)], names=["block", "doc", "start", "end"])
 
-    return blocks.select("block", "lengths", "data").mapInArrow(run, "sig long, set_id long")
+    return blocks.select("block", "lengths", "data", "hot", "hashes").mapInArrow(run, "block long, doc int, start long, end long")
 
 
 def _common(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -188,9 +246,7 @@ def sorted_runs(blocks: DataFrame, parts: int) -> DataFrame:
             for row in range(batch.num_rows):
                 data, lengths = _block(batch, row)
                 picked, doc, hashed = anchors(data, lengths)
-                wanted = np.sort(np.asarray(batch["hashes"][row].values.to_numpy(), np.int64).view(np.uint64))
-                at = np.minimum(np.searchsorted(wanted, hashed), len(wanted) - 1)
-                some = np.flatnonzero(wanted[at] == hashed)
+                some = np.flatnonzero(_among(hashed, batch["hashes"][row]))
                 part = (hashed[some] >> np.uint64(33)).astype(np.int64) % parts
                 for p in np.unique(part):
                     own = some[part == p]
@@ -410,12 +466,21 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     the same document or another; ``spans`` are the maximal runs that go, as
     (start, end), and ``kept`` is what is left, as bytes.  Matches do not cross
     documents.  Null and empty texts have no bytes.  Every row is a document of
-    its own: keys may be null or repeat.  An empty table gives none.
+    its own: keys may be null or repeat.  An empty table gives none.  Only
+    strings around prefixes of more than HOT suffixes are told by 64-bit hashes.
     """
     blocks = Blocks(docs, key, text)
-    repeated = shared_signatures(prefix_rows(blocks.table)).groupBy(F.col("set_id").alias("block")).agg(F.collect_set("sig").alias("hashes"))
-    runs = sorted_runs(blocks.joined(repeated, "inner").select("block", "lengths", "data", "hashes"), blocks.partitions)
+    shared = materialize(shared_signatures(prefix_rows(blocks.table)), "prefixes")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = materialize(shared.groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).select("sig"), "hot-prefixes")
+    of_block = lambda rows, name: rows.groupBy("block").agg(F.collect_list("sig").alias(name))
+    cold = of_block(join_sized(shared, hot, "sig", "left_anti", row_bytes=16), "hashes")
+    runs = sorted_runs(blocks.joined(cold, "inner").select("block", "lengths", "data", "hashes"), max(1, -(-total // PART)))
     found = materialize(runs.groupBy("part").applyInArrow(merge_part, "block long, doc int, start long, end long"), "repeats")
+    if not hot.isEmpty():
+        warm = materialize(of_block(join_sized(shared, hot, "sig", "left_semi", row_bytes=16), "hot"), "hot-blocks")
+        again = of_block(shared_signatures(window_rows(blocks.joined(warm, "inner"))), "hashes")
+        found = found.unionByName(materialize(window_spans(blocks.joined(warm.join(again, "block"), "inner")), "hot-repeats"))
     found = found.groupBy("block").agg(F.collect_list(F.struct("doc", "start", "end")).alias("found"))
     kind = blocks.kind.simpleString()
 

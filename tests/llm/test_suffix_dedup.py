@@ -42,8 +42,12 @@ def test_real_documents_and_edges(spark):
     assert run(spark, real + odd) == brute(real + odd)
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(4))
 def test_passages_of_all_lengths(spark, monkeypatch, seed):
+    """Also in many ranges, and with prefixes that count as hot."""
+    if seed:
+        monkeypatch.setattr(suffix_dedup, "PART", 20)
+        monkeypatch.setattr(suffix_dedup, "HOT", [0, 30, 5, 0][seed])
     rng = np.random.default_rng(seed)
     word = lambda n: "".join(chr(c) for c in rng.choice([97, 98, 99, 233, 0], n, p=[0.4, 0.3, 0.2, 0.09, 0.01]))
     passages = [word(int(rng.integers(150, 700))) for _ in range(6)]
