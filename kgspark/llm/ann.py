@@ -1,4 +1,10 @@
-"""Approximate nearest neighbours: probed lists, scanned block by block of dimensions."""
+"""Approximate nearest neighbours: probed lists, scanned block by block of dimensions.
+
+After a random rotation the part of a squared distance that falls on the first
+``d`` of ``D`` dimensions is a Beta(d / 2, (D - d) / 2) share of the whole.  So
+a partial distance tests the hypothesis that a candidate is near enough for a
+query's k best, and most candidates are abandoned after a few blocks.
+"""
 
 from __future__ import annotations
 
@@ -16,18 +22,20 @@ from kgspark.llm._common import materialize
 #: The index is fitted to at most so many vectors, those with the smallest
 #: digests of their ids; every vector is indexed.
 MAX_SAMPLE = 20_000
-#: Vectors of a list, about; more lists than this are never made.
-LIST_SIZE, MAX_LISTS = 4_000, 4_096
+#: Lists are as many as the square root of the vectors, but no more than this;
+#: from there on (16 million) lists grow.
+MAX_LISTS = 4_096
 #: Vectors of a part, and queries that visit it together: longer lists are
-#: split, and a part is copied for further queries.
+#: split, and a list is copied for further queries that visit it.
 PART, QUERIES = 20_000, 20_000
 #: Pairs of queries and vectors looked at together in a task.
 PAIRS = 100_000
-#: Dimensions looked at together after the rotation, once half of them, which
-#: decide little one by one, have been looked at as one block.
+#: Dimensions looked at together, with a test after each block.
 BLOCK = 16
-#: Share of the pairs left after the first block beyond which the rest of the
-#: dimensions is added to all pairs by one matrix product.
+#: Chance that one test abandons a candidate that is near enough.
+ERROR = 1e-3
+#: Share of the pairs left beyond which a block is added to all of them by one
+#: matrix product; below it, to those left.
 DENSE = 0.05
 #: Share of the true neighbours within the sample that the probed lists must hold.
 WANTED = 0.97
@@ -81,7 +89,7 @@ def fit(rows: DataFrame, n: int, *, k: int = 20, seed: int = SEED) -> Index | No
     rng = np.random.default_rng(seed)
     rotation = np.linalg.qr(rng.normal(size=(x.shape[1], x.shape[1])))[0]
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    lists = int(min(max(1, n // LIST_SIZE), MAX_LISTS, max(1, len(x) // 4)))
+    lists = int(min(max(1, round(n**0.5)), MAX_LISTS, max(1, len(x) // 4)))
     # Spherical k-means: the nearest centre has the largest inner product.
     centres = unit[rng.choice(len(unit), lists, replace=False)]
     for _ in range(12):
@@ -108,50 +116,75 @@ def fit(rows: DataFrame, n: int, *, k: int = 20, seed: int = SEED) -> Index | No
 
 def cuts_of(dim: int) -> list[int]:
     """Where the blocks of dimensions end."""
-    return [*range(max(BLOCK, dim // 2), dim, BLOCK), dim]
+    return [*range(BLOCK, dim, BLOCK), dim]
+
+
+def critical_shares(dim: int) -> list[float]:
+    """Per block, the share of a squared distance that its first dimensions exceed with chance ERROR."""
+    out = []
+    x = (np.arange(20_000) + 0.5) / 20_000
+    for d in cuts_of(dim)[:-1]:
+        weight = (d / 2 - 1) * np.log(x) + ((dim - d) / 2 - 1) * np.log1p(-x)
+        below = np.cumsum(np.exp(weight - weight.max()))
+        out.append(float(x[np.searchsorted(below, (1 - ERROR) * below[-1])]))
+    return [*out, 1.0]
 
 
-def tails(rotated: np.ndarray) -> list[np.ndarray]:
-    """Norms of what is left after each block."""
-    return [np.sqrt((rotated[:, c:] ** 2).sum(1)) for c in cuts_of(rotated.shape[1])]
+def norms(rotated: np.ndarray) -> np.ndarray:
+    """Squared norms of the first dimensions, a row per block."""
+    return np.stack([(rotated[:, :c] ** 2).sum(1) for c in cuts_of(rotated.shape[1])])
 
 
-def scan(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, qr: np.ndarray, xr: np.ndarray, x_tails: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(q: np.ndarray, q_rows: np.ndarray, x: np.ndarray, x_rows: np.ndarray, x_ids: np.ndarray, qr: np.ndarray, xr: np.ndarray, k: int, shares: list[float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of ``x`` for each query: query number, row of ``x``, score.
 
-    ``qr`` and ``xr`` are the rotated vectors.  Partial inner products grow by
-    blocks of dimensions; a pair goes on while its partial sum and the most
-    that the rest can add, the product of the norms of what is left, reach the
-    query's k-th best score so far.  So no pair of the k best is given up, and
-    each query gets ``k`` rows or all its candidates.  What is left is scored
-    on the original vectors.
+    ``qr`` and ``xr`` are the rotated vectors.  The exact scores of the k
+    candidates that look best after the first block give each query a
+    threshold, and these stay in any case, so that a query gets ``k`` rows or
+    all its candidates.  A score of at least the threshold t means a squared
+    distance of at most |q|^2 + |x|^2 - 2 t; after each block, candidates whose
+    partial distance is over the critical share of that are abandoned.  What is
+    left is scored on the original vectors.
     """
-    dim = qr.shape[1]
-    cuts, q_tails = cuts_of(dim), tails(qr)
-    part = qr[:, : cuts[0]] @ xr[:, : cuts[0]].T
-    other = q_ids[:, None] != x_ids[None, :]
-    part = np.where(other, part, -np.inf)
+    cuts, shares = cuts_of(qr.shape[1]), shares or critical_shares(qr.shape[1])
+    q_norms, x_norms = norms(qr), norms(xr)
+    whole_q, whole_x = q_norms[-1], x_norms[-1]
     # Rounding of the rotated sums.
-    slack = 1e-9 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
-    # A first threshold: the k that look best after one block.
-    best = np.full(len(q), -np.inf)
+    slack = 1e-9 * (whole_q + whole_x.max())
+    part = qr[:, : cuts[0]] @ xr[:, : cuts[0]].T
+    on = q_rows[:, None] != x_rows[None, :]
+    best, first = np.full(len(q), -np.inf), None
     if len(x) > k:
-        top = np.argpartition(-part, k - 1, axis=1)[:, :k]
-        exact = np.einsum("qkd,qd->qk", x[top], q)
-        exact[~np.take_along_axis(other, top, axis=1)] = -np.inf
+        nearness = np.where(on, part - 0.5 * x_norms[0][None, :] + 0.5 * cuts[0] / cuts[-1] * whole_x[None, :], -np.inf)
+        first = np.argpartition(-nearness, k - 1, axis=1)[:, :k]
+        exact = np.einsum("qkd,qd->qk", x[first], q)
+        exact[~np.take_along_axis(on, first, axis=1)] = -np.inf
         best = exact.min(axis=1) - slack
-    on = other & (part + q_tails[0][:, None] * x_tails[0][None, :] >= best[:, None])
-    if len(x) > k and on.sum() > DENSE * on.size:
-        part += qr[:, cuts[0] :] @ xr[:, cuts[0] :].T
-        kth = np.partition(part, len(x) - k, axis=1)[:, len(x) - k]
-        i, j = np.nonzero(other & (part >= (kth - slack)[:, None]))
-    else:
+
+    def near(n: int, i: np.ndarray, j: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        return q_norms[n][i] + x_norms[n][j] - 2 * sums <= shares[n] * (whole_q[i] + whole_x[j] - 2 * best[i]) + slack[i]
+
+    if first is None:
         i, j = np.nonzero(on)
-        sums = part[i, j]
+    else:
+        rows, columns = np.arange(len(q))[:, None], np.arange(len(x))[None, :]
+        alive, i, j, sums = on & near(0, rows, columns, part), None, None, None
         for n, (begin, end) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), 1):
+            if i is None and alive.sum() > DENSE * alive.size:
+                part += qr[:, begin:end] @ xr[:, begin:end].T
+                alive &= near(n, rows, columns, part)
+                continue
+            if i is None:
+                i, j = np.nonzero(alive)
+                sums = part[i, j]
             sums = sums + np.einsum("nd,nd->n", qr[i, begin:end], xr[j, begin:end])
-            near = sums + q_tails[n][i] * x_tails[n][j] >= best[i]
-            i, j, sums = i[near], j[near], sums[near]
+            left = near(n, i, j, sums)
+            i, j, sums = i[left], j[left], sums[left]
+        if i is None:
+            i, j = np.nonzero(alive)
+        # The first ones with those that were left, each pair once.
+        at = np.unique(np.concatenate([i * len(x) + j, (rows * len(x) + first)[np.take_along_axis(on, first, axis=1)]]))
+        i, j = at // len(x), at % len(x)
     score = (q[i] * x[j]).sum(axis=1)
     order = np.lexsort((x_ids[j], -score, i))
     i, j, score = i[order], j[order], score[order]
@@ -163,77 +196,79 @@ def search(vectors: DataFrame, *, k: int = 20, query: str | None = None, key: st
     """The ``k`` nearest rows by inner product of each query: query_id, rank, vec_id, score.
 
     Queries are the rows for which the SQL condition ``query`` on ``id`` holds
-    (default: all); candidates are all rows but those of the query's own id.
-    Rows that ``clean`` leaves out take no part.  Equal scores are ranked by
-    id.  An id that occurs several times is one query, by its least vector, and
-    several candidates.  With fewer candidates than ``k`` all are returned.
+    (default: all); candidates are all rows but the query's own, also others of
+    its id.  Ids are whole numbers.  Rows that ``clean`` leaves out take no
+    part.  Equal scores are ranked by id.  With fewer candidates than ``k`` all
+    are returned.
 
     Each vector lies in the list of its nearest centre; a query probes the
     lists nearest to it, as many as the fit asks for and as hold ``k`` others.
     Lists are split into parts by a digest, so that a list of many like vectors
-    is scanned by many tasks; per part only ``k`` rows a query go on.
+    is scanned by many tasks; per part only ``k`` rows a query go on.  A list is
+    copied once for every QUERIES queries that visit it.
     """
-    rows = materialize(clean(vectors, key, column), "vectors")
+    # Written once with their numbers, which tell rows of one id apart.
+    rows = materialize(clean(vectors, key, column).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n = rows.count()
     index = fit(rows, n, k=k)
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if index is None:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     made, dim = spark.sparkContext.broadcast(index), index.dim
+    shares = critical_shares(dim)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 own = made.value.lists(_rows(batch["v"], dim))
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch["id"], batch["v"]], names=["list", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch["row"], batch["id"], batch["v"]], names=["list", "row", "id", "v"])
 
-    listed = materialize(rows.mapInArrow(assign, "list int, id long, v array<double>"), "lists")
+    form = "list int, row long, id long, v array<double>"
+    listed = materialize(rows.select("row", "id", "v").mapInArrow(assign, form), "lists")
     held = np.zeros(len(index.centres), np.int64)
     for r in listed.groupBy("list").count().collect():  # a row per list
         held[r["list"]] = r["count"]
-    parts = np.maximum(1, -(-held // PART))
-    sizes = spark.sparkContext.broadcast((held, parts))
+    sizes = spark.sparkContext.broadcast(held)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, split = sizes.value
+        counts = sizes.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             order = made.value.nearest_lists(_rows(batch["v"], dim))
             before = np.cumsum(counts[order], axis=1) - counts[order]
             probed = (np.arange(order.shape[1])[None, :] < made.value.probes) | (before <= 2 * k)
-            probed &= counts[order] > 0
-            row, at = np.nonzero(probed)
+            row, at = np.nonzero(probed & (counts[order] > 0))
             to = order[row, at]
-            times = split[to]
-            row, to = np.repeat(row, times), np.repeat(to, times)
-            part = np.arange(len(to)) - np.repeat(np.cumsum(times) - times, times)
             for b in range(0, len(row), 5_000):
                 some = pa.array(row[b : b + 5_000])
-                yield pa.RecordBatch.from_arrays([pa.array(to[b : b + 5_000].astype(np.int32)), pa.array(part[b : b + 5_000].astype(np.int32)), batch["id"].take(some), batch["v"].take(some)], names=["list", "part", "id", "v"])
-
-    asked = rows.where(query or "true").groupBy("id").agg(F.min("v").alias("v"))
-    turns = max(1, -(-asked.count() // QUERIES))
-    asked = asked.select("id", "v").mapInArrow(ask, "list int, part int, id long, v array<double>")
-    asked = asked.withColumn("turn", F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int"))
-    split_of = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("list") + 1) if parts.max() > 1 else F.lit(1)
-    stored = listed.withColumn("part", F.pmod(F.xxhash64("id", "v"), split_of).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+                yield pa.RecordBatch.from_arrays([pa.array(to[b : b + 5_000].astype(np.int32)), *(batch[c].take(some) for c in ("row", "id", "v"))], names=["list", "row", "id", "v"])
+
+    asked = materialize(rows.where(query or "true").select("row", "id", "v").mapInArrow(ask, form), "visits")
+    visits = asked.groupBy("list").agg(F.count("*").alias("visits"))
+    # A row per list: in how many parts it is split, and how often it is copied.
+    plan = listed.groupBy("list").agg(F.count("*").alias("size")).join(visits, "list")
+    plan = materialize(plan.select("list", F.ceil(F.col("size") / PART).cast("int").alias("parts"), F.ceil(F.col("visits") / QUERIES).cast("int").alias("turns")), "list-sizes")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    asked = asked.join(F.broadcast(plan), "list").withColumn("turn", one("turns")).withColumn("part", every("parts"))  # MAX_LISTS rows
+    asked = asked.select("list", "part", "turn", "row", "id", "v")
+    again = F.broadcast(plan.toDF("list", "parts", "turns"))
+    stored = listed.join(again, "list").withColumn("part", one("parts")).withColumn("turn", every("turns")).select("list", "part", "turn", "row", "id", "v")
 
     def visit(queries: pa.Table, held_: pa.Table) -> pa.Table:
         out = []
         if queries.num_rows and held_.num_rows:
             q, x = (_rows(t["v"].combine_chunks(), dim) for t in (queries, held_))
-            q_ids, x_ids = queries["id"].to_numpy(), held_["id"].to_numpy()
+            (q_ids, q_rows), (x_ids, x_rows) = ((t["id"].to_numpy(), t["row"].to_numpy()) for t in (queries, held_))
             step = max(1, PAIRS // len(x))
             qr, xr = q @ made.value.rotation, x @ made.value.rotation
-            x_tails = tails(xr)
             for b in range(0, len(q), step):
-                i, j, score = scan(q[b : b + step], q_ids[b : b + step], x, x_ids, qr[b : b + step], xr, x_tails, k)
-                out.append((q_ids[b : b + step][i], x_ids[j], score))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cols), strict=True)))
+                i, j, score = scan(q[b : b + step], q_rows[b : b + step], x, x_rows, x_ids, qr[b : b + step], xr, k, shares)
+                out.append((q_rows[b : b + step][i], q_ids[b : b + step][i], x_ids[j], score))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0)]
+        return pa.table(dict(zip(("query_row", "query_id", "vec_id", "score"), map(pa.array, cols), strict=True)))
 
-    found = asked.groupBy("list", "part", "turn").cogroup(stored.groupBy("list", "part", "turn")).applyInArrow(visit, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = asked.groupBy("list", "part", "turn").cogroup(stored.groupBy("list", "part", "turn")).applyInArrow(visit, "query_row long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
