@@ -22,9 +22,11 @@ MAX_LABELLED = 20_000
 #: A term is kept for the lexicon if at least this share of the toxic texts
 #: (and MIN_SUPPORT of them) hold it, and its log odds are at least MIN_WEIGHT.
 MIN_SHARE, MIN_SUPPORT, MIN_WEIGHT = 0.004, 5, 2.5
-#: Largest lexicon, and lengths of word beginnings that may be terms.
-MAX_TERMS = 5_000
+#: Lengths of word beginnings that may be terms.
 BEGINNINGS = (4, 5, 6)
+#: A phrase of two words, one of them of the lexicon, is harmless if it is in at
+#: least so many clean labelled texts and relatively no more often in toxic ones.
+MIN_HARMLESS = 3
 #: Words added to each text's length, so that very short ones are not all or nothing.
 SMOOTH = 20
 
@@ -156,8 +158,9 @@ def _count(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
 def fit(sample: DataFrame) -> Model:
     """Lexicon and calibration from ``labelled_sample``; the default without both labels.
 
-    Terms come from the toxic texts; of terms that begin alike the shortest
-    stays unless a longer one weighs clearly more.
+    Terms come from the toxic texts, each in a share of them, so their number is
+    bounded as the sample is; of terms that begin alike the shortest stays
+    unless a longer one weighs clearly more.
     """
     sample = materialize(sample, "labelled")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -176,12 +179,36 @@ def fit(sample: DataFrame) -> Model:
         shorter = max((kept[t[:n]] for n in range(1, len(t)) if t[:n] in kept), default=None)
         if shorter is None or weights[t] > shorter + 1.5:
             kept[t] = weights[t]
-    kept = dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:MAX_TERMS])
-    model = Model(kept)
+    model = Model(kept, (*EXCEPTIONS, *harmless_phrases(sample, kept, n_toxic, n_clean)))
     model.calibration = calibrate(*_features(sample, model))
     return model
 
 
+def phrases_of(folded: str, weights: dict[str, float]) -> set[str]:
+    """Phrases of a lexicon's word with the word before or after it."""
+    words = folded.split()
+    known = [f" {w} " in weights or any(f" {w[:n]}" in weights for n in range(1, len(w) + 1)) for w in words]
+    return {f"{a} {b}" for a, b, x, y in zip(words, words[1:], known, known[1:]) if x or y}
+
+
+def harmless_phrases(sample: DataFrame, weights: dict[str, float], n_toxic: int, n_clean: int) -> list[str]:
+    """Learned exceptions: phrases around words of the lexicon that clean texts hold."""
+    sent = sample.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[tuple[str, int]] = Counter()
+        for batch in batches:
+            for t, toxic in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+                held.update((p, toxic) for p in phrases_of(fold(t), sent.value))
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.string()), pa.array([x for _, x in held], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["phrase", "toxic", "n"])
+
+    counted = sample.select("text", F.col("toxic").cast("int")).mapInArrow(run, "phrase string, toxic int, n long")
+    n = lambda label: F.sum(F.when(F.col("toxic") == label, F.col("n")).otherwise(0))
+    sums = counted.groupBy("phrase").agg(n(1).alias("bad"), n(0).alias("good")).where(F.col("good") >= MIN_HARMLESS)
+    # Bounded: phrases that several texts of the sample hold.
+    return sorted(r["phrase"] for r in sums.where(F.col("bad") * n_clean <= F.col("good") * n_toxic).collect())
+
+
 def _features(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the bounded sample."""
     sent = sample.sparkSession.sparkContext.broadcast(model)
@@ -192,8 +219,10 @@ def _features(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
             found = [own.features(t) for t in batch[0].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.float64()), pa.array([y for _, y in found], pa.float64()), batch[1].cast(pa.int32())], names=["x", "y", "toxic"])
 
-    got = sample.select("text", F.col("toxic").cast("int")).mapInArrow(run, "x double, y double, toxic int").orderBy("x", "y", "toxic").collect()
-    return np.array([(r["x"], r["y"]) for r in got]), np.array([r["toxic"] for r in got], float)
+    got = sample.select("text", F.col("toxic").cast("int")).mapInArrow(run, "x double, y double, toxic int").collect()
+    # The sample is bounded; in one order, sums come out alike on each run.
+    got = np.array(sorted((r["x"], r["y"], r["toxic"]) for r in got), float).reshape(-1, 3)
+    return got[:, :2], got[:, 2]
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float, float]:

@@ -83,11 +83,57 @@ def test_exceptions_cancel_only_their_words():
     assert model.features("clown fish")[1] == 0 and model.features("clown fish, you clown")[1] > 0
 
 
+def features_brute(model, text):
+    """Every term and every harmless phrase looked for at every place."""
+    folded = toxicity.fold(text)
+    harmless = [(b, b + len(p) - 1) for e in model.exceptions for p in [toxicity.fold(e)] for b in range(len(folded)) if folded.startswith(p, b)]
+    best = {}
+    for b in range(len(folded)):
+        hits = [w for t, w in model.weights.items() if folded.startswith(t, b)]
+        if hits and not any(x <= b < y for x, y in harmless):
+            best[b] = max(hits)
+    return float(np.log1p(100 * sum(best.values()) / (len(folded.split()) + toxicity.SMOOTH))), float(np.log1p(len(best)))
+
+
+def test_features_against_plain_scans(spark):
+    rng = np.random.default_rng(4)
+    words = ["clown", "cl0wn", "c1own", "fish", "trash", "can", "tr4sh", "сlown", "clowns", "trashy", "bin", "x", "класс", "class", "5", "idiot", "1d1ot!", "a-b"]
+    weights = {toxicity.fold("clown"): 3.0, " trash": 2.0, toxicity.fold("trash"): 2.5, toxicity.fold("idiot"): 5.0, " c": 0.5}
+    given = toxicity.Model(weights, ("clown fish", "trash can", "class clown", "a b"))
+    for _ in range(400):
+        text = "".join(w + str(rng.choice([" ", "\n", ", ", "."])) for w in rng.choice(words, int(rng.integers(0, 25))))
+        assert given.features(text) == pytest.approx(features_brute(given, text))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    learned = toxicity.fit(toxicity.labelled_sample(docs, labels.where(~held_out())))
+    rows = docs.limit(150).collect()
+    got = {r.doc_id: r.score for r in toxicity.score(docs, learned).collect()}
+    for r in rows:
+        x, y = features_brute(learned, r.text)
+        a, b, c = learned.calibration
+        assert learned.features(r.text) == pytest.approx((x, y))
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-(a + b * x + c * y))))
+
+
+def test_learned_exceptions(spark):
+    bad = [(f"you are such a vermin number {i} go away", 1) for i in range(20)]
+    good = [(f"the vermin control service {i} came on time", 0) for i in range(6)] + [(f"plain words {i} of no note", 0) for i in range(400)]
+    model = toxicity.fit(spark.createDataFrame(bad + good, "text string, toxic int"))
+    assert "vermin controi" in model.exceptions and not any("number" in e for e in model.exceptions)
+    assert model.score("call vermin control service") < 0.5 < model.score("you vermin go away")
+
+
+def test_toxicity_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "idiot"), (None, None)], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("score", "predicted", "held_out", "toxic")})
+    assert toxicity.score(docs, toxicity.default_model()).columns == ["doc_id", "score", "predicted"]
+    assert toxicity.labelled_sample(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).collect() == [("idiot", 1)]
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(toxicity.labelled_sample(docs, labels.where(~held_out())))
     scored = toxicity.score(docs, model).join(labels.where(held_out()), "doc_id").collect()
     found = toxicity.accuracy([(r.score, r.toxic) for r in scored])
+    print("held out", found, len(model.weights), len(model.exceptions))
     assert found["accuracy"] > 0.96 and found["auc"] > 0.9
 
 
@@ -101,28 +147,43 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
-def brute(rows, k, asked):
-    v = [(i, np.array(x, float)) for i, x in rows if i is not None and x is not None and None not in x and np.isfinite(np.array(x, float)).all() and np.any(np.array(x, float)) and len(x) == 8]
-    out = {}
-    for q, a in v:
+def vectors_of(rows, dim):
+    return [(i, np.array(x, float)) for i, x in rows if i is not None and x is not None and None not in x and np.isfinite(np.array(x, float)).all() and np.any(np.array(x, float)) and len(x) == dim]
+
+
+def ranked_brute(rows, k, asked, dim):
+    """Scores of the k nearest of each query row, by id."""
+    v = vectors_of(rows, dim)
+    out = defaultdict(list)
+    for n, (q, a) in enumerate(v):
         if asked(q):
-            ranked = sorted((-float((a * b).sum()), i) for i, b in v if i != q)[:k]
-            out[q] = [(i, -s) for s, i in ranked]
+            ranked = sorted((-float((a * b).sum()), i) for m, (i, b) in enumerate(v) if m != n)[:k]
+            out[q].append([(i, -s) for s, i in ranked])
     return out
 
 
-def test_neighbours_with_edges(spark):
+def found_by(result):
+    """Ranked ids per query; the same rank again is another row of that id."""
+    rows = defaultdict(list)
+    for r in result.collect():
+        rows[r.query_id, r.rank].append((r.vec_id, r.score))
+    return rows
+
+
+def test_neighbours_with_edges(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MAX_LISTS", 1)  # all pairs, so that the rows are those of all pairs
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
     rows += [(300 + i, rows[5][1]) for i in range(60)]
+    # Ids that occur twice: each row asks, and the other is its candidate.
+    rows += [(40, rng.normal(size=8).tolist()), (60, rows[60][1])]
     rows += [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [None] * 8), (904, [1.0]), (None, rows[0][1]), (905, [float("inf")] * 8)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"list": F.lit(1), "id": F.lit(2), "score": F.lit(3)})
-    found = defaultdict(list)
-    for r in ann.search(table, k=20, query="id % 20 = 0").orderBy("query_id", "rank").collect():
-        assert r.rank == len(found[r.query_id]) + 1
-        found[r.query_id].append((r.vec_id, r.score))
-    want = brute(rows, 20, lambda q: q % 20 == 0)
-    assert {q: [i for i, _ in x] for q, x in found.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"list": F.lit(1), "id": F.lit(2), "row": F.lit(4), "score": F.lit(3)})
+    found = found_by(ann.search(table, k=20, query="id % 20 = 0"))
+    for q, lists in ranked_brute(rows, 20, lambda q: q % 20 == 0, 8).items():
+        for rank in range(1, 21):
+            want, got = sorted(x[rank - 1] for x in lists), sorted(found[q, rank])
+            assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
     few = table.where("vec_id < 4")
     assert Counter(r.query_id for r in ann.search(few, k=20).collect()) == {i: 3 for i in range(4)}
     assert ann.search(table.limit(0)).collect() == []
@@ -130,6 +191,7 @@ def test_neighbours_with_edges(spark):
 
 @pytest.mark.parametrize("dim", [64, 128])
 def test_neighbours_among_near_copies(spark, dim):
+    """Each query gets its k rows, and hardly any of the true ones is missed."""
     rng = np.random.default_rng(dim)
     centres = np.repeat(rng.normal(size=(20, dim)), 50, axis=0)
     v = centres + rng.normal(size=centres.shape) * rng.choice([0.05, 0.3, 0.8], (len(centres), 1))
@@ -139,12 +201,34 @@ def test_neighbours_among_near_copies(spark, dim):
         found[r.query_id].append(r.vec_id)
     scores = v @ v.T
     np.fill_diagonal(scores, -np.inf)
-    assert found == {q: np.argsort(-scores[q], kind="stable")[:20].tolist() for q in range(0, len(v), 5)}
+    assert all(len(found[q]) == 20 for q in range(0, len(v), 5))
+    assert np.mean([len(set(found[q]) & set(np.argsort(-scores[q])[:20].tolist())) / 20 for q in range(0, len(v), 5)]) > 0.97
+
+
+def test_hypothesis_test_keeps_its_error():
+    """Of pairs just near enough about ERROR are abandoned per block; far ones nearly all."""
+    rng = np.random.default_rng(0)
+    dim, cuts = 64, ann.cuts_of(64)
+    assert cuts == [16, 32, 48, 64]
+    rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+    apart = (rng.normal(size=(200_000, dim))) @ rotation
+    share = np.stack([(apart[:, :c] ** 2).sum(1) for c in cuts]) / (apart**2).sum(1)
+    lost = (share > np.array(ann.critical_shares(dim))[:, None] + 1e-12).mean(1)
+    assert (lost[:3] < 1.5 * ann.ERROR).all() and (lost[:3] > 0.6 * ann.ERROR).all() and lost[3] == 0
+    q, x = rng.normal(size=(10, dim)), rng.normal(size=(3000, dim))
+    x[:40] = q[0] + 0.1 * rng.normal(size=(40, dim))
+    number = np.arange(len(x))
+    i, j, score = ann.scan(q, -1 - np.arange(10), x, number, number, q @ rotation, x @ rotation, 20)
+    assert Counter(i.tolist()) == {n: 20 for n in range(10)}
+    want = [set(np.argsort(-(x @ v))[:20].tolist()) for v in q]
+    assert np.mean([len(set(j[i == n].tolist()) & want[n]) / 20 for n in range(10)]) > 0.97
+    assert score == pytest.approx([float(q[a] @ x[b]) for a, b in zip(i, j)])
 
 
-def test_neighbours_recall_over_lists(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LIST_SIZE", 100)
-    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_neighbours_recall(spark, sf):
+    """Recall of the registered parameters against all pairs, with several lists."""
+    rows = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
     x = rows.collect()
     ids, v = np.array([r.vec_id for r in x]), np.array([r.embedding for r in x], float)
     found = defaultdict(set)
@@ -155,7 +239,23 @@ def test_neighbours_recall_over_lists(spark, monkeypatch):
         s = v @ v[i]
         s[i] = -np.inf
         held.append(len(found[ids[i]] & set(ids[np.argsort(-s)[:20]].tolist())) / 20)
-    assert np.mean(held) >= 0.9
+    print("recall", sf, np.mean(held))
+    assert np.mean(held) >= 0.93
+
+
+def test_neighbours_in_parts_and_turns(spark, monkeypatch):
+    """Split lists and copied ones give the same rows."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(400, 16)) + 2
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "MAX_LISTS", 2)
+    monkeypatch.setattr(ann, "PART", 60)
+    monkeypatch.setattr(ann, "QUERIES", 30)
+    found = found_by(ann.search(table, k=10, query="id % 2 = 0"))
+    scores = v @ v.T
+    np.fill_diagonal(scores, -np.inf)
+    hits = [found[q, rank + 1][0][0] in set(np.argsort(-scores[q])[:10].tolist()) for q in range(0, 400, 2) for rank in range(10)]
+    assert len(hits) == 2000 and np.mean(hits) > 0.95
 
 
 def test_pipeline_stages(spark, tmp_path):
