@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.functions import json_text as J
+from kgspark.functions import numbers as N
 from kgspark.functions import text as T
 
 MIN_TEXT = 20
@@ -86,6 +87,17 @@ def with_provenance(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.join(blocks.select("block_id", "heading_path"), "block_id").withColumn("concept_id", ident).withColumnRenamed("block_id", "source_block_id")
 
 
+def failures(replies: DataFrame, parity: bool = False) -> DataFrame:
+    """Blocks whose reply gives no candidates: doc_id, block_id, reason.
+
+    One document's bad replies are rows here and don't stop the others.
+    """
+    raw = F.coalesce("raw_output", F.lit(""))
+    read = parse(replies, parity).select("doc_id", "block_id").distinct()
+    reason = F.when(T.strip(raw) == "", "no reply").when(F.try_parse_json(J.json_of(raw, arrays=not parity)).isNull(), "no JSON").otherwise("no concepts")
+    return replies.join(read, ["doc_id", "block_id"], "left_anti").select("doc_id", "block_id", reason.alias("reason"))
+
+
 def run_counters(replies: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Per document: blocks, failed (no reply), raw and kept candidates."""
     blocks = replies.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.count_if(T.strip(F.coalesce("raw_output", F.lit(""))) == "").alias("n_failed"))
@@ -98,7 +110,7 @@ def run_counters(replies: DataFrame, min_confidence: float = MIN_CONFIDENCE) ->
 
 def summary(rows: DataFrame) -> DataFrame:
     """Per type: candidates, share in percent, average confidence."""
-    counts = rows.groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("avg_confidence"))
+    counts = rows.groupBy("type").agg(F.count("*").alias("n"), N.rounded(N.mean(F.col("confidence")), 4).alias("avg_confidence"))
     return counts.withColumn("share", F.round(100.0 * F.col("n") / F.sum("n").over(W.partitionBy()), 1))  # a row per type
 
 

@@ -7,19 +7,22 @@ heading_path, confidence), ``ord`` giving their order in a document.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgspark.functions import numbers as N
 from kgspark.functions import text as T
 from kgspark.functions import vectors as V
 from kgspark.operators.components import connected_components
 
 THRESHOLD = 0.80
+#: Chance that a pair at the threshold is proposed, and most signs of a band.
+RECALL, MOST_SIGNS = 0.995, 16
 Store = Callable[[DataFrame], DataFrame]
 
 
@@ -46,8 +49,7 @@ def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD, scope: str = "d
     """Pairs a < b with cosine at least ``threshold``: group, a, b, similarity.
 
     Within a document all pairs are compared, keyed by it.  With scope
-    "corpus" locality-sensitive hashing of unit vectors proposes pairs, and the
-    exact cosine decides.
+    "corpus" ``candidate_pairs`` proposes pairs, and the exact cosine decides.
     """
     size = V.norm(F.col(vector))
     slim = rows.select(F.col(group).alias("g"), F.col(ident).alias("i"), F.col(vector).alias("v"), size.alias("n"))
@@ -55,11 +57,39 @@ def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD, scope: str = "d
     if scope == "doc":
         pairs = slim.alias("a").join(slim.alias("b"), "g").where("a.i < b.i").select("g", F.col("a.i").alias("a"), F.col("b.i").alias("b"), sim.alias("similarity"))
         return pairs.where(F.col("similarity") >= threshold).withColumnRenamed("g", group)
-    unit = slim.where("n > 0").withColumn("u", array_to_vector(F.transform("v", lambda x: x.cast("double") / F.col("n"))))
-    near = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=1.0, numHashTables=8, seed=1).fit(unit)
-    pairs = near.approxSimilarityJoin(unit, unit, math.sqrt(2 - 2 * threshold) + 1e-6, "d").select(F.col("datasetA").alias("a"), F.col("datasetB").alias("b")).where("a.i < b.i")
-    pairs = pairs.select(F.col("a.i").alias("a"), F.col("b.i").alias("b"), sim.alias("similarity"))
-    return pairs.where(F.col("similarity") >= threshold).distinct()
+    near = candidate_pairs(slim.where("n > 0"), threshold)
+    pairs = near.join(slim.select(F.col("i").alias("a"), F.col("v").alias("v_a"), F.col("n").alias("n_a")), "a").join(slim.select(F.col("i").alias("b"), F.col("v").alias("v_b"), F.col("n").alias("n_b")), "b")
+    pairs = pairs.select("a", "b", V.cosine(F.col("v_a"), F.col("v_b"), F.col("n_a"), F.col("n_b")).alias("similarity"))
+    return pairs.where(F.col("similarity") >= threshold)
+
+
+def candidate_pairs(vectors: DataFrame, threshold: float, recall: float = RECALL, seed: int = 1) -> DataFrame:
+    """Pairs a < b of (i, v) that share all signs of a band of random hyperplanes.
+
+    Two vectors at the angle w agree in a sign with chance 1 - w / pi.  A band
+    has about log2 of the vectors as signs, so that few others share it, and
+    bands are as many as a pair at the threshold needs to meet with ``recall``.
+    """
+    n, dim = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+    signs = min(max(round(math.log2(max(n, 2))) - 2, 4), MOST_SIGNS)
+    meet = (1 - math.acos(min(1.0, threshold)) / math.pi) ** signs
+    bands = 1 if meet >= recall else math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    dim = dim or 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = np.random.default_rng(seed).normal(size=(dim, bands * signs))
+        weight = 1 << np.arange(signs)
+        for batch in batches:
+            if batch.num_rows:
+                v = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                keys = ((v @ planes > 0).reshape(len(v), bands, signs) * weight).sum(2)
+                own, band = np.repeat(np.arange(len(v)), bands), np.tile(np.arange(bands), len(v))
+                yield pa.RecordBatch.from_arrays([pa.array(band, pa.int64()), pa.array(keys.reshape(-1), pa.int64()), batch["i"].take(pa.array(own))], names=["band", "key", "i"])
+
+    kind = vectors.schema["i"].dataType.simpleString()
+    rows = vectors.where(F.size("v") == dim).select("i", F.transform("v", lambda x: x.cast("double")).alias("v")).mapInArrow(run, f"band long, key long, i {kind}")
+    a, b = rows.withColumnRenamed("i", "a"), rows.withColumnRenamed("i", "b")
+    return a.join(b, ["band", "key"]).where("a < b").select("a", "b").distinct()
 
 
 def adjacency(pairs: DataFrame) -> DataFrame:
@@ -132,12 +162,12 @@ def canonical_concepts(rows: DataFrame, members: DataFrame, totals: DataFrame) -
         set_of("block_id").alias("source_blocks"),
         F.count("*").cast("int").alias("occurrence_count"),
         F.count_distinct(F.when(F.size("heading_path") > 0, F.col("heading_path"))).alias("paths"),
-        F.avg("confidence").alias("confidence"),
+        N.mean(F.col("confidence")).alias("confidence"),
     )
     all_ = merged.join(kinds, ["doc_id", "cluster"]).join(canonical_names(rows, members), ["doc_id", "cluster"]).join(totals, "doc_id")
     score = 0.4 * F.least(F.lit(1.0), 10.0 * F.col("occurrence_count") / F.col("total")) + 0.3 * F.least(F.lit(1.0), F.col("paths") / 5.0) + 0.3 * F.col("confidence")
     ident = T.short_hash(F.col("doc_id"), F.col("cluster"))
-    return all_.select("doc_id", ident.alias("canonical_id"), "canonical_name", F.array_remove("names", F.col("canonical_name")).alias("aliases"), "type", "descriptions", "source_blocks", "occurrence_count", F.round(score, 3).alias("importance_score"))
+    return all_.select("doc_id", ident.alias("canonical_id"), "canonical_name", F.array_remove("names", F.col("canonical_name")).alias("aliases"), "type", "descriptions", "source_blocks", "occurrence_count", N.rounded(score, 3).alias("importance_score"))
 
 
 def funnel(candidates: DataFrame, unique: DataFrame, canonical: DataFrame) -> DataFrame:

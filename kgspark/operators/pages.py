@@ -1,8 +1,8 @@
 """Pages to documents: content blocks, links, digests and a bounded crawl.
 
 A page is (page_id, url, html).  HTML is cut into tokens by one regular
-expression; elements are pairs of tokens, found with windows over a page.
-``innerText`` is taken as all text within an element, white space collapsed.
+expression; elements are pairs of tokens, found with windows over a page, and
+running sums say what lies between their ends.  ``innerText`` is taken as all text within an element, white space collapsed.
 """
 
 from __future__ import annotations
@@ -60,52 +60,63 @@ def attribute(attrs: Column, name: str) -> Column:
 
 
 def elements(toks: DataFrame) -> DataFrame:
-    """Open tags with the position where the element ends: page_id, tag, attrs, begin, stop.
+    """Open tags and what the element holds: page_id, tag, attrs, begin, stop,
+    texts_begin, texts_stop (numbers of the page's texts), chars, children.
 
     Tags of one name nest; an open one ends at the next token of its level.  A
     paragraph or heading also ends where any other block begins or ends.
     """
-    tags = toks.where("kind <> 'text'")
-    by_page = W.partitionBy("page_id").orderBy("pos")
-    ahead = by_page.rowsBetween(1, W.unboundedFollowing)
-    tags = tags.withColumn("next_block", F.min(F.when(F.col("tag").isin(*BREAKING), F.col("pos"))).over(ahead))
+    page, by_page = W.partitionBy("page_id"), W.partitionBy("page_id").orderBy("pos")
+    before, ahead = by_page.rowsBetween(W.unboundedPreceding, -1), by_page.rowsBetween(1, W.unboundedFollowing)
+    counts = {"texts": (F.col("kind") == "text").cast("long"), "chars": F.length(T.collapse(F.col("text"))).cast("long"), "opens": (F.col("kind") == "open").cast("long")}
+    summed = toks.withColumns({f"n_{k}": F.coalesce(F.sum(c).over(before), F.lit(0)) for k, c in counts.items()} | {f"all_{k}": F.sum(c).over(page) for k, c in counts.items()})
+    here = F.struct("pos", *(f"n_{k}" for k in counts))
+    last = F.struct(F.lit(2**31 - 1).alias("pos"), *(F.col(f"all_{k}").alias(f"n_{k}") for k in counts))
+    tags = summed.where("kind <> 'text'").withColumn("next_block", F.min(F.when(F.col("tag").isin(*BREAKING), here)).over(ahead))
     step = F.when(F.col("kind") == "open", 1).otherwise(-1)
     depth = F.sum(step).over(W.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
     tags = tags.withColumn("level", depth + F.when(F.col("kind") == "close", 1).otherwise(0))
-    own_end = F.lead("pos").over(W.partitionBy("page_id", "tag", "level").orderBy("pos"))
-    stop = F.when(F.col("tag").isin("p", *HEADINGS), F.col("next_block")).otherwise(F.col("own_end"))
-    last = F.lit(2**31 - 1)
-    return tags.withColumn("own_end", own_end).where("kind = 'open'").select("page_id", "tag", "attrs", F.col("pos").alias("begin"), F.coalesce(stop, last).alias("stop"))
+    own_end = F.lead(here).over(W.partitionBy("page_id", "tag", "level").orderBy("pos"))
+    end = F.coalesce(F.when(F.col("tag").isin("p", *HEADINGS), F.col("next_block")).otherwise(F.col("own_end")), last)
+    opened = tags.withColumn("own_end", own_end).where("kind = 'open'").withColumn("end", end)
+    return opened.select("page_id", "tag", "attrs", F.col("pos").alias("begin"), F.col("end.pos").alias("stop"), F.col("n_texts").alias("texts_begin"), F.col("end.n_texts").alias("texts_stop"), (F.col("end.n_chars") - F.col("n_chars")).alias("chars"), (F.col("end.n_opens") - F.col("n_opens") - 1).alias("children"))
 
 
-def containers(toks: DataFrame) -> DataFrame:
-    """The main content of each page: page_id, begin, stop.
+def containers(toks: DataFrame, els: DataFrame | None = None) -> DataFrame:
+    """The main content of each page: page_id, begin, stop, texts_stop.
 
     The first hit of article, main, role=main and three classes, in this order;
     else the densest text; else the body, else the whole page.
     """
-    els = elements(toks)
+    els = elements(toks) if els is None else els
     named = F.concat(F.lit(" "), F.lower(attribute(F.col("attrs"), "class")), F.lit(" "))
     rank = F.when(F.col("tag") == "article", 1).when(F.col("tag") == "main", 2).when(attribute(F.col("attrs"), "role") == "main", 3)
     for k, name in enumerate(CONTAINER_CLASSES):
         rank = rank.when(F.contains(named, F.lit(f" {name} ")), 4 + k)
-    hits = els.withColumn("rank", rank.when(F.col("tag") == "body", 20)).where("rank is not null").select("page_id", "rank", "begin", "stop")
-    dense = densest(toks, els).select("page_id", F.lit(10).alias("rank"), "begin", "stop")
-    whole = toks.select("page_id").distinct().select("page_id", F.lit(30).alias("rank"), F.lit(-1).alias("begin"), F.lit(2**31 - 1).alias("stop"))
+    span = ("begin", "stop", "texts_stop")
+    hits = els.withColumn("rank", rank.when(F.col("tag") == "body", 20)).where("rank is not null").select("page_id", "rank", *span)
+    dense = densest(els).select("page_id", F.lit(10).alias("rank"), *span)
+    whole = toks.groupBy("page_id").agg(F.count_if(F.col("kind") == "text").alias("texts_stop")).select("page_id", F.lit(30).alias("rank"), F.lit(-1).alias("begin"), F.lit(2**31 - 1).alias("stop"), "texts_stop")
     every = hits.unionByName(dense).unionByName(whole)
-    return every.groupBy("page_id").agg(F.min(F.struct("rank", "begin", "stop")).alias("c")).select("page_id", "c.begin", "c.stop")
+    return every.groupBy("page_id").agg(F.min(F.struct("rank", *span)).alias("c")).select("page_id", *(f"c.{c}" for c in span))
 
 
-def densest(toks: DataFrame, els: DataFrame) -> DataFrame:
+def densest(els: DataFrame) -> DataFrame:
     """Of divs, sections, articles and mains with over 500 characters, the one
-    with most text per element in it: page_id, begin, stop, density."""
-    some = els.where(F.col("tag").isin("div", "section", "article", "main")).select("page_id", "begin", "stop")
-    inner = toks.where("kind <> 'close'").select("page_id", "pos", "kind", F.length(T.collapse(F.col("text"))).alias("n"))
-    inside = some.join(inner, "page_id").where("pos > begin and pos < stop")
-    sized = inside.groupBy("page_id", "begin", "stop").agg(F.sum(F.when(F.col("kind") == "text", F.col("n")).otherwise(0)).alias("length"), F.count_if(F.col("kind") == "open").alias("children"))
-    sized = sized.where(F.col("length") > MIN_DENSE_TEXT).withColumn("density", F.col("length") / F.greatest("children", F.lit(1)))
+    with most text per element in it: page_id, begin, stop, texts_stop, density."""
+    sized = els.where(F.col("tag").isin("div", "section", "article", "main") & (F.col("chars") > MIN_DENSE_TEXT)).withColumn("density", F.col("chars") / F.greatest("children", F.lit(1)))
     first = F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("density"), "begin"))
-    return sized.withColumn("k", first).where("k = 1").select("page_id", "begin", "stop", "density")
+    return sized.withColumn("k", first).where("k = 1").select("page_id", "begin", "stop", "texts_stop", "density")
+
+
+def _with_texts(spans: DataFrame, toks: DataFrame) -> DataFrame:
+    """Adds ``text`` to spans (page_id, begin, texts_begin, texts_stop, ...), each page's texts and spans in one row."""
+    texts = toks.where("kind = 'text'").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("texts"))
+    others = [c for c in spans.columns if c not in ("page_id", "begin")]
+    listed = spans.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("begin", *others))).alias("spans"))
+    rows = listed.join(texts, "page_id", "left").withColumn("texts", F.transform(F.coalesce("texts", F.array().cast("array<struct<pos:int,text:string>>")), lambda t: t["text"]))
+    text = lambda s: T.collapse(F.array_join(F.slice(F.col("texts"), s["texts_begin"].cast("int") + 1, F.greatest(F.lit(0), (s["texts_stop"] - s["texts_begin"]).cast("int"))), " "))
+    return rows.select("page_id", F.inline(F.transform("spans", lambda s: F.struct(s["begin"].alias("begin"), *(s[c].alias(c) for c in others), text(s).alias("text")))))
 
 
 def is_ignored(tag: Column, attrs: Column) -> Column:
@@ -121,15 +132,13 @@ def content_blocks(pages: DataFrame, store: Store | None = None) -> DataFrame:
     which several joins read, are written once instead of being cut again.
     """
     toks = tokens(pages) if store is None else store(tokens(pages))
-    own = elements(toks).where(F.col("tag").isin(*BLOCKS) & ~is_ignored(F.col("tag"), F.col("attrs")))
-    main = containers(toks).withColumnsRenamed({"begin": "main_begin", "stop": "main_stop"})
+    els = elements(toks) if store is None else store(elements(toks))
+    own = els.where(F.col("tag").isin(*BLOCKS) & ~is_ignored(F.col("tag"), F.col("attrs")))
+    main = containers(toks, els).withColumnsRenamed({"begin": "main_begin", "stop": "main_stop", "texts_stop": "main_texts"})
     own = own.join(main, "page_id").where("begin > main_begin and begin < main_stop")
-    texts = toks.where("kind = 'text'").select("page_id", "pos", "text")
-    inside = own.join(texts, "page_id").where("pos > begin and pos < stop and pos < main_stop")
-    gathered = inside.groupBy("page_id", "tag", "begin").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("parts"))
-    text = T.collapse(F.array_join(F.transform("parts", lambda p: p["text"]), " "))
+    held = _with_texts(own.select("page_id", "begin", "tag", "texts_begin", F.least("texts_stop", "main_texts").alias("texts_stop")), toks)
     kind = F.when(F.col("tag").isin(*HEADINGS), "heading").when(F.col("tag").isin("pre", "code"), "code").when(F.col("tag").isin("ul", "ol"), "list").otherwise("paragraph")
-    kept = gathered.select("page_id", "begin", "tag", kind.alias("type"), text.alias("text")).where("text <> ''")
+    kept = held.select("page_id", "begin", "tag", kind.alias("type"), "text").where("text <> ''")
     position = F.row_number().over(W.partitionBy("page_id").orderBy("begin")) - 1
     return kept.select("page_id", position.alias("position"), "type", "tag", "text")
 
@@ -137,20 +146,18 @@ def content_blocks(pages: DataFrame, store: Store | None = None) -> DataFrame:
 def links(pages: DataFrame, main_only: bool = True, clean: bool = False, store: Store | None = None) -> DataFrame:
     """Links: page_id, ordinal, target_url, anchor_text, is_internal."""
     toks = tokens(pages) if store is None else store(tokens(pages))
-    anchors = elements(toks).where("tag = 'a'").withColumn("href", unescape(attribute(F.col("attrs"), "href"))).where("href <> ''")
+    els = elements(toks) if store is None else store(elements(toks))
+    anchors = els.where("tag = 'a'").withColumn("href", unescape(attribute(F.col("attrs"), "href"))).where("href <> ''")
     if main_only:
-        main = containers(toks).withColumnsRenamed({"begin": "main_begin", "stop": "main_stop"})
+        main = containers(toks, els).select("page_id", F.col("begin").alias("main_begin"), F.col("stop").alias("main_stop"))
         anchors = anchors.join(main, "page_id").where("begin > main_begin and begin < main_stop")
-    texts = toks.where("kind = 'text'").select("page_id", "pos", "text")
-    inside = anchors.select("page_id", "begin", "stop", "href").join(texts, "page_id", "left").withColumn("text", F.expr("case when pos > begin and pos < stop then text end"))
-    parts = inside.groupBy("page_id", "begin", "href").agg(F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "text")))).alias("parts"))
-    based = parts.join(pages.select("page_id", "url"), "page_id")
+    based = _with_texts(anchors.select("page_id", "begin", "texts_begin", "texts_stop", "href"), toks).join(pages.select("page_id", "url"), "page_id")
     target = U.normalize(F.col("href"), F.col("url"))
     if clean:
         target = U.strip_tracking(target)
     rows = based.withColumn("target_url", target).where(U.is_valid(F.col("target_url")))
     ordinal = F.row_number().over(W.partitionBy("page_id").orderBy("begin")) - 1
-    return rows.select("page_id", ordinal.alias("ordinal"), "target_url", T.collapse(F.array_join(F.transform("parts", lambda p: p["text"]), " ")).alias("anchor_text"), U.same_domain(F.col("target_url"), F.col("url")).alias("is_internal"))
+    return rows.select("page_id", ordinal.alias("ordinal"), "target_url", F.col("text").alias("anchor_text"), U.same_domain(F.col("target_url"), F.col("url")).alias("is_internal"))
 
 
 def section_texts(blocks: DataFrame, tree: DataFrame) -> DataFrame:
@@ -175,6 +182,36 @@ def digest(texts: DataFrame, most: int | None = 8, cut: int | None = 700) -> Dat
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "\n\n").alias("content"), F.count("*").alias("n_sections"))
 
 
+#: Fixed values of the short form: sections and characters of each, sections
+#: listed, links and characters of their texts; characters of a listed section
+#: of the full form.
+SHORT = {"most": 8, "cut": 700, "listed": 10, "links": 20, "anchor": 100}
+LISTED_CUT = 2000
+
+
+def readings(texts: DataFrame, titles: DataFrame, links_: DataFrame, short: bool = True, with_errors: bool = True) -> DataFrame:
+    """What a reader gets of each document: doc_id, title, content, sections, links, is_error.
+
+    ``texts`` is ``section_texts``, ``titles`` (doc_id, title), ``links_``
+    (doc_id, ordinal, target_url, anchor_text).  ``sections`` has heading, level
+    and in the full form the content, cut; ``links`` has url and text.  Pages
+    that look like errors are marked, or left out without ``with_errors``.
+    """
+    rows = texts.withColumn("k", F.row_number().over(W.partitionBy("doc_id").orderBy("order_index")))
+    if short:
+        rows = rows.where(F.col("k") <= min(SHORT["most"], SHORT["listed"]))
+    parts = [F.col("heading"), F.col("level")] if short else [F.col("heading"), F.col("level"), F.left("content", F.lit(LISTED_CUT)).alias("content")]
+    listed = lambda part, order: F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("x")))), lambda s: s["x"])
+    sections = rows.groupBy("doc_id").agg(listed(F.struct(*parts), "k").alias("sections"))
+    text = F.left("anchor_text", F.lit(SHORT["anchor"])) if short else F.col("anchor_text")
+    some = links_.where(F.col("ordinal") < SHORT["links"]) if short else links_
+    out = some.groupBy("doc_id").agg(listed(F.struct(F.col("target_url").alias("url"), text.alias("text")), "ordinal").alias("links"))
+    whole = digest(texts, SHORT["most"], SHORT["cut"]) if short else digest(texts, None, None)
+    found = whole.join(sections, "doc_id").join(titles, "doc_id").join(out, "doc_id", "left").withColumn("is_error", T.is_error_page(F.col("title"), F.col("content")))
+    found = found if with_errors else found.where("not is_error")
+    return found.select("doc_id", "title", "content", "sections", F.coalesce("links", F.array().cast("array<struct<url:string,text:string>>")).alias("links"), "is_error")
+
+
 def documents(pages: DataFrame, store: Store | None = None) -> DataFrame:
     """One row per page: id, url, title, domain, n_blocks, n_links, n_internal."""
     blocks = content_blocks(pages, store).groupBy("page_id").agg(F.count("*").alias("n_blocks"))
@@ -184,28 +221,49 @@ def documents(pages: DataFrame, store: Store | None = None) -> DataFrame:
     return rows.select("page_id", U.document_id(F.col("url")).alias("id"), "url", "title", U.domain(F.col("url")).alias("domain"), zero("n_blocks"), zero("n_links"), zero("n_internal"))
 
 
-def crawl(links_: DataFrame, roots: DataFrame, max_depth: int, max_pages: int, store: Store) -> DataFrame:
+def crawl_graph(pages: DataFrame, links_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored pages by cleaned URL, and their internal links between such: (node, page_id), (src, dst, ordinal).
+
+    Of pages with one cleaned URL the first counts.  Links may lead to pages
+    that are not stored.
+    """
+    clean = lambda c: U.strip_tracking(U.normalize(F.col(c)))
+    nodes = pages.select(clean("url").alias("node"), "page_id").where(U.is_valid(F.col("node"))).groupBy("node").agg(F.min("page_id").alias("page_id"))
+    inner = links_.where("is_internal").select("page_id", "ordinal", clean("target_url").alias("dst"))
+    return nodes, inner.join(nodes, "page_id").select(F.col("node").alias("src"), "dst", "ordinal")
+
+
+def crawl(links_: DataFrame, roots: DataFrame, max_depth: int, max_pages: int | None, store: Store) -> DataFrame:
     """Pages reached from the roots breadth first: node, depth, parent.
 
     ``links_`` rows are (src, dst, ordinal); ``roots`` has node.  A page's
     parent is the first one visited of those that link to it.  Within a depth
-    pages are taken in the order of parent, then link; at most ``max_pages`` in all.
+    pages are taken in the order of parent, then link, at most ``max_pages`` in
+    all.  That order is that of the ways from the roots, so nothing is numbered
+    over all pages.
     """
-    visited = store(roots.select("node", F.lit(0).alias("depth"), F.lit(None).cast(roots.schema["node"].dataType).alias("parent"), F.row_number().over(W.orderBy("node")).alias("rank")).limit(max_pages))
-    frontier = visited
+    way = lambda root, steps: F.struct(root.alias("root"), steps.alias("steps"))
+    first = roots.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(roots.schema["node"].dataType).alias("parent"), way(F.col("node"), F.array().cast("array<long>")).alias("way"))
+    visited = frontier = store(first if max_pages is None else first.orderBy("node").limit(max_pages))
     for depth in range(1, max_depth + 1):
-        room = max_pages - visited.count()
-        if room <= 0:
+        room = None if max_pages is None else max_pages - visited.count()
+        if room is not None and room <= 0:
             break
-        next_ = links_.join(frontier.select(F.col("node").alias("src"), F.col("rank").alias("r")), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("r", "ordinal", "src")).alias("m"))
-        next_ = next_.join(visited.select("node"), "node", "left_anti").orderBy("m", "node").limit(room)
-        order = F.row_number().over(W.orderBy("m", "node"))  # at most max_pages rows
-        frontier = store(next_.select("node", F.lit(depth).alias("depth"), F.col("m.src").alias("parent"), order.alias("rank")))
+        ahead = links_.join(frontier.select(F.col("node").alias("src"), "way"), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("way", F.col("ordinal").cast("long").alias("ordinal"), "src")).alias("m"))
+        ahead = ahead.join(visited.select("node"), "node", "left_anti")
+        if room is not None:
+            ahead = ahead.orderBy("m", "node").limit(room)
+        frontier = store(ahead.select("node", F.lit(depth).alias("depth"), F.col("m.src").alias("parent"), way(F.col("m.way.root"), F.concat("m.way.steps", F.array("m.ordinal"))).alias("way")))
         if frontier.isEmpty():
             break
-        visited = store(visited.unionByName(frontier))
+        visited = visited.unionByName(frontier)
     return visited.select("node", "depth", "parent")
 
 
-def crawl_summary(crawled: DataFrame) -> DataFrame:
-    return crawled.groupBy("depth").agg(F.count("*").alias("n_pages"))
+def crawl_summary(crawled: DataFrame, documents_: DataFrame) -> DataFrame:
+    """Per depth: pages met, and blocks, links and internal links of those stored.
+
+    ``documents_`` is (node, n_blocks, n_links, n_internal).
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return crawled.join(documents_, "node", "left").groupBy("depth").agg(F.count("*").alias("n_pages"), total("n_blocks"), total("n_links"), total("n_internal"))

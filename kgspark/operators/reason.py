@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,26 +61,49 @@ def related_unexplored(graph: DataFrame, starts: DataFrame, explored: DataFrame)
     return rows.join(explored.select(F.col("name").alias("dst")), "dst", "left_anti").select(F.col("src").alias("start"), F.col("dst").alias("concept"), "ord")
 
 
-def prerequisite_chain(graph: DataFrame, starts: DataFrame, store: Store, most: int = 50) -> DataFrame:
-    """All prerequisites, dependencies before dependents: start, concept, place.
+def prerequisite_chain(graph: DataFrame, starts: DataFrame, store: Store) -> DataFrame:
+    """All prerequisites of each start, what they need before them: start, concept, place.
 
-    Ordered by the longest way from the start, farthest first, then by name.
-    On a cycle ways are followed for ``most`` steps, or as long as new ones come.
+    The order is that of a walk over dependencies in their order (``ord``, then
+    name): a concept is listed when the walk comes back from it, or at once
+    where the walk has been at it before, as on cycles.  Cycles end, and no depth
+    is cut.  What is reachable is found for all starts together; a start's walk
+    is one task over the dependencies that it reaches.
     """
-    steps = graph.where("dep_kind = 'dependency' and src <> dst").select("src", "dst").distinct()
-    frontier = starts.select(F.col("name").alias("start"), F.col("name").alias("at"))
-    seen = None
-    for hop in range(1, most + 1):
-        frontier = store(frontier.join(steps, F.col("at") == F.col("src")).select("start", F.col("dst").alias("at")).where("start <> at").distinct())
+    needs = graph.where("dep_kind = 'dependency'")
+    order = F.min("ord") if "ord" in graph.columns else F.lit(0)
+    steps = store(needs.groupBy("src", "dst").agg(order.cast("long").alias("ord")))
+    frontier = reached = store(starts.select(F.col("name").alias("start"), F.col("name").alias("at")).distinct())
+    while True:
+        ahead = frontier.join(steps, F.col("at") == F.col("src")).select("start", F.col("dst").alias("at")).distinct()
+        frontier = store(ahead.join(reached, ["start", "at"], "left_anti"))
         if frontier.isEmpty():
             break
-        now = frontier.select("start", F.col("at").alias("concept"), F.lit(hop).alias("d"))
-        seen = now if seen is None else seen.unionByName(now)
-    if seen is None:
-        seen = frontier.select("start", F.col("at").alias("concept"), F.lit(0).alias("d"))
-    far = seen.groupBy("start", "concept").agg(F.max("d").alias("d"))
-    place = F.row_number().over(W.partitionBy("start").orderBy(F.desc("d"), "concept"))
-    return far.select("start", "concept", place.alias("place"))
+        reached = store(reached.unionByName(frontier))
+    arcs = reached.join(steps, F.col("at") == F.col("src")).select("start", "src", "dst", "ord")
+
+    def walk(arcs: pd.DataFrame) -> pd.DataFrame:
+        start = arcs["start"].iloc[0]
+        ahead: dict = {}
+        for src, dst in arcs.sort_values(["ord", "dst"])[["src", "dst"]].itertuples(index=False):
+            ahead.setdefault(src, []).append(dst)
+        chain, seen, way = {}, {start}, [(start, iter(ahead.get(start, ())))]
+        while way:
+            at, rest = way[-1]
+            step = next(rest, None)
+            if step is None:
+                way.pop()
+                if way:
+                    chain.setdefault(at)
+            elif step in seen:
+                chain.setdefault(step)
+            else:
+                seen.add(step)
+                way.append((step, iter(ahead.get(step, ()))))
+        return pd.DataFrame({"start": start, "concept": list(chain), "place": range(1, len(chain) + 1)})
+
+    kind = graph.schema["src"].dataType.simpleString()
+    return arcs.groupBy("start").applyInPandas(walk, f"start {kind}, concept {kind}, place int")
 
 
 def knowledge_gaps(graph: DataFrame, starts: DataFrame, explored: DataFrame, store: Store, true_depth: bool = False, most: int = 5) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.functions import json_text as J
+from kgspark.functions import numbers as N
 from kgspark.functions import text as T
 from kgspark.functions import vocabulary as V
 from kgspark.operators import metrics as M
@@ -56,7 +57,7 @@ def validation_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def merge_duplicates(edges: DataFrame) -> DataFrame:
     """One edge per source, target and type: average confidence, all evidence."""
     merged = edges.groupBy("doc_id", "source", "target", "relation_type").agg(
-        F.min_by("id", "ord").alias("id"), F.avg("confidence").alias("confidence"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("evidence_blocks")))).alias("evidence_blocks"), F.min("ord").alias("ord")
+        F.min_by("id", "ord").alias("id"), N.mean(F.col("confidence")).alias("confidence"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("evidence_blocks")))).alias("evidence_blocks"), F.min("ord").alias("ord")
     )
     return merged.select("doc_id", "id", "source", "target", "relation_type", "confidence", "evidence_blocks", "ord")
 
@@ -110,10 +111,10 @@ def prune(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def assemble(nodes: DataFrame, edges: DataFrame, prune_isolated: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Pruned, with ranks by importance and by confidence."""
+    """Pruned, with ranks by importance (to nine places, then by id) and by confidence."""
     if prune_isolated:
         nodes, edges = prune(nodes, edges)
-    n = nodes.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("importance_score"), "id")))
+    n = nodes.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(N.rounded(F.col("importance_score"), 9).desc(), "id")))
     e = edges.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("confidence"), "source", "target", "relation_type")))
     return n, e
 
@@ -135,7 +136,7 @@ def final_graph(nodes: DataFrame, edges: DataFrame, store: M.Store, min_confiden
 
 def full_format(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One JSON text per document with all parts of nodes and edges."""
-    r = lambda c, d: F.round(c, d).alias(c)
+    r = lambda c, d: N.rounded(F.col(c), d).alias(c)
     n = F.struct("id", "label", "type", "aliases", "occurrence_count", r("importance_score", 3), r("degree_centrality", 3), r("betweenness_centrality", 3), r("clustering_coefficient", 3))
     e = F.struct("id", "source", "target", "relation_type", r("confidence", 2), "evidence_blocks")
     return _as_json(nodes, n, edges, e)
@@ -143,8 +144,8 @@ def full_format(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def minimal_format(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What a viewer needs: id, label, type, importance / source, target, relation, weight."""
-    n = nodes.select("doc_id", "id", "label", "type", F.round("importance_score", 2).alias("importance"))
-    return n, edges.select("doc_id", "source", "target", F.col("relation_type").alias("relation"), F.round("confidence", 2).alias("weight"))
+    n = nodes.select("doc_id", "id", "label", "type", N.rounded(F.col("importance_score"), 2).alias("importance"))
+    return n, edges.select("doc_id", "source", "target", F.col("relation_type").alias("relation"), N.rounded(F.col("confidence"), 2).alias("weight"))
 
 
 def _as_json(nodes: DataFrame, node: Column, edges: DataFrame, edge: Column) -> DataFrame:
@@ -156,7 +157,7 @@ def _as_json(nodes: DataFrame, node: Column, edges: DataFrame, edge: Column) ->
 
 
 def relation_summary(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("relation_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("avg_confidence"))
+    return edges.groupBy("relation_type").agg(F.count("*").alias("n"), N.rounded(N.mean(F.col("confidence")), 4).alias("avg_confidence"))
 
 
 def top_nodes(nodes: DataFrame, n: int = 10) -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgspark.sources.tables import load
+from kgspark.sources.tables import load, store
 
 #: Concept types, picked by the length of a word.
 TYPES = ("core_concept", "method", "tool", "metric", "theory")
-VOCABULARY = 200
+#: A word of the dictionary is in so many documents at least.
+MIN_DOCUMENTS = 3
 
 
 def content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,19 +32,20 @@ def content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "position", kind.alias("type"), tag.alias("tag"), F.when(heading, F.col("line")).otherwise(F.concat(phrase, said)).alias("text"))
 
 
+def _words(texts: DataFrame, key: str) -> DataFrame:
+    lines = texts.where("text is not null").select(key, F.posexplode(F.split("text", "\n")).alias("position", "line"))
+    cut = lines.select(key, "position", F.explode(F.split("line", " ")).alias("w"))
+    return cut.select(key, "position", F.lower(F.regexp_replace("w", r"[^\p{L}]", "")).alias("word")).where("length(word) >= 7").distinct()
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of at least seven letters of each line: doc_id, position, word."""
-    docs = load(spark, sf_dir, "documents").where("text is not null")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "line"))
-    cut = lines.select("doc_id", "position", F.explode(F.split("line", " ")).alias("w"))
-    return cut.select("doc_id", "position", F.lower(F.regexp_replace("w", r"[^\p{L}]", "")).alias("word")).where("length(word) >= 7").distinct()
+    """Words of at least seven letters of each line, written once: doc_id, position, word."""
+    return store(_words(load(spark, sf_dir, "documents"), "doc_id"))
 
 
-def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words in most documents: word, df, rank."""
-    df = words(spark, sf_dir).groupBy("word").agg(F.count_distinct("doc_id").alias("df")).where("df >= 3")
-    best = df.orderBy(F.desc("df"), "word").limit(VOCABULARY)
-    return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("df"), "word")))
+def dictionary(held: DataFrame) -> DataFrame:
+    """The words of several documents: word, df."""
+    return held.groupBy("word").agg(F.count_distinct("doc_id").alias("df")).where(F.col("df") >= MIN_DOCUMENTS)
 
 
 def _type_of(n: Column) -> Column:
@@ -53,12 +55,21 @@ def _type_of(n: Column) -> Column:
     return out
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A candidate per block and frequent word: doc_id, position, ord, name, type, tenths."""
-    rows = words(spark, sf_dir).join(F.broadcast(dictionary(spark, sf_dir).select("word")), "word")  # VOCABULARY rows
+def _capital(word: Column) -> Column:
+    """With a capital, where the first letter is one of a to z."""
+    first = F.left(word, F.lit(1))
+    return F.concat(F.when(first.between("a", "z"), F.upper(first)).otherwise(first), F.substring(word, F.lit(2), F.length(word)))
+
+
+def candidates(held: DataFrame) -> DataFrame:
+    """A candidate per block and word of the dictionary: doc_id, position, ord, name, type, tenths.
+
+    ``held`` is ``words``.
+    """
+    rows = held.join(dictionary(held).select("word"), "word", "left_semi")
     rows = rows.withColumn("ord", F.row_number().over(W.partitionBy("doc_id").orderBy("position", "word")))
     n = F.length("word")
-    name = F.when(F.col("ord") % 3 == 1, F.concat("word", F.lit("s"))).when(F.col("ord") % 3 == 2, F.concat(F.upper(F.left("word", F.lit(1))), F.substring("word", 2, 100))).otherwise(F.col("word"))
+    name = F.when(F.col("ord") % 3 == 1, F.concat("word", F.lit("s"))).when(F.col("ord") % 3 == 2, _capital(F.col("word"))).otherwise(F.col("word"))
     return rows.select("doc_id", "position", "ord", "word", name.alias("name"), _type_of(n).alias("type"), (4 + n % 7).alias("tenths"))
 
 
@@ -77,7 +88,7 @@ def concept_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = F.concat(F.lit('{"name":'), q(F.col("name")), F.lit(',"type":'), q(F.col("type")), F.lit(',"description":'), q(F.col("name")), F.lit(',"confidence":'), _decimal(F.col("tenths")), F.lit("}"))
     odd = F.concat(F.lit('{"name":'), q(F.col("name")), F.lit(',"description":'), q(F.concat_ws(" ", F.array_repeat("name", 40))), F.lit(',"confidence":"high"},{"type":"x"}'))
     item = F.when(F.col("doc_id") % 6 == 5, odd).otherwise(full)
-    rows = candidates(spark, sf_dir).groupBy("doc_id", "position").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", item.alias("x")))), lambda s: s["x"]), ",").alias("items"))
+    rows = candidates(words(spark, sf_dir)).groupBy("doc_id", "position").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", item.alias("x")))), lambda s: s["x"]), ",").alias("items"))
     listed = F.concat(F.lit("["), "items", F.lit("]"))
     body = F.concat(F.lit('{"concepts":'), listed, F.lit("}"))
     return rows.select("doc_id", F.concat_ws("_", "doc_id", "position").alias("block_id"), F.col("position").alias("ord"), _in_form(F.col("doc_id"), body, listed).alias("raw_output"))
@@ -85,7 +96,7 @@ def concept_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def concept_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates as clustering takes them: doc_id, ord, name, type, description, block_id, heading_path, confidence."""
-    rows = candidates(spark, sf_dir)
+    rows = candidates(words(spark, sf_dir))
     path = F.when(F.col("position") > 0, F.array(F.concat(F.lit("part "), F.floor(F.col("position") / 3).cast("string")))).otherwise(F.array().cast("array<string>"))
     return rows.select("doc_id", "ord", "name", "type", F.col("name").alias("description"), F.concat_ws("_", "doc_id", "position").alias("block_id"), path.alias("heading_path"), (F.col("tenths") / 10.0).alias("confidence"))
 
@@ -100,16 +111,25 @@ def name_pairs(rows: DataFrame) -> DataFrame:
     return both.select("doc_id", "a", "b", F.lit(0.9).alias("similarity"))
 
 
-def vocabulary_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dictionary as canonical concepts without a document: canonical_id, ord, canonical_name, aliases."""
-    words_ = dictionary(spark, sf_dir)
-    return words_.select(F.concat(F.lit("c"), F.col("rank").cast("string")).alias("canonical_id"), F.col("rank").alias("ord"), F.col("word").alias("canonical_name"), F.array(F.concat("word", F.lit("s"))).alias("aliases"))
+def document_concepts(held: DataFrame) -> DataFrame:
+    """The dictionary words that each document holds, as its concepts, frequent ones first.
+
+    ``held`` is ``words``.
+    """
+    own = held.select("doc_id", "word").distinct().join(dictionary(held), "word")
+    order = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("df"), "word"))
+    ident = F.concat(F.lit("c"), F.substring(F.md5("word"), 1, 10))
+    return own.select("doc_id", ident.alias("canonical_id"), order.alias("ord"), F.col("word").alias("canonical_name"), F.array(F.concat("word", F.lit("s"))).alias("aliases"))
+
+
+def corpus_concepts(held: DataFrame) -> DataFrame:
+    """The dictionary as known concepts of the whole corpus: name, ord."""
+    return dictionary(held).select(F.col("word").alias("name"), (-F.col("df")).alias("ord"))
 
 
-def document_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dictionary words that each document holds, as its concepts."""
-    held = words(spark, sf_dir).select("doc_id", F.col("word").alias("canonical_name")).distinct()
-    return held.join(F.broadcast(vocabulary_concepts(spark, sf_dir)), "canonical_name").select("doc_id", "canonical_id", "ord", "canonical_name", "aliases")
+def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the benchmark's texts count as explored: name."""
+    return _words(load(spark, sf_dir, "benchmark"), "item_id").select(F.col("word").alias("name")).distinct()
 
 
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,18 +138,18 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "text")).select("doc_id", F.concat_ws("_", "doc_id", "position").alias("block_id"), "position", "text")
 
 
-def relation_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies that relate neighbouring candidates of a block: doc_id, block_id, ord, raw_output.
+def relation_replies(held: DataFrame) -> DataFrame:
+    """From ``words``, replies that relate neighbouring candidates of a block: doc_id, block_id, ord, raw_output.
 
     By place also lower-case types, unknown types, self-loops, an unknown
     concept, and confidences out of range.
     """
-    rows = candidates(spark, sf_dir)
+    rows = candidates(held)
     after = F.lead("word").over(W.partitionBy("doc_id", "position").orderBy("ord"))
     rows = rows.withColumn("after", after).where("after is not null")
     k = F.col("ord") % 8
     kind = F.when(k == 0, "uses").when(k == 1, "LIKES").when(k == 2, "CAUSES").when(k == 3, "PART_OF").otherwise("DEPENDS_ON")
-    target = F.when(k == 4, F.initcap("word")).when(k == 5, "zzzzzzz").otherwise(F.col("after"))
+    target = F.when(k == 4, _capital(F.col("word"))).when(k == 5, "zzzzzzz").otherwise(F.col("after"))
     confidence = F.when(k == 6, "1.7").when(k == 7, "-0.2").otherwise(_decimal(F.col("tenths")))
     item = F.concat(F.lit('{"source":"'), "word", F.lit('","target":" '), target, F.lit('","relation_type":"'), kind, F.lit('","confidence":'), confidence, F.lit("}"))
     listed = rows.groupBy("doc_id", "position").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", item.alias("x")))), lambda s: s["x"]), ",").alias("items"))
@@ -140,27 +160,52 @@ def relation_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 RELATIONS = {"AF": "CAUSES", "AO": "CONTRASTS_WITH", "NF": "USES", "NO": "PART_OF", "RF": "DEPENDS_ON", "RO": "DEFINES"}
 
 
-def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trade between nations as relations: doc_id, id, source, target, relation_type, confidence, evidence_blocks, ord."""
+def _trade(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    """Line items by nation of supplier and customer, and flag: source, target, rf, n, cents, evidence.
+
+    ``by`` may be "doc_id": the customers are documents by hundreds.
+    """
     t = lambda name: load(spark, sf_dir, name)
     line = t("lineitem").select("l_orderkey", "l_suppkey", "l_discount", F.concat("l_returnflag", "l_linestatus").alias("rf"))
     joined = line.join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("target")), "o_custkey").join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("source")), "l_suppkey")
-    grouped = joined.groupBy("source", "target", "rf").agg(F.count("*").alias("n"), F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("cents"), F.min("l_orderkey").alias("evidence"))
-    best = F.row_number().over(W.partitionBy("source", "rf").orderBy(F.desc("n"), "target"))
-    kept = grouped.withColumn("k", best).where("k <= 2")
+    joined = joined.withColumn("doc_id", F.expr("o_custkey div 100"))
+    return joined.groupBy(*by, "source", "target", "rf").agg(F.count("*").alias("n"), F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("cents"), F.min("l_orderkey").alias("evidence"))
+
+
+def _relation(flag: Column) -> Column:
     relation = F.lit(None).cast("string")
-    for flag, name in RELATIONS.items():
-        relation = F.when(F.col("rf") == flag, name).otherwise(relation)
-    confidence = F.least(F.lit(1.0), 0.3 + 5 * (F.col("cents") / F.col("n") / 100.0))
-    order = F.row_number().over(W.orderBy("source", "target", "rf"))  # two per nation and flag
-    return kept.select(F.lit(0).alias("doc_id"), F.concat_ws("_", "source", "target", "rf").alias("id"), "source", "target", relation.alias("relation_type"), confidence.alias("confidence"), F.array(F.col("evidence").cast("string")).alias("evidence_blocks"), order.alias("ord"))
+    for value, name in RELATIONS.items():
+        relation = F.when(flag == value, name).otherwise(relation)
+    return relation
+
+
+def _confidence() -> Column:
+    """From the average discount, to four places."""
+    return F.least(F.lit(10_000), F.expr("3000 + 500 * cents div n")) / F.lit(10_000.0)
+
+
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trade between nations as relations, a graph per hundred customers: doc_id, id, source, target, relation_type, confidence, evidence_blocks, ord."""
+    order = F.row_number().over(W.partitionBy("doc_id").orderBy("source", "target", "rf"))
+    return _trade(spark, sf_dir, "doc_id").select("doc_id", F.concat_ws("_", "source", "target", "rf").alias("id"), "source", "target", _relation(F.col("rf")).alias("relation_type"), _confidence().alias("confidence"), F.array(F.col("evidence").cast("string")).alias("evidence_blocks"), order.alias("ord"))
 
 
 def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as nodes: doc_id, id, label, type, aliases, occurrence_count."""
-    nation, customer = load(spark, sf_dir, "nation"), load(spark, sf_dir, "customer")
-    n = customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").cast("int").alias("occurrence_count"))
-    return nation.join(n, "n_nationkey", "left").select(F.lit(0).alias("doc_id"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"), F.lit("core_concept").alias("type"), F.array().cast("array<string>").alias("aliases"), F.coalesce("occurrence_count", F.lit(0)).alias("occurrence_count"))
+    """The nations of each graph as nodes: doc_id, id, label, type, aliases, occurrence_count."""
+    edges = _trade(spark, sf_dir, "doc_id")
+    ends = edges.select("doc_id", F.col("source").alias("id")).unionByName(edges.select("doc_id", F.col("target").alias("id"))).distinct()
+    n = load(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 100").alias("doc_id"), F.col("c_nationkey").alias("id")).agg(F.count("*").cast("int").alias("occurrence_count"))
+    named = ends.join(load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label")), "id").join(n, ["doc_id", "id"], "left")
+    return named.select("doc_id", "id", "label", F.lit("core_concept").alias("type"), F.array().cast("array<string>").alias("aliases"), F.coalesce("occurrence_count", F.lit(0)).alias("occurrence_count"))
+
+
+def net_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who sells more to the other, of each two nations and flag: source, target, relation_type, confidence, ord."""
+    sold = store(_trade(spark, sf_dir))
+    bought = sold.select(F.col("source").alias("target"), F.col("target").alias("source"), "rf", F.col("n").alias("back"))
+    net = sold.join(bought, ["source", "target", "rf"], "left").where("source <> target and n > coalesce(back, 0)")
+    order = F.row_number().over(W.orderBy("source", "target", "rf"))  # a row per two nations and flag
+    return net.select("source", "target", _relation(F.col("rf")).alias("relation_type"), _confidence().alias("confidence"), order.alias("ord"))
 
 
 def trade_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,8 +215,8 @@ def trade_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trade between nations by name: src, dst, relation, ord."""
-    edges, nation = trade_edges(spark, sf_dir), load(spark, sf_dir, "nation")
+    """Net trade between nations by name: src, dst, relation, ord."""
+    edges, nation = net_edges(spark, sf_dir), load(spark, sf_dir, "nation")
     named = lambda end, name: nation.select(F.col("n_nationkey").alias(end), F.col("n_name").alias(name))
     return edges.join(named("source", "src"), "source").join(named("target", "dst"), "target").select("src", "dst", F.col("relation_type").alias("relation"), "ord")
 

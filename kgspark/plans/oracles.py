@@ -4,6 +4,16 @@ from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
 
+
+def _round(value: str, places: int) -> str:
+    """Half up, of the value to nine places."""
+    return f"CAST(round(CAST({value} AS DECIMAL(28,9)), {places}) AS DOUBLE)"
+
+
+def _mean(value: str, places: int) -> str:
+    return _round(f"sum(CAST({value} AS DECIMAL(20,10)))::DOUBLE / count(*)", places)
+
+
 _CB = r"""
 lines AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS position, unnest(s) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
@@ -28,6 +38,7 @@ par AS (SELECT s.doc_id, s.idx, s.heading, s.level, max(p.idx) AS parent FROM se
 tree AS (SELECT doc_id, idx, heading, level, parent, 1 AS depth, heading AS path FROM par WHERE parent IS NULL
   UNION ALL SELECT c.doc_id, c.idx, c.heading, c.level, c.parent, t.depth + 1, t.path || ' > ' || c.heading FROM par c JOIN tree t ON c.doc_id = t.doc_id AND c.parent = t.idx)"""
 
+# Transition, definition and example phrases.
 _PHRASES = ("however", "for example", "in contrast", "therefore", "this means", "on the other hand", "furthermore", "moreover", "nevertheless", "consequently", "in addition", "similarly", "alternatively", "specifically", "for instance")
 _DEFINES = ("is defined as", "refers to", "is called", "means that", "can be defined as", "is known as", "we define", "definition:")
 _SHOWS = ("for example", "for instance", "consider", "let''s say", "suppose", "imagine that", "e.g.", "such as")
@@ -62,7 +73,7 @@ ORACLES["block_types"] = _SEM + "SELECT lang, block_type, count(*) AS n_blocks,
 ORACLES["sections_roots_only"] = _SEM + "SELECT doc_id, count(*) AS n_blocks, sum(tokens) AS tokens FROM sem WHERE parent IS NULL GROUP BY doc_id"
 ORACLES["block_validation"] = _SEM + "SELECT doc_id, substr(md5(doc_id || '|' || ord), 1, 12) AS block_id, 'many tokens' AS rule, 'warning' AS severity FROM sem WHERE tokens >= 350"
 ORACLES["max_blocks_per_doc"] = _SEM + "SELECT doc_id, substr(md5(doc_id || '|' || ord), 1, 12) AS block_id, ord AS order_index FROM sem WHERE ord <= 3"
-ORACLES["eligible_prompts"] = _SEM + "SELECT doc_id, count(*) AS n_prompts, sum(length(text)) AS n_chars FROM sem WHERE length(trim(text)) >= 20 GROUP BY doc_id"
+ORACLES["eligible_prompts"] = _SEM + "SELECT s.doc_id, substr(md5(s.doc_id || '|' || ord), 1, 12) AS block_id, md5('Name the concepts that the text explains. Answer with JSON only: {\"concepts\": [{\"name\", \"type\", \"description\", \"confidence\"}]}.' || chr(10) || 'Context: ' || t.path || chr(10) || 'Text: ' || s.text) AS digest FROM sem s JOIN tree t ON t.doc_id = s.doc_id AND t.idx = s.section WHERE length(trim(s.text)) >= 20"
 
 # Pages ---------------------------------------------------------------------
 
@@ -100,27 +111,47 @@ ORACLES["url_strip_tracking"] = rf"""WITH u AS (SELECT page_id, url, regexp_extr
 p AS (SELECT page_id, url, q, list_filter(string_split(q, '&'), lambda x: split_part(x, '=', 2) <> '' AND NOT list_contains(['utm_source','utm_medium','utm_campaign','utm_term','utm_content','fbclid','gclid','msclkid','ref','source'], split_part(x, '=', 1))) AS kept FROM u)
 SELECT page_id, CASE WHEN q = '' THEN url ELSE {_ROOT} || {_PATH} || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS clean FROM p"""
 ORACLES["url_sanitize"] = "SELECT page_id, CASE WHEN page_id % 3 = 1 THEN url || '(a)' ELSE url END AS clean FROM pages"
-ORACLES["crawl_frontier"] = """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
-e AS (SELECT page_id AS src, (page_id * 7 + 1) % n AS dst FROM pages, n UNION SELECT page_id, (page_id * 3 + 2) % n FROM pages, n),
-b AS (SELECT page_id AS node, 0 AS depth FROM pages WHERE page_id = 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node JOIN pages p ON p.page_id = e.dst WHERE b.depth < 6)
-SELECT node, min(depth) AS depth FROM b GROUP BY node"""
+# Tokens of a page, tags of one name paired by how deep they nest.
+_TAGS = rf"""
+tk AS (SELECT page_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS tok FROM (SELECT page_id, regexp_extract_all({_CLEAN}, '(?s)(</?[A-Za-z][^>]*>|[^<]+)') AS t FROM pages)),
+tg AS (SELECT *, lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) AS tag, CASE WHEN prefix(tok, '</') THEN -1 ELSE 1 END AS step FROM tk),
+dp AS (SELECT *, sum(step) OVER (PARTITION BY page_id, tag ORDER BY pos) + CASE WHEN step < 0 THEN 1 ELSE 0 END AS level FROM tg WHERE tag <> ''),
+el AS (SELECT * FROM (SELECT *, coalesce(lead(pos) OVER (PARTITION BY page_id, tag, level ORDER BY pos), 2147483647) AS stop FROM dp) WHERE step > 0),
+dn AS (SELECT e.page_id, e.pos AS begin, sum(CASE WHEN t.tag = '' THEN length(trim(regexp_replace({_UNESCAPE.format("t.tok")}, '\s+', ' ', 'g'))) ELSE 0 END) AS chars, count(*) FILTER (t.tag <> '' AND t.step > 0) AS children
+  FROM el e JOIN tg t ON t.page_id = e.page_id AND t.pos > e.pos AND t.pos < e.stop WHERE e.tag IN ('div', 'section', 'article', 'main') GROUP BY ALL)"""
+ORACLES["density_container"] = f"WITH {_TAGS} SELECT page_id, begin, round(density, 4) AS density FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY density DESC, begin) AS k FROM (SELECT *, chars::DOUBLE / greatest(children, 1) AS density FROM dn WHERE chars > 500)) WHERE k = 1"
+ORACLES["main_container"] = f"WITH {_TAGS} SELECT page_id, min(pos) AS begin FROM el WHERE tag = 'article' GROUP BY page_id"
+_LINKS = rf"""lk AS (SELECT page_id, generate_subscripts(hrefs, 1) - 1 AS ordinal, {_ROOT} || {_UNESCAPE.format("unnest(hrefs)")} AS target_url, trim(regexp_replace({_UNESCAPE.format("regexp_replace(unnest(labels), '<[^>]*>', ' ', 'g')")}, '\s+', ' ', 'g')) AS anchor_text
+  FROM (SELECT page_id, url, regexp_extract_all(a, '(?is)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1) AS hrefs, regexp_extract_all(a, '(?is)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2) AS labels FROM art JOIN pages USING (page_id)))"""
+_CLEAN_URL = rf"CASE WHEN regexp_extract(url, '\?([^#]*)', 1) = '' THEN regexp_replace(url, '#.*$', '') ELSE {_ROOT} || {_PATH} || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END"
+_CRAWL = rf"""{_ARTICLE}, {_LINKS},
+cu AS (SELECT page_id, {_CLEAN_URL} AS clean FROM (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: split_part(x, '=', 2) <> '' AND NOT list_contains(['utm_source','utm_medium','utm_campaign','utm_term','utm_content','fbclid','gclid','msclkid','ref','source'], split_part(x, '=', 1))) AS kept FROM pages)),
+met AS (SELECT clean AS url, 0 AS depth, NULL AS parent FROM cu GROUP BY clean
+  UNION ALL SELECT * FROM (SELECT target_url, 1, arg_min(clean, (clean, ordinal)) FROM lk JOIN (SELECT clean, min(page_id) AS page_id FROM cu GROUP BY clean) USING (page_id) GROUP BY target_url) WHERE target_url NOT IN (SELECT clean FROM cu))"""
+ORACLES["crawl_frontier"] = f"WITH {_CRAWL} SELECT url, depth, parent FROM met"
+ORACLES["crawl_summary"] = f"""WITH {_CRAWL}, first AS (SELECT clean, min(page_id) AS page_id FROM cu GROUP BY clean), n AS (SELECT page_id, count(*) AS n FROM pb GROUP BY page_id), l AS (SELECT page_id, count(*) AS n FROM lk GROUP BY page_id)
+SELECT depth, count(*) AS n_pages, CAST(coalesce(sum(n.n), 0) AS BIGINT) AS n_blocks, CAST(coalesce(sum(l.n), 0) AS BIGINT) AS n_links, CAST(coalesce(sum(l.n), 0) AS BIGINT) AS n_internal FROM met LEFT JOIN first ON clean = met.url LEFT JOIN n USING (page_id) LEFT JOIN l USING (page_id) GROUP BY depth"""
 ORACLES["page_documents"] = rf"""WITH {_ARTICLE}, n AS (SELECT page_id, count(*) AS n FROM pb GROUP BY page_id)
 SELECT page_id, substr(md5(url), 1, 12) AS id, url, {_TITLE} AS title, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain, coalesce(n, 0) AS n_blocks,
  len(regexp_extract_all(regexp_extract({_CLEAN}, '(?s)<article>(.*?)</article>', 1), '<a ')) AS n_links, len(regexp_extract_all(regexp_extract({_CLEAN}, '(?s)<article>(.*?)</article>', 1), '<a ')) AS n_internal FROM pages LEFT JOIN n USING (page_id)"""
 # The article's heading, if it has one, comes first; the rest is one section.
-_DIGEST = f"""WITH {_ARTICLE}, body AS (SELECT page_id, string_agg(text, chr(10) ORDER BY position) FILTER (NOT tag LIKE 'h%') AS content,
-  coalesce(max(text) FILTER (tag LIKE 'h%'), 'Introduction') AS heading FROM pb GROUP BY page_id)"""
-ORACLES["page_digest"] = f"{_DIGEST} SELECT page_id AS doc_id, 1 AS n_sections, md5('## ' || heading || chr(10) || left(content, 700)) AS digest FROM body WHERE content IS NOT NULL"
-ORACLES["page_full_text"] = f"{_DIGEST} SELECT page_id AS doc_id, 1 AS n_sections, length('## ' || heading || chr(10) || content) AS n_chars FROM body WHERE content IS NOT NULL"
+_DIGEST = f"""WITH {_ARTICLE}, {_LINKS}, body AS (SELECT page_id, string_agg(text, chr(10) ORDER BY position) FILTER (NOT tag LIKE 'h%') AS content,
+  coalesce(max(text) FILTER (tag LIKE 'h%'), 'Introduction') AS heading, coalesce(max(TRY_CAST(substr(tag, 2) AS INT)) FILTER (tag LIKE 'h%'), 1) AS level FROM pb GROUP BY page_id),
+links AS (SELECT page_id, count(*) AS n, count(*) FILTER (ordinal < 20) AS n20, string_agg(target_url || ' ' || left(anchor_text, 100), chr(10) ORDER BY ordinal) FILTER (ordinal < 20) AS short, string_agg(target_url || ' ' || anchor_text, chr(10) ORDER BY ordinal) AS long FROM lk GROUP BY page_id),
+dg AS (SELECT b.page_id AS doc_id, {_TITLE} AS title, heading, level, content, coalesce(n, 0) AS n, coalesce(n20, 0) AS n20, coalesce(short, '') AS short, coalesce(long, '') AS long FROM body b JOIN pages USING (page_id) LEFT JOIN links USING (page_id) WHERE content IS NOT NULL)"""
+_BAD = _any("lower(title)", ("404", "not found", "access denied", "forbidden", "just a moment", "attention required", "error", "captcha", "blocked")) + " OR " + _any("left(lower(@), 2000)", ("page not found", "access denied", "forbidden", "just a moment", "attention required", "verify you are human", "captcha", "request blocked", "error 404"))
+_SHORT, _LONG = "'## ' || heading || chr(10) || left(content, 700)", "'## ' || heading || chr(10) || content"
+ORACLES["page_digest"] = f"{_DIGEST} SELECT doc_id, title, md5({_SHORT}) AS digest, level || ' ' || heading AS sections, n20 AS n_links, md5(short) AS links, {_BAD.replace('@', _SHORT)} AS is_error FROM dg"
+ORACLES["page_full_text"] = f"{_DIGEST} SELECT doc_id, title, length({_LONG}) AS n_chars, md5(left(content, 2000)) AS sections, n AS n_links, md5(long) AS links, {_BAD.replace('@', _LONG)} AS is_error FROM dg"
 
 # Concept candidates --------------------------------------------------------
 
 _WORDS = r"""
 wl AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS position, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
 ws AS (SELECT DISTINCT doc_id, position, word FROM (SELECT doc_id, position, lower(regexp_replace(unnest(string_split(line, ' ')), '[^\p{L}]', '', 'g')) AS word FROM wl) WHERE length(word) >= 7),
-dict AS (SELECT word, rank FROM (SELECT word, row_number() OVER (ORDER BY count(DISTINCT doc_id) DESC, word) AS rank FROM ws GROUP BY word HAVING count(DISTINCT doc_id) >= 3) WHERE rank <= 200),
+dict AS (SELECT word, count(DISTINCT doc_id) AS df FROM ws GROUP BY word HAVING count(DISTINCT doc_id) >= 3),
 num AS (SELECT ws.*, row_number() OVER (PARTITION BY doc_id ORDER BY position, word) AS ord FROM ws SEMI JOIN dict USING (word)),
-cand AS (SELECT *, CASE ord % 3 WHEN 1 THEN word || 's' WHEN 2 THEN upper(left(word, 1)) || substr(word, 2) ELSE word END AS name,
+cand AS (SELECT *, CASE ord % 3 WHEN 1 THEN word || 's' WHEN 2 THEN CASE WHEN left(word, 1) BETWEEN 'a' AND 'z' THEN upper(left(word, 1)) ELSE left(word, 1) END || substr(word, 2) ELSE word END AS name,
   CASE length(word) % 5 WHEN 0 THEN 'core_concept' WHEN 1 THEN 'method' WHEN 2 THEN 'tool' WHEN 3 THEN 'metric' ELSE 'theory' END AS type,
   (4 + length(word) % 7) / 10.0 AS conf, doc_id || '_' || position AS block_id,
   row_number() OVER (PARTITION BY doc_id, position ORDER BY word) - 1 AS nth FROM num)"""
@@ -139,9 +170,15 @@ SELECT doc_id, name, block_id, confidence FROM (SELECT *, row_number() OVER (PAR
 ORACLES["concept_counters"] = f"""WITH {_PARSED}, f AS (SELECT doc_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, block_id, lower(name) ORDER BY confidence DESC, position, place) AS k FROM named WHERE confidence >= 0.5) WHERE k = 1 GROUP BY doc_id),
 r AS (SELECT doc_id, count(*) AS n FROM parsed GROUP BY doc_id), b AS (SELECT doc_id, count(DISTINCT position) AS n FROM cand GROUP BY doc_id)
 SELECT b.doc_id, b.n AS n_blocks, 0 AS n_failed, coalesce(r.n, 0) AS n_raw, coalesce(f.n, 0) AS n_kept FROM b LEFT JOIN r USING (doc_id) LEFT JOIN f USING (doc_id)"""
-ORACLES["concept_summary"] = f"WITH {_PARSED} SELECT type, count(*) AS n, round(avg(confidence), 4) AS avg_confidence, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS share FROM parsed GROUP BY type"
+ORACLES["concept_summary"] = f"WITH {_PARSED} SELECT type, count(*) AS n, {_mean('confidence', 4)} AS avg_confidence, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS share FROM parsed GROUP BY type"
 ORACLES["concept_top"] = f"WITH {_PARSED} SELECT doc_id, block_id, name, confidence FROM parsed ORDER BY confidence DESC, name, doc_id, position, place LIMIT 10"
 
+ORACLES["concept_valid"] = f"WITH {_WORDS} SELECT doc_id, ord, ord % 7 <> 0 AND ord % 5 <> 0 AS valid FROM cand"
+ORACLES["concept_provenance"] = f"""WITH {_PARSED}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, block_id, lower(name) ORDER BY confidence DESC, position, place) AS k FROM named WHERE confidence >= 0.5) WHERE k = 1)
+SELECT doc_id, substr(md5(block_id || '|' || lower(name)), 1, 12) AS concept_id, name, block_id AS source_block_id, CASE WHEN position > 0 THEN 'part ' || position // 3 ELSE '' END AS heading_path FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY confidence DESC, position, place) AS j FROM f) WHERE j = 1"""
+ORACLES["reply_failures"] = f"WITH {_WORDS} SELECT doc_id, 'no JSON' AS reason, count(DISTINCT position) AS n FROM cand WHERE doc_id % 6 = 3 GROUP BY doc_id"
+ORACLES["completion_join"] = "SELECT d.doc_id AS key, 'quality ' || quality AS raw_output FROM documents d LEFT JOIN labels USING (doc_id)"
+
 
 def _name_key(c: str) -> str:
     plain = rf"list_filter(string_split_regex(replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '-', ' '), '\s+'), lambda w: w <> '')"
@@ -158,6 +195,11 @@ ORACLES["name_keys"] = f"SELECT p_partkey, {_name_key('p_name')} AS name_key FRO
 ORACLES["exact_dedup"] = f"WITH {_UNIQUE} SELECT doc_id, ord, name_key, confidence FROM uniq"
 ORACLES["cosine_pairs"] = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
 SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.45"""
+ORACLES["cosine_pairs_corpus"] = """WITH v AS (SELECT vec_id AS i, embedding::DOUBLE[] AS e FROM embeddings UNION ALL SELECT vec_id + 1000000000, list_prepend((embedding[1] + 0.01::FLOAT)::DOUBLE, embedding[2:]::DOUBLE[]) FROM embeddings)
+SELECT a.i AS a, b.i AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.i < b.i WHERE list_cosine_similarity(a.e, b.e) >= 0.95"""
+ORACLES["similarity_graph"] = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
+SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.4"""
+ORACLES["embedding_texts"] = f"WITH {_WORDS}, t AS (SELECT doc_id, ord, name || '. ' || name AS x FROM cand) SELECT doc_id, ord, md5(x) AS digest, CASE WHEN length(x) % 3 > 0 THEN CAST(length(x) AS INT) END AS first FROM t"
 ORACLES["components"] = f"WITH {_CLUSTERS} SELECT doc_id, ord, cluster, size, round(CASE WHEN size = 1 THEN 1.0 ELSE 0.9 * (size - 1) / (size * (size - 1) / 2.0) END, 6) AS similarity FROM clus"
 ORACLES["cluster_stats"] = f"WITH {_CLUSTERS}, c AS (SELECT doc_id, cluster, count(*) AS n FROM clus GROUP BY ALL) SELECT doc_id, count(*) AS n_clusters, count(*) FILTER (n = 1) AS n_single, count(*) FILTER (n > 1) AS n_multi, round(avg(n), 4) AS avg_size, max(n) AS max_size FROM c GROUP BY doc_id"
 ORACLES["verdict_split"] = f"WITH {_CLUSTERS} SELECT doc_id, ord, CASE WHEN size > 1 AND cluster % 3 > 0 THEN ord ELSE cluster END AS cluster, CASE WHEN size > 1 AND cluster % 3 > 0 THEN 1 ELSE size END AS size FROM clus"
@@ -166,17 +208,19 @@ ORACLES["canonical_names"] = f"WITH {_NAMES} SELECT doc_id, cluster, canonical_n
 _CANON = f"""{_NAMES}, tot AS (SELECT doc_id, count(*) AS total FROM cand GROUP BY doc_id),
 kinds AS (SELECT doc_id, cluster, type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cluster ORDER BY n DESC, f) AS k FROM (SELECT doc_id, cluster, type, count(*) AS n, min(ord) AS f FROM clus GROUP BY ALL)) WHERE k = 1),
 canon AS (SELECT c.doc_id, c.cluster, any_value(b.canonical_name) AS canonical_name, list_sort(list_distinct(list(c.name))) AS names, any_value(k.type) AS type, list_sort(list_distinct(list(c.block_id))) AS blocks,
-  count(*) AS n, count(DISTINCT CASE WHEN position > 0 THEN position // 3 END) AS paths, avg(c.confidence) AS conf, any_value(total) AS total
+  count(*) AS n, count(DISTINCT CASE WHEN position > 0 THEN position // 3 END) AS paths, sum(CAST(c.confidence AS DECIMAL(20,10)))::DOUBLE / count(*) AS conf, any_value(total) AS total
   FROM clus c JOIN best b USING (doc_id, cluster) JOIN kinds k USING (doc_id, cluster) JOIN tot USING (doc_id) GROUP BY c.doc_id, c.cluster)"""
 ORACLES["canonical_merge"] = f"""WITH {_CANON} SELECT doc_id, substr(md5(doc_id || '|' || cluster), 1, 12) AS canonical_id, canonical_name, array_to_string(list_filter(names, lambda x: x <> canonical_name), ',') AS aliases, type, array_to_string(blocks, ',') AS source_blocks, CAST(n AS INT) AS occurrence_count,
- round(1e-9 + 0.4 * least(1.0::DOUBLE, 10.0::DOUBLE * n / total) + 0.3 * least(1.0::DOUBLE, paths / 5.0::DOUBLE) + 0.3 * conf, 3) AS importance_score FROM canon"""
+ {_round("0.4 * least(1.0::DOUBLE, 10.0::DOUBLE * n / total) + 0.3 * least(1.0::DOUBLE, paths / 5.0::DOUBLE) + 0.3 * conf", 3)} AS importance_score FROM canon"""
+ORACLES["graph_nodes_of_concepts"] = f"WITH {_CANON} SELECT doc_id, substr(md5(doc_id || '|' || cluster), 1, 12) AS id, canonical_name AS label, type, CAST(len(names) - 1 AS INT) AS n_aliases, CAST(n AS INT) AS occurrence_count FROM canon"
 ORACLES["normalization_funnel"] = f"""WITH {_CLUSTERS}, r AS (SELECT doc_id, count(*) AS a FROM cand GROUP BY doc_id), u AS (SELECT doc_id, count(*) AS b, count(DISTINCT cluster) AS c FROM clus GROUP BY doc_id)
 SELECT doc_id, a AS n_candidates, b AS n_unique, c AS n_canonical, round(100.0 * (1 - c::DOUBLE / a), 1) AS reduction FROM r JOIN u USING (doc_id)"""
 ORACLES["canonical_summary"] = f"WITH {_CANON} SELECT type, count(*) AS n, count(*) FILTER (len(names) > 1) AS n_with_aliases, sum(n) AS occurrences, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS share FROM canon GROUP BY type"
 
 # Relations -----------------------------------------------------------------
 
-_KNOWN = f"{_WORDS}, held AS (SELECT DISTINCT doc_id, word, rank FROM ws JOIN dict USING (word)), names AS (SELECT doc_id, name, 'c' || max(rank) AS concept_id FROM (SELECT doc_id, word AS name, rank FROM held UNION ALL SELECT doc_id, word || 's', rank FROM held) GROUP BY doc_id, name)"
+_KNOWN = f"""{_WORDS}, held AS (SELECT doc_id, word, 'c' || substr(md5(word), 1, 10) AS cid, row_number() OVER (PARTITION BY doc_id ORDER BY df DESC, word) AS nth FROM (SELECT DISTINCT doc_id, word FROM ws) JOIN dict USING (word)),
+names AS (SELECT doc_id, name, arg_max(cid, nth) AS concept_id FROM (SELECT doc_id, word AS name, cid, nth FROM held UNION ALL SELECT doc_id, word || 's', cid, nth FROM held) GROUP BY doc_id, name)"""
 _MENTIONS = f"{_KNOWN}, men AS (SELECT doc_id, block_id, concept_id FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, block_id) AS n FROM (SELECT DISTINCT l.doc_id, l.doc_id || '_' || position AS block_id, concept_id FROM wl l JOIN names USING (doc_id) WHERE contains(lower(line), name))) WHERE n >= 2)"
 ORACLES["name_lookup"] = f"WITH {_KNOWN} SELECT doc_id, name, concept_id FROM names"
 ORACLES["mention_map"] = f"WITH {_MENTIONS} SELECT doc_id, block_id, concept_id FROM men"
@@ -192,73 +236,101 @@ edg AS (SELECT 'e_' || substr(md5(r.doc_id || '|' || r.block_id || '|' || place)
   FROM rel r JOIN names a ON a.doc_id = r.doc_id AND a.name = r.source JOIN names b ON b.doc_id = r.doc_id AND b.name = r.target WHERE a.concept_id <> b.concept_id)"""
 ORACLES["relation_parse"] = f"WITH {_RELATED} SELECT doc_id, block_id, place, source, target, relation_type, confidence FROM rel"
 ORACLES["edge_validate"] = f"WITH {_RELATED} SELECT edge_id, doc_id, source_concept_id, target_concept_id, relation_type, evidence_block_id, confidence FROM edg"
-ORACLES["edge_dedup"] = f"WITH {_RELATED} SELECT doc_id, source_concept_id, target_concept_id, relation_type, first(edge_id ORDER BY position, place) AS edge_id, first(evidence_block_id ORDER BY position, place) AS evidence_block_id, round(avg(confidence), 2) AS confidence FROM edg GROUP BY doc_id, source_concept_id, target_concept_id, relation_type"
-ORACLES["edge_summary"] = f"WITH {_RELATED} SELECT relation_type, count(*) AS n, round(avg(confidence), 4) AS avg_confidence, count(*) FILTER (confidence >= 0.8) AS n_high, count(*) FILTER (confidence >= 0.6 AND confidence < 0.8) AS n_middle, count(*) FILTER (confidence < 0.6) AS n_low FROM edg GROUP BY relation_type"
+_MERGED = f"""{_RELATED}, mrg AS (SELECT doc_id, source_concept_id, target_concept_id, relation_type, first(edge_id ORDER BY position, place) AS edge_id, first(evidence_block_id ORDER BY position, place) AS evidence_block_id, {_mean("confidence", 2)} AS confidence FROM edg GROUP BY doc_id, source_concept_id, target_concept_id, relation_type)"""
+ORACLES["edge_dedup"] = f"WITH {_MERGED} SELECT * FROM mrg"
+ORACLES["graph_edges_of_relations"] = f"WITH {_MERGED} SELECT doc_id, edge_id AS id, source_concept_id AS source, target_concept_id AS target, relation_type, evidence_block_id AS evidence_blocks, row_number() OVER (PARTITION BY doc_id ORDER BY edge_id) AS ord FROM mrg"
+ORACLES["edge_summary"] = f"WITH {_RELATED} SELECT relation_type, count(*) AS n, {_mean('confidence', 4)} AS avg_confidence, count(*) FILTER (confidence >= 0.8) AS n_high, count(*) FILTER (confidence >= 0.6 AND confidence < 0.8) AS n_middle, count(*) FILTER (confidence < 0.6) AS n_low FROM edg GROUP BY relation_type"
+_TYPES = "DEFINES, CAUSES, DEPENDS_ON, PART_OF, USES, EXTENDS, CONTRASTS_WITH, MEASURED_BY, ASSOCIATED_WITH"
+ORACLES["relation_prompts"] = f"""WITH {_MENTIONS}, named AS (SELECT m.doc_id, block_id, array_to_string(list_sort(list(DISTINCT word)), ', ') AS listed FROM men m JOIN held h ON h.doc_id = m.doc_id AND h.cid = m.concept_id GROUP BY m.doc_id, block_id)
+SELECT n.doc_id, block_id, md5('Which of these relations does the text state? Types: {_TYPES}. Answer with JSON only.' || chr(10) || 'Concepts: ' || listed || chr(10) || 'Text: ' || line) AS digest FROM named n JOIN wl l ON l.doc_id = n.doc_id AND l.doc_id || '_' || l.position = block_id"""
+ORACLES["verification_prompts"] = f"""WITH {_RELATED}, e1 AS MATERIALIZED (SELECT e.*, h.word AS a FROM edg e JOIN held h ON h.doc_id = e.doc_id AND h.cid = source_concept_id), e2 AS MATERIALIZED (SELECT e.*, h.word AS b FROM e1 e JOIN held h ON h.doc_id = e.doc_id AND h.cid = target_concept_id)
+SELECT edge_id, e.doc_id, md5('Does the text say that ' || a || ' ' || relation_type || ' ' || b || '? Answer yes or no.' || chr(10) || 'Text: ' || line) AS digest FROM e2 e JOIN wl l ON l.doc_id = e.doc_id AND l.position = e.position"""
 
 # Graph ---------------------------------------------------------------------
 
-_TRADE = """
-tr0 AS (SELECT s_nationkey AS source, c_nationkey AS target, l_returnflag || l_linestatus AS rf, count(*) AS n, sum(CAST(round(l_discount * 100) AS BIGINT)) AS cents, min(l_orderkey) AS evidence
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
-tr1 AS (SELECT *, row_number() OVER (PARTITION BY source, rf ORDER BY n DESC, target) AS k FROM tr0),
-tr AS (SELECT source || '_' || target || '_' || rf AS id, source, target, CASE rf WHEN 'AF' THEN 'CAUSES' WHEN 'AO' THEN 'CONTRASTS_WITH' WHEN 'NF' THEN 'USES' WHEN 'NO' THEN 'PART_OF' WHEN 'RF' THEN 'DEPENDS_ON' WHEN 'RO' THEN 'DEFINES' END AS relation_type,
-  least(1.0::DOUBLE, 0.3::DOUBLE + 5 * (cents::DOUBLE / n / 100.0::DOUBLE)) AS confidence, evidence, row_number() OVER (ORDER BY source, target, rf) AS ord FROM tr1 WHERE k <= 2),
+_FLAGS = "CASE rf WHEN 'AF' THEN 'CAUSES' WHEN 'AO' THEN 'CONTRASTS_WITH' WHEN 'NF' THEN 'USES' WHEN 'NO' THEN 'PART_OF' WHEN 'RF' THEN 'DEPENDS_ON' WHEN 'RO' THEN 'DEFINES' END AS relation_type"
+_SALES = """
+tr0 AS (SELECT o_custkey // 100 AS doc_id, s_nationkey AS source, c_nationkey AS target, l_returnflag || l_linestatus AS rf, count(*) AS n, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS cents, min(l_orderkey) AS evidence
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"""
+_TRADE = f"""{_SALES},
+tr AS (SELECT doc_id, source || '_' || target || '_' || rf AS id, source, target, {_FLAGS}, least(10000, 3000 + (500 * cents) // n) / 10000.0::DOUBLE AS confidence, evidence, row_number() OVER (PARTITION BY doc_id ORDER BY source, target, rf) AS ord FROM tr0),
 val AS (SELECT * FROM tr WHERE source <> target),
 pri AS (SELECT *, CASE relation_type WHEN 'DEFINES' THEN 5 WHEN 'CAUSES' THEN 4 WHEN 'DEPENDS_ON' THEN 3 WHEN 'PART_OF' THEN 3 WHEN 'ASSOCIATED_WITH' THEN 1 ELSE 2 END AS p FROM val),
-con AS (SELECT *, row_number() OVER w AS k, max(CASE WHEN relation_type = 'CONTRASTS_WITH' THEN 1 ELSE 0 END) OVER q + max(CASE WHEN relation_type IN ('CAUSES', 'DEFINES', 'PART_OF') THEN 1 ELSE 0 END) OVER q AS clash FROM pri WINDOW w AS (PARTITION BY source, target ORDER BY p DESC, confidence DESC, ord), q AS (PARTITION BY source, target)),
-good AS (SELECT *, row_number() OVER w AS j, max(CASE WHEN relation_type = 'CONTRASTS_WITH' THEN 1 ELSE 0 END) OVER q + max(CASE WHEN relation_type IN ('CAUSES', 'DEFINES', 'PART_OF') THEN 1 ELSE 0 END) OVER q AS clash FROM pri WHERE confidence >= 0.55 WINDOW w AS (PARTITION BY source, target ORDER BY p DESC, confidence DESC, ord), q AS (PARTITION BY source, target)),
+con AS (SELECT *, row_number() OVER w AS k, max(CASE WHEN relation_type = 'CONTRASTS_WITH' THEN 1 ELSE 0 END) OVER q + max(CASE WHEN relation_type IN ('CAUSES', 'DEFINES', 'PART_OF') THEN 1 ELSE 0 END) OVER q AS clash FROM pri WINDOW w AS (PARTITION BY doc_id, source, target ORDER BY p DESC, confidence DESC, ord), q AS (PARTITION BY doc_id, source, target)),
+good AS (SELECT *, row_number() OVER w AS j, max(CASE WHEN relation_type = 'CONTRASTS_WITH' THEN 1 ELSE 0 END) OVER q + max(CASE WHEN relation_type IN ('CAUSES', 'DEFINES', 'PART_OF') THEN 1 ELSE 0 END) OVER q AS clash FROM pri WHERE confidence >= 0.55 WINDOW w AS (PARTITION BY doc_id, source, target ORDER BY p DESC, confidence DESC, ord), q AS (PARTITION BY doc_id, source, target)),
 ref AS (SELECT * FROM good WHERE clash < 2 OR j = 1),
-arcs AS (SELECT DISTINCT source AS u, target AS v FROM ref),
-nn AS (SELECT n_nationkey AS id, n_name AS label, coalesce(c, 0) AS occ FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey)"""
-_DEG = "deg AS (SELECT id, count(*) AS d FROM (SELECT u AS id FROM arcs UNION ALL SELECT v FROM arcs) GROUP BY id)"
+arcs AS (SELECT DISTINCT doc_id, source AS u, target AS v FROM ref),
+nn AS (SELECT doc_id, id, n_name AS label, coalesce(c, 0) AS occ FROM (SELECT doc_id, source AS id FROM tr0 UNION SELECT doc_id, target FROM tr0) JOIN nation ON n_nationkey = id LEFT JOIN (SELECT c_custkey // 100 AS doc_id, c_nationkey AS id, count(*) AS c FROM customer GROUP BY ALL) USING (doc_id, id)),
+sz AS (SELECT doc_id, count(*) AS k FROM nn GROUP BY doc_id)"""
+_DEG = "deg AS (SELECT doc_id, id, count(*) AS d FROM (SELECT doc_id, u AS id FROM arcs UNION ALL SELECT doc_id, v FROM arcs) GROUP BY doc_id, id)"
+_UND = "und AS (SELECT doc_id, u AS a, v AS b FROM arcs UNION SELECT doc_id, v, u FROM arcs)"
+_CLUST = f"""{_UND}, dg AS (SELECT doc_id, a AS id, count(*) AS d FROM und GROUP BY ALL),
+tri AS (SELECT x.doc_id, x.a AS id, count(*) AS t FROM und x JOIN und y ON x.doc_id = y.doc_id AND x.a = y.a AND x.b < y.b JOIN und z ON z.doc_id = x.doc_id AND z.a = x.b AND z.b = y.b GROUP BY ALL),
+clu AS (SELECT doc_id, id, CASE WHEN d >= 2 THEN 2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END AS cc FROM nn LEFT JOIN dg USING (doc_id, id) LEFT JOIN tri USING (doc_id, id))"""
 _WALK = """
-bfs AS (SELECT id AS s, id AS v, 0 AS dist FROM nn UNION SELECT b.s, a.v, b.dist + 1 FROM bfs b JOIN arcs a ON a.u = b.v WHERE b.dist < 24),
-short AS (SELECT s, v, min(dist) AS dist FROM bfs GROUP BY s, v),
-ways AS (SELECT id AS s, id AS v, 0 AS dist, 1.0::DOUBLE AS one FROM nn UNION ALL SELECT w.s, a.v, w.dist + 1, w.one FROM ways w JOIN arcs a ON a.u = w.v JOIN short d ON d.s = w.s AND d.v = a.v AND d.dist = w.dist + 1),
-sig AS (SELECT s, v, dist, count(*)::DOUBLE AS sigma FROM ways GROUP BY s, v, dist),
-btw AS (SELECT m.v AS id, sum(m.sigma * r.sigma / t.sigma) AS b FROM sig t JOIN sig m ON m.s = t.s JOIN sig r ON r.s = m.v AND r.v = t.v WHERE t.s <> t.v AND m.v <> t.s AND m.v <> t.v AND m.dist + r.dist = t.dist GROUP BY m.v)"""
+bfs AS (SELECT doc_id, id AS s, id AS v, 0 AS dist FROM nn UNION SELECT b.doc_id, b.s, a.v, b.dist + 1 FROM bfs b JOIN arcs a ON a.doc_id = b.doc_id AND a.u = b.v WHERE b.dist < 24),
+short AS (SELECT doc_id, s, v, min(dist) AS dist FROM bfs GROUP BY doc_id, s, v),
+ways AS (SELECT doc_id, id AS s, id AS v, 0 AS dist FROM nn UNION ALL SELECT w.doc_id, w.s, a.v, w.dist + 1 FROM ways w JOIN arcs a ON a.doc_id = w.doc_id AND a.u = w.v JOIN short d ON d.doc_id = w.doc_id AND d.s = w.s AND d.v = a.v AND d.dist = w.dist + 1),
+sig AS (SELECT doc_id, s, v, dist, count(*)::DOUBLE AS sigma FROM ways GROUP BY doc_id, s, v, dist),
+btw AS (SELECT m.doc_id, m.v AS id, sum(m.sigma * r.sigma / t.sigma) AS b FROM sig t JOIN sig m ON m.doc_id = t.doc_id AND m.s = t.s JOIN sig r ON r.doc_id = m.doc_id AND r.s = m.v AND r.v = t.v WHERE t.s <> t.v AND m.v <> t.s AND m.v <> t.v AND m.dist + r.dist = t.dist GROUP BY m.doc_id, m.v)"""
 _SCORED = f"""{_TRADE}, {_DEG}, {_WALK},
-cent AS (SELECT nn.*, coalesce(d, 0) / (25.0::DOUBLE - 1) AS dc, coalesce(b, 0) / (24.0::DOUBLE * 23) AS bc FROM nn LEFT JOIN deg USING (id) LEFT JOIN btw USING (id)),
-scored AS (SELECT *, 0.4 * occ / max(occ) OVER () + 0.3 * dc + 0.3 * bc AS imp FROM cent),
-refdeg AS (SELECT id, count(*) AS d FROM (SELECT source AS id FROM ref UNION ALL SELECT target FROM ref) GROUP BY id),
-keep AS (SELECT s.* FROM scored s LEFT JOIN refdeg r USING (id) WHERE coalesce(r.d, 0) > 0 OR occ > 1)"""
-ORACLES["graph_validate"] = f"WITH {_TRADE} SELECT 0 AS doc_id, (SELECT count(*) FROM nn) AS nodes_before, (SELECT count(*) FROM nn) AS nodes_after, (SELECT count(*) FROM tr) AS edges_before, (SELECT count(*) FROM val) AS edges_after"
-ORACLES["merge_duplicates"] = f"WITH {_TRADE} SELECT id, source, target, relation_type, round((confidence + confidence / 2) / 2, 6) AS confidence, CASE WHEN evidence::VARCHAR = '0' THEN '0' WHEN evidence::VARCHAR < '0' THEN evidence || ',0' ELSE '0,' || evidence END AS evidence_blocks FROM tr"
-ORACLES["graph_refine"] = f"WITH {_TRADE} SELECT id, source, target, relation_type, round(confidence, 6) AS confidence FROM ref"
-ORACLES["conflict_resolution"] = f"WITH {_TRADE} SELECT id, source, target, relation_type FROM con WHERE clash < 2 OR k = 1"
-ORACLES["degree_centrality"] = f"WITH {_TRADE}, {_DEG} SELECT id, round(coalesce(d, 0) / 24.0, 6) AS degree_centrality FROM nn LEFT JOIN deg USING (id)"
-ORACLES["clustering_coefficient"] = f"""WITH {_TRADE}, und AS (SELECT u AS a, v AS b FROM arcs UNION SELECT v, u FROM arcs), dg AS (SELECT a AS id, count(*) AS d FROM und GROUP BY a),
-tri AS (SELECT x.a AS id, count(*) AS t FROM und x JOIN und y ON x.a = y.a AND x.b < y.b JOIN und z ON z.a = x.b AND z.b = y.b GROUP BY x.a)
-SELECT id, round(CASE WHEN d >= 2 THEN 2.0 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END, 6) AS clustering_coefficient FROM nn LEFT JOIN dg USING (id) LEFT JOIN tri USING (id)"""
-ORACLES["betweenness"] = f"WITH RECURSIVE {_TRADE}, {_WALK} SELECT id, round(coalesce(b, 0) / (24.0 * 23), 6) AS betweenness_centrality FROM nn LEFT JOIN btw USING (id)"
-ORACLES["graph_metrics"] = f"""WITH RECURSIVE {_TRADE}, und AS (SELECT u AS a, v AS b FROM arcs UNION SELECT v, u FROM arcs),
-reach AS (SELECT id AS s, id AS v FROM nn UNION SELECT r.s, u.b FROM reach r JOIN und u ON u.a = r.v), comp AS (SELECT s, min(v) AS c FROM reach GROUP BY s)
-SELECT 25 AS num_nodes, (SELECT count(*) FROM arcs) AS num_edges, round((SELECT count(*) FROM arcs) / (25.0 * 24), 6) AS density, round(2.0 * (SELECT count(*) FROM arcs) / 25, 6) AS average_degree, (SELECT count(DISTINCT c) FROM comp) AS num_components"""
-ORACLES["final_graph_nodes"] = f"WITH RECURSIVE {_SCORED} SELECT id, label, CAST(occ AS INT) AS occurrence_count, round(imp, 4) AS importance_score, row_number() OVER (ORDER BY imp DESC, id) AS rank FROM keep"
-ORACLES["final_graph_edges"] = f"WITH {_TRADE} SELECT source, target, relation_type AS relation, round(confidence + 1e-9, 2) AS weight FROM ref"
-ORACLES["prune"] = f"""WITH {_TRADE}, few AS (SELECT * FROM ref WHERE source % 5 <> 0 AND target % 5 <> 0), dg AS (SELECT DISTINCT id FROM (SELECT source AS id FROM few UNION ALL SELECT target FROM few)), o AS (SELECT source AS id, count(*) AS n FROM few GROUP BY 1)
-SELECT id, coalesce(n, 0) AS n_out FROM dg LEFT JOIN o USING (id)"""
-ORACLES["relation_summary"] = f"WITH {_TRADE} SELECT relation_type, count(*) AS n, round(avg(confidence), 4) AS avg_confidence FROM ref GROUP BY 1"
-ORACLES["node_degrees"] = f"WITH {_TRADE}, d AS (SELECT id, count(*) AS n FROM (SELECT source AS id FROM ref UNION ALL SELECT target FROM ref) GROUP BY id) SELECT id, coalesce(n, 0) AS degree FROM nn LEFT JOIN d USING (id)"
-ORACLES["node_panel"] = f"WITH {_TRADE} SELECT source AS node, 'outgoing' AS direction, target AS other, relation_type AS relation, round(confidence + 1e-9, 2) AS weight FROM tr UNION ALL SELECT target, 'incoming', source, relation_type, round(confidence + 1e-9, 2) FROM tr"
-ORACLES["neighbors"] = f"WITH {_TRADE}, b AS (SELECT source AS node, target AS neighbour FROM tr UNION SELECT target, source FROM tr) SELECT node, neighbour FROM b JOIN nation ON n_nationkey = node WHERE n_regionkey = 2"
-ORACLES["viewer_defaults"] = f"WITH {_TRADE} SELECT source, target, CASE WHEN source % 3 > 0 THEN relation_type ELSE 'ASSOCIATED_WITH' END AS relation, CASE WHEN target % 3 > 0 THEN round(confidence + 1e-9, 2) ELSE 0.5 END AS weight FROM tr"
+cent AS (SELECT nn.*, CASE WHEN k > 1 THEN coalesce(d, 0) / (k - 1.0::DOUBLE) ELSE 1.0 END AS dc, CASE WHEN k > 2 THEN coalesce(b, 0) / ((k - 1.0::DOUBLE) * (k - 2)) ELSE 0 END AS bc FROM nn JOIN sz USING (doc_id) LEFT JOIN deg USING (doc_id, id) LEFT JOIN btw USING (doc_id, id)),
+scored AS (SELECT *, 0.4 * CASE WHEN max(occ) OVER (PARTITION BY doc_id) > 0 THEN occ::DOUBLE / max(occ) OVER (PARTITION BY doc_id) ELSE 0 END + 0.3 * dc + 0.3 * bc AS imp FROM cent),
+refdeg AS (SELECT doc_id, id, count(*) AS d FROM (SELECT doc_id, source AS id FROM ref UNION ALL SELECT doc_id, target FROM ref) GROUP BY ALL),
+keep AS (SELECT s.*, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(imp AS DECIMAL(28,9)) DESC, id) AS rank FROM scored s LEFT JOIN refdeg r USING (doc_id, id) WHERE coalesce(r.d, 0) > 0 OR occ > 1)"""
+ORACLES["graph_validate"] = f"""WITH {_TRADE} SELECT doc_id, k AS nodes_before, k AS nodes_after, coalesce(a, 0) AS edges_before, coalesce(b, 0) AS edges_after FROM sz LEFT JOIN (SELECT doc_id, count(*) AS a FROM tr GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS b FROM val GROUP BY 1) USING (doc_id)"""
+ORACLES["merge_duplicates"] = f"WITH {_TRADE} SELECT doc_id, id, source, target, relation_type, {_round('0.75 * confidence', 6)} AS confidence, CASE WHEN evidence::VARCHAR = '0' THEN '0' WHEN evidence::VARCHAR < '0' THEN evidence || ',0' ELSE '0,' || evidence END AS evidence_blocks FROM tr"
+ORACLES["graph_refine"] = f"WITH {_TRADE} SELECT doc_id, id, source, target, relation_type, {_round('confidence', 6)} AS confidence FROM ref"
+ORACLES["conflict_resolution"] = f"WITH {_TRADE} SELECT doc_id, id, source, target, relation_type FROM con WHERE clash < 2 OR k = 1"
+ORACLES["degree_centrality"] = f"WITH RECURSIVE {_SCORED} SELECT doc_id, id, {_round('dc', 6)} AS degree_centrality FROM cent"
+ORACLES["clustering_coefficient"] = f"WITH {_TRADE}, {_CLUST} SELECT doc_id, id, {_round('cc', 6)} AS clustering_coefficient FROM clu"
+ORACLES["betweenness"] = f"WITH RECURSIVE {_SCORED} SELECT doc_id, id, {_round('bc', 6)} AS betweenness_centrality FROM cent"
+_WHOLE = f"""{_UND}, reach AS (SELECT doc_id, id AS s, id AS v FROM nn UNION SELECT r.doc_id, r.s, u.b FROM reach r JOIN und u ON u.doc_id = r.doc_id AND u.a = r.v), comp AS (SELECT doc_id, s, min(v) AS c FROM reach GROUP BY doc_id, s),
+whole AS (SELECT doc_id, k, coalesce(m, 0) AS m, c FROM sz LEFT JOIN (SELECT doc_id, count(*) AS m FROM arcs GROUP BY 1) USING (doc_id) JOIN (SELECT doc_id, count(DISTINCT c) AS c FROM comp GROUP BY 1) USING (doc_id))"""
+ORACLES["graph_metrics"] = f"""WITH RECURSIVE {_TRADE}, {_WHOLE}
+SELECT doc_id, k AS num_nodes, m AS num_edges, CASE WHEN k > 1 THEN {_round('m::DOUBLE / (k * (k - 1))', 6)} ELSE 0.0 END AS density, {_round('2.0::DOUBLE * m / k', 6)} AS average_degree, c AS num_components FROM whole"""
+ORACLES["final_graph_nodes"] = f"WITH RECURSIVE {_SCORED} SELECT doc_id, id, label, CAST(occ AS INT) AS occurrence_count, {_round('imp', 4)} AS importance_score, rank FROM keep"
+ORACLES["top_nodes"] = f"WITH RECURSIVE {_SCORED} SELECT doc_id, id, rank FROM keep WHERE rank <= 10"
+ORACLES["final_graph_edges"] = f"WITH {_TRADE} SELECT doc_id, source, target, relation_type AS relation, {_round('confidence', 2)} AS weight FROM ref"
+ORACLES["final_graph_meta"] = f"""WITH RECURSIVE {_SCORED}, {_WHOLE} SELECT doc_id, k AS num_nodes, m AS num_edges, coalesce(a, 0) AS n_nodes, coalesce(b, 0) AS n_edges, CAST(0.55 AS DOUBLE) AS min_confidence
+FROM whole LEFT JOIN (SELECT doc_id, count(*) AS a FROM keep GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS b FROM ref GROUP BY 1) USING (doc_id)"""
+ORACLES["final_graph_json"] = f"""WITH RECURSIVE {_SCORED}, {_CLUST},
+jn AS (SELECT doc_id, string_agg('{{"id":' || id || ',"label":"' || label || '","type":"core_concept","aliases":[],"occurrence_count":' || occ || ',"importance_score":' || {_round('imp', 3)} || ',"degree_centrality":' || {_round('dc', 3)} || ',"betweenness_centrality":' || {_round('bc', 3)} || ',"clustering_coefficient":' || {_round('cc', 3)} || '}}', ',' ORDER BY rank) AS n FROM keep JOIN clu USING (doc_id, id) GROUP BY doc_id),
+je AS (SELECT doc_id, string_agg('{{"id":"' || id || '","source":' || source || ',"target":' || target || ',"relation_type":"' || relation_type || '","confidence":' || {_round('confidence', 2)} || ',"evidence_blocks":["' || evidence || '"]}}', ',' ORDER BY confidence DESC, source, target, relation_type) AS e FROM ref GROUP BY doc_id)
+SELECT doc_id, md5('{{"nodes":[' || n || '],"edges":[' || coalesce(e, '') || ']}}') AS digest FROM jn LEFT JOIN je USING (doc_id)"""
+ORACLES["prune"] = f"""WITH {_TRADE}, few AS (SELECT * FROM ref WHERE confidence >= 0.7), o AS (SELECT doc_id, source AS id, count(*) AS n FROM few GROUP BY ALL), dg AS (SELECT doc_id, id FROM o UNION SELECT doc_id, target FROM few UNION SELECT doc_id, id FROM nn WHERE id % 3 > 1)
+SELECT doc_id, id, coalesce(n, 0) AS n_out FROM dg LEFT JOIN o USING (doc_id, id)"""
+ORACLES["relation_summary"] = f"WITH {_TRADE} SELECT relation_type, count(*) AS n, {_mean('confidence', 4)} AS avg_confidence FROM ref GROUP BY 1"
+ORACLES["node_degrees"] = f"WITH {_TRADE}, d AS (SELECT doc_id, id, count(*) AS n FROM (SELECT doc_id, source AS id FROM ref UNION ALL SELECT doc_id, target FROM ref) GROUP BY ALL) SELECT doc_id, id, coalesce(n, 0) AS degree FROM nn LEFT JOIN d USING (doc_id, id)"
+_NET = f"""{_SALES}, tw AS (SELECT source, target, rf, sum(n) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM tr0 GROUP BY ALL),
+net AS (SELECT a.source, a.target, {_FLAGS.replace("CASE rf", "CASE a.rf")}, {_round("least(10000, 3000 + (500 * a.cents) // a.n) / 10000.0::DOUBLE", 2)} AS weight, row_number() OVER (ORDER BY a.source, a.target, a.rf) AS ord
+  FROM tw a LEFT JOIN tw b ON b.source = a.target AND b.target = a.source AND b.rf = a.rf WHERE a.source <> a.target AND a.n > coalesce(b.n, 0))"""
+ORACLES["node_panel"] = f"WITH {_NET} SELECT source AS node, 'outgoing' AS direction, target AS other, relation_type AS relation, weight FROM net UNION ALL SELECT target, 'incoming', source, relation_type, weight FROM net"
+ORACLES["neighbors"] = f"WITH {_NET}, b AS (SELECT source AS node, target AS neighbour FROM net UNION SELECT target, source FROM net) SELECT node, neighbour FROM b JOIN nation ON n_nationkey = node WHERE n_regionkey = 2"
+ORACLES["viewer_defaults"] = f"WITH {_NET} SELECT source, target, CASE WHEN source % 3 > 0 THEN relation_type ELSE 'ASSOCIATED_WITH' END AS relation, CASE WHEN target % 3 > 0 THEN weight ELSE 0.5 END AS weight FROM net"
 ORACLES["graph_catalog"] = "SELECT 'year_' || year(o_orderdate) AS doc_id, count(DISTINCT o_custkey) AS n_nodes, count(*) AS n_edges, 'Year ' || year(o_orderdate) AS name FROM orders GROUP BY year(o_orderdate)"
 ORACLES["graph_by_id"] = "SELECT CAST(year(o_orderdate) AS INT) AS doc_id, o_orderkey FROM orders WHERE year(o_orderdate) = 1996"
 
 # Reasoning -----------------------------------------------------------------
 
-_GRAPH = f"""{_TRADE},
-g AS (SELECT a.n_name AS src, b.n_name AS dst, relation_type AS relation, ord, a.n_nationkey AS i, b.n_nationkey AS j, relation_type IN ('DEPENDS_ON', 'REQUIRES', 'PART_OF') AS dep FROM tr JOIN nation a ON a.n_nationkey = source JOIN nation b ON b.n_nationkey = target),
+_GRAPH = f"""{_NET},
+g AS (SELECT a.n_name AS src, b.n_name AS dst, relation_type AS relation, ord, a.n_nationkey AS i, b.n_nationkey AS j, relation_type IN ('DEPENDS_ON', 'REQUIRES', 'PART_OF') AS dep FROM net JOIN nation a ON a.n_nationkey = source JOIN nation b ON b.n_nationkey = target),
 needs AS (SELECT DISTINCT src, dst FROM g WHERE dep), seen AS (SELECT n_name AS name FROM nation WHERE n_regionkey = 1)"""
 _HOPS = "hop AS (SELECT src AS s, dst AS c, 1 AS d FROM needs UNION SELECT h.s, n.dst, h.d + 1 FROM hop h JOIN needs n ON n.src = h.c WHERE h.d < {}), dist AS (SELECT s, c, min(d) AS d FROM hop GROUP BY s, c)"
 ORACLES["relationships"] = f"WITH {_GRAPH} SELECT src AS concept, dst AS other, relation FROM g UNION ALL SELECT dst, src, relation FROM g"
 ORACLES["dependencies"] = f"WITH RECURSIVE {_GRAPH}, {_HOPS.format(2)} SELECT s AS start, c AS concept, d AS distance FROM dist"
 ORACLES["dependents"] = f"WITH {_GRAPH} SELECT dst AS concept, src AS dependent FROM g WHERE dep"
 ORACLES["related_unexplored"] = f"WITH {_GRAPH} SELECT src AS start, dst AS concept FROM g WHERE NOT dep AND dst NOT IN (SELECT name FROM seen)"
-ORACLES["prereq_chain"] = f"""WITH RECURSIVE {_GRAPH}, fw AS (SELECT DISTINCT src, dst FROM g WHERE dep AND i < j),
-w AS (SELECT src AS s, dst AS c, 1 AS d FROM fw UNION SELECT w.s, f.dst, w.d + 1 FROM w JOIN fw f ON f.src = w.c), m AS (SELECT s, c, max(d) AS d FROM w GROUP BY s, c)
-SELECT s AS start, c AS concept, row_number() OVER (PARTITION BY s ORDER BY d DESC, c) AS place FROM m"""
+# A walk step by step: the way down, how far each concept on it has been read, concepts met, and the chain.
+ORACLES["prereq_chain"] = f"""WITH RECURSIVE {_GRAPH}, adj AS (SELECT src, list(dst ORDER BY f, dst) AS deps FROM (SELECT src, dst, min(ord) AS f FROM g WHERE dep GROUP BY src, dst) GROUP BY src),
+w AS (SELECT n_name AS s, [n_name] AS way, [1::BIGINT] AS rd, [n_name] AS met, CAST([] AS VARCHAR[]) AS chain FROM nation
+  UNION ALL SELECT s, CASE WHEN d IS NULL THEN way[:-2] WHEN list_contains(met, d) THEN way ELSE list_append(way, d) END,
+    CASE WHEN d IS NULL THEN rd[:-2] WHEN list_contains(met, d) THEN list_append(rd[:-2], rd[-1] + 1) ELSE list_append(list_append(rd[:-2], rd[-1] + 1), 1) END,
+    CASE WHEN d IS NULL OR list_contains(met, d) THEN met ELSE list_append(met, d) END,
+    CASE WHEN d IS NULL AND len(way) > 1 AND NOT list_contains(chain, way[-1]) THEN list_append(chain, way[-1]) WHEN d IS NOT NULL AND list_contains(met, d) AND NOT list_contains(chain, d) THEN list_append(chain, d) ELSE chain END
+  FROM (SELECT w.*, deps[rd[-1]] AS d FROM w LEFT JOIN adj ON src = way[-1] WHERE len(way) > 0))
+SELECT s AS start, unnest(chain) AS concept, generate_subscripts(chain, 1) AS place FROM w WHERE len(way) = 0"""
+ORACLES["concept_info"] = "SELECT n_name AS name, CAST(n_nationkey % 10 / 10.0 AS DOUBLE) AS confidence FROM nation WHERE n_regionkey = 1"
 ORACLES["knowledge_gaps"] = f"""WITH RECURSIVE {_GRAPH}, {_HOPS.format(4)}, r AS (SELECT s, c, d, CASE d WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 / 3 ELSE 0.5 END AS rel FROM dist WHERE c NOT IN (SELECT name FROM seen))
 SELECT s AS start, c AS concept, round(rel, 4) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY rel DESC, d, c) AS k FROM r) WHERE k <= 5"""
 ORACLES["suggest_next"] = f"""WITH {_GRAPH}, near AS (SELECT src AS s, dst AS c, min(ord) AS f FROM g WHERE NOT dep AND dst NOT IN (SELECT name FROM seen) GROUP BY 1, 2),
@@ -266,7 +338,9 @@ r AS (SELECT s, c, f, EXISTS (SELECT 1 FROM near o JOIN needs n ON n.src = o.c W
 SELECT s AS start, c AS concept, gate AS is_gateway, CAST(score AS DOUBLE) AS score, k AS place FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY gate DESC, score DESC, f, c) AS k FROM r) WHERE k <= 3"""
 ORACLES["suggestions"] = f"""WITH {_GRAPH}, f AS (SELECT n_name AS c, n_nationkey AS o FROM nation WHERE n_name NOT IN (SELECT name FROM seen) ORDER BY o LIMIT 10), r AS (SELECT c, o, c IN (SELECT src FROM needs) AS has FROM f)
 SELECT c AS concept, has AS has_dependencies, CASE WHEN has THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS relevance, k AS place FROM (SELECT *, row_number() OVER (ORDER BY has DESC, o, c) AS k FROM r) WHERE k <= 4"""
-ORACLES["question_suggestions"] = "SELECT n_name AS concept FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 10) WHERE n_regionkey <> 1 ORDER BY n_nationkey LIMIT 2"
+ORACLES["question_suggestions"] = rf"""WITH {_WORDS}, f AS (SELECT word, df FROM dict ORDER BY df DESC, word LIMIT 10),
+bw AS (SELECT DISTINCT lower(regexp_replace(unnest(string_split(replace(text, chr(10), ' '), ' ')), '[^\p{{L}}]', '', 'g')) AS word FROM benchmark)
+SELECT word AS concept FROM f ANTI JOIN bw USING (word) ORDER BY df DESC, word LIMIT 2"""
 ORACLES["valid_suggestions"] = "SELECT n_name AS concept, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 1 AND c_acctbal > 0 GROUP BY 1"
 ORACLES["exported_graph"] = f"WITH {_GRAPH} SELECT source, target, relation, CAST(0.5 AS DOUBLE) AS weight FROM (SELECT src AS source, dst AS target, relation FROM g UNION SELECT dst, src, relation FROM g)"
 ORACLES["claim_verdict"] = """WITH h AS (SELECT user_id AS claim, event_id, least(1.0, value / 500) AS score, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
@@ -284,6 +358,9 @@ ORACLES["concept_state"] = f"WITH {_STATE} SELECT * FROM st"
 ORACLES["explored_states"] = f"WITH {_STATE} SELECT session_id, concept_name FROM st WHERE explored"
 ORACLES["latest_article"] = "SELECT user_id AS session_id, arg_max(props, (ts, event_id)) AS content_json FROM events WHERE event_id % 2 = 0 GROUP BY 1"
 ORACLES["session_updates"] = "SELECT user_id AS session_id, min(ts) AS created_at, max(ts) AS updated_at FROM events GROUP BY 1"
+ORACLES["session_list"] = "SELECT user_id AS session_id, min(ts) AS created_at FROM events GROUP BY 1"
+ORACLES["session_append"] = "SELECT conv_id AS session_id, role, count(*) AS n FROM conversations GROUP BY ALL"
+ORACLES["stored_blocks"] = f"WITH {_CB}, l AS (SELECT DISTINCT doc_id FROM labels) SELECT doc_id::VARCHAR AS doc_id, count(*) AS n_blocks, count(*) FILTER (doc_id % 10 = 7) AS n_again, doc_id IN (SELECT doc_id FROM l) AS labelled FROM cb GROUP BY doc_id"
 ORACLES["cascade_delete"] = "SELECT conv_id AS session_id, count(*) AS n FROM conversations WHERE conv_id % 4 <> 1 GROUP BY 1"
 ORACLES["constraint_violations"] = """WITH m AS (SELECT conv_id AS s, CASE WHEN conv_id % 3 = 0 THEN 0 ELSE turn END AS id, CASE WHEN conv_id % 5 = 0 THEN 'robot' ELSE role END AS role, text FROM conversations)
 SELECT 'unique id' AS rule, s AS session_id, count(*) AS n FROM (SELECT s, id FROM m GROUP BY s, id HAVING count(*) > 1) GROUP BY s
@@ -297,7 +374,14 @@ ORACLES["intent_parse"] = """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'su
 ORACLES["quality_parse"] = """SELECT doc_id AS key, CAST(CASE WHEN toxic = 0 THEN (doc_id % 9 + 1) / 10.0 ELSE 0.5 END AS DOUBLE) AS credibility, CAST(0.5 AS DOUBLE) AS bias, CASE WHEN toxic = 0 THEN 'none' ELSE 'unknown' END AS bias_type, 'unknown' AS readability,
  CASE WHEN toxic = 0 THEN 3 ELSE 0 END AS n_strengths, 0 AS n_weaknesses, 10 AS bar FROM labels"""
 ORACLES["prereq_parse"] = "SELECT doc_id AS key, n AS place, n::VARCHAR AS concept, CASE n % 3 WHEN 0 THEN '●○○' WHEN 1 THEN '●●○' ELSE '●●●' END AS marker, 'r' || n AS reason FROM labels, (SELECT unnest(range(6)) AS n) WHERE doc_id % 3 < 2"
-ORACLES["prompt_columns"] = "SELECT doc_id AS key, 45 + length(left(coalesce(text, ''), 3000)) AS n FROM documents"
+_ARTICLES = "art AS (SELECT doc_id, coalesce(text, '') AS c FROM documents)"
+ORACLES["prompt_columns"] = f"""WITH {_ARTICLES}, p AS (SELECT doc_id, 'summary' AS kind, 'Summarize in a few sentences. Concepts: a, b' || chr(10) || left(c, 3000) AS p FROM art
+ UNION ALL SELECT doc_id, 'explanation', 'Explain from the text: why?' || chr(10) || left(c, 2000) FROM art UNION ALL SELECT doc_id, 'suggestion', 'Suggest what to read next among: a, b' FROM art
+ UNION ALL SELECT doc_id, 'answer', 'Answer from the text: why?' || chr(10) || left(c, 2500) FROM art UNION ALL SELECT doc_id, 'quality', 'Rate credibility and bias as JSON.' || chr(10) || left(c, 2500) FROM art)
+SELECT doc_id AS key, kind, md5(p) AS digest FROM p"""
+ORACLES["answer_fallbacks"] = """WITH k AS (SELECT unnest(['summary', 'explanation', 'suggestion', 'answer', 'quality']) AS kind)
+SELECT d.doc_id AS key, kind, CASE WHEN l.quality = 1 THEN 'good' WHEN kind = 'summary' THEN 'No summary is available.' WHEN kind = 'suggestion' THEN 'Try one of the related concepts.' ELSE 'No answer is available.' END AS text
+FROM documents d CROSS JOIN k LEFT JOIN labels l ON l.doc_id = d.doc_id AND kind = CASE WHEN toxic = 1 THEN 'answer' ELSE 'summary' END"""
 ORACLES["article_graph"] = "SELECT doc_id AS key, 'a' AS source, 'b' AS target, 'R' || doc_id AS relation FROM labels WHERE toxic = 0"
 ORACLES["reply_json"] = "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN md5(props) END AS digest FROM events"
 ORACLES["ready_documents"] = "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions import json_text as J
+from kgspark.functions import numbers as NUM
 from kgspark.functions import text as T
 from kgspark.functions import urls as U
 from kgspark.operators import blocks as B
@@ -119,8 +121,7 @@ def page_links(spark, sf_dir):
 
 @query
 def density_container(spark, sf_dir):
-    toks = store(P.tokens(load(spark, sf_dir, "pages")))
-    return P.densest(toks, P.elements(toks)).select("page_id", "begin", F.round("density", 4).alias("density"))
+    return P.densest(P.elements(P.tokens(load(spark, sf_dir, "pages")))).select("page_id", "begin", F.round("density", 4).alias("density"))
 
 
 @query
@@ -128,19 +129,28 @@ def main_container(spark, sf_dir):
     return P.containers(store(P.tokens(load(spark, sf_dir, "pages")))).select("page_id", "begin")
 
 
-def _page_sections(spark, sf_dir):
-    blocks = store(P.content_blocks(load(spark, sf_dir, "pages"), store).withColumnRenamed("page_id", "doc_id"))
-    return P.section_texts(B.with_sections(blocks).where("not is_heading"), B.sections(blocks))
+def _readings(spark, sf_dir, short):
+    pages = load(spark, sf_dir, "pages")
+    blocks = store(P.content_blocks(pages, store).withColumnRenamed("page_id", "doc_id"))
+    texts = P.section_texts(B.with_sections(blocks).where("not is_heading"), B.sections(blocks))
+    titles = P.page_titles(pages).withColumnRenamed("page_id", "doc_id")
+    return P.readings(store(texts), titles, P.links(pages, clean=True, store=store).withColumnRenamed("page_id", "doc_id"), short)
+
+
+def _links():
+    return F.md5(F.array_join(F.transform("links", lambda x: F.concat(x["url"], F.lit(" "), x["text"])), "\n")).alias("links")
 
 
 @query
 def page_digest(spark, sf_dir):
-    return P.digest(_page_sections(spark, sf_dir)).select("doc_id", "n_sections", F.md5("content").alias("digest"))
+    sections = F.array_join(F.transform("sections", lambda x: F.concat_ws(" ", x["level"].cast("string"), x["heading"])), "; ")
+    return _readings(spark, sf_dir, True).select("doc_id", "title", F.md5("content").alias("digest"), sections.alias("sections"), F.size("links").alias("n_links"), _links(), "is_error")
 
 
 @query
 def page_full_text(spark, sf_dir):
-    return P.digest(_page_sections(spark, sf_dir), None, None).select("doc_id", "n_sections", F.length("content").alias("n_chars"))
+    sections = F.md5(F.array_join(F.transform("sections", lambda x: x["content"]), "\n"))
+    return _readings(spark, sf_dir, False).select("doc_id", "title", F.length("content").alias("n_chars"), sections.alias("sections"), F.size("links").alias("n_links"), _links(), "is_error")
 
 
 @query
@@ -178,12 +188,23 @@ def url_sanitize(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", U.sanitize(typed).alias("clean"))
 
 
+def _crawled(spark, sf_dir):
+    """All stored pages as roots, their links followed."""
+    pages = load(spark, sf_dir, "pages")
+    nodes, links = P.crawl_graph(pages, P.links(pages, clean=True, store=store))
+    nodes = store(nodes)
+    return nodes, P.crawl(store(links), nodes, 6, None, store)
+
+
 @query
 def crawl_frontier(spark, sf_dir):
-    pages = load(spark, sf_dir, "pages").select("page_id")
-    n = pages.count()
-    edges = pages.select(F.col("page_id").alias("src"), F.posexplode(F.array((F.col("page_id") * 7 + 1) % n, (F.col("page_id") * 3 + 2) % n)).alias("ordinal", "dst"))
-    return P.crawl(edges, pages.where("page_id = 0").select(F.col("page_id").alias("node")), 6, n, store).select("node", "depth")
+    return _crawled(spark, sf_dir)[1].select(F.col("node").alias("url"), "depth", "parent")
+
+
+@query
+def crawl_summary(spark, sf_dir):
+    nodes, met = _crawled(spark, sf_dir)
+    return P.crawl_summary(met, P.documents(load(spark, sf_dir, "pages"), store).join(nodes, "page_id"))
 
 
 # Concept candidates --------------------------------------------------------
@@ -223,7 +244,33 @@ def concept_top(spark, sf_dir):
 @query
 def eligible_prompts(spark, sf_dir):
     rows = C.prompts(C.eligible(B.semantic_blocks(I.content_blocks(spark, sf_dir))))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_prompts"), F.sum(F.length("text")).alias("n_chars"))
+    return rows.select("doc_id", "block_id", F.md5("prompt").alias("digest"))
+
+
+@query
+def concept_valid(spark, sf_dir):
+    rows = I.concept_rows(spark, sf_dir)
+    name, confidence = F.when(F.col("ord") % 7 == 0, " ").otherwise(F.col("name")), F.when(F.col("ord") % 5 == 0, 1.5).otherwise(F.col("confidence"))
+    return rows.select("doc_id", "ord", C.is_valid(name, F.col("type"), F.col("description"), confidence).alias("valid"))
+
+
+@query
+def concept_provenance(spark, sf_dir):
+    kept = C.dedup_documents(C.filter_candidates(C.parse(I.concept_replies(spark, sf_dir))))
+    blocks = I.concept_rows(spark, sf_dir).select("block_id", "heading_path").distinct()
+    return C.with_provenance(kept, blocks).select("doc_id", "concept_id", "name", "source_block_id", joined("heading_path"))
+
+
+@query
+def reply_failures(spark, sf_dir):
+    return C.failures(I.concept_replies(spark, sf_dir)).groupBy("doc_id", "reason").agg(F.count("*").alias("n"))
+
+
+@query
+def completion_join(spark, sf_dir):
+    prompts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.left("text", F.lit(50)).alias("prompt"))
+    stored = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("raw_output"))
+    return L.complete(prompts, stored).select("key", "raw_output")
 
 
 # Normalization -------------------------------------------------------------
@@ -249,12 +296,33 @@ def cosine_pairs(spark, sf_dir):
 def cosine_pairs_corpus(spark, sf_dir):
     v = load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     near = v.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), "label", F.transform("embedding", lambda x, i: F.when(i == 0, x + F.lit(0.01).cast("float")).otherwise(x)).alias("embedding"))
-    return N.similar_pairs(v.unionByName(near), 0.95, "corpus", group="label", ident="vec_id").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return N.similar_pairs(store(v.unionByName(near)), 0.95, "corpus", group="label", ident="vec_id").select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def similarity_graph(spark, sf_dir):
+    pairs = N.similar_pairs(load(spark, sf_dir, "embeddings"), 0.4, group="label", ident="vec_id")
+    return N.adjacency(pairs).select("label", "a", "b")
+
+
+@query
+def embedding_texts(spark, sf_dir):
+    rows = store(I.concept_rows(spark, sf_dir))
+    texts = N.embedding_text(rows).select(F.col("embedding_text").alias("key")).distinct()
+    stored = texts.where("length(key) % 3 <> 0").select("key", F.array(F.length("key").cast("float")).alias("vec"))
+    return N.attach_vectors(rows, stored).select("doc_id", "ord", F.md5("embedding_text").alias("digest"), F.get("embedding", 0).cast("int").alias("first"))
 
 
 def _clustered(spark, sf_dir):
-    rows = store(N.exact_dedup(I.concept_rows(spark, sf_dir)))
-    return rows, N.clusters(rows, store(I.name_pairs(rows)), store)
+    """Unique candidates, clusters, and candidates of each document."""
+    raw = store(I.concept_rows(spark, sf_dir))
+    rows = store(N.exact_dedup(raw))
+    return rows, N.clusters(rows, store(I.name_pairs(rows)), store), raw.groupBy("doc_id").agg(F.count("*").alias("total"))
+
+
+def _canonical(spark, sf_dir):
+    rows, members, totals = _clustered(spark, sf_dir)
+    return N.canonical_concepts(rows, store(members), totals)
 
 
 @query
@@ -277,41 +345,47 @@ def verdict_split(spark, sf_dir):
 
 @query
 def canonical_names(spark, sf_dir):
-    return N.canonical_names(*_clustered(spark, sf_dir))
+    return N.canonical_names(*_clustered(spark, sf_dir)[:2])
 
 
 @query
 def canonical_merge(spark, sf_dir):
-    rows, members = _clustered(spark, sf_dir)
-    totals = I.concept_rows(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("total"))
-    out = N.canonical_concepts(rows, members, totals)
-    return out.select("doc_id", "canonical_id", "canonical_name", joined("aliases", ","), "type", joined("source_blocks", ","), "occurrence_count", "importance_score")
+    return _canonical(spark, sf_dir).select("doc_id", "canonical_id", "canonical_name", joined("aliases", ","), "type", joined("source_blocks", ","), "occurrence_count", "importance_score")
 
 
 @query
 def normalization_funnel(spark, sf_dir):
-    raw = I.concept_rows(spark, sf_dir)
-    rows, members = _clustered(spark, sf_dir)
+    rows, members, totals = _clustered(spark, sf_dir)
+    raw = totals.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("total").cast("int"))))
     return N.funnel(raw, rows, members.select("doc_id", "cluster").distinct())
 
 
 @query
 def canonical_summary(spark, sf_dir):
-    rows, members = _clustered(spark, sf_dir)
-    totals = I.concept_rows(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("total"))
-    return N.canonical_summary(N.canonical_concepts(rows, members, totals))
+    return N.canonical_summary(_canonical(spark, sf_dir))
+
+
+@query
+def graph_nodes_of_concepts(spark, sf_dir):
+    return G.to_nodes(_canonical(spark, sf_dir)).select("doc_id", "id", "label", "type", F.size("aliases").alias("n_aliases"), "occurrence_count")
 
 
 # Relations -----------------------------------------------------------------
 
 
+def _known(spark, sf_dir):
+    """Words of the lines, and the concepts of each document, both written once."""
+    held = I.words(spark, sf_dir)
+    return held, store(I.document_concepts(held))
+
+
 def _mentions(spark, sf_dir):
-    return R.mentions(I.line_blocks(spark, sf_dir), R.name_lookup(I.document_concepts(spark, sf_dir)))
+    return R.mentions(I.line_blocks(spark, sf_dir), R.name_lookup(_known(spark, sf_dir)[1]))
 
 
 @query
 def name_lookup(spark, sf_dir):
-    return R.name_lookup(I.document_concepts(spark, sf_dir))
+    return R.name_lookup(_known(spark, sf_dir)[1])
 
 
 @query
@@ -329,28 +403,52 @@ def candidate_stats(spark, sf_dir):
     return R.candidate_stats(I.line_blocks(spark, sf_dir), _mentions(spark, sf_dir))
 
 
-def _resolved(spark, sf_dir):
-    return R.resolve(R.parse(I.relation_replies(spark, sf_dir)), R.name_lookup(I.document_concepts(spark, sf_dir)))
+@query
+def relation_prompts(spark, sf_dir):
+    known = _known(spark, sf_dir)[1]
+    blocks = I.line_blocks(spark, sf_dir)
+    asked = R.prompts(blocks, R.mentions(blocks, R.name_lookup(known)), known.select("doc_id", F.col("canonical_id").alias("concept_id"), F.col("canonical_name").alias("label")))
+    return asked.select("doc_id", "block_id", F.md5("prompt").alias("digest"))
+
+
+def _valid(spark, sf_dir):
+    held, known = _known(spark, sf_dir)
+    return R.valid_edges(R.resolve(R.parse(I.relation_replies(held)), store(R.name_lookup(known))), known)
 
 
 @query
 def relation_parse(spark, sf_dir):
-    return R.parse(I.relation_replies(spark, sf_dir)).select("doc_id", "block_id", "place", "source", "target", "relation_type", "confidence")
+    return R.parse(I.relation_replies(I.words(spark, sf_dir))).select("doc_id", "block_id", "place", "source", "target", "relation_type", "confidence")
 
 
 @query
 def edge_validate(spark, sf_dir):
-    return R.valid_edges(_resolved(spark, sf_dir), I.document_concepts(spark, sf_dir)).select("edge_id", "doc_id", "source_concept_id", "target_concept_id", "relation_type", "evidence_block_id", "confidence")
+    return _valid(spark, sf_dir).select("edge_id", "doc_id", "source_concept_id", "target_concept_id", "relation_type", "evidence_block_id", "confidence")
+
+
+@query
+def verification_prompts(spark, sf_dir):
+    held, known = _known(spark, sf_dir)
+    named = lambda end: known.select("doc_id", F.col("canonical_id").alias(f"{end}_concept_id"), F.col("canonical_name").alias(f"{end}_name"))
+    edges = R.valid_edges(R.resolve(R.parse(I.relation_replies(held)), R.name_lookup(known)), known)
+    texts = I.line_blocks(spark, sf_dir).select(F.col("block_id").alias("evidence_block_id"), "text")
+    rows = edges.join(named("source"), ["doc_id", "source_concept_id"]).join(named("target"), ["doc_id", "target_concept_id"]).join(texts, "evidence_block_id")
+    return R.verification_prompts(rows).select("edge_id", "doc_id", F.md5("prompt").alias("digest"))
 
 
 @query
 def edge_dedup(spark, sf_dir):
-    return R.dedup_edges(R.valid_edges(_resolved(spark, sf_dir), I.document_concepts(spark, sf_dir))).withColumn("confidence", F.round("confidence", 2))
+    return R.dedup_edges(_valid(spark, sf_dir)).withColumn("confidence", NUM.rounded(F.col("confidence"), 2))
+
+
+@query
+def graph_edges_of_relations(spark, sf_dir):
+    return G.to_edges(R.dedup_edges(_valid(spark, sf_dir))).select("doc_id", "id", "source", "target", "relation_type", joined("evidence_blocks", ","), "ord")
 
 
 @query
 def edge_summary(spark, sf_dir):
-    return R.edge_summary(R.valid_edges(_resolved(spark, sf_dir), I.document_concepts(spark, sf_dir)))
+    return R.edge_summary(_valid(spark, sf_dir))
 
 
 # Graph ---------------------------------------------------------------------
@@ -366,74 +464,90 @@ def graph_validate(spark, sf_dir):
     return G.validation_counts(I.trade_nodes(spark, sf_dir), I.trade_edges(spark, sf_dir))
 
 
+def r(c: str, places: int = 6):
+    return NUM.rounded(F.col(c), places).alias(c)
+
+
 @query
 def merge_duplicates(spark, sf_dir):
     once = I.trade_edges(spark, sf_dir)
-    again = once.withColumns({"id": F.concat("id", F.lit("x")), "confidence": F.col("confidence") / 2, "ord": F.col("ord") + 1000, "evidence_blocks": F.array(F.lit("0"))})
+    again = once.withColumns({"id": F.concat("id", F.lit("x")), "confidence": F.col("confidence") / 2, "ord": F.col("ord") + 100_000, "evidence_blocks": F.array(F.lit("0"))})
     out = G.merge_duplicates(once.unionByName(again))
-    return out.select("id", "source", "target", "relation_type", F.round("confidence", 6).alias("confidence"), joined("evidence_blocks", ","))
+    return out.select("doc_id", "id", "source", "target", "relation_type", r("confidence"), joined("evidence_blocks", ","))
 
 
 @query
 def graph_refine(spark, sf_dir):
-    return _refined(spark, sf_dir)[1].select("id", "source", "target", "relation_type", F.round("confidence", 6).alias("confidence"))
+    return _refined(spark, sf_dir)[1].select("doc_id", "id", "source", "target", "relation_type", r("confidence"))
 
 
 @query
 def conflict_resolution(spark, sf_dir):
     nodes = G.valid_nodes(I.trade_nodes(spark, sf_dir))
-    return G.resolve_conflicts(G.valid_edges(I.trade_edges(spark, sf_dir), nodes)).select("id", "source", "target", "relation_type")
+    return G.resolve_conflicts(G.valid_edges(I.trade_edges(spark, sf_dir), nodes)).select("doc_id", "id", "source", "target", "relation_type")
 
 
 @query
 def degree_centrality(spark, sf_dir):
     nodes, edges = _refined(spark, sf_dir)
-    return M.degree_centrality(nodes, M.arcs(edges)).select("id", F.round("degree_centrality", 6).alias("degree_centrality"))
+    return M.degree_centrality(nodes, M.arcs(edges)).select("doc_id", "id", r("degree_centrality"))
 
 
 @query
 def clustering_coefficient(spark, sf_dir):
     nodes, edges = _refined(spark, sf_dir)
-    return M.clustering(nodes, M.arcs(edges)).select("id", F.round("clustering_coefficient", 6).alias("clustering_coefficient"))
+    return M.clustering(nodes, M.arcs(edges)).select("doc_id", "id", r("clustering_coefficient"))
 
 
 @query
 def betweenness(spark, sf_dir):
     nodes, edges = _refined(spark, sf_dir)
-    return M.betweenness(nodes, M.arcs(edges), store).select("id", F.round("betweenness_centrality", 6).alias("betweenness_centrality"))
+    return M.betweenness(nodes, M.arcs(edges), store).select("doc_id", "id", r("betweenness_centrality"))
 
 
 @query
 def graph_metrics(spark, sf_dir):
     nodes, edges = _refined(spark, sf_dir)
-    r = lambda c: F.round(c, 6).alias(c)
-    return M.graph_metrics(nodes, edges, store).select("num_nodes", "num_edges", r("density"), r("average_degree"), "num_components")
+    return M.graph_metrics(nodes, edges, store).select("doc_id", "num_nodes", "num_edges", r("density"), r("average_degree"), "num_components")
+
+
+def _final(spark, sf_dir):
+    return G.final_graph(I.trade_nodes(spark, sf_dir), I.trade_edges(spark, sf_dir), store)
 
 
 @query
 def final_graph_nodes(spark, sf_dir):
-    n, _, _ = G.final_graph(I.trade_nodes(spark, sf_dir), I.trade_edges(spark, sf_dir), store)
-    return n.select("id", "label", "occurrence_count", F.round("importance_score", 4).alias("importance_score"), "rank")
+    return _final(spark, sf_dir)[0].select("doc_id", "id", "label", "occurrence_count", r("importance_score", 4), "rank")
+
+
+@query
+def top_nodes(spark, sf_dir):
+    return G.top_nodes(_final(spark, sf_dir)[0], 10).select("doc_id", "id", "rank")
 
 
 @query
 def final_graph_edges(spark, sf_dir):
-    _, e, _ = G.final_graph(I.trade_nodes(spark, sf_dir), I.trade_edges(spark, sf_dir), store)
-    return G.minimal_format(I.trade_nodes(spark, sf_dir).withColumn("importance_score", F.lit(0.0)), e)[1].drop("doc_id")
+    n, e, _ = _final(spark, sf_dir)
+    return G.minimal_format(n, e)[1]
+
+
+@query
+def final_graph_meta(spark, sf_dir):
+    return _final(spark, sf_dir)[2].select("doc_id", "num_nodes", "num_edges", "n_nodes", "n_edges", "min_confidence")
 
 
 @query
 def final_graph_json(spark, sf_dir):
-    n, e, _ = G.final_graph(I.trade_nodes(spark, sf_dir), I.trade_edges(spark, sf_dir), store)
-    return G.full_format(n, e)
+    n, e, _ = _final(spark, sf_dir)
+    return G.full_format(n, e).select("doc_id", F.md5("graph_json").alias("digest"))
 
 
 @query
 def prune(spark, sf_dir):
     nodes, edges = _refined(spark, sf_dir)
-    few = edges.where("source % 5 <> 0 and target % 5 <> 0")
-    n, e = G.prune(nodes.withColumn("occurrence_count", F.col("id") % 2), few)
-    return n.select("id").join(e.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n_out")), "id", "left").select("id", F.coalesce("n_out", F.lit(0)).alias("n_out"))
+    n, e = G.prune(nodes.withColumn("occurrence_count", F.col("id") % 3), G.quality(edges, 0.7))
+    out = e.groupBy("doc_id", F.col("source").alias("id")).agg(F.count("*").alias("n_out"))
+    return n.select("doc_id", "id").join(out, ["doc_id", "id"], "left").select("doc_id", "id", F.coalesce("n_out", F.lit(0)).alias("n_out"))
 
 
 @query
@@ -443,12 +557,11 @@ def relation_summary(spark, sf_dir):
 
 @query
 def node_degrees(spark, sf_dir):
-    return G.degrees(*_refined(spark, sf_dir)).select("id", "degree")
+    return G.degrees(*_refined(spark, sf_dir)).select("doc_id", "id", "degree")
 
 
 def _viewed(spark, sf_dir):
-    e = I.trade_edges(spark, sf_dir)
-    return e.select("source", "target", F.col("relation_type").alias("relation"), F.round(F.col("confidence") + 1e-9, 2).alias("weight"))
+    return I.net_edges(spark, sf_dir).select("source", "target", F.col("relation_type").alias("relation"), NUM.rounded(F.col("confidence"), 2).alias("weight"))
 
 
 @query
@@ -515,9 +628,12 @@ def related_unexplored(spark, sf_dir):
 @query
 def prereq_chain(spark, sf_dir):
     concepts, graph = _graph(spark, sf_dir)
-    number = concepts.select("name", "ord")
-    forward = graph.join(number.select(F.col("name").alias("src"), F.col("ord").alias("a")), "src").join(number.select(F.col("name").alias("dst"), F.col("ord").alias("b")), "dst").where("a < b").select("src", "dst", "dep_kind")
-    return H.prerequisite_chain(forward, concepts, store)
+    return H.prerequisite_chain(graph, concepts, store)
+
+
+@query
+def concept_info(spark, sf_dir):
+    return H.concept_info(I.trade_concepts(spark, sf_dir), I.explored(spark, sf_dir)).select("name", "confidence")
 
 
 @query
@@ -540,7 +656,7 @@ def suggestions(spark, sf_dir):
 
 @query
 def question_suggestions(spark, sf_dir):
-    return H.question_suggestions(I.trade_concepts(spark, sf_dir), I.explored(spark, sf_dir))
+    return H.question_suggestions(I.corpus_concepts(I.words(spark, sf_dir)), I.benchmark_words(spark, sf_dir))
 
 
 @query
@@ -605,6 +721,34 @@ def session_updates(spark, sf_dir):
     return S.with_updated_at(table, e.select(F.col("user_id").alias("session_id"), "ts"))
 
 
+@query
+def session_list(spark, sf_dir):
+    table = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.min("ts").alias("created_at"))
+    return S.sessions(table)
+
+
+@query
+def session_append(spark, sf_dir):
+    m = I.messages(spark, sf_dir).select("session_id", "id", "role")
+    path = f"{tables.work_dir(spark)}/messages-{uuid.uuid4().hex}"
+    for part in (m.where("id % 2 = 0"), m.where("id % 2 = 1")):
+        tables.append(part, path)
+    return spark.read.schema(m.schema).parquet(path).groupBy("session_id", "role").agg(F.count("*").alias("n"))
+
+
+@query
+def stored_blocks(spark, sf_dir):
+    """Blocks stored by document, some documents stored again, read back."""
+    path = f"{tables.work_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    rows = I.content_blocks(spark, sf_dir).withColumns({"doc_id": F.col("doc_id").cast("string"), "position": F.col("position").cast("int")})
+    tables.save(rows, path, key="doc_id")
+    tables.save(rows.where("doc_id like '%7'").withColumn("text", F.lit("again")), path, key="doc_id")
+    back = tables.read(spark, path, "content_blocks")
+    known = tables.existing(back, load(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("doc_id")))
+    counted = back.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("text") == "again").alias("n_again"))
+    return counted.join(tables.ids(known).withColumn("labelled", F.lit(True)), "doc_id", "left").na.fill(False, ["labelled"])
+
+
 @query
 def cascade_delete(spark, sf_dir):
     m = I.messages(spark, sf_dir)
@@ -658,7 +802,15 @@ def prereq_parse(spark, sf_dir):
 def prompt_columns(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     articles = docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("content"), F.array(F.lit("a"), F.lit("b")).alias("concepts"), F.lit("why?").alias("question"))
-    return L.prompts(articles).where("kind = 'summary'").select("key", F.length("prompt").alias("n"))
+    return L.prompts(articles).select("key", "kind", F.md5("prompt").alias("digest"))
+
+
+@query
+def answer_fallbacks(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    articles = docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("content"), F.array(F.lit("a")).alias("concepts"), F.lit("why?").alias("question"))
+    stored = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.when(F.col("toxic") == 1, "answer").otherwise("summary").alias("kind"), F.when(F.col("quality") == 1, " good ").otherwise(" ").alias("raw_output"))
+    return L.answers(L.prompts(articles), stored)
 
 
 @query

@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMAS = {
@@ -20,18 +21,44 @@ SCHEMAS = {
     "graph_edges": "id string, doc_id string, source string, target string, relation_type string, confidence double, evidence_blocks array<string>",
 }
 
+#: Partitions of a table that is stored by key.
+PARTS = 64
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A given table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _part(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(PARTS)).cast("int")
+
+
 def save(df: DataFrame, path: str, fmt: str = "parquet", key: str | None = None) -> None:
-    """Write a table; with ``key`` only the partitions present are replaced."""
-    writer = df.write.mode("overwrite").format(fmt)
-    if key:
-        writer = writer.partitionBy(key).option("partitionOverwriteMode", "dynamic")
-    writer.save(path)
+    """Write a table; with ``key`` only the rows of the keys present are replaced.
+
+    Such a table is partitioned by a hash of the key, so that keys, however
+    many, make no folders; rows of other keys in the same partitions stay.
+    """
+    if not key:
+        df.write.mode("overwrite").format(fmt).save(path)
+        return
+    spark = df.sparkSession
+    new = df.withColumn("_part", _part(F.col(key)))
+    try:
+        old = spark.read.format(fmt).load(path)
+    except AnalysisException:  # nothing is there yet
+        old = None
+    if old is not None:
+        touched = new.select("_part").distinct()
+        stay = old.join(F.broadcast(touched), "_part", "left_semi").join(df.select(key).distinct(), key, "left_anti")  # PARTS rows
+        new = store(new.unionByName(stay, allowMissingColumns=True), "replaced")
+    new.write.mode("overwrite").format(fmt).partitionBy("_part").option("partitionOverwriteMode", "dynamic").save(path)
+
+
+def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Add rows to a stored table: sessions, messages, tool runs, articles, graphs."""
+    df.write.mode("append").format(fmt).save(path)
 
 
 def read(spark: SparkSession, path: str, table: str, fmt: str = "parquet") -> DataFrame:
@@ -81,17 +108,19 @@ def store(df: DataFrame, tag: str = "step") -> DataFrame:
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes and edges of all graphs, partitioned by document."""
+    """Nodes and edges of all graphs; graphs stored before under the same ids are replaced."""
     save(nodes, f"{path}/nodes", key="doc_id")
     save(edges, f"{path}/edges", key="doc_id")
 
 
 def load_graph(spark: SparkSession, path: str, doc_id: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges, of one document by partition pruning if given."""
+    """Nodes and edges, of one document from its partition if given."""
     out = []
     for name, table in (("nodes", "graph_nodes"), ("edges", "graph_edges")):
-        df = spark.read.schema(SCHEMAS[table]).parquet(f"{path}/{name}")
-        out.append(df.where(F.col("doc_id") == doc_id) if doc_id is not None else df)
+        df = spark.read.schema(f"{SCHEMAS[table]}, _part int").parquet(f"{path}/{name}")
+        if doc_id is not None:
+            df = df.where((F.col("_part") == _part(F.lit(doc_id))) & (F.col("doc_id") == doc_id))
+        out.append(df.drop("_part"))
     return out[0], out[1]
 
 

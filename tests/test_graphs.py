@@ -1,6 +1,7 @@
 """Blocks, graphs and components against sequential restatements."""
 
 import random
+import re
 from collections import Counter, defaultdict, deque
 
 import pytest
@@ -79,7 +80,7 @@ def test_page_blocks(spark):
 def test_density(spark):
     html = f"<body><div><p>{'w ' * 400}</p><p>x</p></div><section>{'v ' * 300}<i>i</i></section></body>"
     pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
-    assert P.densest(P.tokens(pages), P.elements(P.tokens(pages))).first().density == 600.0
+    assert P.densest(P.elements(P.tokens(pages))).first().density == 600.0
 
 
 def test_conflict(spark):
@@ -159,10 +160,84 @@ def test_pairs_of_a_block(spark):
     assert {tuple(r)[2:] for r in R.candidate_pairs(rows).collect()} == {("A", "B"), ("A", "C"), ("B", "C")}
 
 
-def test_chain_puts_dependencies_first(spark):
-    graph = spark.createDataFrame([("a", "b", "dependency"), ("b", "c", "dependency"), ("a", "c", "dependency"), ("c", "c", "dependency")], "src string, dst string, dep_kind string")
-    got = H.prerequisite_chain(graph, spark.createDataFrame([("a",), ("c",)], "name string"), store).orderBy("start", "place").collect()
-    assert [(r.start, r.concept) for r in got] == [("a", "c"), ("a", "b")]
+def walked(arcs, start):
+    """Dependencies of a concept as a recursive walk lists them."""
+    ahead, chain, seen = defaultdict(list), [], set()
+    for a, b in arcs:
+        ahead[a].append(b)
+
+    def go(at):
+        if at in seen:
+            return
+        seen.add(at)
+        for step in ahead[at]:
+            go(step)
+            if step not in chain:
+                chain.append(step)
+
+    go(start)
+    return chain
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chain_puts_dependencies_first(spark, seed):
+    """Also over more than fifty steps, on cycles and for self-loops."""
+    rng = random.Random(seed)
+    arcs = [(f"n{k}", f"n{k + 1}") for k in range(60)] if not seed else [(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(25)]
+    arcs = list(dict.fromkeys(arcs))
+    graph = spark.createDataFrame([(a, b, "dependency", k) for k, (a, b) in enumerate(arcs)] + [("n0", "other", "related", 99)], "src string, dst string, dep_kind string, ord int")
+    starts = sorted({a for a, _ in arcs})[:6] + ["alone"]
+    got = defaultdict(list)
+    for r in H.prerequisite_chain(graph, spark.createDataFrame([(x,) for x in starts], "name string"), store).orderBy("start", "place").collect():
+        got[r.start].append(r.concept)
+    assert got == {x: walked(arcs, x) for x in starts if walked(arcs, x)}
+    assert seed or len(got["n0"]) == 60
+
+
+def test_merged_edges_do_not_depend_on_order(spark):
+    rng = random.Random(9)
+    rows = [(0, f"e{k}", 1, 2, "USES", rng.randrange(1, 10**6) / 10**6, k, [f"b{k % 7}"]) for k in range(500)]
+    kind = "doc_id int, id string, source int, target int, relation_type string, confidence double, ord int, evidence_blocks array<string>"
+    want = None
+    for _ in range(3):
+        rng.shuffle(rows)
+        got = G.merge_duplicates(spark.createDataFrame(rows, kind).repartition(7)).collect()
+        assert want is None or got == want
+        want = got
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.95])
+def test_corpus_pairs_find_those_of_all_pairs(spark, threshold):
+    import numpy as np
+
+    from kgspark.operators import normalize as N
+
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(900, 32))
+    v[300:600] = v[:300] + rng.normal(size=(300, 32)) * rng.uniform(0.05, 0.7, (300, 1))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(int(a), int(b)) for a, b in np.argwhere(np.triu(unit @ unit.T, 1) >= threshold)}
+    rows = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(v)], "doc_id int, ord int, embedding array<double>")
+    got = {(r.a, r.b) for r in N.similar_pairs(rows, threshold, "corpus").collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) > 50
+    # Far fewer pairs are looked at than there are.
+    slim = rows.select(F.col("ord").alias("i"), F.col("embedding").alias("v"))
+    assert N.candidate_pairs(slim, 0.95).count() < 0.5 * 900 * 899 / 2
+
+
+@pytest.mark.parametrize("word_boundary", [False, True])
+def test_mentions_are_those_of_all_names(spark, word_boundary):
+    rng = random.Random(5)
+    names = ["ab", "a", "graph", "graph theory", "theory", "é", "learning", "machine learning", "x-ray"]
+    texts = [" ".join(rng.choice(["Graph", "theory", "theories", "MACHINE", "learning", "learn", "É", "cab", "x-ray", "q", "\n"]) for _ in range(rng.randint(0, 9))) for _ in range(60)] + ["", "a"]
+    blocks = spark.createDataFrame([(k % 2, f"b{k}", t) for k, t in enumerate(texts)], "doc_id int, block_id string, text string")
+    lookup = spark.createDataFrame([(d, n, f"c{k}") for d in range(2) for k, n in enumerate(names) if d or k % 2], "doc_id int, name string, concept_id string")
+    plain = lambda t: " " + re.sub(r"\W+", " ", t) + " "
+    want = set()
+    for k, t in enumerate(texts):
+        hits = {f"c{j}" for j, n in enumerate(names) if (k % 2 or j % 2) and n in t.lower() and (not word_boundary or plain(n) in plain(t.lower()))}
+        want |= {(k % 2, f"b{k}", c) for c in hits} if len(hits) > 1 else set()
+    assert {tuple(r) for r in R.mentions(blocks, lookup, word_boundary).collect()} == want
 
 
 def test_crawl(spark):
@@ -171,6 +246,29 @@ def test_crawl(spark):
     got = {r.node: (r.depth, r.parent) for r in P.crawl(links, roots, 5, 10, store).collect()}
     assert got == {0: (0, None), 1: (1, 0), 2: (1, 0), 3: (2, 1)}
     assert {r.node for r in P.crawl(links, roots, 5, 2, store).collect()} == {0, 1}
+    assert {r.node: r.depth for r in P.crawl(links, roots, 5, None, store).collect()} == {0: 0, 1: 1, 2: 1, 3: 2}
+
+
+def test_crawl_by_cleaned_url(spark):
+    pages = spark.createDataFrame([(1, "http://h.org/a?ref=x#top"), (2, "http://h.org/a"), (3, "http://h.org/b"), (4, "no url")], "page_id long, url string")
+    links = spark.createDataFrame([(1, 0, "http://h.org/b?utm_source=q", True), (1, 1, "http://other.org/", False), (3, 0, "http://h.org/c#d", True), (3, 1, "http://h.org/a", True)], "page_id long, ordinal int, target_url string, is_internal boolean")
+    nodes, arcs = P.crawl_graph(pages, links)
+    assert {tuple(r) for r in nodes.collect()} == {("http://h.org/a", 1), ("http://h.org/b", 3)}
+    met = P.crawl(arcs, nodes.where("page_id = 1"), 2, None, store)
+    assert {tuple(r) for r in met.collect()} == {("http://h.org/a", 0, None), ("http://h.org/b", 1, "http://h.org/a"), ("http://h.org/c", 2, "http://h.org/b")}
+    stored = spark.createDataFrame([("http://h.org/a", 2, 2, 1)], "node string, n_blocks long, n_links long, n_internal long")
+    assert [tuple(r) for r in P.crawl_summary(met, stored).orderBy("depth").collect()] == [(0, 1, 2, 2, 1), (1, 1, 0, 0, 0), (2, 1, 0, 0, 0)]
+
+
+def test_readings(spark):
+    texts = spark.createDataFrame([(1, k, f"h{k}", 2, "x" * 3000) for k in range(12)] + [(2, 0, "h", 1, "Access denied here")], "doc_id long, order_index int, heading string, level int, content string")
+    titles = spark.createDataFrame([(1, "t"), (2, "u")], "doc_id long, title string")
+    links = spark.createDataFrame([(1, k, f"u{k}", "a" * 200) for k in range(30)], "doc_id long, ordinal int, target_url string, anchor_text string")
+    short, full = ({r.doc_id: r for r in P.readings(texts, titles, links, x).collect()} for x in (True, False))
+    assert (len(short[1].sections), len(short[1].links), len(short[1].links[0].text), len(short[1].content)) == (8, 20, 100, 8 * (700 + 6) + 7 * 2)
+    assert (len(full[1].sections), len(full[1].sections[0].content), len(full[1].links), len(full[1].links[0].text)) == (12, 2000, 30, 200)
+    assert short[2].is_error and not short[1].is_error and short[2].links == []
+    assert {r.doc_id for r in P.readings(texts, titles, links, with_errors=False).collect()} == {1}
 
 
 def test_blank_input(spark):

@@ -35,6 +35,12 @@ def test_parse_replies(spark, parity):
     assert long == " ".join(["w"] * 25) + "..."
 
 
+def test_failures_are_rows(spark):
+    texts = ['{"concepts": [{"name": "A"}]}', "", None, "no json", '{"concepts": []}', '{"concepts": [{"x": 1}]}']
+    rows = spark.createDataFrame([(i % 2, f"b{i}", i, t) for i, t in enumerate(texts)], "doc_id int, block_id string, ord int, raw_output string")
+    assert {r.block_id: r.reason for r in C.failures(rows).collect()} == {"b1": "no reply", "b2": "no reply", "b3": "no JSON", "b4": "no concepts", "b5": "no concepts"}
+
+
 def test_all_phases(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").limit(5)
     from kgspark.operators import blocks as B
@@ -63,6 +69,9 @@ def test_round_trips(spark, tmp_path):
     tables.save(nodes.where("doc_id = 'd2'").withColumn("label", F.lit("C")), str(tmp_path / "g/nodes"), key="doc_id")
     assert {r.label for r in tables.load_graph(spark, str(tmp_path / "g"))[0].collect()} == {"A", "C"}
     assert [r.n_edges for r in tables.catalog(nodes, edges).orderBy("doc_id").collect()] == [1, 0]
+    tables.append(nodes.where("doc_id = 'd1'"), str(tmp_path / "log"))
+    tables.append(nodes, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 3
     (tmp_path / "j").mkdir()
     (tmp_path / "j/a.json").write_text('{"doc_id": "d", "position": 1, "text": "x"}\n{broken\n')
     rows = tables.read(spark, str(tmp_path / "j"), "content_blocks", "json").collect()
