@@ -32,32 +32,40 @@ def with_sections(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"is_heading": heading, "section": (opened + F.when(first, 0).otherwise(1)).cast("int"), "level": level})
 
 
-def sections(blocks: DataFrame) -> DataFrame:
-    """One row per section: doc_id, section_id, heading, level, order_index, parent_section_id, heading_path.
+def with_paths(blocks: DataFrame) -> DataFrame:
+    """``with_sections``, with the section's own_level and the headings open above it.
 
-    A section's parent is the nearest earlier one of a lower level.  The last
-    heading of each level is carried along; one is still open if no heading of
-    a lower level came after it.
+    ``open`` has (order_index, heading) of the section and those it lies in, the
+    outermost first: the last heading of each level is carried along, and one
+    is still open if no heading of a lower level came after it.
     """
+    upto = _order().rowsBetween(W.unboundedPreceding, 0)
     marked = with_sections(blocks)
-    opened = marked.where("is_heading").select("doc_id", F.col("section").alias("order_index"), F.col("text").alias("heading"), "level")
-    intro = marked.where("section = 1 and not is_heading").groupBy("doc_id").agg(F.min("position").alias("p"))
-    named = marked.where("section = 1 and is_heading").select("doc_id")
-    intro = intro.join(named, "doc_id", "left_anti").select("doc_id", F.lit(1).alias("order_index"), F.lit("Introduction").alias("heading"), F.lit(1).alias("level"))
-    rows = opened.unionByName(intro)
-    upto = W.partitionBy("doc_id").orderBy("order_index").rowsBetween(W.unboundedPreceding, 0)
-    last = {k: F.last(F.when(F.col("level") == k, F.struct("order_index", "heading")), ignorenulls=True).over(upto) for k in range(1, 7)}
-    rows = rows.withColumns({f"__l{k}": c for k, c in last.items()})
+    head = F.struct(F.col("section").alias("order_index"), F.col("text").alias("heading"))
+    last = {f"__l{k}": F.last(F.when(F.col("level") == k, head), ignorenulls=True).over(upto) for k in range(1, 7)}
+    untitled = ~F.first("is_heading").over(_order().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    own = F.coalesce(F.last("level", ignorenulls=True).over(upto), F.lit(1))
+    marked = marked.withColumns(last | {"__untitled": untitled, "own_level": own})
+    intro = F.struct(F.lit(1).alias("order_index"), F.lit("Introduction").alias("heading"))
+    marked = marked.withColumn("__l1", F.coalesce("__l1", F.when(F.col("__untitled"), intro)))
 
     def is_open(k: int) -> Column:
         at = F.col(f"__l{k}.order_index")
-        return at.isNotNull() & (F.col("level") >= k) & (F.greatest(F.lit(0), F.lit(0), *[F.coalesce(F.col(f"__l{j}.order_index"), F.lit(0)) for j in range(1, k)]) < at)
+        return at.isNotNull() & (F.col("own_level") >= k) & (F.greatest(F.lit(0), F.lit(0), *[F.coalesce(F.col(f"__l{j}.order_index"), F.lit(0)) for j in range(1, k)]) < at)
 
     open_ = F.filter(F.array(*[F.when(is_open(k), F.col(f"__l{k}")) for k in range(1, 7)]), lambda x: x.isNotNull())
-    rows = rows.withColumn("__open", open_)
+    return marked.withColumn("open", open_).drop("__untitled", *last)
+
+
+def sections(blocks: DataFrame) -> DataFrame:
+    """One row per section: doc_id, section_id, heading, level, order_index, parent_section_id, heading_path.
+
+    A section's parent is the nearest earlier one of a lower level.
+    """
+    rows = with_paths(blocks).withColumn("__first", F.row_number().over(_order()) == 1).where("is_heading or __first")
     section_id = lambda c: F.concat(F.lit("sec_"), c.cast("string"))
-    parent = F.get("__open", F.size("__open") - 2)["order_index"]
-    return rows.select("doc_id", section_id(F.col("order_index")).alias("section_id"), "heading", "level", "order_index", section_id(parent).alias("parent_section_id"), F.transform("__open", lambda x: x["heading"]).alias("heading_path"))
+    parent = F.get("open", F.size("open") - 2)["order_index"]
+    return rows.select("doc_id", section_id(F.col("section")).alias("section_id"), F.element_at("open", -1)["heading"].alias("heading"), F.col("own_level").alias("level"), F.col("section").alias("order_index"), section_id(parent).alias("parent_section_id"), F.transform("open", lambda x: x["heading"]).alias("heading_path"))
 
 
 def semantic_chunks(blocks: DataFrame) -> DataFrame:
@@ -88,14 +96,14 @@ def semantic_chunks(blocks: DataFrame) -> DataFrame:
 def semantic_blocks(blocks: DataFrame, roots_only: bool = False) -> DataFrame:
     """Semantic blocks: block_id, doc_id, section_id, text, block_type, heading_path, order_index, token_estimate.
 
-    With ``roots_only`` only content of sections without a parent counts.
+    With ``roots_only`` only content of sections without a parent counts.  All
+    windows and groups are by document first, so blocks are shuffled once.
     """
-    tree = sections(blocks)
+    marked = with_paths(blocks).where("not is_heading")
     if roots_only:
-        tree = tree.where("parent_section_id is null")
-    marked = with_sections(blocks).where("not is_heading").select("doc_id", "position", "type", "text", "section")
-    chunks = semantic_chunks(marked)
-    placed = chunks.join(tree.select("doc_id", F.col("order_index").alias("section"), "section_id", "heading_path"), ["doc_id", "section"])
+        marked = marked.where(F.size("open") == 1)
+    path = F.transform("open", lambda x: x["heading"]).alias("heading_path")
+    placed = semantic_chunks(marked.select("doc_id", "position", "type", "text", "section", path)).withColumn("section_id", F.concat(F.lit("sec_"), F.col("section").cast("string")))
     order = F.row_number().over(W.partitionBy("doc_id").orderBy("section", "position", "chunk"))
     out = placed.withColumn("order_index", order)
     return out.select(T.short_hash(F.col("doc_id"), F.col("order_index")).alias("block_id"), "doc_id", "section_id", "text", T.block_type(F.col("text"), F.col("type")).alias("block_type"), "heading_path", "order_index", T.token_estimate(F.col("text")).alias("token_estimate"))
