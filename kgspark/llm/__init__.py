@@ -1,5 +1,5 @@
 """Operators for preparing large text corpora for training.
 
-Nothing else in the library imports this subpackage.  ``registry`` holds its
-queries and their SQL.
+Nothing else in the library imports this subpackage.  ``queries`` holds its
+queries, ``oracles`` their SQL.
 """

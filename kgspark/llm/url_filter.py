@@ -37,7 +37,8 @@ class UrlTrie:
     """Host labels from the right, each node with a trie of path segments.
 
     A rule's last path segment may be cut short (``/en/1`` fits ``/en/17``);
-    those ends are kept at the node of the segments before it.
+    those ends are kept at the node of the segments before it, with the length
+    of the longest, beyond which no start of a segment is looked up.
     """
 
     def __init__(self, rules: Iterable[Rule]) -> None:
@@ -47,18 +48,19 @@ class UrlTrie:
             for label in reversed(rule.host.split(".")):
                 node = node["next"].setdefault(label, {"next": {}, "paths": None})
             if node["paths"] is None:
-                node["paths"] = {"next": {}, "ends": {}}
+                node["paths"] = {"next": {}, "ends": {}, "longest": 0}
             *full, last = rule.path.split("/")
             at = node["paths"]
             for segment in full:
-                at = at["next"].setdefault(segment, {"next": {}, "ends": {}})
+                at = at["next"].setdefault(segment, {"next": {}, "ends": {}, "longest": 0})
             at["ends"].setdefault(last, rule)  # of equal rules the first holds
+            at["longest"] = max(at["longest"], len(last))
 
     @staticmethod
     def _longest(paths: dict, path: str) -> Rule | None:
         best, at = None, paths
         for segment in path.split("/"):
-            for k in range(len(segment), -1, -1):
+            for k in range(min(len(segment), at["longest"]), -1, -1):
                 if segment[:k] in at["ends"]:
                     best = at["ends"][segment[:k]]
                     break

@@ -306,7 +306,7 @@ def test_packing(docs, rows):
 
 
 def test_url_filter(spark):
-    urls = ["http://A.Example.ORG/es/1?x#y", "https://example.org/en/17", "http://example.org/en/2", "http://badexample.org/es/", "http://a.com/fr/", "x://a.com/de", "x://a.com/de/#", "no scheme", None, "", "http://net?x", "http://org/", "http://com:80/de/", "a://b://org/\nx", "http://example.org"]
+    urls = ["http://A.Example.ORG/es/1?x#y", "https://example.org/en/17", "http://example.org/en/2", "http://badexample.org/es/", "http://a.com/fr/", "x://a.com/de", "x://a.com/de/#", "no scheme", None, "", "http://net?x", "http://org/", "http://com:80/de/", "a://b://org/\nx", "http://example.org", "http://example.org/en/" + "1" * 300_000, "http://example.org/" + "es" * 200_000 + "/", "http://a." + "b." * 3000 + "org/"]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)] + [(None, urls[0], None)], "page_id long, url string, host string")
     rules = [(v, *re.match(r"([^/]*)(.*)", e).groups()) for v, e in URL_RULES]
 
