@@ -380,7 +380,7 @@ def _known(spark, sf_dir):
 
 
 def _mentions(spark, sf_dir):
-    return R.mentions(I.line_blocks(spark, sf_dir), R.name_lookup(_known(spark, sf_dir)[1]))
+    return R.mentions(I.line_blocks(spark, sf_dir), store(R.name_lookup(_known(spark, sf_dir)[1])))
 
 
 @query
