@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from kgspark.functions.text import strip
 
+# The patterns that say which part of a reply is read.
 _OBJECT = r"(?s)(\{.*\})"
+_FENCE = r"(?s)```(?:json)?\s*([\{\[].*?[\}\]])\s*```"
+_NESTED = r"(?s)(\{[^{}]*\{[^{}]*\}[^{}]*\})"
 
 
 def json_of(text: Column, arrays: bool = True) -> Column:
@@ -15,7 +18,7 @@ def json_of(text: Column, arrays: bool = True) -> Column:
 
     With ``arrays`` a text that starts as a JSON array stays one.
     """
-    fence = F.regexp_extract(text, r"(?s)```(?:json)?\s*([\{\[].*?[\}\]])\s*```", 1)
+    fence = F.regexp_extract(text, _FENCE, 1)
     found = F.coalesce(F.nullif(fence, F.lit("")), F.nullif(F.regexp_extract(text, _OBJECT, 1), F.lit("")), text)
     if not arrays:
         return found
@@ -25,7 +28,7 @@ def json_of(text: Column, arrays: bool = True) -> Column:
 def relation_json_of(text: Column) -> Column:
     """Without fences: an object holding exactly one object, else the greedy {...}."""
     plain = F.regexp_replace(F.regexp_replace(text, r"```json\s*", ""), r"```\s*", "")
-    nested = F.regexp_extract(plain, r"(?s)(\{[^{}]*\{[^{}]*\}[^{}]*\})", 1)
+    nested = F.regexp_extract(plain, _NESTED, 1)
     return F.coalesce(F.nullif(nested, F.lit("")), F.nullif(F.regexp_extract(plain, _OBJECT, 1), F.lit("")))
 
 

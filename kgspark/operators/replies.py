@@ -97,6 +97,7 @@ def prompts(articles: DataFrame) -> DataFrame:
 
     ``articles`` is (key, content, concepts array, question).
     """
+    # How many concepts and characters each prompt holds.
     listed = lambda n: F.array_join(F.slice("concepts", 1, n), ", ")
     cut = lambda n: F.left("content", F.lit(n))
     form = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("prompt"))
