@@ -168,6 +168,7 @@ def drop_frequent_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs
     together are below ``broadcast_limit`` the tasks probe a broadcast copy;
     beyond it the lines' hashes go to the shards and only the numbers of lost
     lines come back to the documents.
+    Keys are whole numbers, as the largest key keeps a line.
     """
     lines = materialize(frequent_lines(docs, min_chars=min_chars, min_docs=min_docs, key=key, text=text), "lines")
     n = lines.count()
