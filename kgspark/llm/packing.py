@@ -12,6 +12,7 @@ from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +35,9 @@ SALTS = 64
 class WordTokens:
     """Ids of whole texts, each distinct word encoded by the tokenizer once.
 
+    Words are told apart by Arrow, and ids of its dictionary put in their order,
+    so that Python sees each word once a batch.
+
     The tokenizer's pattern never crosses white space and its normaliser works
     on single characters, so ids of a text are those of its words in order;
     the exceptions (special tokens, separators that only Python calls white
@@ -48,30 +52,51 @@ class WordTokens:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        # Folded words of letters only need no normaliser.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = self.tokenizer.pre_tokenizer
         self.cache: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _words(self, text: str) -> list[str] | None:
+    def _folded(self, text: str) -> str | None:
+        """The text as the tokenizer's normaliser leaves its words; None if it is an exception."""
         if any(x in text for x in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return None
         if not text.isascii():
             # str.lower() alone would write a final sigma at word ends.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower().split()
+        return text.lower()
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
+        """Take distinct words into the cache."""
         if len(self.cache) + len(words) > CACHE_WORDS:
             self.cache.clear()
-        new = words.difference(self.cache)
-        # Marks after a last letter are a piece of their own.
-        cores = {w: core if (core := w.rstrip(punctuation))[-1:].isalpha() else w for w in new}
-        # A word of letters only is one piece for the tokenizer, which ends in an id with ``</w>``.
-        letters = [c for c in set(cores.values()).difference(self.cache) if c.isalpha()]
-        for i in range(0, len(letters), 2000):
-            some = letters[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        known = self.cache
+        letters, odd, marked = set(), set(), []
+        for w in words:
+            if w in known:
+                continue
+            if w.isalpha():
+                letters.add(w)
+            elif (core := w.rstrip(punctuation))[-1:].isalpha():
+                # Marks after a last letter are a piece of their own.
+                marked.append((w, core, tail := w[len(core) :]))
+                (letters if core.isalpha() else odd).add(core)
+                odd.add(tail)
+            else:
+                odd.add(w)
+        self._learn_letters([w for w in letters if w not in known])
+        self._learn_singly([w for w in odd if w not in known])
+        for w, core, tail in marked:
+            known[w] = known[core] + known[tail]
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Words of letters only are one piece each, which ends in an id with ``</w>``."""
+        for i in range(0, len(words), 500):
+            some = words[i : i + 500]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(some):
                 self._learn_singly(some)
@@ -80,28 +105,23 @@ class WordTokens:
             for w, cut in zip(some, (4 * cuts).tolist(), strict=True):
                 self.cache[w] = flat[begin:cut]
                 begin = cut
-        known = self.cache
-        odd = [w for w, core in cores.items() if core not in known]
-        tails = {w[len(core) :] for w, core in cores.items() if core in known}
-        self._learn_singly([*odd, *tails.difference(known)])
-        for w, core in cores.items():
-            if core in known and w not in known:
-                known[w] = known[core] + known[w[len(core) :]]
 
     def _learn_singly(self, words: list[str]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.cache[w] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes | memoryview]:
         """Little-endian 32-bit ids of each text."""
-        split = [self._words(t) for t in texts]
-        missing: set[str] = set()
-        for w in split:
-            if w is not None:
-                missing.update(w)
-        self._learn(missing)
-        get = self.cache.__getitem__
-        return [self._plain(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
+        folded = [self._folded(t) for t in texts]
+        split = pc.utf8_split_whitespace(pa.array([t or "" for t in folded], pa.string()))
+        words = split.flatten().dictionary_encode()
+        different = words.dictionary.to_pylist()
+        self._learn(different)
+        ids = pa.array(map(self.cache.__getitem__, different), pa.large_binary(), size=len(different)).take(words.indices)
+        _, ends, data = ids.buffers()
+        at = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist()
+        flat = memoryview(data or b"")
+        return [self._plain(t) if f is None else flat[b:e] for t, f, b, e in zip(texts, folded, at[:-1], at[1:], strict=True)]
 
 
 _loaded: dict[str, WordTokens] = {}
@@ -123,7 +143,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, key: st
             for part, texts in slices(batch, 1):
                 rows = []
                 for k, ids in enumerate(tokens.encode([t or "" for t in texts])):
-                    whole = ids + end
+                    whole = b"".join((ids, end))
                     for n, begin in enumerate(range(0, len(whole), 4 * capacity)):
                         piece = whole[begin : begin + 4 * capacity]
                         rows.append((k, n, begin // 4, len(piece) // 4, zlib.crc32(piece)))
