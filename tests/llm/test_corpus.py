@@ -305,6 +305,20 @@ def test_packing(docs, rows):
     assert len(sequences) <= 1.03 * -(-sum(r.length for r in got) // 4096) + 1
 
 
+def test_word_tokens(monkeypatch):
+    """Ids of random texts by words, with a cache that is cleared often, against whole texts."""
+    rng = np.random.default_rng(3)
+    parts = ["a", "Be", "don't", "it'", "'s", ".", "...", "###", "É", "e\u0301", "ß", "Σ", "İ", "12", "x1", "ſ", "漢字", "\u00a0", "\u2028", "\x85", "\x1d", " ", " ", "  ", "\n", "\t", "<s>", "-", "_", "🙂", "ª", "ǅ"]
+    texts = ["", " ", *("".join(rng.choice(parts, rng.integers(1, 60))) for _ in range(600))]
+    monkeypatch.setattr(packing, "CACHE_WORDS", 200)
+    tokens = packing.WordTokens(tokenizer_path())
+    assert tokens.encode([]) == []
+    for k in range(0, len(texts), 50):
+        some = texts[k : k + 50]
+        whole = [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode(some)] == whole
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.ORG/es/1?x#y", "https://example.org/en/17", "http://example.org/en/2", "http://badexample.org/es/", "http://a.com/fr/", "x://a.com/de", "x://a.com/de/#", "no scheme", None, "", "http://net?x", "http://org/", "http://com:80/de/", "a://b://org/\nx", "http://example.org", "http://example.org/en/" + "1" * 300_000, "http://example.org/" + "es" * 200_000 + "/", "http://a." + "b." * 3000 + "org/"]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)] + [(None, urls[0], None)], "page_id long, url string, host string")
