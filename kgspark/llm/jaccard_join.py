@@ -33,6 +33,10 @@ PERCENT = 80
 LEAST_LOAD = 2.6
 #: Classes of each signature that its others are tried with first.
 FRONT = 3
+#: Pairs that a signature may have left before its sets are split by their rare tokens.
+SPLIT_PAIRS = 1_000_000
+#: Tokens in more of the split sets than this come last, by their number.
+FREQUENT = 8
 #: 64-bit words of a set's parity bitmap; sets of more tokens than bits have a
 #: second one, of as many bits as tokens, up to the next power of two.
 BITMAP = 16
@@ -354,6 +358,61 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, rows.schema)
 
 
+def token_sets(texts: DataFrame, words: int) -> DataFrame:
+    """The tokens of each set: set_id, tokens (an array), from rows (set_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, values in slices(batch, 1):
+                tokens, sizes = shingle_sets(values, words)
+                bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                own = set_ids(tokens, sizes).view(np.int64) == part[0].to_numpy()  # not so for another row of a key that is used twice
+                yield pa.RecordBatch.from_arrays([part[0], pa.ListArray.from_arrays(bounds, _signed(tokens))], names=["set_id", "tokens"]).filter(pa.array(own))
+
+    return texts.select("set_id", "text").mapInArrow(run, "set_id long, tokens array<long>").dropDuplicates(["set_id"])
+
+
+def rare_signatures(sets: DataFrame, largest: int, percent: int) -> DataFrame:
+    """Rows (sig, set_id), of which any two linked sets share one, from (set_id, tokens), rarest tokens first.
+
+    Of two linked sets of n and m tokens, which share at least
+    s = percent * (n + m) / (100 + percent), the first n - s + 1 tokens of the one and
+    m - s + 1 of the other, in one order of all tokens, have one in common.  Sizes
+    go by steps of a twentieth; a signature is a token with the steps of both.
+    """
+    steps = [1]
+    while steps[-1] <= largest:
+        steps.append(max(steps[-1] + 1, steps[-1] * 21 // 20))
+    least = np.array(steps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs, owners, held = [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([_signed(np.concatenate(sigs)), pa.array(np.concatenate(owners))], names=["sig", "set_id"])
+
+            for set_id, tokens in zip(batch["set_id"].to_pylist(), batch["tokens"], strict=True):
+                tokens = tokens.values.to_numpy().view(np.uint64)
+                n = len(tokens)
+                low, high = -(-n * percent // 100), n * 100 // percent
+                own, first, last = (int(x) for x in np.searchsorted(least, [n, low, high], side="right") - 1)
+                for other in range(first, last + 1):
+                    shared = -(-percent * (n + max(low, steps[other])) // (100 + percent))
+                    with np.errstate(over="ignore"):
+                        both = np.uint64(min(own, other) << 20 | max(own, other)) * _P1
+                        sigs.append(_mix(_mix(tokens[: max(1, n - shared + 1)] + _P2) ^ both))
+                    owners.append(np.full(len(sigs[-1]), set_id, np.int64))
+                    held += len(sigs[-1])
+                if held >= 500_000:
+                    yield flush()
+                    sigs, owners, held = [], [], 0
+            if sigs:
+                yield flush()
+
+    return sets.mapInArrow(run, "sig long, set_id long")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets link, from their texts; both are written tables."""
 
@@ -424,11 +483,31 @@ def _components(docs: DataFrame, words: int, percent: int, key: str, text: str)
         pairs = materialize(pairs, "pairs")
         tried.append(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+        return verify(pairs, texts_of(ends), words, percent)
+
+    def texts_of(ends: DataFrame) -> DataFrame:
+        """Rows (set_id, text) of the sets; a key that is used twice may bring other texts too."""
         reps = materialize(classes.select("set_id", "doc").join(ends, "set_id", "left_semi"), "representatives")
         keyed = join_sized(lookup, reps.where("doc is not null"), "doc", "inner", row_bytes=40).select("set_id", "text")
         # Sets that only rows without a key have: one of their texts.
         unkeyed = strays.join(reps.where("doc is null"), "set_id", "left_semi").groupBy("set_id").agg(F.min("text").alias("text"))
-        return verify(pairs, materialize(keyed.unionByName(unkeyed), "candidate-texts"), words, percent)
+        return materialize(keyed.unionByName(unkeyed), "candidate-texts")
+
+    def split(sets: DataFrame) -> DataFrame:
+        """Rows (sig, set_id) by rare tokens of the sets, in place of a signature of very many sets."""
+        arrays = materialize(token_sets(texts_of(sets), words), "token-sets")
+        tokens = arrays.select("set_id", F.explode("tokens").alias("token"))
+        frequent = materialize(tokens.groupBy("token").count().where(F.col("count") > FREQUENT), "frequent-tokens")
+        ranked = join_sized(tokens, frequent, "token", "left", row_bytes=24)
+        ranked = ranked.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)), "token"))).alias("t"))
+        rows = rare_signatures(ranked.select("set_id", F.col("t.token").alias("tokens")), largest, percent)
+        return shared_signatures(rows)
+
+    def parted(rows: DataFrame) -> DataFrame:
+        """Signatures with sets in several components: the largest of these, and the pairs to try."""
+        held = rows.groupBy("sig", "component").agg(F.count("*").alias("k"))
+        held = held.groupBy("sig").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("sets"))
+        return held.where("parts > 1").select("sig", F.col("top.component").alias("top"), (F.col("sets") * (F.col("sets") - F.col("top.k"))).alias("pairs"))
 
     def like(a: str, b: str) -> Column:
         """Whether sizes and bitmaps allow a link."""
@@ -442,14 +521,14 @@ def _components(docs: DataFrame, words: int, percent: int, key: str, text: str)
     def named(links: DataFrame) -> DataFrame:
         return connected_components(links, stored, "a", "b").withColumnRenamed("node", "set_id")
 
-    def placed(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-        if links is None:
+    def placed(rows: DataFrame, names: DataFrame | None) -> DataFrame:
+        if names is None:
             return rows.withColumn("component", F.col("set_id"))
-        return rows.join(named(links), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        return rows.join(names, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
 
     links = None
     for _ in range(2):
-        spread = placed(members.select("sig", "set_id").join(classes.select("set_id", "shares"), "set_id"), links)
+        spread = placed(members.select("sig", "set_id").join(classes.select("set_id", "shares"), "set_id"), None if links is None else named(links))
         # Of the components in a signature, the foremost sets of the first few.
         front = spread.groupBy("sig", "component").agg(F.max(F.struct("shares", "set_id")).alias("f"))
         front = front.withColumn("k", F.row_number().over(W.partitionBy("sig").orderBy(F.desc("f")))).where(F.col("k") <= FRONT)
@@ -462,15 +541,22 @@ def _components(docs: DataFrame, words: int, percent: int, key: str, text: str)
         new = linked(pairs.select("a", "b"))
         links = stored(new if links is None else links.unionByName(new))
 
-    spread = placed(members.select("sig", "set_id"), links)
-    held = spread.groupBy("sig", "component").agg(F.count("*").alias("k"))
-    mixed = held.groupBy("sig").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("sig", F.col("top.component").alias("top"))
-    open_ = materialize(spread.join(mixed, "sig").join(about, "set_id"), "open")
+    names = named(links)
+    spread = placed(members.select("sig", "set_id"), names)
+    mixed = materialize(parted(spread), "open-signatures")
+    crowded = mixed.where(F.col("pairs") > SPLIT_PAIRS)
+    mixed = mixed.where(F.col("pairs") <= SPLIT_PAIRS).drop("pairs")
+    open_ = spread.join(mixed, "sig")
+    if not crowded.isEmpty():
+        finer = placed(split(spread.join(crowded, "sig", "left_semi").select("set_id").distinct()), names)
+        finer = materialize(finer, "split-signatures")
+        open_ = open_.unionByName(finer.join(parted(finer).drop("pairs"), "sig").select(open_.columns))
+    open_ = materialize(open_.join(about, "set_id"), "open")
     probes = open_.where("component <> top")
     apart = (F.col("p.component") != F.col("q.component")) & ((F.col("q.component") == F.col("q.top")) | (F.col("p.set_id") < F.col("q.set_id")))
     pairs = probes.alias("p").join(open_.alias("q"), (F.col("p.sig") == F.col("q.sig")) & apart & like("p", "q")).select(F.col("p.set_id").alias("a"), F.col("q.set_id").alias("b")).distinct()
     links = stored(links.unionByName(linked(pairs)))
-    return materialize(placed(prints.drop("bits", "wide", "stray"), links), "placed")
+    return materialize(placed(prints.drop("bits", "wide", "stray"), named(links)), "placed")
 
 
 def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -492,7 +578,9 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     most signatures with others; in the first round each with one.  Then all
     pairs of a signature that are still in different components are tried,
     which takes only classes outside its largest component against the rest.
-    No pair is verified twice.
+    Where these pairs would be over SPLIT_PAIRS, as in a signature of a passage
+    that very many texts share, its classes meet by their rarest tokens instead,
+    as many as any link needs.  No pair is verified twice.
     """
     placed = _components(docs, words, percent, key, text)
     # A table of its own, so that a component of very many rows can be split when joined.

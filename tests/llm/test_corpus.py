@@ -220,6 +220,48 @@ def test_jaccard_join_near_the_threshold(spark, seed):
     assert bag(jaccard_join.similar_documents(docs, words=2, percent=80).collect()) == joined_brute(table, 2, 80)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_jaccard_join_by_rare_tokens(spark, monkeypatch, seed):
+    """Signatures of a passage that many texts share: its sets are split by their rare tokens."""
+    monkeypatch.setattr(jaccard_join, "SPLIT_PAIRS", 0 if seed else 50)
+    monkeypatch.setattr(jaccard_join, "FRONT", 1)
+    rng = np.random.default_rng(seed)
+    passage = [f"p{i}" for i in range(30)]
+    table = []
+    for k in range(150):
+        words = passage + [f"w{x}" for x in rng.integers(0, 12 if k % 2 else 500, int(rng.integers(1, 9)))]
+        table.append((k if k % 10 else None, " ".join(words), "s"))
+    table += [(200, " ".join(passage), "s"), (201, "", "s"), (202, table[3][1], "s"), (3, "a text of the same key", "s")]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string")
+    for n, percent in ((2, 85), (1, 80)):
+        assert bag(jaccard_join.similar_documents(docs, words=n, percent=percent).collect()) == joined_brute(table, n, percent)
+
+
+def test_rare_signatures_meet_all_links(spark):
+    """Linked sets share a signature; sets that share only a passage share none."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for group in range(30):
+        base = rng.integers(0, 10**6, int(rng.integers(3, 120)))
+        for _ in range(5):
+            own = set(base.tolist())
+            for _ in range(int(rng.integers(0, 1 + len(base) // 6))):
+                own.discard(int(rng.choice(base)))
+                if rng.integers(2):
+                    own.add(int(rng.integers(0, 10**6)))
+            sets.append(sorted(own))
+    crowd = [[*range(k * 8, k * 8 + 8), *range(10**7, 10**7 + 42)] for k in range(40)]
+    table = spark.createDataFrame(list(enumerate(sets + crowd)), "set_id long, tokens array<long>")
+    by = defaultdict(set)
+    for r in jaccard_join.rare_signatures(table, 200, 85).collect():
+        by[r.set_id].add(r.sig)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(set(a) & set(b)) >= 85 * len(set(a) | set(b)):
+                assert by[i] & by[j]
+    assert not any(by[len(sets) + i] & by[len(sets) + j] for i in range(40) for j in range(i))
+
+
 def one_each(rows, n, percent):
     """Per component the row with the smallest key, nulls last; rows without words all."""
     parts = defaultdict(list)
