@@ -33,10 +33,11 @@ PERCENT = 80
 LEAST_LOAD = 2.6
 #: Classes of each signature that its others are tried with first.
 FRONT = 3
-#: Pairs that a signature may have left before its sets are split by their rare tokens.
-SPLIT_PAIRS = 1_000_000
-#: Tokens in more of the split sets than this come last, by their number.
-FREQUENT = 8
+#: Pairs that a signature may have left before its sets are split by their rare tokens:
+#: about what it costs to read the 2,000 texts that have so many pairs.
+SPLIT_PAIRS = 4_000_000
+#: Buckets that tokens are counted in to tell which are rare.
+TOKEN_BUCKETS = 1 << 18
 #: 64-bit words of a set's parity bitmap; sets of more tokens than bits have a
 #: second one, of as many bits as tokens, up to the next power of two.
 BITMAP = 16
@@ -358,59 +359,87 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, rows.schema)
 
 
-def token_sets(texts: DataFrame, words: int) -> DataFrame:
-    """The tokens of each set: set_id, tokens (an array), from rows (set_id, text)."""
+def _own_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each set's id and tokens, from rows (set_id, text)."""
+    for batch in batches:
+        for part, texts in slices(batch, 1):
+            tokens, sizes = shingle_sets(texts, words)
+            ends = np.cumsum(sizes)
+            for want, have, n, end in zip(part[0].to_pylist(), set_ids(tokens, sizes).view(np.int64).tolist(), sizes.tolist(), ends.tolist(), strict=True):
+                if want == have:  # not so for another row of a key that is used twice
+                    yield want, tokens[end - n : end]
+
+
+def token_counts(texts: DataFrame, words: int) -> np.ndarray:
+    """How many tokens the sets of (set_id, text) have, by TOKEN_BUCKETS hash buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, values in slices(batch, 1):
-                tokens, sizes = shingle_sets(values, words)
-                bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                own = set_ids(tokens, sizes).view(np.int64) == part[0].to_numpy()  # not so for another row of a key that is used twice
-                yield pa.RecordBatch.from_arrays([part[0], pa.ListArray.from_arrays(bounds, _signed(tokens))], names=["set_id", "tokens"]).filter(pa.array(own))
+        counts = np.zeros(TOKEN_BUCKETS, np.int64)
+        for _, tokens in _own_sets(batches, words):
+            np.add.at(counts, tokens % np.uint64(TOKEN_BUCKETS), 1)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
+
+    table = texts.select("set_id", "text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(TOKEN_BUCKETS, np.int64)
+    counts[table["bucket"].to_numpy()] = table["n"].to_numpy()
+    return counts
+
 
-    return texts.select("set_id", "text").mapInArrow(run, "set_id long, tokens array<long>").dropDuplicates(["set_id"])
+def size_steps(largest: int) -> np.ndarray:
+    """Least sizes of steps of about a twentieth."""
+    steps = [1]
+    while steps[-1] <= largest:
+        steps.append(max(steps[-1] + 1, steps[-1] * 21 // 20))
+    return np.array(steps)
 
 
-def rare_signatures(sets: DataFrame, largest: int, percent: int) -> DataFrame:
-    """Rows (sig, set_id), of which any two linked sets share one, from (set_id, tokens), rarest tokens first.
+def rare_signatures(tokens: np.ndarray, counts: np.ndarray, steps: np.ndarray, percent: int) -> np.ndarray:
+    """Signatures of a set, of which any two linked sets share one.
 
     Of two linked sets of n and m tokens, which share at least
     s = percent * (n + m) / (100 + percent), the first n - s + 1 tokens of the one and
-    m - s + 1 of the other, in one order of all tokens, have one in common.  Sizes
-    go by steps of a twentieth; a signature is a token with the steps of both.
+    m - s + 1 of the other, in one order of all tokens, have one in common.  The
+    order is by bucket counts, so that tokens of few sets come first.  A signature
+    is a token with the size steps of both sets.
     """
-    steps = [1]
-    while steps[-1] <= largest:
-        steps.append(max(steps[-1] + 1, steps[-1] * 21 // 20))
-    least = np.array(steps)
+    tokens = tokens[np.lexsort((tokens, counts[(tokens % np.uint64(TOKEN_BUCKETS)).astype(np.int64)]))]
+    n = len(tokens)
+    low, high = -(-n * percent // 100), n * 100 // percent
+    own, first, last = (int(x) for x in np.searchsorted(steps, [n, low, high], side="right") - 1)
+    out = []
+    with np.errstate(over="ignore"):
+        mixed = _mix(tokens + _P2)
+        for other in range(first, last + 1):
+            shared = -(-percent * (n + max(low, int(steps[other]))) // (100 + percent))
+            both = np.uint64(min(own, other) << 20 | max(own, other)) * _P1
+            out.append(_mix(mixed[: max(1, n - shared + 1)] ^ both))
+    return np.concatenate(out)
+
+
+def rare_signature_rows(texts: DataFrame, largest: int, words: int, percent: int) -> DataFrame:
+    """Rows (sig, set_id) of the sets of (set_id, text), by their rarest tokens."""
+    counts, steps = token_counts(texts, words), size_steps(largest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs, owners, held = [], [], 0
-
-            def flush() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([_signed(np.concatenate(sigs)), pa.array(np.concatenate(owners))], names=["sig", "set_id"])
-
-            for set_id, tokens in zip(batch["set_id"].to_pylist(), batch["tokens"], strict=True):
-                tokens = tokens.values.to_numpy().view(np.uint64)
-                n = len(tokens)
-                low, high = -(-n * percent // 100), n * 100 // percent
-                own, first, last = (int(x) for x in np.searchsorted(least, [n, low, high], side="right") - 1)
-                for other in range(first, last + 1):
-                    shared = -(-percent * (n + max(low, steps[other])) // (100 + percent))
-                    with np.errstate(over="ignore"):
-                        both = np.uint64(min(own, other) << 20 | max(own, other)) * _P1
-                        sigs.append(_mix(_mix(tokens[: max(1, n - shared + 1)] + _P2) ^ both))
-                    owners.append(np.full(len(sigs[-1]), set_id, np.int64))
-                    held += len(sigs[-1])
-                if held >= 500_000:
-                    yield flush()
-                    sigs, owners, held = [], [], 0
-            if sigs:
-                yield flush()
-
-    return sets.mapInArrow(run, "sig long, set_id long")
+        sigs: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([_signed(np.concatenate(sigs)), pa.array(np.concatenate(owners))], names=["sig", "set_id"])
+
+        held = 0
+        for set_id, tokens in _own_sets(batches, words):
+            sigs.append(rare_signatures(tokens, counts, steps, percent))
+            owners.append(np.full(len(sigs[-1]), set_id, np.int64))
+            held += len(sigs[-1])
+            if held >= 500_000:
+                yield rows()
+                sigs, owners, held = [], [], 0
+        if sigs:
+            yield rows()
+
+    return texts.select("set_id", "text").mapInArrow(run, "sig long, set_id long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -495,13 +524,7 @@ def _components(docs: DataFrame, words: int, percent: int, key: str, text: str)
 
     def split(sets: DataFrame) -> DataFrame:
         """Rows (sig, set_id) by rare tokens of the sets, in place of a signature of very many sets."""
-        arrays = materialize(token_sets(texts_of(sets), words), "token-sets")
-        tokens = arrays.select("set_id", F.explode("tokens").alias("token"))
-        frequent = materialize(tokens.groupBy("token").count().where(F.col("count") > FREQUENT), "frequent-tokens")
-        ranked = join_sized(tokens, frequent, "token", "left", row_bytes=24)
-        ranked = ranked.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)), "token"))).alias("t"))
-        rows = rare_signatures(ranked.select("set_id", F.col("t.token").alias("tokens")), largest, percent)
-        return shared_signatures(rows)
+        return shared_signatures(rare_signature_rows(texts_of(sets), largest, words, percent)).distinct()
 
     def parted(rows: DataFrame) -> DataFrame:
         """Signatures with sets in several components: the largest of these, and the pairs to try."""
