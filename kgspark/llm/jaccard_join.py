@@ -34,7 +34,7 @@ LEAST_LOAD = 2.6
 #: Classes of each signature that its others are tried with first.
 FRONT = 3
 #: Pairs that a signature may have left before its sets are split by their rare tokens:
-#: about what it costs to read the 2,000 texts that have so many pairs.
+#: by estimate, not measured, what it costs to read the 2,000 texts that have so many.
 SPLIT_PAIRS = 4_000_000
 #: Buckets that tokens are counted in to tell which are rare.
 TOKEN_BUCKETS = 1 << 18
