@@ -72,3 +72,35 @@ x AS (SELECT page_id, translate(split_part(rest, '/', 1), '{_UP}', '{_LOW}') AS
 m AS (SELECT page_id, host, path, h || p AS rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY len(string_split(h, '.')) DESC NULLS LAST, length(p) DESC) AS k
   FROM x LEFT JOIN r ON (host = h OR suffix(host, '.' || h)) AND prefix(path, p))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1"""
+
+ORACLES["op11_exact_dedup"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d"""
+
+ORACLES["op12_source_divergence"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{_UP}', '{_LOW}') AS t FROM documents),
+g AS (SELECT lang, source FROM d GROUP BY ALL),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*)::BIGINT AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+v AS (SELECT lang, count(*)::BIGINT AS v, sum(lang_n)::BIGINT AS lang_total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::BIGINT AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, sum(n)::BIGINT AS total FROM c GROUP BY ALL),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 2) // (coalesce(total, 0) + 2 * v) AS p, 1 + 1000000000 * (lang_n + 2) // (lang_total + 2 * v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN s USING (lang, source)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR rank <= 10"""
+
+ORACLES["op13_lexical_search"] = rf"""
+WITH w AS (SELECT row, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS row, * FROM documents)),
+i AS (SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+tf AS MATERIALIZED (SELECT row, doc_id, term, count(*)::BIGINT AS tf FROM w GROUP BY ALL),
+size AS (SELECT row, sum(tf)::BIGINT AS n FROM tf GROUP BY row),
+all_ AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM size),
+m AS (SELECT row, 25 + (75 * n * docs) // total AS m FROM size, all_),
+wt AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, all_ GROUP BY term, docs),
+s AS (SELECT item_id, row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM i JOIN tf USING (term) JOIN wt USING (term) JOIN m USING (row) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0) WHERE rank <= 10"""

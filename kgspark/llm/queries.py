@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import ann, jaccard_join, licenses, line_dedup, mixing, packing, quality_rules, suffix_dedup, toxicity, url_filter
-from kgspark.llm._common import load
+from kgspark.llm import ann, divergence, exact_dedup, jaccard_join, lexical, licenses, line_dedup, mixing, packing, quality_rules, suffix_dedup, toxicity, url_filter
+from kgspark.llm._common import load, work_dir
 from kgspark.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -75,7 +76,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as the first batch of a new index."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{work_dir(spark)}/digest-index-{uuid.uuid4().hex}"
+    with exact_dedup.DigestIndex(spark, path, exact_dedup.buckets_for(docs.count())) as index:
+        return index.judge(docs, "documents")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(load(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_quality_rules, op3_nearest_neighbours, op4_line_dedup, op5_mixing, op6_license_scan, op7_url_filter, op8_jaccard_join, op9_toxicity, op10_packing)
+    for f in (op1_suffix_dedup, op2_quality_rules, op3_nearest_neighbours, op4_line_dedup, op5_mixing, op6_license_scan, op7_url_filter, op8_jaccard_join, op9_toxicity, op10_packing, op11_exact_dedup, op12_source_divergence, op13_lexical_search)
 }
