@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kgspark.sources.tables import load, work_dir
 from kgspark.sources.tables import store as materialize
 
-__all__ = ["BROADCAST_LIMIT", "SPACES", "SPACE_RUN", "fits_broadcast", "join_sized", "let", "load", "materialize", "slices", "words_of", "work_dir"]
+__all__ = ["BROADCAST_LIMIT", "SPACES", "SPACE_RUN", "fits_broadcast", "join_sized", "let", "load", "materialize", "slices", "split_terms", "words_of", "work_dir"]
 
 #: White space that separates words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -50,3 +50,19 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 22) -> Iterator
         if held >= limit or k == len(values) - 1:
             yield batch.slice(begin, k + 1 - begin), values[begin : k + 1]
             begin, held = k + 1, 0
+
+
+def split_terms(raw: bytes, table: bytes, limit: int = 1 << 22) -> Iterator[list[bytes]]:
+    """The terms of a text in UTF-8, in lists from about ``limit`` bytes each.
+
+    ``table`` maps each byte that ends a term to a space, and the others to
+    what a term has for them.
+    """
+    begin = 0
+    while begin < len(raw):
+        end = begin + limit
+        # Up to a byte that ends a term, so that none is cut.
+        while end < len(raw) and table[raw[end]] != 32:
+            end += 1
+        yield raw[begin:end].translate(table).split()
+        begin = end

@@ -14,6 +14,7 @@ from kgspark.llm._common import join_sized, materialize
 #: Rows of the index that a bucket is planned for, about 60 MB.
 BUCKET_ROWS = 1_000_000
 LEAST_BUCKETS = 8
+_ROWS = "digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING"
 
 
 def buckets_for(rows: int) -> int:
@@ -46,13 +47,14 @@ class DigestIndex:
             self.buckets = spark.read.parquet(f"{path}/made").first()["buckets"]
         except AnalysisException:  # nothing is there yet
             self.buckets = buckets
+            spark.createDataFrame([], _ROWS).write.mode("append").partitionBy("batch").parquet(f"{path}/digests")
             spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/made")
         self.name = f"digests_{hashlib.md5(path.encode()).hexdigest()}"
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING) USING parquet PARTITIONED BY (batch)"
+            f"CREATE TABLE IF NOT EXISTS {self.name} ({_ROWS}) USING parquet PARTITIONED BY (batch)"
             f" CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}/digests'"
         )
-        spark.catalog.refreshTable(self.name)
+        spark.catalog.recoverPartitions(self.name)  # those that other sessions have stored
 
     def close(self) -> None:
         """Take the table out of the session's catalogue; its files stay."""
@@ -111,10 +113,10 @@ class DigestIndex:
         judged = self.judge(docs, batch, key, text)
         own = judged.where(F.col(key).eqNullSafe(F.col("keep_id"))).groupBy(F.unhex("text_sha256").alias("__digest"), F.col(key).alias("__key")).agg(F.count("*").alias("__same"), F.max("kept").alias("__kept"))
         stay = materialize(own.where("__kept").drop("__kept"), "stay")
-        named = docs.withColumn("__d", self.digest(F.col(text)))
-        rows = join_sized(named, stay, (named["__d"] == stay["__digest"]) & named[key].cast("long").eqNullSafe(stay["__key"]), "inner", 64)
-        once = rows.where("__same = 1").select(*docs.columns)
-        again = rows.where("__same > 1")
-        if stay.where("__same > 1").isEmpty():
-            return once
-        return once.unionByName(again.dropDuplicates(["__d"]).select(*docs.columns))
+        # All columns as one, whatever their names.
+        named = docs.select(F.struct("*").alias("doc"), self.digest(F.col(text)).alias("digest"), F.col(key).cast("long").alias("key"))
+        rows = join_sized(named, stay, (named["digest"] == stay["__digest"]) & named["key"].eqNullSafe(stay["__key"]), "inner", 64)
+        once = rows.where("__same = 1")
+        if not stay.where("__same > 1").isEmpty():
+            once = once.unionByName(rows.where("__same > 1").dropDuplicates(["digest"]))
+        return once.select("doc.*")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgspark.llm._common import materialize
+from kgspark.llm._common import materialize, split_terms
 
 #: Ranks of an item.
 TOP = 10
@@ -30,7 +30,7 @@ _NO_KEY = 2**63 - 1
 def terms_of(text: str | bytes | None) -> list[bytes]:
     """Terms of a text in UTF-8, ASCII letters lower-cased; null has none."""
     raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
-    return raw.translate(_TERMS).split()
+    return [t for part in split_terms(raw, _TERMS) for t in part]
 
 
 def index_blocks(docs: DataFrame, vocabulary: list[bytes], *, key: str = "doc_id", text: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -64,15 +64,17 @@ def index_blocks(docs: DataFrame, vocabulary: list[bytes], *, key: str = "doc_id
         for batch in batches:
             texts = batch[1].cast(pa.binary())
             for i, doc in enumerate(batch[0].to_pylist()):
-                own = terms_of(texts[i].as_py())
+                own: Counter = Counter()
+                for part in split_terms(texts[i].as_py() or b"", _TERMS):
+                    own.update(part)
                 if not own:
                     continue
-                hits = [(number[w], c) for w, c in Counter(own).items() if w in number]
+                hits = [(number[w], c) for w, c in own.items() if w in number]
                 term.extend(h[0] for h in hits)
                 tf.extend(h[1] for h in hits)
                 at.extend([len(ids)] * len(hits))
                 ids.append(_NO_KEY if doc is None else doc)
-                sizes.append(len(own))
+                sizes.append(own.total())
                 if len(ids) >= block_docs or len(term) >= BLOCK_POSTINGS:
                     yield emit()
         if ids:
@@ -183,11 +185,11 @@ def search(docs: DataFrame, items: DataFrame, *, top: int = TOP, key: str = "doc
     """
     asked = items.select(F.col(item_key).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).distinct()
     out = None
-    for part in _passes(materialize(asked, "items"), pass_chars):
+    for k, part in enumerate(_passes(materialize(asked, "items"), pass_chars)):
         own = [(r["item_id"], Counter(terms_of(r["text"]))) for r in part.collect()]  # ``pass_chars``, about
-        found = _search(docs, own, top, key, text, block_docs)
+        found = _search(docs, own, top, key, text, block_docs).withColumn("pass", F.lit(k))
         out = found if out is None else out.unionByName(found)
-    by = W.partitionBy("item_id", "item").orderBy(F.desc("score"), F.asc("doc_id"))
+    by = W.partitionBy("item_id", "pass", "item").orderBy(F.desc("score"), F.asc("doc_id"))
     ranked = out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
     return ranked.select("item_id", "rank", F.nullif("doc_id", F.lit(_NO_KEY)).alias("doc_id"), "score")
 
