@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,19 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgspark.llm._common import fits_broadcast, join_sized, let, materialize
+from kgspark.llm._common import fits_broadcast, join_sized, materialize, split_terms
 
-#: What separates terms: ASCII that is no letter.
-NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Letters, lower-cased if ASCII, and bytes of other characters; the rest of ASCII ends a term.
+_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 #: A kept term is in so many documents of its language at least; scale of p; ranks of terms.
 MIN_DOCS, SCALE, TOP = 10, 1_000_000_000, 10
 #: Sources of a language that are compared as one block.
 BLOCK = 256
-_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def terms_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, _UP, _LOW), NO_TERM), "")
+#: Counts that a task holds before it sends them on, and elements of a step over matrices.
+HELD, STEP = 400_000, 1 << 21
 
 
 def _digest(term: Column, bits: int) -> Column:
@@ -47,17 +45,44 @@ def _group(seed: int) -> Column:
     return F.xxhash64("lang", "source", F.lit(seed)).alias("gid")
 
 
-def count_terms(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """Counts per group and digest: gid, digest, part (0), n, df.
+def count_terms(docs: DataFrame, key: str) -> DataFrame:
+    """Counts of the terms of (key, text), added up by each task as far as it can: key, term, n, df.
 
-    ``docs`` is (gid, text).  A term of a document is one row to the partial
-    aggregate, of longs only; strings don't leave the task.
+    What follows hashes the terms before any shuffle.
     """
-    hashed = F.transform(terms_of(F.col("text")), lambda t: _digest(t, bits))
-    # In order, so that the first of each digest in a document can be told.
-    marked = let(F.array_sort(hashed), lambda d: F.transform(d, lambda x, i: F.struct(x.alias("digest"), ((i == 0) | (F.get(d, i - 1) != x)).cast("long").alias("first"))))
-    rows = docs.select("gid", F.inline(marked))
-    return rows.groupBy("gid", "digest").agg(F.count("*").alias("n"), F.sum("first").alias("df")).withColumn("part", F.lit(0))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[object, Counter] = defaultdict(Counter)
+        df: dict[object, Counter] = defaultdict(Counter)
+        held = 0
+
+        def emit(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            for k, counts in n.items():
+                terms, documents = list(counts), df[k]
+                for begin in range(0, len(terms), 100_000):
+                    part = terms[begin : begin + 100_000]
+                    columns = [pa.array([k] * len(part), kind), pa.array(part, pa.binary()).cast(pa.string()), pa.array([counts[t] for t in part], pa.int64()), pa.array([documents[t] for t in part], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[key, "term", "n", "df"])
+            n.clear()
+            df.clear()
+
+        for batch in batches:
+            kind, texts = batch[0].type, batch[1].cast(pa.binary())
+            for i, k in enumerate(batch[0].to_pylist()):
+                own, before, seen = n[k], len(n[k]), set()
+                for terms in split_terms(texts[i].as_py() or b"", _TERMS):
+                    own.update(terms)
+                    seen.update(terms)
+                df[k].update(seen)
+                held += len(own) - before
+                if held > HELD:
+                    yield from emit(kind)
+                    held = 0
+        if n:
+            yield from emit(kind)
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").mapInArrow(count, f"{key} {kind}, term string, n long, df long")
 
 
 def dictionary(docs: DataFrame, wanted: DataFrame, bits: int = 64) -> DataFrame:
@@ -66,7 +91,7 @@ def dictionary(docs: DataFrame, wanted: DataFrame, bits: int = 64) -> DataFrame:
     ``docs`` is (lang, text), ``wanted`` a written table of (lang, digest).
     Only wanted terms, and each once per task, are shuffled.
     """
-    rows = docs.select("lang", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).withColumn("digest", _digest(F.col("term"), bits))
+    rows = count_terms(docs, "lang").select("lang", _digest(F.col("term"), bits).alias("digest"), "term")
     if fits_broadcast(wanted, 40):
         return rows.join(F.broadcast(wanted), ["lang", "digest"], "left_semi").distinct()
     return rows.distinct().join(wanted, ["lang", "digest"], "left_semi")
@@ -75,8 +100,8 @@ def dictionary(docs: DataFrame, wanted: DataFrame, bits: int = 64) -> DataFrame:
 def _split(docs: DataFrame, counts: DataFrame, words: DataFrame, langs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     """Counts and dictionary with a part number per text of each digest that several share.
 
-    ``docs`` is (lang, gid, text), ``langs`` (gid, lang); a digest has a collision where the smallest
-    and the largest of its texts differ.
+    ``docs`` is (gid, text), ``langs`` (gid, lang); a digest has a collision
+    where the smallest and the largest of its texts differ.
     """
     ends = words.groupBy("lang", "digest").agg(F.min("term").alias("least"), F.max("term").alias("most"))
     mixed = materialize(ends.where("least <> most").select("lang", "digest"), "collisions")
@@ -84,10 +109,8 @@ def _split(docs: DataFrame, counts: DataFrame, words: DataFrame, langs: DataFram
         return counts, words.withColumn("part", F.lit(0))
     numbered = words.withColumn("part", F.row_number().over(W.partitionBy("lang", "digest").orderBy("term")) - 1)
     of_mixed = materialize(numbered.join(mixed, ["lang", "digest"], "left_semi"), "split-terms")
-    terms = terms_of(F.col("text"))
-    firsts = let(F.array_sort(terms), lambda d: F.transform(d, lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get(d, i - 1) != x)).cast("long").alias("first"))))
-    rows = docs.select("lang", "gid", F.inline(firsts)).withColumn("digest", _digest(F.col("term"), bits))
-    again = join_sized(rows, of_mixed, ["lang", "digest", "term"], "inner", 64).groupBy("gid", "digest", "part").agg(F.count("*").alias("n"), F.sum("first").alias("df"))
+    rows = join_sized(count_terms(docs, "gid"), langs, "gid", "inner", 64)
+    again = join_sized(rows, of_mixed, ["lang", "term"], "inner", 64).groupBy("gid", "digest", "part").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     kept = counts.join(langs, "gid").join(mixed, ["lang", "digest"], "left_anti").select(counts.columns)
     return kept.unionByName(again), numbered
 
@@ -102,7 +125,7 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP, bits: in
     part.  A group without terms, or a language without kept terms, still has
     its pairs; an empty table gives no rows.
 
-    Counting shuffles 64-bit digests.  Digests that may be kept get their texts
+    Terms are counted by task and shuffled as 64-bit digests.  Digests that may be kept get their texts
     from a second reading; where the smallest and largest text of one differ,
     it is counted again by text.  Texts join just the terms that can be ranked.
     """
@@ -114,9 +137,11 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP, bits: in
     # Groups are named by hash, so texts need no join; a seed under which two share a name is passed over.
     seed = next(k for k in range(64) if groups.select(_group(k)).distinct().count() == groups.count())
     groups = groups.withColumn("gid", _group(seed))
-    named = plain.select("lang", _group(seed), "text")
+    named = plain.select(_group(seed), "text")
 
-    counts = materialize(count_terms(named, bits), "term-counts")
+    # Longs only from here on: terms don't leave the task.
+    hashed = count_terms(named, "gid").groupBy("gid", _digest(F.col("term"), bits).alias("digest")).agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    counts = materialize(hashed.withColumn("part", F.lit(0)), "term-counts")
     by_lang = join_sized(counts, groups.select("gid", "lang"), "gid", "inner", 64)
     likely = materialize(by_lang.groupBy("lang", "digest").agg(F.sum("df").alias("df")).where(F.col("df") >= min_docs).select("lang", "digest"), "likely-terms")
     words = materialize(dictionary(plain, likely, bits), "term-texts")
@@ -174,10 +199,12 @@ def _pairs(kept: DataFrame, sized: DataFrame, block: int) -> DataFrame:
     two = wide.join(other, ["lang", "digest", "part"]).where("block <= block_b") if many else wide.select("*", F.col("block").alias("block_b"), F.col("at").alias("at_b"), F.col("p").alias("p_b"), F.col("zeros").alias("zeros_b"))
     two = two.sortWithinPartitions("lang", "block", "block_b").select("lang", "block", "block_b", "at", "p", "zeros", "at_b", "p_b", "zeros_b")
 
-    def dense(row: dict, end: str) -> np.ndarray:
-        out = np.array(row["zeros" + end], np.int64)
-        if row["at" + end]:
-            out[row["at" + end]] = row["p" + end]
+    def dense(batch: pa.RecordBatch, end: str) -> np.ndarray:
+        """p of every source of a block, a row per term."""
+        base, at, p = (batch[c + end] for c in ("zeros", "at", "p"))
+        out = base.flatten().to_numpy().reshape(batch.num_rows, -1).copy()
+        sizes = at.value_lengths().fill_null(0).to_numpy()
+        out[np.repeat(np.arange(batch.num_rows), sizes), at.flatten().to_numpy()] = p.flatten().to_numpy()
         return out
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,13 +216,19 @@ def _pairs(kept: DataFrame, sized: DataFrame, block: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([name] * i.size, pa.string()), pa.array(i + a * block, pa.int32()), pa.array(j + b * block, pa.int32()), pa.array(total.reshape(-1))], names=["lang", "a", "b", "value"])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if (key := (row["lang"], row["block"], row["block_b"])) != now:
+            keys = list(zip(*(batch[c].to_pylist() for c in ("lang", "block", "block_b")), strict=True))
+            starts = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]
+            for begin, end in zip(starts, [*starts[1:], len(keys)], strict=True):
+                run = batch.slice(begin, end - begin)
+                p, q = dense(run, ""), dense(run, "_b")
+                if keys[begin] != now:
                     if now:
                         yield emit()
-                    now, total = key, np.zeros((len(row["zeros"]), len(row["zeros_b"])), np.int64)
-                p, q = dense(row, "")[:, None], dense(row, "_b")[None, :]
-                total += (p - q) ** 2 // (p + q)
+                    now, total = keys[begin], np.zeros((p.shape[1], q.shape[1]), np.int64)
+                step = max(1, STEP // total.size)
+                for k in range(0, len(p), step):
+                    a, b = p[k : k + step, :, None], q[k : k + step, None, :]
+                    total += ((a - b) ** 2 // (a + b)).sum(0)
         if now:
             yield emit()
 
