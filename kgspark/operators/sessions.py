@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgspark.sources.keyed import KeyedTable
+from kgspark.sources.tables import store
+
 ROLES = ("user", "assistant", "system")
 
 
@@ -87,3 +90,35 @@ def seed_states(changes: DataFrame, concepts: DataFrame, session_id: object) ->
     """
     seeded = concepts.select(F.lit(session_id).alias("session_id"), F.col("name").alias("concept_name"), F.lit(False).alias("explored"), F.lit(None).cast("double").alias("confidence"), "ts", "seq")
     return changes.unionByName(seeded.select(changes.columns))
+
+
+class SessionStore:
+    """Stored sessions and messages; every write is a batch that is stored once.
+
+    Sessions are (session_id, created_at, updated_at) with further columns,
+    messages (session_id, id, ts, role, content).  Messages move their sessions'
+    updated_at in the same call, and a call that is repeated, or taken up after
+    a failure between the two tables, ends in the same state.
+    """
+
+    def __init__(self, sessions: KeyedTable, messages: KeyedTable) -> None:
+        self.sessions, self.messages = sessions, messages
+
+    def create(self, rows: DataFrame, batch: str) -> bool:
+        """New sessions, not updated later than they were created."""
+        return self.sessions.put(rows.withColumn("updated_at", F.col("created_at")), batch)
+
+    def add_messages(self, rows: DataFrame, batch: str) -> bool:
+        """Append messages and bring updated_at of their sessions up to them.
+
+        Messages of unknown sessions are stored and change no session.
+        """
+        new = self.messages.append(rows, batch)
+        last = rows.groupBy("session_id").agg(F.max("ts").alias("last"))
+        bumped = self.sessions.read().join(last, "session_id").withColumn("updated_at", F.greatest("updated_at", "last")).drop("last")
+        return self.sessions.put(store(bumped), batch) or new
+
+    def delete(self, gone: DataFrame, batch: str) -> None:
+        """Sessions with all of their messages."""
+        for table in (self.messages, self.sessions):
+            table.put(table.read().limit(0), batch, keys=gone.select("session_id"))
