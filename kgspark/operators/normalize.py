@@ -19,6 +19,8 @@ from kgspark.functions import numbers as N
 from kgspark.functions import text as T
 from kgspark.functions import vectors as V
 from kgspark.operators.components import connected_components
+from kgspark.operators.pivots import pairs_within
+from kgspark.sources.tables import store
 
 THRESHOLD = 0.80
 #: Chance that a pair at the threshold is proposed, and most signs of a band.
@@ -45,11 +47,14 @@ def attach_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     return embedding_text(rows).join(vectors.select(F.col("key").alias("embedding_text"), F.col("vec").alias("embedding")), "embedding_text", "left")
 
 
-def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD, scope: str = "doc", group: str = "doc_id", ident: str = "ord", vector: str = "embedding") -> DataFrame:
+def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD, scope: str = "doc", group: str = "doc_id", ident: str = "ord", vector: str = "embedding", store: Store = store) -> DataFrame:
     """Pairs a < b with cosine at least ``threshold``: group, a, b, similarity.
 
-    Within a document all pairs are compared, keyed by it.  With scope
-    "corpus" ``candidate_pairs`` proposes pairs, and the exact cosine decides.
+    Within a document all pairs are compared, keyed by it.  With scope "corpus"
+    ``pivots.pairs_within`` finds all pairs, whatever their groups; vectors of
+    another length than the longest, with nulls, or zero have none.  With scope
+    "bands" ``candidate_pairs`` proposes pairs, of which a few are missed, and
+    the exact cosine decides.
     """
     size = V.norm(F.col(vector))
     slim = rows.select(F.col(group).alias("g"), F.col(ident).alias("i"), F.col(vector).alias("v"), size.alias("n"))
@@ -57,6 +62,11 @@ def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD, scope: str = "d
     if scope == "doc":
         pairs = slim.alias("a").join(slim.alias("b"), "g").where("a.i < b.i").select("g", F.col("a.i").alias("a"), F.col("b.i").alias("b"), sim.alias("similarity"))
         return pairs.where(F.col("similarity") >= threshold).withColumnRenamed("g", group)
+    if scope == "corpus":
+        whole = slim.where("n > 0")
+        dim = whole.agg(F.max(F.size("v"))).first()[0] or 0
+        whole = whole.where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x))).select("i", F.transform("v", lambda x: x.cast("double")).alias("v"))
+        return pairs_within(store(whole), threshold, store)
     near = candidate_pairs(slim.where("n > 0"), threshold)
     pairs = near.join(slim.select(F.col("i").alias("a"), F.col("v").alias("v_a"), F.col("n").alias("n_a")), "a").join(slim.select(F.col("i").alias("b"), F.col("v").alias("v_b"), F.col("n").alias("n_b")), "b")
     pairs = pairs.select("a", "b", V.cosine(F.col("v_a"), F.col("v_b"), F.col("n_a"), F.col("n_b")).alias("similarity"))
