@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,78 @@ def connected_components(edges: DataFrame, store: Callable[[DataFrame], DataFram
             break
         before = now
     return pairs.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(pairs.select(F.col("u").alias("node"), F.col("u").alias("component"))).distinct()
+
+
+#: Steps along arcs that are planned as one job, before its result is written.
+STEPS = 3
+
+
+def _spread(start: DataFrame, arcs: DataFrame, store: Callable[[DataFrame], DataFrame], value: str, best: Callable, along: Callable) -> DataFrame:
+    """Values of nodes (node, value) carried along arcs (u, v) until none gets a better one.
+
+    A node keeps ``best`` of its own value and ``along`` of those of the nodes
+    before it.  A node's values are combined before they are shuffled.
+    """
+    state = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node", value).cast("decimal(38,0)")).alias("sum")]
+    table, before = stored_with(start, store, *state)
+    while True:
+        for _ in range(STEPS):
+            moved = arcs.join(table.withColumnRenamed("node", "u"), "u").select(F.col("v").alias("node"), along(F.col(value)).alias(value))
+            table = table.unionByName(moved).groupBy("node").agg(best(value).alias(value))
+        table, now = stored_with(table, store, *state)
+        if now == before:
+            return table
+        before = now
+
+
+def stored_with(df: DataFrame, store: Callable[[DataFrame], DataFrame], *what: Column) -> tuple[DataFrame, dict]:
+    """A stored table, and aggregates of it."""
+    out = store(df)
+    return out, out.agg(*what).first().asDict()
+
+
+def strong_components(arcs: DataFrame, store: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst") -> DataFrame:
+    """Nodes on cycles with the component they are strongly connected to: node, component.
+
+    Components are named by a node of theirs; nodes on no cycle, or only on one
+    of their own, have no row.  Arcs that can't be on a cycle are trimmed.  Then
+    every node takes the least name that reaches it as its colour, and what
+    reaches the node of that name against the arcs, within the colour, is its
+    component.  These go, and the rest is coloured anew.  No pairs of reaching
+    and reached nodes are made.  Null ends and self-loops are ignored.
+    """
+    size = F.count(F.lit(1)).alias("n")
+    live, seen = stored_with(arcs.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v").distinct(), store, size)
+    out = None
+    while True:
+        n = seen["n"]
+        while n:  # arcs from a node that none goes to, or to one that none leaves
+            slim = live
+            for _ in range(STEPS):
+                slim = slim.join(slim.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(slim.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+            live, seen = stored_with(slim.select("u", "v"), store, size)
+            n, was = seen["n"], n
+            if n == was:
+                break
+        if not n:
+            break
+        nodes = live.select(F.col("u").alias("node")).distinct()  # after trimming all nodes have an arc that leaves
+        colours = _spread(nodes.withColumn("colour", F.col("node")), live, store, "colour", F.min, lambda c: c)
+        end = lambda e: colours.select(F.col("node").alias(e), F.col("colour").alias(f"colour_{e}"))
+        inner = store(live.join(end("u"), "u").join(end("v"), "v").where("colour_u = colour_v").select(F.col("v").alias("u"), F.col("u").alias("v")))
+        back = _spread(colours.where("node = colour"), inner, store, "colour", F.min, lambda c: c)
+        # A root on no cycle is alone.
+        several = back.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
+        found = back.join(several, "colour", "left_semi").select("node", F.col("colour").alias("component"))
+        out = found if out is None else out.unionByName(found)
+        gone = back.select("node")
+        live, seen = stored_with(live.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti"), store, size)
+    if out is None:
+        return live.select(F.col("u").alias("node"), F.col("v").alias("component"))  # no rows
+    return store(out)
+
+
+def topological_levels(arcs: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Arcs on the longest path to each node of an acyclic graph (u, v): node, level."""
+    nodes = arcs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    return _spread(nodes.withColumn("level", F.lit(0)), arcs, store, "level", F.max, lambda c: c + 1)

@@ -6,6 +6,7 @@ concepts are (name, confidence, ord).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.functions import vocabulary as V
+from kgspark.operators.components import stored_with, strong_components, topological_levels
 
 Store = Callable[[DataFrame], DataFrame]
 
@@ -68,7 +70,8 @@ def prerequisite_chain(graph: DataFrame, starts: DataFrame, store: Store) -> Dat
     name): a concept is listed when the walk comes back from it, or at once
     where the walk has been at it before, as on cycles.  Cycles end, and no depth
     is cut.  What is reachable is found for all starts together; a start's walk
-    is one task over the dependencies that it reaches.
+    is one task over the dependencies that it reaches.  ``prerequisite_order``
+    has no such task; it is the one for large graphs.
     """
     needs = graph.where("dep_kind = 'dependency'")
     order = F.min("ord") if "ord" in graph.columns else F.lit(0)
@@ -106,6 +109,57 @@ def prerequisite_chain(graph: DataFrame, starts: DataFrame, store: Store) -> Dat
     return arcs.groupBy("start").applyInPandas(walk, f"start {kind}, concept {kind}, place int")
 
 
+def prerequisite_order(graph: DataFrame, starts: DataFrame, store: Store) -> DataFrame:
+    """``prerequisite_chain`` without a walk, for graphs of any size: start, concept, place.
+
+    Without cycles the order is the same: that of a walk in depth over
+    dependencies in their order (``ord``, then name), which lists a concept when
+    it comes back from it.  A cycle counts as one concept with the dependencies of its members; its members
+    stand together, in order of their names.  A start is listed only if it lies
+    on a cycle, and then as the last one.
+
+    Cycles are contracted first.  In the acyclic rest the walk comes to a
+    concept by the least way there, ways being compared step by step; so the
+    ways of all starts are found level by level, each by the least of those to
+    the level before it, and their order, longer ways before their beginnings,
+    is that of the walk.  Only what the starts reach is held, and an arc is
+    followed once for each of them.  A row is as wide as its way is long.
+    """
+    needs = graph.where("dep_kind = 'dependency'")
+    order = F.min("ord") if "ord" in graph.columns else F.lit(0)
+    steps = store(needs.groupBy("src", "dst").agg(order.cast("long").alias("ord")))
+    cycles = strong_components(steps, store)
+    unit = lambda name: cycles.select(F.col("node").alias(name), F.col("component").alias(f"{name}_unit"))
+    in_units = lambda df, *names: functools.reduce(lambda d, n: d.join(unit(n), n, "left").withColumn(f"{n}_unit", F.coalesce(f"{n}_unit", n)), names, df)
+    joined = in_units(steps, "src", "dst").where("src_unit <> dst_unit")
+    arcs = store(joined.groupBy(F.col("src_unit").alias("u"), F.col("dst_unit").alias("v")).agg(F.min(F.struct("ord", F.col("dst").alias("name"))).alias("step")))
+    levels = topological_levels(arcs, store)
+    arcs = store(arcs.join(levels.select(F.col("node").alias("v"), "level"), "v"))
+
+    begun = in_units(starts.select(F.col("name").alias("start")).distinct(), "start").withColumnRenamed("start_unit", "unit")
+    step = arcs.schema["step"].dataType.simpleString()
+    rows = begun.join(levels.select(F.col("node").alias("unit"), "level"), "unit", "left")
+    next_level = F.min("level").alias("next")
+    rows, seen = stored_with(rows.select("start", "unit", F.coalesce("level", F.lit(0)).alias("level"), F.array().cast(f"array<{step}>").alias("way")), store, next_level)
+    reached = None
+    while (level := seen["next"]) is not None:
+        now = rows.where(F.col("level") == level)
+        reached = now if reached is None else reached.unionByName(now)
+        ahead = now.drop("level").join(arcs, F.col("unit") == F.col("u")).select("start", F.col("v").alias("unit"), "level", F.array_append("way", F.col("step")).alias("way"))
+        open_ = rows.where(F.col("level") > level).unionByName(ahead).groupBy("start", "unit", "level").agg(F.min("way").alias("way"))
+        rows, seen = stored_with(open_, store, next_level)
+    if reached is None:
+        reached = rows
+    members = cycles.select("node", F.col("component").alias("unit"))
+    own = steps.where("src = dst").select(F.col("src").alias("concept"), F.lit(True).alias("loop"))
+    listed = reached.join(members, "unit", "left").withColumn("concept", F.coalesce("node", "unit")).join(own, "concept", "left")
+    listed = listed.where("concept <> start or node is not null or loop")
+    # What comes after a way ends sorts behind all that goes on from there.
+    last = F.array(F.struct(F.lit(2**63 - 1).alias("ord"), F.lit(None).cast(graph.schema["dst"].dataType).alias("name")))
+    place = F.row_number().over(W.partitionBy("start").orderBy(F.concat("way", last), F.col("concept") == F.col("start"), "concept"))
+    return listed.select("start", "concept", place.alias("place"))
+
+
 def knowledge_gaps(graph: DataFrame, starts: DataFrame, explored: DataFrame, store: Store, true_depth: bool = False, most: int = 5) -> DataFrame:
     """Unexplored dependencies by relevance: start, concept, relevance.
 
@@ -200,5 +254,3 @@ def viewer_defaults(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
     given = lambda c, d: F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(0.0)), F.lit(d)).alias(c)
     n = nodes.select("doc_id", "id", "label", F.coalesce("type", F.lit("unknown")).alias("type"), given("importance", 0.5))
     return n, edges.select("doc_id", "source", "target", F.coalesce("relation", F.lit("ASSOCIATED_WITH")).alias("relation"), given("weight", 0.5))
-
-
