@@ -260,6 +260,36 @@ def crawl(links_: DataFrame, roots: DataFrame, max_depth: int, max_pages: int |
     return visited.select("node", "depth", "parent")
 
 
+def crawl_each(links_: DataFrame, roots: DataFrame, max_depth: int, max_pages: int | None, store: Store) -> DataFrame:
+    """A crawl from every root by itself: root, node, depth, parent, place.
+
+    Each is bounded by ``max_depth`` steps and ``max_pages`` pages, and place
+    numbers its pages in the order of the visit: breadth first, by parent, then
+    link, then name.  All crawls go on together, one step at a time; numbers are
+    given within a root, to no more pages than its last step leads to.
+    """
+    kind = roots.schema["node"].dataType
+    frontier = roots.select(F.col("node").alias("root")).distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"), F.lit(1).cast("long").alias("place"), F.lit(1).cast("long").alias("n"))
+    visited = frontier = store(frontier)
+    steps = store(links_.groupBy("src", "dst").agg(F.min("ordinal").cast("long").alias("ordinal")))
+    for depth in range(1, max_depth + 1):
+        open_ = frontier if max_pages is None else frontier.where(F.col("n") < max_pages)
+        by = F.struct("place", "ordinal", F.col("node").alias("src"))
+        ahead = open_.join(steps, F.col("node") == F.col("src")).groupBy("root", "dst").agg(F.min(by).alias("m"), F.first("n").alias("n"))
+        ahead = ahead.withColumnRenamed("dst", "node").join(visited.select("root", "node"), ["root", "node"], "left_anti")
+        place = F.col("n") + F.row_number().over(W.partitionBy("root").orderBy("m", "node"))
+        ahead = ahead.withColumn("place", place)
+        if max_pages is not None:
+            ahead = ahead.where(F.col("place") <= max_pages)
+        # The last place given is how many pages the root has by now.
+        now = F.max("place").over(W.partitionBy("root"))
+        frontier = store(ahead.select("root", "node", F.lit(depth).alias("depth"), F.col("m.src").alias("parent"), "place", now.alias("n")))
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier)
+    return visited.drop("n")
+
+
 def crawl_summary(crawled: DataFrame, documents_: DataFrame) -> DataFrame:
     """Per depth: pages met, and blocks, links and internal links of those stored.
 

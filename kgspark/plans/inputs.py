@@ -32,6 +32,24 @@ def content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "position", kind.alias("type"), tag.alias("tag"), F.when(heading, F.col("line")).otherwise(F.concat(phrase, said)).alias("text"))
 
 
+def site_links(pages: DataFrame) -> DataFrame:
+    """Links between stored pages: src, dst (page_id), ordinal.
+
+    The links of the given pages stand in their menus and lead to none that is
+    stored; each is taken as one to a page of its own host, by the digest of
+    its target.
+    """
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
+    hosted = pages.select("page_id", host.alias("host"))
+    found = F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))
+    links = pages.select("page_id", F.posexplode(found).alias("ordinal", "target_url"))
+    numbered = hosted.withColumn("k", F.row_number().over(W.partitionBy("host").orderBy("page_id")) - 1)
+    n = hosted.groupBy("host").agg(F.count("*").alias("n"))
+    digest = F.conv(F.left(F.md5("target_url"), F.lit(7)), 16, 10).cast("long")
+    out = links.join(hosted, "page_id").join(n, "host").select("host", F.col("page_id").alias("src"), (digest % F.col("n")).alias("k"), "ordinal")
+    return out.join(numbered, ["host", "k"]).select("src", F.col("page_id").alias("dst"), "ordinal")
+
+
 def _words(texts: DataFrame, key: str) -> DataFrame:
     lines = texts.where("text is not null").select(key, F.posexplode(F.split("text", "\n")).alias("position", "line"))
     cut = lines.select(key, "position", F.explode(F.split("line", " ")).alias("w"))
@@ -226,6 +244,39 @@ def explored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("name"))
 
 
+def document_nodes(rows: DataFrame) -> DataFrame:
+    """Concepts of each document's graph, the first place giving their order: name ("7:word"), doc_id, confidence, ord.
+
+    ``rows`` is ``candidates``.
+    """
+    per = rows.groupBy("doc_id", "word").agg(F.min("ord").alias("ord"), F.first("tenths").alias("tenths"))
+    return per.select(F.concat_ws(":", "doc_id", "word").alias("name"), "doc_id", (F.col("tenths") / 10.0).alias("confidence"), "ord")
+
+
+def document_relations(rows: DataFrame) -> DataFrame:
+    """Relations of neighbouring concepts of a line, every seventh turned round: src, dst, relation, ord.
+
+    ``rows`` is ``candidates``; names are those of ``document_nodes``.
+    """
+    after = F.lead("word").over(W.partitionBy("doc_id", "position").orderBy("ord"))
+    both = rows.select("doc_id", "ord", F.col("word").alias("a"), after.alias("b")).where("b is not null")
+    k, turned = F.col("ord") % 5, F.col("ord") % 7 == 6
+    kind = F.when(k == 0, "ASSOCIATED_WITH").when(k == 1, "CAUSES").when(k == 4, "PART_OF").otherwise("DEPENDS_ON")
+    end = lambda x, y: F.concat_ws(":", "doc_id", F.when(turned, F.col(y)).otherwise(F.col(x)))
+    return both.select(end("a", "b").alias("src"), end("b", "a").alias("dst"), kind.alias("relation"), "ord")
+
+
+def document_starts(graph: DataFrame) -> DataFrame:
+    """The concept of each document's graph that depends on most, by name if several do: name."""
+    needs = graph.where("dep_kind = 'dependency'").groupBy("src").agg(F.count_distinct("dst").alias("n"))
+    return needs.groupBy(F.substring_index("src", ":", 1)).agg(F.min_by("src", F.struct(-F.col("n"), "src")).alias("name")).select("name")
+
+
+def long_words(nodes: DataFrame) -> DataFrame:
+    """Concepts of ``document_nodes`` whose length is a multiple of four count as explored: name."""
+    return nodes.where(F.length(F.substring_index("name", ":", -1)) % 4 == 0).select("name")
+
+
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a log of changes to concept states."""
     e = load(spark, sf_dir, "events")

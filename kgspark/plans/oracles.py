@@ -131,6 +131,15 @@ met AS (SELECT clean AS url, 0 AS depth, NULL AS parent FROM cu GROUP BY clean
 ORACLES["crawl_frontier"] = f"WITH {_CRAWL} SELECT url, depth, parent FROM met"
 ORACLES["crawl_summary"] = f"""WITH {_CRAWL}, first AS (SELECT clean, min(page_id) AS page_id FROM cu GROUP BY clean), n AS (SELECT page_id, count(*) AS n FROM pb GROUP BY page_id), l AS (SELECT page_id, count(*) AS n FROM lk GROUP BY page_id)
 SELECT depth, count(*) AS n_pages, CAST(coalesce(sum(n.n), 0) AS BIGINT) AS n_blocks, CAST(coalesce(sum(l.n), 0) AS BIGINT) AS n_links, CAST(coalesce(sum(l.n), 0) AS BIGINT) AS n_internal FROM met LEFT JOIN first ON clean = met.url LEFT JOIN n USING (page_id) LEFT JOIN l USING (page_id) GROUP BY depth"""
+_LEVEL = """c{0} AS MATERIALIZED (SELECT root, dst AS node, min((place, ordinal, node)) AS m, any_value(n) AS n FROM v{1} JOIN site ON src = node WHERE depth = {1} AND n < 12 GROUP BY root, dst),
+p{0} AS (SELECT *, n + row_number() OVER (PARTITION BY root ORDER BY m, node) AS place FROM c{0} ANTI JOIN v{1} USING (root, node)),
+v{0} AS MATERIALIZED (SELECT root, node, depth, parent, place, n FROM v{1} UNION ALL SELECT root, node, {0}, m[3], place, max(place) OVER (PARTITION BY root) FROM p{0} WHERE place <= 12)"""
+ORACLES["crawl_by_root"] = rf"""WITH lk AS (SELECT page_id, unnest(h) AS target_url, generate_subscripts(h, 1) - 1 AS ordinal FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS h FROM pages)),
+hosted AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS k, count(*) OVER (PARTITION BY host) AS n FROM hosted),
+site AS MATERIALIZED (SELECT s.page_id AS src, d.page_id AS dst, min(ordinal) AS ordinal FROM lk JOIN numbered s USING (page_id) JOIN numbered d ON d.host = s.host AND d.k = CAST('0x' || left(md5(target_url), 7) AS BIGINT) % s.n GROUP BY ALL),
+v0 AS (SELECT page_id AS root, page_id AS node, 0 AS depth, CAST(NULL AS BIGINT) AS parent, 1 AS place, 1 AS n FROM pages),
+{", ".join(_LEVEL.format(d, d - 1) for d in range(1, 5))} SELECT root, node, depth, parent, place FROM v4"""
 ORACLES["page_documents"] = rf"""WITH {_ARTICLE}, n AS (SELECT page_id, count(*) AS n FROM pb GROUP BY page_id)
 SELECT page_id, substr(md5(url), 1, 12) AS id, url, {_TITLE} AS title, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain, coalesce(n, 0) AS n_blocks,
  len(regexp_extract_all(regexp_extract({_CLEAN}, '(?s)<article>(.*?)</article>', 1), '<a ')) AS n_links, len(regexp_extract_all(regexp_extract({_CLEAN}, '(?s)<article>(.*?)</article>', 1), '<a ')) AS n_internal FROM pages LEFT JOIN n USING (page_id)"""
@@ -197,6 +206,8 @@ ORACLES["cosine_pairs"] = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[
 SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.45"""
 ORACLES["cosine_pairs_corpus"] = """WITH v AS (SELECT vec_id AS i, embedding::DOUBLE[] AS e FROM embeddings UNION ALL SELECT vec_id + 1000000000, list_prepend((embedding[1] + 0.01::FLOAT)::DOUBLE, embedding[2:]::DOUBLE[]) FROM embeddings)
 SELECT a.i AS a, b.i AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.i < b.i WHERE list_cosine_similarity(a.e, b.e) >= 0.95"""
+ORACLES["cosine_pairs_near"] = """WITH e AS (SELECT vec_id AS i, embedding::DOUBLE[] AS e FROM embeddings), v AS (SELECT i, e FROM e UNION ALL SELECT i + 1000000000, list_prepend(e[1] + sqrt(list_inner_product(e, e)) * (i % 50) * 0.018::DOUBLE, e[2:]) FROM e)
+SELECT a.i AS a, b.i AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.i < b.i WHERE list_cosine_similarity(a.e, b.e) >= 0.85"""
 ORACLES["similarity_graph"] = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
 SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.4"""
 ORACLES["embedding_texts"] = f"WITH {_WORDS}, t AS (SELECT doc_id, ord, name || '. ' || name AS x FROM cand) SELECT doc_id, ord, md5(x) AS digest, CASE WHEN length(x) % 3 > 0 THEN CAST(length(x) AS INT) END AS first FROM t"
@@ -330,6 +341,43 @@ w AS (SELECT n_name AS s, [n_name] AS way, [1::BIGINT] AS rd, [n_name] AS met, C
     CASE WHEN d IS NULL AND len(way) > 1 AND NOT list_contains(chain, way[-1]) THEN list_append(chain, way[-1]) WHEN d IS NOT NULL AND list_contains(met, d) AND NOT list_contains(chain, d) THEN list_append(chain, d) ELSE chain END
   FROM (SELECT w.*, deps[rd[-1]] AS d FROM w LEFT JOIN adj ON src = way[-1] WHERE len(way) > 0))
 SELECT s AS start, unnest(chain) AS concept, generate_subscripts(chain, 1) AS place FROM w WHERE len(way) = 0"""
+_DOC_GRAPH = f"""{_WORDS},
+dn AS (SELECT doc_id || ':' || word AS name, any_value(4 + length(word) % 7) / 10.0 AS confidence, min(ord) AS ord FROM num GROUP BY doc_id, word),
+dl AS (SELECT doc_id, ord, word AS a, lead(word) OVER (PARTITION BY doc_id, position ORDER BY ord) AS b FROM num),
+g AS MATERIALIZED (SELECT doc_id || ':' || CASE WHEN ord % 7 = 6 THEN b ELSE a END AS src, doc_id || ':' || CASE WHEN ord % 7 = 6 THEN a ELSE b END AS dst, ord, ord % 5 > 1 AS dep FROM dl WHERE b IS NOT NULL),
+needs AS MATERIALIZED (SELECT src, dst, min(ord) AS f FROM g WHERE dep GROUP BY src, dst),
+seen AS (SELECT name FROM dn WHERE length(split_part(name, ':', 2)) % 4 = 0)"""
+# Nodes that reach each other are a unit, named by the least; only nodes with arcs both ways can be.
+_UNITS = """core AS MATERIALIZED (SELECT DISTINCT src, dst FROM needs WHERE src <> dst AND src IN (SELECT dst FROM needs) AND dst IN (SELECT src FROM needs)),
+far(a, b) AS (SELECT src, dst FROM core UNION SELECT a, dst FROM far JOIN core ON src = b),
+unit AS MATERIALIZED (SELECT x.a AS node, min(least(x.a, x.b)) AS u FROM far x JOIN far y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)"""
+ORACLES["document_cycles"] = f"WITH RECURSIVE {_DOC_GRAPH}, {_UNITS} SELECT node AS concept, u AS least, count(*) OVER (PARTITION BY u) AS size FROM unit"
+# The walk of prereq_chain over units, from one concept of each document; units have numbers.
+ORACLES["document_prerequisites"] = f"""WITH RECURSIVE {_DOC_GRAPH}, {_UNITS},
+arcs AS (SELECT coalesce(a.u, src) AS s, coalesce(b.u, dst) AS d, min((f, dst)) AS step FROM needs LEFT JOIN unit a ON a.node = src LEFT JOIN unit b ON b.node = dst WHERE coalesce(a.u, src) <> coalesce(b.u, dst) GROUP BY 1, 2),
+ids AS MATERIALIZED (SELECT u, row_number() OVER (ORDER BY u) AS i FROM (SELECT s AS u FROM arcs UNION SELECT d FROM arcs)),
+adj AS MATERIALIZED (SELECT x.i AS src, list(y.i ORDER BY step) AS deps FROM arcs JOIN ids x ON x.u = s JOIN ids y ON y.u = d GROUP BY x.i),
+first AS (SELECT arg_min(src, (-n, src)) AS start FROM (SELECT src, count(*) AS n FROM needs GROUP BY src) GROUP BY split_part(src, ':', 1)),
+begun AS MATERIALIZED (SELECT start, coalesce(u, start) AS su FROM first LEFT JOIN unit ON node = start),
+w AS (SELECT start, [i] AS way, [1::BIGINT] AS rd, [i] AS met, CAST([] AS BIGINT[]) AS chain FROM begun JOIN ids ON u = su
+  UNION ALL SELECT start, CASE WHEN d IS NULL THEN way[:-2] WHEN list_contains(met, d) THEN way ELSE list_append(way, d) END,
+    CASE WHEN d IS NULL THEN rd[:-2] WHEN list_contains(met, d) THEN list_append(rd[:-2], rd[-1] + 1) ELSE list_append(list_append(rd[:-2], rd[-1] + 1), 1) END,
+    CASE WHEN d IS NULL OR list_contains(met, d) THEN met ELSE list_append(met, d) END, CASE WHEN d IS NULL THEN list_append(chain, way[-1]) ELSE chain END
+  FROM (SELECT w.*, deps[rd[-1]] AS d FROM w LEFT JOIN adj ON src = way[-1] WHERE len(way) > 0)),
+listed AS (SELECT start, ids.u, k FROM (SELECT start, unnest(chain) AS i, generate_subscripts(chain, 1) AS k FROM w WHERE len(way) = 0) JOIN ids USING (i)
+  UNION ALL SELECT start, su, 1 FROM begun WHERE su NOT IN (SELECT u FROM ids)),
+members AS (SELECT start, k, coalesce(node, listed.u) AS concept FROM listed LEFT JOIN unit ON unit.u = listed.u)
+SELECT start, concept, CAST(row_number() OVER (PARTITION BY start ORDER BY k, concept = start, concept) AS INT) AS place FROM members
+WHERE concept <> start OR start IN (SELECT node FROM unit) OR start IN (SELECT src FROM needs WHERE src = dst)"""
+_DOC_HOPS = "h1 AS MATERIALIZED (SELECT src AS s, dst AS c FROM needs), h2 AS MATERIALIZED (SELECT DISTINCT s, dst AS c FROM h1 JOIN needs ON src = c), h3 AS MATERIALIZED (SELECT DISTINCT s, dst AS c FROM h2 JOIN needs ON src = c), h4 AS (SELECT DISTINCT s, dst AS c FROM h3 JOIN needs ON src = c)"
+ORACLES["document_dependencies"] = f"WITH {_DOC_GRAPH}, {_DOC_HOPS} SELECT s AS start, c AS concept, min(d)::INT AS distance FROM (SELECT *, 1 AS d FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) GROUP BY s, c"
+ORACLES["document_gaps"] = f"""WITH {_DOC_GRAPH}, {_DOC_HOPS}, dist AS (SELECT s, c, min(d) AS d FROM (SELECT *, 1 AS d FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3 UNION ALL SELECT *, 4 FROM h4) GROUP BY s, c),
+r AS (SELECT s, c, d, CASE d WHEN 2 THEN 1.0 / 3 ELSE 0.5 END AS rel FROM dist ANTI JOIN seen ON name = c)
+SELECT s AS start, c AS concept, CAST(round(rel, 4) AS DOUBLE) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY rel DESC, d, c) AS k FROM r) WHERE k <= 5"""
+ORACLES["document_next"] = f"""WITH {_DOC_GRAPH}, near AS MATERIALIZED (SELECT src AS s, dst AS c, min(ord) AS f FROM g ANTI JOIN seen ON name = dst WHERE NOT dep GROUP BY 1, 2),
+b AS (SELECT near.s, near.c, string_agg(o.c, ', ' ORDER BY o.f, o.c) FILTER (k <= 2) AS needed FROM (SELECT near.*, n.src AS other, row_number() OVER (PARTITION BY near.s, near.c ORDER BY o.f, o.c) AS k FROM near JOIN needs n ON n.dst = near.c AND n.src <> n.dst JOIN near o ON o.s = near.s AND o.c = n.src) near JOIN near o ON o.s = near.s AND o.c = near.other GROUP BY 1, 2),
+r AS (SELECT near.s, near.c, near.f, needed, confidence FROM near LEFT JOIN b ON b.s = near.s AND b.c = near.c JOIN dn ON dn.name = near.c)
+SELECT s AS start, c AS concept, needed IS NOT NULL AS is_gateway, CAST(confidence AS DOUBLE) AS score, coalesce(needed, '') AS needed_by, CAST(k AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY needed IS NOT NULL DESC, confidence DESC, f, c) AS k FROM r) WHERE k <= 3"""
 ORACLES["concept_info"] = "SELECT n_name AS name, CAST(n_nationkey % 10 / 10.0 AS DOUBLE) AS confidence FROM nation WHERE n_regionkey = 1"
 ORACLES["knowledge_gaps"] = f"""WITH RECURSIVE {_GRAPH}, {_HOPS.format(4)}, r AS (SELECT s, c, d, CASE d WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 / 3 ELSE 0.5 END AS rel FROM dist WHERE c NOT IN (SELECT name FROM seen))
 SELECT s AS start, c AS concept, round(rel, 4) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY rel DESC, d, c) AS k FROM r) WHERE k <= 5"""
@@ -386,3 +434,15 @@ ORACLES["article_graph"] = "SELECT doc_id AS key, 'a' AS source, 'b' AS target,
 ORACLES["reply_json"] = "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN md5(props) END AS digest FROM events"
 ORACLES["ready_documents"] = "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels"
 ORACLES["ready_listing"] = "SELECT doc_id, a AS n_left, b AS n_right FROM (SELECT doc_id, count(*) AS a FROM documents GROUP BY 1) JOIN (SELECT doc_id, count(*) AS b FROM labels GROUP BY 1) USING (doc_id)"
+
+# Stored tables and runs ----------------------------------------------------
+
+ORACLES["session_log"] = "SELECT conv_id AS session_id, count(*) AS n, max(turn) - min(turn) AS seconds FROM conversations WHERE conv_id % 10 <> 3 GROUP BY conv_id"
+ORACLES["stored_documents"] = f"""WITH {_CB} SELECT doc_id, CASE WHEN doc_id % 10 = 7 THEN 1 WHEN doc_id % 10 = 8 THEN 2 * count(*) ELSE count(*) END AS n_blocks, CASE WHEN doc_id % 10 = 7 THEN 1 ELSE 0 END AS n_again, CASE WHEN doc_id % 10 = 7 THEN 0 ELSE max(position) END AS last
+FROM cb WHERE doc_id % 10 <> 9 GROUP BY doc_id"""
+ORACLES["phase_runs"] = f"""WITH {_WORDS},
+kept AS (SELECT DISTINCT doc_id, block_id, lower(name) AS name FROM cand WHERE trim(name) <> '' AND lower(name) NOT IN {_STOP} AND length(name) >= 3 AND (doc_id % 6 = 5 OR conf >= 0.5)),
+n AS (SELECT doc_id, count(*) AS n FROM kept GROUP BY doc_id), d AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM cand) AS there, coalesce(n, 0) AS n FROM documents LEFT JOIN n USING (doc_id)),
+once AS (SELECT *, CASE WHEN NOT there THEN 'missing' WHEN doc_id % 6 = 3 THEN 'failed' ELSE 'done' END AS status FROM d),
+log AS (SELECT doc_id, 1 AS turn, status, n FROM once WHERE doc_id % 4 <> 1 UNION ALL SELECT doc_id, 2, status, n FROM once WHERE doc_id % 4 = 1 OR status = 'failed' UNION ALL SELECT doc_id, 3, 'done', n FROM once WHERE status = 'failed')
+SELECT doc_id, turn, status, CASE status WHEN 'missing' THEN 'no input' WHEN 'failed' THEN 'no JSON' END AS error, CASE status WHEN 'done' THEN n ELSE 0 END AS n_rows, n AS n_stored FROM log"""

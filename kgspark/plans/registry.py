@@ -22,10 +22,13 @@ from kgspark.operators import refine as G
 from kgspark.operators import relations as R
 from kgspark.operators import replies as L
 from kgspark.operators import sessions as S
+from kgspark.operators.components import strong_components
 from kgspark.plans import inputs as I
 from kgspark.plans import pipeline
 from kgspark.plans.oracles import ORACLES
+from kgspark.plans.runs import PhaseRuns
 from kgspark.sources import tables
+from kgspark.sources.keyed import KeyedTable, buckets_for
 from kgspark.sources.tables import load, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,6 +210,13 @@ def crawl_summary(spark, sf_dir):
     return P.crawl_summary(met, P.documents(load(spark, sf_dir, "pages"), store).join(nodes, "page_id"))
 
 
+@query
+def crawl_by_root(spark, sf_dir):
+    """A crawl from each page over its site, of four steps and twelve pages at most."""
+    pages = load(spark, sf_dir, "pages")
+    return P.crawl_each(I.site_links(pages), pages.select(F.col("page_id").alias("node")), 4, 12, store)
+
+
 # Concept candidates --------------------------------------------------------
 
 
@@ -299,6 +309,16 @@ def cosine_pairs_corpus(spark, sf_dir):
     return N.similar_pairs(store(v.unionByName(near)), 0.95, "corpus", group="label", ident="vec_id").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query
+def cosine_pairs_near(spark, sf_dir):
+    """Each vector beside a copy that is moved, by its number, up to nine tenths of its length: pairs on both sides of the threshold."""
+    v = load(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    moved = F.transform("embedding", lambda x, i: F.when(i == 0, x + length * (F.col("vec_id") % 50) * 0.018).otherwise(x))
+    near = v.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), moved.alias("embedding"))
+    return N.similar_pairs(v.unionByName(near).withColumn("label", F.lit(0)), 0.85, "corpus", group="label", ident="vec_id").select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @query
 def similarity_graph(spark, sf_dir):
     pairs = N.similar_pairs(load(spark, sf_dir, "embeddings"), 0.4, group="label", ident="vec_id")
@@ -672,6 +692,47 @@ def exported_graph(spark, sf_dir):
     return H.export_graph(concepts, graph, dedupe=True)[1]
 
 
+def _document_graph(spark, sf_dir):
+    """Concepts and arcs of every document's own graph."""
+    rows = store(I.candidates(I.words(spark, sf_dir)))
+    concepts = store(I.document_nodes(rows))
+    return concepts, store(H.load_graph(concepts, I.document_relations(rows)))
+
+
+@query
+def document_prerequisites(spark, sf_dir):
+    """What the most dependent concept of each document needs, in order."""
+    graph = _document_graph(spark, sf_dir)[1]
+    return H.prerequisite_order(graph, I.document_starts(graph), store)
+
+
+@query
+def document_cycles(spark, sf_dir):
+    """Concepts of documents that depend on each other in circles, by the least of them."""
+    graph = _document_graph(spark, sf_dir)[1]
+    found = strong_components(graph.where("dep_kind = 'dependency'"), store)
+    least = found.groupBy("component").agg(F.min("node").alias("least"), F.count("*").alias("size"))
+    return found.join(least, "component").select(F.col("node").alias("concept"), "least", "size")
+
+
+@query
+def document_dependencies(spark, sf_dir):
+    concepts, graph = _document_graph(spark, sf_dir)
+    return H.dependencies(graph, concepts, store, 2)
+
+
+@query
+def document_gaps(spark, sf_dir):
+    concepts, graph = _document_graph(spark, sf_dir)
+    return H.knowledge_gaps(graph, concepts, I.long_words(concepts), store).withColumn("relevance", F.round("relevance", 4))
+
+
+@query
+def document_next(spark, sf_dir):
+    concepts, graph = _document_graph(spark, sf_dir)
+    return H.suggest_next(concepts, graph, concepts, I.long_words(concepts))
+
+
 @query
 def claim_verdict(spark, sf_dir):
     e = load(spark, sf_dir, "events")
@@ -736,6 +797,61 @@ def session_append(spark, sf_dir):
     return spark.read.schema(m.schema).parquet(path).groupBy("session_id", "role").agg(F.count("*").alias("n"))
 
 
+@query
+def session_log(spark, sf_dir):
+    """Conversations told in batches, some of them twice, and compacted: sessions as they stand then."""
+    path = f"{tables.work_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    m = I.messages(spark, sf_dir).withColumn("ts", F.timestamp_seconds("ts"))
+    begun = m.groupBy("session_id").agg(F.min("ts").alias("created_at"))
+    sessions = KeyedTable(spark, f"{path}/sessions", "session_id bigint, created_at timestamp, updated_at timestamp", "session_id")
+    stored = S.SessionStore(sessions, KeyedTable(spark, f"{path}/messages", m.schema, "session_id", buckets_for(m)))
+    stored.create(begun, "begin")
+    for k in (0, 1, 0, 2, 1):
+        stored.add_messages(m.where(F.col("id") % 3 == k), f"turns {k}")
+    stored.delete(begun.where("session_id % 10 = 3"), "gone")
+    stored.delete(begun.where("session_id % 10 = 3"), "gone")
+    stored.sessions.compact(2)
+    counts = stored.messages.read().groupBy("session_id").agg(F.count("*").alias("n"))
+    return stored.sessions.read().join(counts, "session_id").select("session_id", "n", (F.unix_timestamp("updated_at") - F.unix_timestamp("created_at")).alias("seconds"))
+
+
+@query
+def stored_documents(spark, sf_dir):
+    """Blocks stored by document; every tenth document is then replaced by one block, some lose theirs, some batches come twice."""
+    path = f"{tables.work_dir(spark)}/documents-{uuid.uuid4().hex}"
+    rows = I.content_blocks(spark, sf_dir).select("doc_id", F.col("position").cast("int").alias("position"), "type", "tag", "text")
+    table = KeyedTable(spark, path, "doc_id bigint, position int, type string, tag string, text string", buckets=buckets_for(rows))
+    table.put(rows, "first")
+    again = rows.where("doc_id % 10 = 7").select("doc_id").distinct().select("doc_id", F.lit(0).alias("position"), F.lit("paragraph").alias("type"), F.lit("p").alias("tag"), F.lit("again").alias("text"))
+    for _ in range(2):
+        table.put(again, "again")
+    table.put(rows.limit(0), "empty", keys=rows.where("doc_id % 10 = 9"))
+    table.append(rows.where("doc_id % 10 = 8"), "more")
+    table.append(rows.where("doc_id % 10 = 8"), "more")
+    table.compact(3)
+    return table.read().groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("text") == "again").alias("n_again"), F.max("position").alias("last"))
+
+
+@query
+def phase_runs(spark, sf_dir):
+    """Concept phases: some documents, all of them, then with mended replies; what each turn did."""
+    path = f"{tables.work_dir(spark)}/phases-{uuid.uuid4().hex}"
+    replies, docs = store(I.concept_replies(spark, sf_dir)), load(spark, sf_dir, "documents").select("doc_id")
+    kept = KeyedTable(spark, f"{path}/concepts", "doc_id bigint, block_id string, name string, confidence double")
+    runs = PhaseRuns(spark, path)
+
+    def step(rows):
+        return C.filter_candidates(C.parse(rows)).select("doc_id", "block_id", "name", "confidence"), C.failures(rows).where("reason = 'no JSON'").select("doc_id", F.col("reason").alias("error"))
+
+    mended = replies.withColumn("raw_output", F.when(F.col("doc_id") % 6 == 3, F.concat("raw_output", F.lit("]}"))).otherwise(F.col("raw_output")))
+    runs.run("concepts", replies, step, kept, docs.where("doc_id % 4 <> 1"), parts=2)
+    runs.run("concepts", replies, step, kept, docs)
+    runs.run("concepts", mended, step, kept, docs)
+    runs.run("concepts", mended, step, kept, docs)
+    stored = kept.read().groupBy("doc_id").agg(F.count("*").alias("n_stored"))
+    return runs.history("concepts").join(stored, "doc_id", "left").select("doc_id", "turn", "status", "error", "n_rows", F.coalesce("n_stored", F.lit(0)).alias("n_stored"))
+
+
 @query
 def stored_blocks(spark, sf_dir):
     """Blocks stored by document, some documents stored again, read back."""

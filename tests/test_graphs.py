@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from kgspark.functions import vocabulary as V
 from kgspark.operators import blocks as B
 from kgspark.operators import metrics as M
+from kgspark.operators import normalize as N
 from kgspark.operators import pages as P
 from kgspark.operators import reason as H
 from kgspark.operators import refine as G
 from kgspark.operators import relations as R
-from kgspark.operators.components import connected_components
+from kgspark.operators.components import connected_components, strong_components
+from kgspark.operators.pivots import pairs_within
 from kgspark.sources.tables import store
 
 
@@ -210,8 +212,6 @@ def test_merged_edges_do_not_depend_on_order(spark):
 def test_corpus_pairs_find_those_of_all_pairs(spark, threshold):
     import numpy as np
 
-    from kgspark.operators import normalize as N
-
     rng = np.random.default_rng(1)
     v = rng.normal(size=(900, 32))
     v[300:600] = v[:300] + rng.normal(size=(300, 32)) * rng.uniform(0.05, 0.7, (300, 1))
@@ -238,6 +238,11 @@ def test_mentions_are_those_of_all_names(spark, word_boundary):
         hits = {f"c{j}" for j, n in enumerate(names) if (k % 2 or j % 2) and n in t.lower() and (not word_boundary or plain(n) in plain(t.lower()))}
         want |= {(k % 2, f"b{k}", c) for c in hits} if len(hits) > 1 else set()
     assert {tuple(r) for r in R.mentions(blocks, lookup, word_boundary).collect()} == want
+    # The same where documents are spread over tasks, and with names and texts that find nothing.
+    odd = lookup.unionByName(spark.createDataFrame([(0, "", "c90"), (0, None, "c91"), (7, "a", "c92")], lookup.schema))
+    more = blocks.unionByName(spark.createDataFrame([(0, "b99", None), (8, "b98", "a graph")], blocks.schema))
+    assert {tuple(r) for r in R.mentions(more, odd, word_boundary, slice_chars=50).collect()} == want
+    assert R.mentions(blocks.limit(0), lookup).collect() == R.mentions(blocks, lookup.limit(0)).collect() == []
 
 
 def test_crawl(spark):
@@ -275,3 +280,175 @@ def test_blank_input(spark):
     none = spark.createDataFrame([], "doc_id long, position int, type string, tag string, text string")
     assert B.semantic_blocks(none).collect() == []
     assert B.block_stats(B.semantic_blocks(none)).where(F.lit(True)).collect() == []
+
+
+# Cycles and long graphs --------------------------------------------------------
+
+
+def components_of(arcs):
+    """Nodes on cycles of several, with the set of those they reach and are reached by."""
+    ahead = defaultdict(set)
+    for a, b in arcs:
+        ahead[a].add(b)
+
+    def reach(at):
+        seen, todo = set(), [at]
+        while todo:
+            for x in ahead[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        return seen
+
+    far = {x: reach(x) for x in {x for e in arcs for x in e}}
+    return {x: frozenset(y for y in far[x] if x in far[y]) | {x} for x in far if any(x in far[y] for y in far[x] - {x})}
+
+
+@pytest.mark.parametrize("seed", (1, 3, 4))
+def test_strong_components(spark, seed):
+    rng = random.Random(seed)
+    n = 40
+    arcs = [(rng.randrange(n), rng.randrange(n)) for _ in range((20, 40, 50, 60, 120)[seed])] + [(100, 101), (101, 102), (102, 100), (102, 110), (110, 111), (111, 110), (7, 7), (None, 3)]
+    got = strong_components(spark.createDataFrame(arcs, "src int, dst int"), store).collect()
+    want = components_of([e for e in arcs if None not in e])
+    assert {r.node for r in got} == set(want) and len(got) == len(want)
+    named = defaultdict(set)
+    for r in got:
+        named[r.component].add(r.node)
+    assert all(c in members and members == want[c] for c, members in named.items())
+
+
+def test_no_strong_components(spark):
+    for arcs in ([], [(1, 2), (2, 3), (1, 3), (4, 4)]):
+        assert strong_components(spark.createDataFrame(arcs, "src int, dst int"), store).collect() == []
+
+
+def contracted(arcs, start):
+    """The walk over units, cycles being units; members by name, the start last."""
+    units = components_of(arcs)
+    unit = lambda x: min(units[x]) if x in units else x
+    firsts = {}
+    for k, (a, b) in enumerate(arcs):
+        if unit(a) != unit(b):
+            firsts.setdefault((unit(a), unit(b)), k)
+    chain = walked([e for e, _ in sorted(firsts.items(), key=lambda x: x[1])], unit(start)) + [unit(start)]
+    out = [x for u in chain for x in sorted(units.get(u, {u}), key=lambda x: (x == start, x))]
+    return out if start in units or (start, start) in arcs else out[:-1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_order_of_prerequisites(spark, seed):
+    """The walk's order without cycles, and units in it with them."""
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(16), rng.randrange(16)) for _ in range(34)]
+    if seed % 2:
+        pairs = [(min(p), max(p)) for p in pairs if p[0] != p[1]]
+    arcs = list(dict.fromkeys((f"n{a:02}", f"n{b:02}") for a, b in pairs))
+    graph = spark.createDataFrame([(a, b, "dependency", k) for k, (a, b) in enumerate(arcs)] + [("n00", "other", "related", 99)], "src string, dst string, dep_kind string, ord int")
+    starts = sorted({a for a, _ in arcs})[:8] + ["alone"]
+    got = defaultdict(list)
+    for r in H.prerequisite_order(graph, spark.createDataFrame([(x,) for x in [*starts, starts[0]]], "name string"), store).orderBy("start", "place").collect():
+        got[r.start].append(r.concept)
+    want = walked if seed % 2 else contracted
+    assert got == {x: want(arcs, x) for x in starts if want(arcs, x)}
+
+
+def test_order_over_many_levels(spark):
+    arcs = [(f"n{k:03}", f"n{k + 1:03}", "dependency", k) for k in range(16)] + [(f"n{k:03}", f"n{k + 2:03}", "dependency", 100 + k) for k in range(14)]
+    graph = spark.createDataFrame(arcs, "src string, dst string, dep_kind string, ord int")
+    rows = H.prerequisite_order(graph, spark.createDataFrame([("n000",)], "name string"), store).orderBy("place").collect()
+    assert [r.concept for r in rows] == [f"n{k:03}" for k in range(16, 0, -1)]
+
+
+def test_order_of_nothing(spark):
+    graph = spark.createDataFrame([], "src string, dst string, dep_kind string, ord int")
+    assert H.prerequisite_order(graph, spark.createDataFrame([("a",)], "name string"), store).collect() == []
+    assert H.prerequisite_order(graph, spark.createDataFrame([], "name string"), store).collect() == []
+
+
+# Pairs of vectors ----------------------------------------------------------------
+
+
+def vectors_of(kind, rng):
+    import numpy as np
+
+    if kind == "clusters":
+        centres = rng.normal(size=(30, 24))
+        return centres[rng.integers(0, 30, 1500)] + rng.normal(size=(1500, 24)) * 0.25
+    if kind == "crowd":  # a third of all vectors are one, others lie close by
+        v = rng.normal(size=(900, 24))
+        v[:300] = v[0]
+        v[300:600] = v[0] + rng.normal(size=(300, 24)) * 0.2
+        return v
+    return rng.normal(size=(800, 24))
+
+
+@pytest.mark.parametrize(("kind", "threshold"), [("clusters", 0.9), ("clusters", 0.8), ("crowd", 0.95), ("crowd", 0.5), ("plain", 0.5), ("plain", 0.0), ("plain", 1.0)])
+def test_pivots_lose_no_pair(spark, kind, threshold):
+    """Also with many cells, cells split again, and slices of cells."""
+    import numpy as np
+
+    rng = np.random.default_rng(len(kind))
+    v = vectors_of(kind, rng)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cos = np.clip((unit @ unit.T), 0, 1)
+    want = {(int(a), int(b)) for a, b in np.argwhere(np.triu(cos >= threshold + 1e-9, 1))}
+    may = {(int(a), int(b)) for a, b in np.argwhere(np.triu(cos >= threshold - 1e-9, 1))}
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "i int, v array<double>")
+    got = pairs_within(rows, threshold, store, cell_rows=60).collect()
+    pairs = {(r.a, r.b) for r in got}
+    assert len(got) == len(pairs) and want <= pairs <= may
+    assert all(abs(r.similarity - cos[r.a, r.b]) < 1e-9 for r in got[:2000])
+
+
+def test_rows_sent_stay_linear_in_clusters(spark):
+    """Four times the vectors of like clusters: about four times the visits."""
+    import numpy as np
+
+    from kgspark.operators import pivots
+
+    visits = []
+    for n in (1_000, 4_000):
+        rng = np.random.default_rng(3)
+        centres = rng.normal(size=(n // 50, 16))
+        v = np.repeat(centres, 50, axis=0) + rng.normal(size=(n, 16)) * 0.05
+        rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "i int, v array<double>")
+        made, homed, cells = pivots._cells(rows, n, store, 50, 1)
+        visits.append(pivots._visits(homed, made, cells, 0.2).count() / n)
+    assert visits[1] < 2 * max(visits[0], 0.5)
+
+
+def test_odd_vectors_have_no_pairs(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [1.0, None]), (5, [3.0, 0.0]), (6, [float("nan"), 1.0])]
+    df = spark.createDataFrame([(0, i, v) for i, v in rows], "doc_id int, ord int, embedding array<double>")
+    assert {(r.a, r.b) for r in N.similar_pairs(df, 0.9, "corpus").collect()} == {(0, 1), (0, 5), (1, 5)}
+    assert N.similar_pairs(df.limit(0), 0.9, "corpus").collect() == []
+
+
+# Crawls of many roots ------------------------------------------------------------
+
+
+def crawled(links, root, max_depth, max_pages):
+    """Breadth first, links in their order, until there are enough pages."""
+    out, queue = {root: (0, None, 1)}, deque([root])
+    ahead = defaultdict(dict)
+    for src, dst, k in links:
+        ahead[src][dst] = min(k, ahead[src].get(dst, k))
+    while queue:
+        at = queue.popleft()
+        for dst in sorted(ahead[at], key=lambda x: (ahead[at][x], x)):
+            if dst not in out and out[at][0] < max_depth and (max_pages is None or len(out) < max_pages):
+                out[dst] = (out[at][0] + 1, at, len(out) + 1)
+                queue.append(dst)
+    return {(root, node, *x) for node, x in out.items()}
+
+
+@pytest.mark.parametrize(("max_depth", "max_pages"), [(1, 5), (3, 7), (10, None), (2, 1)])
+def test_each_root_has_its_own_crawl(spark, max_depth, max_pages):
+    rng = random.Random(max_depth)
+    links = [(rng.randrange(30), rng.randrange(30), rng.randrange(6)) for _ in range(90)]
+    links += [(0, k, k) for k in range(1, 25)] + [(5, 5, 0)]
+    roots = [0, 5, 11, 11, 77]
+    made = P.crawl_each(spark.createDataFrame(links, "src int, dst int, ordinal int"), spark.createDataFrame([(r,) for r in roots], "node int"), max_depth, max_pages, store)
+    got = made.collect()
+    want = set().union(*(crawled(links, r, max_depth, max_pages) for r in set(roots)))
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
