@@ -246,7 +246,9 @@ rel AS (SELECT doc_id, block_id, position, place, word AS source, CASE WHEN ord
 edg AS (SELECT 'e_' || substr(md5(r.doc_id || '|' || r.block_id || '|' || place), 1, 8) AS edge_id, r.doc_id, a.concept_id AS source_concept_id, b.concept_id AS target_concept_id, relation_type, block_id AS evidence_block_id, confidence, position, place
   FROM rel r JOIN names a ON a.doc_id = r.doc_id AND a.name = r.source JOIN names b ON b.doc_id = r.doc_id AND b.name = r.target WHERE a.concept_id <> b.concept_id)"""
 ORACLES["relation_parse"] = f"WITH {_RELATED} SELECT doc_id, block_id, place, source, target, relation_type, confidence FROM rel"
-ORACLES["edge_validate"] = f"WITH {_RELATED} SELECT edge_id, doc_id, source_concept_id, target_concept_id, relation_type, evidence_block_id, confidence FROM edg"
+# Written once, as each name is looked up for both ends.
+_RELATED_ONCE = _RELATED.replace("names AS (", "names AS MATERIALIZED (").replace("rel AS (", "rel AS MATERIALIZED (")
+ORACLES["edge_validate"] = f"WITH {_RELATED_ONCE} SELECT edge_id, doc_id, source_concept_id, target_concept_id, relation_type, evidence_block_id, confidence FROM edg"
 _MERGED = f"""{_RELATED}, mrg AS (SELECT doc_id, source_concept_id, target_concept_id, relation_type, first(edge_id ORDER BY position, place) AS edge_id, first(evidence_block_id ORDER BY position, place) AS evidence_block_id, {_mean("confidence", 2)} AS confidence FROM edg GROUP BY doc_id, source_concept_id, target_concept_id, relation_type)"""
 ORACLES["edge_dedup"] = f"WITH {_MERGED} SELECT * FROM mrg"
 ORACLES["graph_edges_of_relations"] = f"WITH {_MERGED} SELECT doc_id, edge_id AS id, source_concept_id AS source, target_concept_id AS target, relation_type, evidence_block_id AS evidence_blocks, row_number() OVER (PARTITION BY doc_id ORDER BY edge_id) AS ord FROM mrg"
@@ -446,3 +448,18 @@ n AS (SELECT doc_id, count(*) AS n FROM kept GROUP BY doc_id), d AS (SELECT doc_
 once AS (SELECT *, CASE WHEN NOT there THEN 'missing' WHEN doc_id % 6 = 3 THEN 'failed' ELSE 'done' END AS status FROM d),
 log AS (SELECT doc_id, 1 AS turn, status, n FROM once WHERE doc_id % 4 <> 1 UNION ALL SELECT doc_id, 2, status, n FROM once WHERE doc_id % 4 = 1 OR status = 'failed' UNION ALL SELECT doc_id, 3, 'done', n FROM once WHERE status = 'failed')
 SELECT doc_id, turn, status, CASE status WHEN 'missing' THEN 'no input' WHEN 'failed' THEN 'no JSON' END AS error, CASE status WHEN 'done' THEN n ELSE 0 END AS n_rows, n AS n_stored FROM log"""
+ORACLES["stored_candidates"] = f"WITH {_WORDS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(*) AS n, sum(length(name)) AS chars, count(*) FILTER (position > 0) AS n_paths, {_mean('conf', 4)} AS confidence FROM cand GROUP BY doc_id"
+ORACLES["stored_canonical"] = f"""WITH {_KNOWN} SELECT CASE WHEN nth % 9 = 0 THEN 'unreadable' ELSE CAST(doc_id AS VARCHAR) END AS doc_id, count(*) AS n, count(*) FILTER (nth % 9 = 0) AS n_corrupt, coalesce(sum(nth) FILTER (nth % 9 > 0), 0) AS total, count(*) FILTER (nth % 9 > 0) AS n_aliases FROM held GROUP BY 1"""
+ORACLES["stored_edges"] = f"WITH {_RELATED_ONCE} SELECT CAST(doc_id AS VARCHAR) AS doc_id, relation_type, count(*) AS n, {_mean('confidence', 4)} AS confidence FROM edg GROUP BY doc_id, relation_type"
+ORACLES["cluster_prompts"] = f"WITH {_CLUSTERS} SELECT doc_id, cluster, md5('Are these names of one concept? Answer yes or no.' || chr(10) || '- ' || string_agg(name, chr(10) || '- ' ORDER BY ord)) AS digest FROM clus WHERE size > 1 GROUP BY doc_id, cluster"
+ORACLES["viewer_nodes"] = """WITH t AS (SELECT o_custkey // 100 AS doc_id, s_nationkey AS s, c_nationkey AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey),
+e AS (SELECT doc_id, s AS id FROM t UNION SELECT doc_id, t FROM t), n AS (SELECT c_custkey // 100 AS doc_id, c_nationkey AS id, count(*) AS n FROM customer GROUP BY ALL)
+SELECT doc_id, id, n_name AS label, CASE WHEN id % 3 > 0 THEN 'core_concept' ELSE 'unknown' END AS type, CAST(CASE WHEN id % 4 > 1 AND n > 0 THEN n / 10.0 ELSE 0.5 END AS DOUBLE) AS importance FROM e JOIN nation ON n_nationkey = id LEFT JOIN n USING (doc_id, id)"""
+ORACLES["exported_nodes"] = f"WITH {_DOC_GRAPH} SELECT name AS id, name AS label, 'core_concept' AS type, CAST(confidence AS DOUBLE) AS importance FROM dn"
+ORACLES["article_nodes"] = """SELECT doc_id AS key, source AS id, upper(source) AS label, 0.25::DOUBLE AS importance FROM documents WHERE doc_id % 5 > 0
+UNION ALL SELECT doc_id, lang, lang, 0.5::DOUBLE FROM documents WHERE doc_id % 5 > 0"""
+# Names are those of the greatest id here, and only blocks with two mentions have replies.
+_PHASE = _MENTIONS.replace("arg_max(cid, nth) AS concept_id", "max(cid) AS concept_id").replace("names AS (", "names AS MATERIALIZED (") + ",\n" + _RELATED.split(_KNOWN + ",\n")[1].replace("rel AS (", "rel AS MATERIALIZED (")
+ORACLES["relation_phase"] = f"""WITH {_PHASE}, asked AS MATERIALIZED (SELECT DISTINCT doc_id, block_id FROM men),
+own AS (SELECT edg.* FROM edg SEMI JOIN asked ON asked.doc_id = edg.doc_id AND asked.block_id = edg.evidence_block_id)
+SELECT doc_id, source_concept_id, target_concept_id, relation_type, first(edge_id ORDER BY position, place) AS edge_id, first(evidence_block_id ORDER BY position, place) AS evidence_block_id, {_mean("confidence", 2)} AS confidence FROM own GROUP BY doc_id, source_concept_id, target_concept_id, relation_type"""

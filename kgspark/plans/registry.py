@@ -363,6 +363,13 @@ def verdict_split(spark, sf_dir):
     return N.apply_verdicts(members, replies).select("doc_id", "ord", "cluster", "size")
 
 
+@query
+def cluster_prompts(spark, sf_dir):
+    """The question about each cluster of several members."""
+    rows, members, _ = _clustered(spark, sf_dir)
+    return N.verification_prompts(members, rows).select("doc_id", "cluster", F.md5("prompt").alias("digest"))
+
+
 @query
 def canonical_names(spark, sf_dir):
     return N.canonical_names(*_clustered(spark, sf_dir)[:2])
@@ -446,6 +453,15 @@ def edge_validate(spark, sf_dir):
     return _valid(spark, sf_dir).select("edge_id", "doc_id", "source_concept_id", "target_concept_id", "relation_type", "evidence_block_id", "confidence")
 
 
+@query
+def relation_phase(spark, sf_dir):
+    """The whole phase: only blocks that name two concepts are asked about."""
+    held, known = _known(spark, sf_dir)
+    semantic = I.line_blocks(spark, sf_dir).withColumnRenamed("position", "order_index")
+    edges = pipeline.relate(semantic, store(known), store(I.relation_replies(held).select("block_id", "raw_output")))
+    return edges.select("doc_id", "source_concept_id", "target_concept_id", "relation_type", "edge_id", "evidence_block_id", "confidence")
+
+
 @query
 def verification_prompts(spark, sf_dir):
     held, known = _known(spark, sf_dir)
@@ -601,6 +617,13 @@ def viewer_defaults(spark, sf_dir):
     return H.viewer_defaults(nodes, edges)[1].drop("doc_id")
 
 
+@query
+def viewer_nodes(spark, sf_dir):
+    """Nodes with the viewer's defaults: some types and importances are missing, or 0."""
+    nodes = I.trade_nodes(spark, sf_dir).withColumn("type", F.when(F.col("id") % 3 > 0, F.col("type"))).withColumn("importance", F.when(F.col("id") % 4 > 1, F.col("occurrence_count") / 10.0).when(F.col("id") % 4 == 1, 0.0))
+    return H.viewer_defaults(nodes, _viewed(spark, sf_dir).withColumn("doc_id", F.lit(0)))[0]
+
+
 @query
 def graph_catalog(spark, sf_dir):
     orders = load(spark, sf_dir, "orders")
@@ -733,6 +756,13 @@ def document_next(spark, sf_dir):
     return H.suggest_next(concepts, graph, concepts, I.long_words(concepts))
 
 
+@query
+def exported_nodes(spark, sf_dir):
+    """Nodes of every document's graph as a viewer takes them."""
+    concepts, graph = _document_graph(spark, sf_dir)
+    return H.export_graph(concepts, graph)[0]
+
+
 @query
 def claim_verdict(spark, sf_dir):
     e = load(spark, sf_dir, "events")
@@ -797,6 +827,39 @@ def session_append(spark, sf_dir):
     return spark.read.schema(m.schema).parquet(path).groupBy("session_id", "role").agg(F.count("*").alias("n"))
 
 
+def _told(spark, table, rows, broken):
+    """Rows of a table as stored JSON lines, some of them cut off, read back; doc_id null where a line can't be read."""
+    path = f"{tables.work_dir(spark)}/{table}-{uuid.uuid4().hex}"
+    line = F.to_json(F.struct(*rows.columns))
+    rows.select(F.when(broken, F.left(line, F.length(line) - 1)).otherwise(line).alias("value")).write.text(path)
+    return tables.read(spark, path, table, "json")
+
+
+@query
+def stored_candidates(spark, sf_dir):
+    """Candidates stored, read back and listed by document."""
+    rows = I.concept_rows(spark, sf_dir).select(T.short_hash(F.col("doc_id"), F.col("ord")).alias("concept_id"), F.col("doc_id").cast("string").alias("doc_id"), "name", "type", "description", F.col("block_id").alias("source_block_id"), "heading_path", "confidence")
+    back = _told(spark, "concept_candidates", rows, F.lit(False))
+    return back.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("name")).alias("chars"), F.sum(F.size("heading_path")).alias("n_paths"), NUM.rounded(NUM.mean(F.col("confidence")), 4).alias("confidence"))
+
+
+@query
+def stored_canonical(spark, sf_dir):
+    """Canonical concepts stored and read back, every ninth line cut off: those can't be read, the others can."""
+    known = I.document_concepts(I.words(spark, sf_dir))
+    rows = known.select("canonical_id", F.col("doc_id").cast("string").alias("doc_id"), "canonical_name", "aliases", F.lit("method").alias("type"), F.array("canonical_name").alias("descriptions"), F.array().cast("array<string>").alias("source_blocks"), F.col("ord").alias("occurrence_count"), (F.col("ord") / 10.0).alias("importance_score"))
+    back = _told(spark, "canonical_concepts", rows, F.col("occurrence_count") % 9 == 0)
+    return back.groupBy(F.coalesce("doc_id", F.lit("unreadable")).alias("doc_id")).agg(F.count("*").alias("n"), F.count("_corrupt_record").alias("n_corrupt"), F.coalesce(F.sum("occurrence_count"), F.lit(0)).alias("total"), F.sum(F.when(F.col("doc_id").isNotNull(), F.size("aliases")).otherwise(0)).alias("n_aliases"))
+
+
+@query
+def stored_edges(spark, sf_dir):
+    """Edges stored, read back and counted by type."""
+    rows = _valid(spark, sf_dir).select("edge_id", F.col("doc_id").cast("string").alias("doc_id"), "source_concept_id", "target_concept_id", "relation_type", "evidence_block_id", "confidence")
+    back = _told(spark, "concept_edges", rows, F.lit(False))
+    return back.groupBy("doc_id", "relation_type").agg(F.count("*").alias("n"), NUM.rounded(NUM.mean(F.col("confidence")), 4).alias("confidence"))
+
+
 @query
 def session_log(spark, sf_dir):
     """Conversations told in batches, some of them twice, and compacted: sessions as they stand then."""
@@ -936,6 +999,14 @@ def article_graph(spark, sf_dir):
     return L.article_graphs(labels.select(F.col("doc_id").alias("key"), F.when(F.col("toxic") == 0, raw).otherwise("no graph").alias("raw_output")))[1]
 
 
+@query
+def article_nodes(spark, sf_dir):
+    """Nodes of graphs in replies about documents: their source, and their language without a label."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    raw = F.concat(F.lit("Here it is: "), F.to_json(F.struct(F.array(F.create_map(F.lit("id"), F.col("source"), F.lit("label"), F.upper("source"), F.lit("importance"), F.lit("0.25")), F.create_map(F.lit("id"), F.col("lang"))).alias("nodes"))))
+    return L.article_graphs(docs.select(F.col("doc_id").alias("key"), F.when(F.col("doc_id") % 5 > 0, raw).alias("raw_output")))[0]
+
+
 @query
 def reply_json(spark, sf_dir):
     e = load(spark, sf_dir, "events")
