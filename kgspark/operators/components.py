@@ -37,6 +37,25 @@ def connected_components(edges: DataFrame, store: Callable[[DataFrame], DataFram
     return pairs.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(pairs.select(F.col("u").alias("node"), F.col("u").alias("component"))).distinct()
 
 
+def grown_components(named: DataFrame, edges: DataFrame, store: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst") -> DataFrame:
+    """What added edges change in (node, component): rows of new nodes, and of nodes whose component is another now.
+
+    ``named`` is the result for the edges so far.  Components are joined by the
+    graph of components that the new edges make, so of ``named`` only the
+    components that they touch are read into the result; put in place of the
+    old rows, it gives what all edges together would.
+    """
+    ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
+    old = lambda end: named.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    ends = store(ends.distinct().join(old("u"), "u", "left").join(old("v"), "v", "left"))
+    linked = ends.select(F.coalesce("of_u", "u").alias("u"), F.coalesce("of_v", "v").alias("v"))
+    joined = store(connected_components(linked, store, "u", "v"))
+    moved = named.join(joined.select(F.col("node").alias("component"), F.col("component").alias("now")), "component").where("component <> now").select("node", F.col("now").alias("component"))
+    # A new node in an old component is linked to it, so it has a row of its own name.
+    fresh = ends.select(F.explode(F.filter(F.array(F.struct(F.col("u").alias("node"), F.col("of_u").alias("was")), F.struct(F.col("v").alias("node"), F.col("of_v").alias("was"))), lambda e: e["was"].isNull())).alias("e")).select("e.node").distinct()
+    return moved.unionByName(fresh.join(joined, "node").select("node", "component"))
+
+
 #: Steps along arcs that are planned as one job, before its result is written.
 STEPS = 3
 

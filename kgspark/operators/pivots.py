@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 Store = Callable[[DataFrame], DataFrame]
 
 #: Vectors of a cell that one task compares; more are compared in slices.
-CELL_ROWS = 4_096
+CELL_ROWS = 16_384
 #: Pivots that the driver and each task hold, at most: with 1,000 dimensions 32 MB.
 MOST_PIVOTS = 4_096
 #: Rounds in which crowded cells get pivots of their own.

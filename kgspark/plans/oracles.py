@@ -212,6 +212,19 @@ ORACLES["similarity_graph"] = """WITH v AS (SELECT vec_id, label, embedding::DOU
 SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.4"""
 ORACLES["embedding_texts"] = f"WITH {_WORDS}, t AS (SELECT doc_id, ord, name || '. ' || name AS x FROM cand) SELECT doc_id, ord, md5(x) AS digest, CASE WHEN length(x) % 3 > 0 THEN CAST(length(x) AS INT) END AS first FROM t"
 ORACLES["components"] = f"WITH {_CLUSTERS} SELECT doc_id, ord, cluster, size, round(CASE WHEN size = 1 THEN 1.0 ELSE 0.9 * (size - 1) / (size * (size - 1) / 2.0) END, 6) AS similarity FROM clus"
+ORACLES["vector_clusters"] = """WITH RECURSIVE v AS (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS MATERIALIZED (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.3),
+far(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT x, n.b FROM far JOIN (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) n ON n.a = y),
+c AS MATERIALIZED (SELECT label, vec_id, m AS cluster, count(*) OVER (PARTITION BY m) AS size FROM (SELECT x AS vec_id, min(y) AS m FROM far GROUP BY x) JOIN embeddings USING (vec_id)),
+s AS (SELECT cluster, sum(sim) AS total FROM p JOIN c ON c.vec_id = p.a GROUP BY cluster)
+SELECT label, vec_id, cluster, size, round(CASE WHEN size = 1 THEN 1.0 ELSE coalesce(total, 0) / (size * (size - 1) / 2.0) END, 6) AS similarity FROM c LEFT JOIN s USING (cluster)"""
+# Pairs are of neighbours in a row of like names, so a component is a run without gaps.
+ORACLES["components_grown"] = f"""WITH {_UNIQUE},
+row_ AS (SELECT doc_id, left(name_key, 4) AS l, ord, lag(ord) OVER (PARTITION BY doc_id, left(name_key, 4) ORDER BY ord) AS before, lead(ord) OVER (PARTITION BY doc_id, left(name_key, 4) ORDER BY ord) AS after FROM uniq),
+run AS (SELECT *, count(*) FILTER (before IS NULL OR before % 2 = 1) OVER (PARTITION BY doc_id, l ORDER BY ord) AS k FROM row_),
+placed AS (SELECT doc_id * 1000000 + ord AS node, doc_id * 1000000 + min(ord) OVER (PARTITION BY doc_id, l) AS component, doc_id * 1000000 + min(ord) OVER (PARTITION BY doc_id, l, k) AS was,
+  (after IS NOT NULL AND ord % 2 = 0) OR (before IS NOT NULL AND before % 2 = 0) AS known, before IS NOT NULL OR after IS NOT NULL AS linked FROM run)
+SELECT node, component FROM placed WHERE linked AND (NOT known OR was <> component)"""
 ORACLES["cluster_stats"] = f"WITH {_CLUSTERS}, c AS (SELECT doc_id, cluster, count(*) AS n FROM clus GROUP BY ALL) SELECT doc_id, count(*) AS n_clusters, count(*) FILTER (n = 1) AS n_single, count(*) FILTER (n > 1) AS n_multi, round(avg(n), 4) AS avg_size, max(n) AS max_size FROM c GROUP BY doc_id"
 ORACLES["verdict_split"] = f"WITH {_CLUSTERS} SELECT doc_id, ord, CASE WHEN size > 1 AND cluster % 3 > 0 THEN ord ELSE cluster END AS cluster, CASE WHEN size > 1 AND cluster % 3 > 0 THEN 1 ELSE size END AS size FROM clus"
 _NAMES = f"{_CLUSTERS}, best AS (SELECT doc_id, cluster, name AS canonical_name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cluster ORDER BY n DESC, length(name), f) AS k FROM (SELECT doc_id, cluster, name, count(*) AS n, min(ord) AS f FROM clus GROUP BY ALL)) WHERE k = 1)"

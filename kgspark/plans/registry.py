@@ -22,7 +22,7 @@ from kgspark.operators import refine as G
 from kgspark.operators import relations as R
 from kgspark.operators import replies as L
 from kgspark.operators import sessions as S
-from kgspark.operators.components import strong_components
+from kgspark.operators.components import connected_components, grown_components, strong_components
 from kgspark.plans import inputs as I
 from kgspark.plans import pipeline
 from kgspark.plans.oracles import ORACLES
@@ -350,6 +350,24 @@ def components(spark, sf_dir):
     return _clustered(spark, sf_dir)[1].select("doc_id", "ord", "cluster", "size", F.round("similarity", 6).alias("similarity"))
 
 
+@query
+def vector_clusters(spark, sf_dir):
+    """Clusters of the vectors of each label by their cosines, with the mean over all pairs of members."""
+    v = load(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("ord"), "embedding")
+    pairs = store(N.similar_pairs(v, 0.3))
+    return N.clusters(v, pairs, store).select(F.col("doc_id").alias("label"), F.col("ord").alias("vec_id"), "cluster", "size", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def components_grown(spark, sf_dir):
+    """Components of like concepts after half of the pairs, and what the other half changes in them."""
+    pairs = store(I.name_pairs(N.exact_dedup(I.concept_rows(spark, sf_dir))))
+    node = lambda c: (F.col("doc_id") * 1_000_000 + F.col(c)).alias(c)
+    edges = pairs.select(node("a"), node("b"), (F.col("a") % 2 == 0).alias("first"))
+    begun = connected_components(edges.where("first"), store, "a", "b")
+    return grown_components(store(begun), edges.where("not first"), store, "a", "b")
+
+
 @query
 def cluster_stats(spark, sf_dir):
     return N.cluster_stats(_clustered(spark, sf_dir)[1])
@@ -407,7 +425,7 @@ def _known(spark, sf_dir):
 
 
 def _mentions(spark, sf_dir):
-    return R.mentions(I.line_blocks(spark, sf_dir), store(R.name_lookup(_known(spark, sf_dir)[1])))
+    return R.mentions(I.line_blocks(spark, sf_dir), R.name_lookup(I.document_concepts(I.words(spark, sf_dir))))
 
 
 @query

@@ -15,7 +15,7 @@ from kgspark.operators import pages as P
 from kgspark.operators import reason as H
 from kgspark.operators import refine as G
 from kgspark.operators import relations as R
-from kgspark.operators.components import connected_components, strong_components
+from kgspark.operators.components import connected_components, grown_components, strong_components
 from kgspark.operators.pivots import pairs_within
 from kgspark.sources.tables import store
 
@@ -157,6 +157,21 @@ def test_components(spark, seed):
     assert connected_components(spark.createDataFrame([], "src int, dst int"), store).collect() == []
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_grow(spark, seed):
+    """As if all edges had been there from the start; other components have no rows."""
+    rng = random.Random(seed)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(30)] + [(100, 101), (None, 3), (4, 4)]
+    more = [(rng.randrange(90), rng.randrange(90)) for _ in range((1, 8, 25)[seed])] + [(200, 201), (5, None), (6, 6)]
+    frame = lambda e: spark.createDataFrame(e, "src int, dst int")
+    before = store(connected_components(frame(edges), store))
+    changed = grown_components(before, frame(more), store).collect()
+    named = {r.node: r.component for r in before.collect()}
+    assert len({r.node for r in changed}) == len(changed) and all(named.get(r.node) != r.component for r in changed)
+    named |= {r.node: r.component for r in changed}
+    assert named == {r.node: r.component for r in connected_components(frame(edges + more), store).collect()}
+
+
 def test_pairs_of_a_block(spark):
     rows = spark.createDataFrame([(1, "b", c) for c in "ABC"], "doc_id int, block_id string, concept_id string")
     assert {tuple(r)[2:] for r in R.candidate_pairs(rows).collect()} == {("A", "B"), ("A", "C"), ("B", "C")}
