@@ -93,7 +93,7 @@ class PhaseRuns:
         n = todo.count()
         if not n:
             return 0
-        self.runs.append(missing, f"{phase}-{turn}-missing")
+        self.runs.append(missing, f"{phase}-{turn}-{uuid.uuid4().hex}")
         there = todo.where("digest is not null")
         for part in range(parts):
             own = there.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == part)
