@@ -1,7 +1,7 @@
 """Pages to documents: content blocks, links, digests and a bounded crawl.
 
 A page is (page_id, url, html).  HTML is cut into tokens by one regular
-expression; elements are pairs of tokens, found with windows over a page, and
+expression (``functions.markup``); elements are pairs of tokens, found with windows over a page, and
 running sums say what lies between their ends.  ``innerText`` is taken as all text within an element, white space collapsed.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgspark.functions import markup as M
 from kgspark.functions import text as T
 from kgspark.functions import urls as U
 from kgspark.functions import vocabulary as V
@@ -27,36 +28,19 @@ CONTAINER_CLASSES = ("article-content", "post-content", "entry-content")
 MIN_DENSE_TEXT = 500
 
 
-def clean_html(html: Column) -> Column:
-    """Without comments and the bodies of scripts and styles."""
-    return F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", "")
-
-
-def unescape(text: Column) -> Column:
-    """The common named and numbered entities as characters."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
-
-
 def page_titles(pages: DataFrame) -> DataFrame:
     """Title of each page, "Untitled" where there is none."""
-    found = T.collapse(unescape(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    found = T.collapse(M.unescape(M.title(F.col("html"))))
     return pages.select("page_id", F.coalesce(F.nullif(found, F.lit("")), F.lit("Untitled")).alias("title"))
 
 
 def tokens(pages: DataFrame) -> DataFrame:
     """Tags and texts in order: page_id, pos, kind (open, close, text), tag, attrs, text."""
-    cut = F.regexp_extract_all(clean_html(F.coalesce("html", F.lit(""))), F.lit(r"(?s)(</?[A-Za-z][^>]*>|[^<]+)"), F.lit(1))
-    rows = pages.select("page_id", F.posexplode(cut).alias("pos", "token"))
-    tag = F.lower(F.regexp_extract("token", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
+    rows = pages.select("page_id", F.posexplode(M.cut(F.coalesce("html", F.lit("")))).alias("pos", "token"))
+    tag = F.lower(F.regexp_extract("token", r"^</?([A-Za-z][^\s/>]*+)", 1))
     kind = F.when(tag == "", "text").when(F.startswith("token", F.lit("</")), "close").otherwise("open")
-    attrs = F.regexp_extract("token", r"(?s)^<[A-Za-z][A-Za-z0-9]*(.*?)/?>$", 1)
-    return rows.select("page_id", "pos", kind.alias("kind"), tag.alias("tag"), F.when(kind == "open", attrs).otherwise("").alias("attrs"), F.when(kind == "text", unescape(F.col("token"))).otherwise("").alias("text"))
-
-
-def attribute(attrs: Column, name: str) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(attrs, rf"""(?is)(?:^|\s){name}\s*=\s*"([^"]*)\"""", 1), F.lit("")), F.regexp_extract(attrs, rf"""(?is)(?:^|\s){name}\s*=\s*'([^']*)'""", 1))
+    attrs = F.regexp_extract("token", r"(?s)^<[A-Za-z][^\s/>]*+(.*)>$", 1)
+    return rows.select("page_id", "pos", kind.alias("kind"), tag.alias("tag"), F.when(kind == "open", attrs).otherwise("").alias("attrs"), F.when((kind == "text") & ~F.startswith("token", F.lit("<!")), M.unescape(F.col("token"))).otherwise("").alias("text"))
 
 
 def elements(toks: DataFrame) -> DataFrame:
@@ -89,8 +73,8 @@ def containers(toks: DataFrame, els: DataFrame | None = None) -> DataFrame:
     else the densest text; else the body, else the whole page.
     """
     els = elements(toks) if els is None else els
-    named = F.concat(F.lit(" "), F.lower(attribute(F.col("attrs"), "class")), F.lit(" "))
-    rank = F.when(F.col("tag") == "article", 1).when(F.col("tag") == "main", 2).when(attribute(F.col("attrs"), "role") == "main", 3)
+    named = F.concat(F.lit(" "), F.lower(M.attribute(F.col("attrs"), "class")), F.lit(" "))
+    rank = F.when(F.col("tag") == "article", 1).when(F.col("tag") == "main", 2).when(M.attribute(F.col("attrs"), "role") == "main", 3)
     for k, name in enumerate(CONTAINER_CLASSES):
         rank = rank.when(F.contains(named, F.lit(f" {name} ")), 4 + k)
     span = ("begin", "stop", "texts_stop")
@@ -121,7 +105,7 @@ def _with_texts(spans: DataFrame, toks: DataFrame) -> DataFrame:
 
 def is_ignored(tag: Column, attrs: Column) -> Column:
     """Navigation and the like by tag, or by a part of the class name."""
-    return tag.isin(*V.IGNORED_TAGS) | T.contains_any(F.lower(attribute(attrs, "class")), V.IGNORED_CLASSES)
+    return tag.isin(*V.IGNORED_TAGS) | T.contains_any(F.lower(M.attribute(attrs, "class")), V.IGNORED_CLASSES)
 
 
 def content_blocks(pages: DataFrame, store: Store | None = None) -> DataFrame:
@@ -147,7 +131,7 @@ def links(pages: DataFrame, main_only: bool = True, clean: bool = False, store:
     """Links: page_id, ordinal, target_url, anchor_text, is_internal."""
     toks = tokens(pages) if store is None else store(tokens(pages))
     els = elements(toks) if store is None else store(elements(toks))
-    anchors = els.where("tag = 'a'").withColumn("href", unescape(attribute(F.col("attrs"), "href"))).where("href <> ''")
+    anchors = els.where("tag = 'a'").withColumn("href", M.unescape(M.attribute(F.col("attrs"), "href"), in_attribute=True)).where("href <> ''")
     if main_only:
         main = containers(toks, els).select("page_id", F.col("begin").alias("main_begin"), F.col("stop").alias("main_stop"))
         anchors = anchors.join(main, "page_id").where("begin > main_begin and begin < main_stop")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions import json_text as J
+from kgspark.functions import markup
 from kgspark.functions import numbers as NUM
 from kgspark.functions import text as T
 from kgspark.functions import urls as U
@@ -164,7 +165,7 @@ def page_documents(spark, sf_dir):
 @query
 def error_pages(spark, sf_dir):
     rows = load(spark, sf_dir, "pages").join(P.page_titles(load(spark, sf_dir, "pages")), "page_id")
-    body = F.regexp_replace(P.clean_html(F.col("html")), r"<[^>]*>", " ")
+    body = F.regexp_replace(markup.clean(F.col("html")), r"<[^>]*>", " ")
     return rows.select("page_id", T.is_error_page(F.col("title"), body).alias("is_error"))
 
 
