@@ -458,7 +458,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
                 sets = {t: (i, tokens[e - n : e]) for t, i, n, e in zip(different, ids, sizes.tolist(), ends.tolist(), strict=True)}
                 for x, y, p, q in zip(a[part], b[part], ta[part], tb[part], strict=True):
                     (i, s), (j, t) = sets[p], sets[q]
-                    ok = i == x and j == y  # not so for another row of an id that is used twice
+                    ok = i == x and j == y  # not so for another text of the same key and hash
                     if ok and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
                         both = np.concatenate([s, t])
                         both.sort()
@@ -494,10 +494,12 @@ def _components(docs: DataFrame, words: int, percent: int, key: str, text: str)
     many = members.groupBy("sig").agg(F.count("*").alias("n_sets")).where("n_sets > 1")
     members = materialize(members.join(many, "sig"), "signatures")
     shares = members.groupBy("set_id").agg(F.sum("n_sets").alias("shares"))
-    classes = some.groupBy("set_id").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
-    classes = materialize(classes.join(shares, "set_id"), "classes")
+    # A class is found again by the key and the text of its first row with a key.
+    row = F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "text_hash")))
+    classes = some.groupBy("set_id").agg(row.alias("row"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
+    classes = materialize(classes.join(shares, "set_id").select("*", "row.doc", "row.text_hash").drop("row"), "classes")
     about = classes.select("set_id", "n", "bits", "wide")
-    lookup = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    lookup = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     strays = some.where("doc is null").select("set_id", F.col("stray").alias("text"))
 
     def stored(df: DataFrame) -> DataFrame:
@@ -515,12 +517,16 @@ def _components(docs: DataFrame, words: int, percent: int, key: str, text: str)
         return verify(pairs, texts_of(ends), words, percent)
 
     def texts_of(ends: DataFrame) -> DataFrame:
-        """Rows (set_id, text) of the sets; a key that is used twice may bring other texts too."""
-        reps = materialize(classes.select("set_id", "doc").join(ends, "set_id", "left_semi"), "representatives")
-        keyed = join_sized(lookup, reps.where("doc is not null"), "doc", "inner", row_bytes=40).select("set_id", "text")
+        """A row (set_id, text) for each of the sets."""
+        reps = materialize(classes.select("set_id", "doc", "text_hash").join(ends, "set_id", "left_semi"), "representatives")
+        keyed = join_sized(lookup, reps.where("doc is not null"), ["doc", "text_hash"], "inner", row_bytes=48).select("set_id", "text")
         # Sets that only rows without a key have: one of their texts.
         unkeyed = strays.join(reps.where("doc is null"), "set_id", "left_semi").groupBy("set_id").agg(F.min("text").alias("text"))
-        return materialize(keyed.unionByName(unkeyed), "candidate-texts")
+        found = materialize(keyed.unionByName(unkeyed), "candidate-texts")
+        if found.count() > reps.count():
+            # Rows repeated with key and text brought a text more than once.
+            found = materialize(found.groupBy("set_id").agg(F.min("text").alias("text")), "candidate-texts")
+        return found
 
     def split(sets: DataFrame) -> DataFrame:
         """Rows (sig, set_id) by rare tokens of the sets, in place of a signature of very many sets."""

@@ -205,6 +205,21 @@ def test_jaccard_join(docs, rows, n, percent):
     assert bag(jaccard_join.similar_documents(docs, words=n, percent=percent).collect()) == joined_brute(rows, n, percent)
 
 
+def test_jaccard_join_of_many_texts_under_one_key(spark):
+    rng = np.random.default_rng(3)
+    table = []
+    for group in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 10_000, 30)]
+        for k in range(int(rng.integers(1, 4))):
+            own = list(words)
+            own[-1 - k] = f"v{group}"
+            # Most under one key, some of these rows repeated; a few under keys of their own or none.
+            key = 7 if rng.random() < 0.9 else None if rng.random() < 0.2 else 1_000 + len(table)
+            table += [(key, " ".join(own), "s")] * int(rng.choice([1, 1, 1, 3]))
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string")
+    assert bag(jaccard_join.similar_documents(docs, words=2, percent=80).collect()) == joined_brute(table, 2, 80)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_jaccard_join_near_the_threshold(spark, seed):
     rng = np.random.default_rng(seed)
