@@ -28,8 +28,8 @@ GRID = 64
 MOST = 4
 #: Words kept per Python worker between documents; only speed depends on it.
 CACHE_WORDS = 1_600_000
-#: Pieces of one length are numbered in so many parts.
-SALTS = 64
+#: Pieces of one length are numbered in parts of about so many.
+PART_ROWS = 500_000
 
 
 class WordTokens:
@@ -301,10 +301,12 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, key: str = "doc_id") -> Da
     Equal pieces, null keys and repeated rows are packed each.  An empty text
     is one piece of one id; an empty table gives none.
     """
-    part = F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
+    # As many parts as the pieces of the commonest length need.
+    most = cut.groupBy("length").count().agg(F.max("count")).first()[0] or 1
+    part = F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(-(-most // PART_ROWS))).cast("int")
     cut = cut.withColumn("__part", part)
     counts = cut.groupBy("length", "__part").agg(F.count("*").alias("n"))
-    # Bounded: a count for each length and part.
+    # A count for each length and part: at most 4096 by one for every PART_ROWS pieces of one length.
     got = counts.collect()
     histogram: dict[int, int] = defaultdict(int)
     starts = []
