@@ -339,9 +339,12 @@ def test_signatures_meet_for_linked_sets():
                 assert set(sig[own == 0].tolist()) & set(sig[own == 1].tolist())
 
 
-def test_packing(docs, rows):
+@pytest.mark.parametrize("part_rows", [packing.PART_ROWS, 3])
+def test_packing(docs, rows, monkeypatch, part_rows):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "PART_ROWS", part_rows)
+
     tokenizer = Tokenizer.from_file(tokenizer_path())
     want = []
     for doc, text, _ in rows:
