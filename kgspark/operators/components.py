@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def connected_components(edges: DataFrame, store: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst") -> DataFrame:
@@ -37,6 +39,70 @@ def connected_components(edges: DataFrame, store: Callable[[DataFrame], DataFram
     return pairs.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(pairs.select(F.col("u").alias("node"), F.col("u").alias("component"))).distinct()
 
 
+#: Edges of a group that are joined by one task; larger groups are sliced.
+SLICE_EDGES = 1 << 20
+
+
+def grouped_components(edges: DataFrame, store: Callable[[DataFrame], DataFrame], group: str = "doc_id", src: str = "a", dst: str = "b", slice_edges: int = SLICE_EDGES) -> DataFrame:
+    """``connected_components`` of edges that stay within groups: group, node, component.
+
+    A group's edges meet in one task, which joins them by pointers to the
+    smallest node.  A group of more than ``slice_edges`` is spread over several
+    tasks; what each leaves of its slice, an edge per node, goes on to
+    ``connected_components``.
+    """
+    pairs = edges.select(F.col(group).alias("g"), F.col(src).alias("u"), F.col(dst).alias("v")).where("g is not null and u is not null and v is not null and u <> v")
+    sizes = pairs.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > slice_edges)
+    # At most a row for each ``slice_edges`` of all edges.
+    large = store(sizes.select("g", F.ceil(F.col("n") / slice_edges).cast("int").alias("slices")))
+    slices = F.coalesce("slices", F.lit(1))
+    dealt = pairs.join(F.broadcast(large), "g", "left").select("g", F.pmod(F.xxhash64("u", "v"), slices).cast("int").alias("slice"), "u", "v")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parent = None, {}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def told():
+            for x in parent:
+                held.append((at[0], x, root(x)))
+
+        def made():
+            rows = [pa.array(c, k) for c, k in zip(zip(*held, strict=True) if held else ((), (), ()), kinds, strict=True)]
+            held.clear()
+            return pa.RecordBatch.from_arrays(rows, names=["g", "node", "component"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            kinds = (batch["g"].type, batch["u"].type, batch["u"].type)
+            for g, part, u, v in zip(*(batch[c].to_pylist() for c in ("g", "slice", "u", "v")), strict=True):
+                if (g, part) != at:
+                    told()
+                    at, parent = (g, part), {}
+                a, b = root(parent.setdefault(u, u)), root(parent.setdefault(v, v))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            yield made()
+        if parent:
+            told()
+            yield made()
+
+    kind = pairs.schema["u"].dataType
+    schema = T.StructType([T.StructField("g", pairs.schema["g"].dataType), T.StructField("node", kind), T.StructField("component", kind)])
+    joined = store(dealt.repartition("g", "slice").sortWithinPartitions("g", "slice").mapInArrow(join, schema))
+    if large.isEmpty():
+        return joined.withColumnRenamed("g", group)
+    in_slices = joined.join(F.broadcast(large), "g", "left_semi")
+    node = lambda c: F.struct("g", F.col(c).alias("x"))
+    whole = connected_components(in_slices.select(node("node").alias("src"), node("component").alias("dst")), store)
+    rest = joined.join(F.broadcast(large), "g", "left_anti")
+    return rest.unionByName(whole.select("node.g", F.col("node.x").alias("node"), F.col("component.x").alias("component"))).withColumnRenamed("g", group)
+
+
 def grown_components(named: DataFrame, edges: DataFrame, store: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst") -> DataFrame:
     """What added edges change in (node, component): rows of new nodes, and of nodes whose component is another now.
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import numbers as N
 from kgspark.functions import text as T
 from kgspark.functions import vectors as V
-from kgspark.operators.components import connected_components
+from kgspark.operators.components import grouped_components
 from kgspark.operators.pivots import pairs_within
 from kgspark.sources.tables import store
 
@@ -113,9 +113,7 @@ def clusters(rows: DataFrame, pairs: DataFrame, store: Store) -> DataFrame:
     Similarity is the mean over all pairs of members, those below the threshold
     counting 0; single members have 1.
     """
-    node = lambda c: F.struct("doc_id", F.col(c).alias("ord"))
-    named = connected_components(pairs.select(node("a").alias("a"), node("b").alias("b")), store, "a", "b")
-    named = named.select("node.doc_id", "node.ord", F.col("component.ord").alias("cluster"))
+    named = grouped_components(pairs, store).select("doc_id", F.col("node").alias("ord"), F.col("component").alias("cluster"))
     members = rows.select("doc_id", "ord").join(named, ["doc_id", "ord"], "left").withColumn("cluster", F.coalesce("cluster", "ord"))
     sums = pairs.select("doc_id", F.col("a").alias("ord"), "similarity").join(members, ["doc_id", "ord"]).groupBy("doc_id", "cluster").agg(F.sum("similarity").alias("total"))
     n = F.count("*").over(W.partitionBy("doc_id", "cluster"))

@@ -15,7 +15,7 @@ from kgspark.operators import pages as P
 from kgspark.operators import reason as H
 from kgspark.operators import refine as G
 from kgspark.operators import relations as R
-from kgspark.operators.components import connected_components, grown_components, strong_components
+from kgspark.operators.components import connected_components, grouped_components, grown_components, strong_components
 from kgspark.operators.pivots import pairs_within
 from kgspark.sources.tables import store
 
@@ -467,3 +467,27 @@ def test_each_root_has_its_own_crawl(spark, max_depth, max_pages):
     got = made.collect()
     want = set().union(*(crawled(links, r, max_depth, max_pages) for r in set(roots)))
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_components_within_groups(spark):
+    rng = random.Random(5)
+    edges = [(g, rng.randrange(60), rng.randrange(60)) for g in range(4) for _ in range(15 * (g + 1))] + [(9, k, k + 1) for k in range(300)] + [(None, 1, 2), (5, None, 1), (5, 3, 3)]
+    rows = spark.createDataFrame(edges, "doc_id int, a int, b int")
+    node = lambda c: F.struct("doc_id", F.col(c).alias("x"))
+    want = {(r.node.doc_id, r.node.x): r.component.x for r in connected_components(rows.where("doc_id is not null and a is not null").select(node("a").alias("src"), node("b").alias("dst")), store).collect()}
+    for most in (1000, 20):  # with 20 edges a task, the larger groups are sliced
+        assert {(r.doc_id, r.node): r.component for r in grouped_components(rows, store, slice_edges=most).collect()} == want
+
+
+def test_clusters_of_a_chain_take_no_rounds(spark):
+    written = []
+
+    def counted(df):
+        written.append(df)
+        return store(df)
+
+    rows = spark.range(500).select(F.lit(1).alias("doc_id"), F.col("id").alias("ord"))
+    pairs = rows.where("ord > 0").select("doc_id", (F.col("ord") - 1).alias("a"), F.col("ord").alias("b"), F.lit(0.9).alias("similarity"))
+    out = N.clusters(rows, pairs, counted).agg(F.count("*"), F.max("cluster"), F.min("size")).first()
+    assert tuple(out) == (500, 0, 500)
+    assert len(written) <= 2
