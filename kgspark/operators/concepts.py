@@ -41,23 +41,22 @@ def parse(replies: DataFrame, parity: bool = False) -> DataFrame:
     descriptions end after 25 words.  A top-level array is read too unless
     ``parity``.
     """
-    found = J.json_of(F.col("raw_output"), arrays=not parity)
-    as_object = F.from_json(found, "concepts array<string>")["concepts"]
-    items = F.coalesce(as_object, F.lit(None).cast("array<string>")) if parity else F.coalesce(as_object, F.from_json(found, "array<string>"))
-    valid = F.try_parse_json(found).isNotNull()
-    rows = replies.where(T.strip(F.coalesce("raw_output", F.lit(""))) != "").select("doc_id", "block_id", "ord", F.posexplode(F.when(valid, items)).alias("place", "item"))
-    item = F.from_json("item", "map<string,string>")
-    quoted = lambda name: F.schema_of_variant(F.try_variant_get(F.try_parse_json("item"), f"$.{name}", "variant"))
-    rows = rows.select("doc_id", "block_id", "ord", "place", item.alias("m"), *[quoted(n).alias(f"{n}_kind") for n in ("name", "description", "type")])
-    text = lambda n: F.when(F.col(f"{n}_kind") == "STRING", F.col("m")[n])
-    odd = F.col("description_kind").isNotNull() & ~F.col("description_kind").isin("STRING")
-    rows = rows.where(F.col("m").isNotNull() & text("name").isNotNull() & ~odd)
+    # A reply is parsed once; items and their parts are read from the parsed form.
+    whole = F.try_parse_json(J.json_of(F.col("raw_output"), arrays=not parity))
+    read = replies.where(T.strip(F.coalesce("raw_output", F.lit(""))) != "").select("doc_id", "block_id", "ord", whole.alias("v"))
+    items = F.try_variant_get("v", "$.concepts", "array<variant>")
+    items = items if parity else F.coalesce(items, F.try_variant_get("v", "$", "array<variant>"))
+    rows = read.select("doc_id", "block_id", "ord", F.posexplode(items).alias("place", "item"))
+    part = lambda n: F.try_variant_get("item", f"$.{n}", "variant")
+    text = lambda n: F.try_variant_get("item", f"$.{n}", "string")
+    is_text = lambda n: F.schema_of_variant(part(n)) == "STRING"
+    rows = rows.where(is_text("name") & (F.coalesce(is_text("description"), F.lit(True))))
     name = text("name")
     description = F.coalesce(text("description"), name)
     many = T.words(description)
     cut = F.when(F.size(many) > MOST_WORDS, F.concat(F.array_join(F.slice(many, 1, MOST_WORDS), " "), F.lit("..."))).otherwise(description)
-    confidence = J.clamp(F.coalesce(J.as_number(F.col("m")["confidence"]), F.lit(DEFAULT_CONFIDENCE)))
-    return rows.select("doc_id", "block_id", "ord", "place", name.alias("name"), F.coalesce(text("type"), F.lit("core_concept")).alias("type"), cut.alias("description"), confidence.alias("confidence"))
+    confidence = J.clamp(F.coalesce(J.as_number(text("confidence")), F.lit(DEFAULT_CONFIDENCE)))
+    return rows.select("doc_id", "block_id", "ord", "place", name.alias("name"), F.when(is_text("type"), text("type")).otherwise("core_concept").alias("type"), cut.alias("description"), confidence.alias("confidence"))
 
 
 def is_valid(name: Column, type_: Column, description: Column, confidence: Column) -> Column:
