@@ -7,10 +7,11 @@ concepts are (name, confidence, ord).
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -160,6 +161,133 @@ def prerequisite_order(graph: DataFrame, starts: DataFrame, store: Store) -> Dat
     return listed.select("start", "concept", place.alias("place"))
 
 
+#: Arcs of a graph that one task walks over; larger graphs go level by level.
+WALKED_ARCS = 1 << 20
+
+
+def _walker() -> Callable[[dict[tuple[str, str], tuple], list[str]], Iterator[tuple[str, str, int]]]:
+    """The walk over one graph, as a function that tasks get by value."""
+
+    def components_of(arcs: dict[str, list[str]]) -> dict[str, str]:
+        """The least member of each node's strong component, by Tarjan's walk without recursion."""
+        number: dict[str, int] = {}
+        low: dict[str, int] = {}
+        unit: dict[str, str] = {}
+        stack: list[str] = []
+        for root in arcs:
+            if root in number:
+                continue
+            path = [(root, iter(arcs[root]))]
+            number[root] = low[root] = len(number)
+            stack.append(root)
+            while path:
+                at, ahead = path[-1]
+                for to in ahead:
+                    if to not in number:
+                        number[to] = low[to] = len(number)
+                        stack.append(to)
+                        path.append((to, iter(arcs.get(to, ()))))
+                        break
+                    if to not in unit:
+                        low[at] = min(low[at], number[to])
+                else:
+                    path.pop()
+                    if path:
+                        low[path[-1][0]] = min(low[path[-1][0]], low[at])
+                    if low[at] == number[at]:
+                        members = [stack.pop()]
+                        while members[-1] != at:
+                            members.append(stack.pop())
+                        unit.update(dict.fromkeys(members, min(members)))
+        return unit
+
+    def walk(steps: dict[tuple[str, str], tuple], starts: list[str]) -> Iterator[tuple[str, str, int]]:
+        """Start, concept and place of one graph, as ``prerequisite_order`` has them."""
+        arcs: dict[str, list[str]] = {}
+        for u, v in steps:
+            arcs.setdefault(u, []).append(v)
+        unit = components_of(arcs)
+        members: dict[str, list[str]] = {}
+        for name, of in unit.items():
+            members.setdefault(of, []).append(name)
+        between: dict[str, dict[str, tuple]] = {}
+        for (u, v), order in steps.items():
+            a, b = unit[u], unit[v]
+            if a != b:
+                own, step = between.setdefault(a, {}), (order, v)
+                own[b] = min(own.get(b, step), step)
+        ahead_of = {a: sorted(own, key=own.__getitem__) for a, own in between.items()}
+        for start in starts:
+            if start not in unit:
+                continue
+            met, place = {unit[start]}, 0
+            path = [(unit[start], iter(ahead_of.get(unit[start], ())))]
+            while path:
+                at, ahead = path[-1]
+                to = next((b for b in ahead if b not in met), None)
+                if to is not None:
+                    met.add(to)
+                    path.append((to, iter(ahead_of.get(to, ()))))
+                    continue
+                path.pop()
+                for concept in sorted(members[at], key=lambda c: (c == start, c)):
+                    if concept != start or len(members[at]) > 1 or (start, start) in steps:
+                        place += 1
+                        yield start, concept, place
+
+    return walk
+
+
+def prerequisite_order_within(graph: DataFrame, starts: DataFrame, graph_of: Callable[[str], Column], store: Store, walked_arcs: int = WALKED_ARCS) -> DataFrame:
+    """``prerequisite_order`` for many graphs that no arc joins: start, concept, place.
+
+    ``graph_of`` gives the graph of a named column; both ends of an arc are in one.
+    A graph and its starts meet in one task, which walks over it; graphs of
+    more than ``walked_arcs`` dependencies go level by level, spread over tasks.
+    """
+    needs = graph.where("dep_kind = 'dependency' and src is not null and dst is not null")
+    order = F.col("ord").cast("long") if "ord" in graph.columns else F.lit(0).cast("long")
+    arcs = needs.select(graph_of("src").alias("g"), "src", "dst", order.alias("ord"))
+    begun = starts.where("name is not null").select(graph_of("name").alias("g"), F.col("name").alias("src")).distinct()
+    walk_one = _walker()
+    large = store(arcs.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > walked_arcs).select("g"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, steps, from_ = None, {}, []
+        kind, held = pa.string(), []
+
+        def made():
+            columns = list(zip(*held, strict=True)) if held else [(), (), ()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], kind), pa.array(columns[2], pa.int32())], names=["start", "concept", "place"])
+
+        for batch in batches:
+            for g, src, dst, step in zip(*(batch[c].to_pylist() for c in ("g", "src", "dst", "ord")), strict=True):
+                if g != at:
+                    held.extend(walk_one(steps, from_))
+                    at, steps, from_ = g, {}, []
+                if dst is None:
+                    from_.append(src)
+                else:
+                    key = (-1, 0) if step is None else (0, step)  # nulls come first
+                    own = steps.get((src, dst))
+                    # The least number counts, and null only if there is no other.
+                    if own is None or own == (-1, 0) or (step is not None and key < own):
+                        steps[src, dst] = key
+            yield made()
+        held.extend(walk_one(steps, from_))
+        if held:
+            yield made()
+
+    few = lambda df: df.join(F.broadcast(large), "g", "left_anti")
+    rows = few(arcs).unionByName(few(begun).withColumns({"dst": F.lit(None).cast("string"), "ord": F.lit(None).cast("long")}))
+    walked = rows.repartition("g").sortWithinPartitions("g").mapInArrow(walk, "start string, concept string, place int")
+    if large.isEmpty():
+        return walked
+    own = lambda df, c: df.join(F.broadcast(large.select(F.col("g").alias("__g"))), graph_of(c) == F.col("__g"), "left_semi")
+    return walked.unionByName(prerequisite_order(own(graph, "src"), own(starts, "name"), store))
+
+
 def knowledge_gaps(graph: DataFrame, starts: DataFrame, explored: DataFrame, store: Store, true_depth: bool = False, most: int = 5) -> DataFrame:
     """Unexplored dependencies by relevance: start, concept, relevance.
 

@@ -367,6 +367,29 @@ def test_order_of_prerequisites(spark, seed):
     assert got == {x: want(arcs, x) for x in starts if want(arcs, x)}
 
 
+def test_order_within_graphs(spark):
+    """Graphs walked in tasks, and those too large for it, in the order that all have level by level."""
+    rng = random.Random(7)
+    rows = []
+    for g in range(8):
+        pairs = [(rng.randrange(12), rng.randrange(12)) for _ in range(10 + 4 * g)]
+        rows += [(f"{g}:n{a:02}", f"{g}:n{b:02}", "dependency", rng.choice([None, 1, 2, 3])) for a, b in pairs]
+    graph = spark.createDataFrame([*rows, ("0:n00", "0:other", "related", 9), (None, "1:n00", "dependency", 1)], "src string, dst string, dep_kind string, ord int")
+    starts = spark.createDataFrame([(f"{g}:n{k:02}",) for g in range(9) for k in (0, 3, 5, 3)], "name string")
+    seen = lambda df: sorted((r.start, r.concept, r.place) for r in df.collect())
+    want = seen(H.prerequisite_order(graph, starts, store))
+    written = []
+
+    def counted(df):
+        written.append(df)
+        return store(df)
+
+    got = seen(H.prerequisite_order_within(graph, starts, lambda c: F.substring_index(c, ":", 1), counted))
+    assert got == want
+    assert len(written) == 1
+    assert seen(H.prerequisite_order_within(graph, starts, lambda c: F.substring_index(c, ":", 1), store, 25)) == want
+
+
 def test_order_over_many_levels(spark):
     arcs = [(f"n{k:03}", f"n{k + 1:03}", "dependency", k) for k in range(16)] + [(f"n{k:03}", f"n{k + 2:03}", "dependency", 100 + k) for k in range(14)]
     graph = spark.createDataFrame(arcs, "src string, dst string, dep_kind string, ord int")
