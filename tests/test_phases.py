@@ -110,3 +110,14 @@ def test_model_calls(spark):
 def test_intents(spark):
     rows = spark.createDataFrame([(1, '{"intent": "Suggest"}'), (2, "so {\"intent\": \"x\"}"), (3, "nothing"), (4, None)], "key long, raw_output string")
     assert [(r.intent, r.confidence) for r in L.intents(rows).orderBy("key").collect()] == [("suggest", 0.5), ("unknown", 0.5), ("unknown", 0.0), ("unknown", 0.0)]
+
+
+def test_an_item_quoted_as_text_is_none(spark):
+    from kgspark.operators import concepts, relations
+
+    quoted = '"{\\"name\\":\\"b\\",\\"source\\":\\"a\\",\\"target\\":\\"b\\",\\"relation_type\\":\\"USES\\"}"'
+    item = '{"name":"a","source":"p","target":"q","relation_type":"USES","confidence":"0.7"}'
+    rows = spark.createDataFrame([(1, "1_0", 0, f'{{"concepts":[{quoted},{item}]}}'), (1, "1_1", 1, f"[{item},{quoted}]")], "doc_id int, block_id string, ord int, raw_output string")
+    assert [(r.block_id, r.place, r.name, r.confidence) for r in concepts.parse(rows).orderBy("block_id").collect()] == [("1_0", 1, "a", 0.7), ("1_1", 0, "a", 0.7)]
+    told = spark.createDataFrame([(1, "1_0", 0, f'{{"relationships":[{quoted}]}}')], "doc_id int, block_id string, ord int, raw_output string")
+    assert relations.parse(told).collect() == []
