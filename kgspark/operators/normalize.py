@@ -19,7 +19,7 @@ from kgspark.functions import numbers as N
 from kgspark.functions import text as T
 from kgspark.functions import vectors as V
 from kgspark.operators.components import grouped_components
-from kgspark.operators.pivots import pairs_within
+from kgspark.operators.pivots import pairs_in_groups, pairs_within
 from kgspark.sources.tables import store
 
 THRESHOLD = 0.80
@@ -50,7 +50,9 @@ def attach_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
 def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD, scope: str = "doc", group: str = "doc_id", ident: str = "ord", vector: str = "embedding", store: Store = store) -> DataFrame:
     """Pairs a < b with cosine at least ``threshold``: group, a, b, similarity.
 
-    Within a document all pairs are compared, keyed by it.  With scope "corpus"
+    Within a document all pairs are compared, by ``pivots.pairs_in_groups``;
+    vectors with components that are null or not finite, or zero, have none.
+    A threshold of 0 gives all pairs.  With scope "corpus"
     ``pivots.pairs_within`` finds all pairs, whatever their groups; vectors of
     another length than the longest, with nulls, or zero have none.  With scope
     "bands" ``candidate_pairs`` proposes pairs, of which a few are missed, and
@@ -59,6 +61,11 @@ def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD, scope: str = "d
     size = V.norm(F.col(vector))
     slim = rows.select(F.col(group).alias("g"), F.col(ident).alias("i"), F.col(vector).alias("v"), size.alias("n"))
     sim = V.cosine(F.col("a.v"), F.col("b.v"), F.col("a.n"), F.col("b.n"))
+    if scope == "doc" and threshold > 0:
+        whole = slim.where("n > 0 and g is not null and i is not null")
+        whole = whole.select("g", "i", F.transform("v", lambda x: x.cast("double")).alias("v"))
+        whole = whole.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+        return pairs_in_groups(whole, threshold, store).withColumnRenamed("g", group)
     if scope == "doc":
         pairs = slim.alias("a").join(slim.alias("b"), "g").where("a.i < b.i").select("g", F.col("a.i").alias("a"), F.col("b.i").alias("b"), sim.alias("similarity"))
         return pairs.where(F.col("similarity") >= threshold).withColumnRenamed("g", group)

@@ -1,4 +1,4 @@
-"""All pairs of vectors within an angle, by a partition around pivots."""
+"""All pairs of vectors within an angle, by a partition around pivots or within given groups."""
 
 from __future__ import annotations
 
@@ -9,11 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Store = Callable[[DataFrame], DataFrame]
 
 #: Vectors of a cell that one task compares; more are compared in slices.
 CELL_ROWS = 16_384
+#: Vectors of a given group that one task compares, and rows of a product that it holds at once.
+SLICE_ROWS, BLOCK_ROWS = 8_192, 256
 #: Pivots that the driver and each task hold, at most: with 1,000 dimensions 32 MB.
 MOST_PIVOTS = 4_096
 #: Rounds in which crowded cells get pivots of their own.
@@ -175,3 +178,53 @@ def pairs_within(vectors: DataFrame, threshold: float, store: Store, cell_rows:
 
     found = sent.groupBy("cell", "l", "r", "met").applyInArrow(compare, f"x {kind}, y {kind}, similarity double")
     return found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
+def pairs_in_groups(vectors: DataFrame, threshold: float, store: Store, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """All pairs a < b of (g, i, v) of one group with a cosine of at least ``threshold``: g, a, b, similarity.
+
+    Groups of over ``slice_rows`` vectors are compared in slices, each two
+    slices by one task as products of matrices, whose pairs leave it block by
+    block; so a task holds two slices, however large the group.  The work is
+    that of all pairs of a group.  ``threshold`` is above 0.  Vectors are arrays
+    of doubles without nulls, finite and not zero; those of different lengths
+    have no pairs.
+    """
+    g, kind = vectors.schema["g"].dataType, vectors.schema["i"].dataType
+    sized = vectors.withColumn("dim", F.size("v"))
+    # At most a row for each ``slice_rows`` of all vectors.
+    large = store(sized.groupBy("g", "dim").agg(F.count("*").alias("n")).where(F.col("n") > slice_rows).select("g", "dim", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices")))
+    dealt = sized.join(F.broadcast(large), ["g", "dim"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    dealt = dealt.withColumn("s", F.pmod(F.xxhash64("i", "v"), F.col("slices")).cast("int"))
+    # A task is (group, length, left slice, right slice); a slice meets itself and each other one.
+    left = F.transform(F.sequence(F.col("s"), F.col("slices") - 1), lambda r: F.struct(F.col("s").alias("l"), r.alias("r"), F.lit(True).alias("is_left")))
+    right = F.transform(F.filter(F.sequence(F.lit(0), F.col("s")), lambda x: x < F.col("s")), lambda x: F.struct(x.alias("l"), F.col("s").alias("r"), F.lit(False).alias("is_left")))
+    sent = dealt.select("g", "dim", F.explode(F.concat(left, right)).alias("task"), "i", "v").select("g", "dim", "task.*", "i", "v")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        first = {c: table[c][0] for c in ("g", "dim", "l", "r")}
+        on_left = table["is_left"].to_numpy()
+        same = first["l"] == first["r"]
+        ids = table["i"].combine_chunks()
+        v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, first["dim"].as_py())
+        a, b = np.nonzero(on_left)[0], np.nonzero(on_left if same else ~on_left)[0]
+        size = np.linalg.norm(v, axis=1)
+        unit = v / size[:, None]
+        right = unit[b].T
+        for start in range(0, len(a), BLOCK_ROWS):
+            row, col = np.nonzero(unit[a[start : start + BLOCK_ROWS]] @ right >= threshold - 1e-9)
+            row += start
+            if same:
+                row, col = row[row < col], col[row < col]
+            row, col = a[row], b[col]
+            for k in range(0, len(row), 1 << 17):
+                # Once more one by one, so that a pair's value doesn't depend on the slices.
+                x, y = row[k : k + (1 << 17)], col[k : k + (1 << 17)]
+                value = np.clip(np.einsum("ij,ij->i", v[x], v[y]) / (size[x] * size[y]), 0, 1)
+                x, y, value = x[value >= threshold], y[value >= threshold], value[value >= threshold]
+                yield pa.RecordBatch.from_arrays([pa.repeat(first["g"], len(x)), ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(value)], names=["g", "x", "y", "similarity"])
+
+    schema = T.StructType([T.StructField("g", g), T.StructField("x", kind), T.StructField("y", kind), T.StructField("similarity", T.DoubleType())])
+    found = sent.groupBy("g", "dim", "l", "r").applyInArrow(compare, schema)
+    return found.where("x <> y").select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")

@@ -16,7 +16,7 @@ from kgspark.operators import reason as H
 from kgspark.operators import refine as G
 from kgspark.operators import relations as R
 from kgspark.operators.components import connected_components, grouped_components, grown_components, strong_components
-from kgspark.operators.pivots import pairs_within
+from kgspark.operators.pivots import pairs_in_groups, pairs_within
 from kgspark.sources.tables import store
 
 
@@ -240,6 +240,31 @@ def test_corpus_pairs_find_those_of_all_pairs(spark, threshold):
     assert N.candidate_pairs(slim, 0.95).count() < 0.5 * 900 * 899 / 2
 
 
+@pytest.mark.parametrize("slice_rows", [8_192, 64])
+def test_pairs_in_groups_are_those_of_all_pairs(spark, slice_rows):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(600, 8))
+    v[400:] = v[:200] + rng.normal(size=(200, 8)) * 0.3
+    group = [("a", "b", "c")[min(i % 7, 2)] for i in range(600)]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(group[a], int(a), int(b)) for a, b in np.argwhere(np.triu(unit @ unit.T, 1) >= 0.6) if group[a] == group[b]}
+    rows = spark.createDataFrame([(g, i, x.tolist()) for g, i, x in zip(group, range(600), v, strict=True)], "g string, i long, v array<double>")
+    got = pairs_in_groups(rows, 0.6, store, slice_rows).collect()
+    assert len(got) == len(want) > 500 and {(r.g, r.a, r.b) for r in got} == want
+    assert all(abs(r.similarity - unit[r.a] @ unit[r.b]) < 1e-12 for r in got)
+
+
+def test_pairs_of_a_group_are_not_joined_row_by_row(spark):
+    near, inf = [3.0, 4.0], float("inf")
+    given = [(1, 1, near), (1, 2, near), (1, 3, [0.0, 0.0]), (1, 4, [None, 1.0]), (1, 5, [1.0, inf]), (1, 6, [3.0, 4.0, 0.0]), (1, 7, None), (2, 8, near), (None, 9, near), (None, 10, near), (1, None, near)]
+    found = N.similar_pairs(spark.createDataFrame(given, "doc_id int, ord int, embedding array<double>"), 0.5)
+    assert [tuple(r) for r in found.collect()] == [(1, 1, 2, 1.0)]
+    assert "Join" not in found._jdf.queryExecution().analyzed().toString().replace("Join LeftOuter", "")
+    assert N.similar_pairs(spark.createDataFrame([], found.sparkSession.createDataFrame(given, "doc_id int, ord int, embedding array<double>").schema), 0.5).collect() == []
+
+
 @pytest.mark.parametrize("word_boundary", [False, True])
 def test_mentions_are_those_of_all_names(spark, word_boundary):
     rng = random.Random(5)
