@@ -7,6 +7,7 @@ concepts are (name, confidence, ord).
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,9 +24,13 @@ Store = Callable[[DataFrame], DataFrame]
 
 def load_graph(concepts: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with both ends known; dependencies and others told apart."""
-    kept = edges.join(concepts.select(F.col("name").alias("src")), "src", "left_semi").join(concepts.select(F.col("name").alias("dst")), "dst", "left_semi")
+    return arcs_of(edges.join(concepts.select(F.col("name").alias("src")), "src", "left_semi").join(concepts.select(F.col("name").alias("dst")), "dst", "left_semi"))
+
+
+def arcs_of(edges: DataFrame) -> DataFrame:
+    """``load_graph`` of edges whose ends are known to be concepts."""
     kind = F.when(F.col("relation").isin(*V.DEPENDENCY_RELATIONS), "dependency").otherwise("related")
-    return kept.select("src", "dst", "relation", "ord", kind.alias("dep_kind"))
+    return edges.select("src", "dst", "relation", "ord", kind.alias("dep_kind"))
 
 
 def relationships(graph: DataFrame) -> DataFrame:
@@ -53,6 +58,65 @@ def dependencies(graph: DataFrame, starts: DataFrame, store: Store, max_depth: i
     return found
 
 
+def dependencies_within(graph: DataFrame, starts: DataFrame, graph_of: Callable[[str], Column], store: Store, max_depth: int = 2, without: DataFrame | None = None, walked_arcs: int | None = None) -> DataFrame:
+    """``dependencies`` for many graphs that no arc joins: start, concept, distance.
+
+    ``graph_of`` gives the graph of a named column; both ends of an arc are in one.
+    Concepts of ``without`` are walked through and not listed.  A graph and its
+    starts meet in one task, which walks from each; graphs of more than
+    ``walked_arcs`` dependencies go hop by hop, spread over tasks.
+    """
+    arcs = graph.where("dep_kind = 'dependency' and src is not null and dst is not null").select(graph_of("src").alias("g"), "src", "dst")
+    large = store(arcs.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > (walked_arcs or WALKED_ARCS)).select("g"))
+    named = lambda df, role: df.where("name is not null").select(graph_of("name").alias("g"), F.col("name").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(role).alias("role"))
+    rows = arcs.withColumn("role", F.lit("arc")).unionByName(named(starts, "start"))
+    if without is not None:
+        rows = rows.unionByName(named(without, "without"))
+    most = max_depth + 1
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ahead, from_, hidden = None, {}, set(), set()
+
+        def found() -> Iterator[tuple[str, str, int]]:
+            for start in from_:
+                seen, edge = set(), [start]
+                for hop in range(1, most + 1):
+                    edge = {to for name in edge for to in ahead.get(name, ())} - seen
+                    if not edge:
+                        break
+                    seen |= edge
+                    for concept in edge:
+                        if concept not in hidden:
+                            yield start, concept, hop
+
+        def made() -> Iterator[pa.RecordBatch]:
+            told = found()
+            while held := list(itertools.islice(told, 50_000)):
+                start, concept, hop = zip(*held, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(start, pa.string()), pa.array(concept, pa.string()), pa.array(hop, pa.int32())], names=["start", "concept", "distance"])
+
+        for batch in batches:
+            for g, src, dst, role in zip(*(batch[c].to_pylist() for c in ("g", "src", "dst", "role")), strict=True):
+                if g != at:
+                    yield from made()
+                    at, ahead, from_, hidden = g, {}, set(), set()
+                if role == "arc":
+                    ahead.setdefault(src, set()).add(dst)
+                else:
+                    (from_ if role == "start" else hidden).add(src)
+        yield from made()
+
+    few = rows.join(F.broadcast(large), "g", "left_anti")  # at most a row for each ``walked_arcs`` arcs
+    walked = few.repartition("g").sortWithinPartitions("g").mapInArrow(walk, "start string, concept string, distance int")
+    if large.isEmpty():
+        return walked
+    own = lambda df, c: df.join(F.broadcast(large.select(F.col("g").alias("__g"))), graph_of(c) == F.col("__g"), "left_semi")
+    rest = dependencies(own(graph.where("src is not null and dst is not null"), "src"), own(starts, "name"), store, max_depth)
+    if without is not None:
+        rest = rest.join(without.select(F.col("name").alias("concept")), "concept", "left_anti")
+    return walked.unionByName(rest.select("start", "concept", "distance"))
+
+
 def dependents(graph: DataFrame) -> DataFrame:
     """Direct dependents: concept, dependent."""
     return graph.where("dep_kind = 'dependency'").select(F.col("dst").alias("concept"), F.col("src").alias("dependent"))
@@ -288,13 +352,17 @@ def prerequisite_order_within(graph: DataFrame, starts: DataFrame, graph_of: Cal
     return walked.unionByName(prerequisite_order(own(graph, "src"), own(starts, "name"), store))
 
 
-def knowledge_gaps(graph: DataFrame, starts: DataFrame, explored: DataFrame, store: Store, true_depth: bool = False, most: int = 5) -> DataFrame:
+def knowledge_gaps(graph: DataFrame, starts: DataFrame, explored: DataFrame, store: Store, true_depth: bool = False, most: int = 5, graph_of: Callable[[str], Column] | None = None) -> DataFrame:
     """Unexplored dependencies by relevance: start, concept, relevance.
 
     1/2 for direct ones, 1/3 for those behind them; further ones count 1/2
-    again, or one over their distance and one with ``true_depth``.
+    again, or one over their distance and one with ``true_depth``.  With
+    ``graph_of`` the graph is many that no arc joins: ``dependencies_within``.
     """
-    found = dependencies(graph, starts, store, 3).join(explored.select(F.col("name").alias("concept")), "concept", "left_anti")
+    if graph_of is None:
+        found = dependencies(graph, starts, store, 3).join(explored.select(F.col("name").alias("concept")), "concept", "left_anti")
+    else:
+        found = dependencies_within(graph, starts, graph_of, store, 3, explored)
     far = 1.0 / (F.col("distance") + 1) if true_depth else F.lit(0.5)
     rows = found.withColumn("relevance", F.when(F.col("distance") == 1, 0.5).when(F.col("distance") == 2, 1.0 / 3).otherwise(far))
     k = F.row_number().over(W.partitionBy("start").orderBy(F.desc("relevance"), "distance", "concept"))

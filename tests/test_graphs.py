@@ -265,6 +265,34 @@ def test_pairs_of_a_group_are_not_joined_row_by_row(spark):
     assert N.similar_pairs(spark.createDataFrame([], found.sparkSession.createDataFrame(given, "doc_id int, ord int, embedding array<double>").schema), 0.5).collect() == []
 
 
+@pytest.mark.parametrize("walked_arcs", [None, 12])
+def test_dependencies_within_graphs_are_those_found_hop_by_hop(spark, walked_arcs):
+    rng = random.Random(11)
+    arcs = [(f"{g}:{rng.randrange(9)}", f"{g}:{rng.randrange(9)}", "DEPENDS_ON", rng.choice(["dependency", "dependency", "related"])) for g in range(30) for _ in range(g)]
+    graph = spark.createDataFrame(arcs, "src string, dst string, relation string, dep_kind string")
+    starts = spark.createDataFrame([(f"{g}:{k}",) for g in range(31) for k in range(9)] * 2, "name string")
+    hidden = spark.createDataFrame([(f"{g}:{g % 9}",) for g in range(31)], "name string")
+    of = lambda name: F.substring_index(name, ":", 1)
+    rows = lambda df: sorted(tuple(r) for r in df.select("start", "concept", "distance").collect())
+    want = rows(H.dependencies(graph, starts, store, 2))
+    assert rows(H.dependencies_within(graph, starts, of, store, 2, walked_arcs=walked_arcs)) == want
+    shown = [r for r in want if int(r[1].split(":")[0]) % 9 != int(r[1].split(":")[1])]
+    assert len(shown) < len(want)
+    assert rows(H.dependencies_within(graph, starts, of, store, 2, hidden, walked_arcs)) == shown
+    gaps = lambda **how: sorted(tuple(r) for r in H.knowledge_gaps(graph, starts.distinct(), hidden, store, **how).collect())
+    assert gaps(graph_of=of) == gaps()
+
+
+def test_ends_of_document_relations_are_document_concepts(spark):
+    from kgspark.plans import inputs as I
+
+    held = spark.createDataFrame([(d, p, f"word{(d * p + k) % 11:03d}") for d in range(9) for p in range(4) for k in range(5)], "doc_id long, position int, word string")
+    rows = I.candidates(held)
+    edges = I.document_relations(rows)
+    got = sorted(map(str, H.arcs_of(edges).collect()))
+    assert len(got) > 50 and got == sorted(map(str, H.load_graph(I.document_nodes(rows), edges).collect()))
+
+
 @pytest.mark.parametrize("word_boundary", [False, True])
 def test_mentions_are_those_of_all_names(spark, word_boundary):
     rng = random.Random(5)
