@@ -7,6 +7,7 @@ from collections import Counter, defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
+from kgspark.functions import text as T
 from kgspark.functions import vocabulary as V
 from kgspark.operators import blocks as B
 from kgspark.operators import metrics as M
@@ -17,6 +18,7 @@ from kgspark.operators import refine as G
 from kgspark.operators import relations as R
 from kgspark.operators.components import connected_components, grouped_components, grown_components, strong_components
 from kgspark.operators.pivots import pairs_in_groups, pairs_within
+from kgspark.plans import inputs as I
 from kgspark.sources.tables import store
 
 
@@ -567,3 +569,52 @@ def test_clusters_of_a_chain_take_no_rounds(spark):
     out = N.clusters(rows, pairs, counted).agg(F.count("*"), F.max("cluster"), F.min("size")).first()
     assert tuple(out) == (500, 0, 500)
     assert len(written) <= 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clusters_meet_their_rows_in_one_task(spark):
+    """Components, sizes and sums as by hand, also where documents are spread; columns are kept without a join."""
+    rng = random.Random(8)
+    members = [(g, k, f"name {k}") for g in (1, 2, 3, None) for k in rng.sample(range(80), 40)]
+    links = [(g, rng.randrange(80), rng.randrange(80), rng.choice([0.8, 0.9, None])) for g in (1, 2, 3, None) for _ in range(12 * (g or 1))]
+    links += [(1, None, 3, 0.9), (2, 4, None, 0.9), (2, 4, 4, 0.8)]
+    rows, pairs = spark.createDataFrame(members, "doc_id int, ord int, name string"), spark.createDataFrame(links, "doc_id int, a int, b int, similarity double")
+    want = set()
+    for g in (1, 2, 3, None):
+        own = {k for d, k, _ in members if d == g}
+        near = [(a, b, s) for d, a, b, s in links if d == g and None not in (d, a, b)]
+        least = {k: k for k in own | {x for a, b, _ in near for x in (a, b)}}
+        for _ in least:
+            for a, b, _s in near:
+                least[a] = least[b] = min(least[a], least[b])
+        for k in own:
+            size = sum(least[x] == least[k] for x in own)
+            total = sum(s or 0.0 for a, _, s in near if a in own and least[a] == least[k])
+            want.add((g, k, least[k], size, round(1.0 if size == 1 else total / (size * (size - 1) / 2), 9), f"name {k}"))
+    for most in (1000, 30):
+        got = N.clusters(rows, pairs, store, "name", most=most).collect()
+        assert len(got) == len(want) and {(*r[:4], round(r[4], 9), r[5]) for r in got} == want
+    kept = N.clusters(rows, pairs, store, "name")
+    assert "Join" not in plan_of(N.canonical_names(rows, kept)) and "Join" in plan_of(N.canonical_names(rows, kept.drop("name")))
+    names = lambda m: {tuple(r) for r in N.canonical_names(rows, m).collect()}
+    assert names(kept.where("doc_id is not null")) == names(kept.drop("name"))
+
+
+def test_large_batches_of_documents_are_cut_between_them(spark):
+    """Documents of 7 concepts in a row, over several batches of a task."""
+    rows = spark.range(210_000 * 2).repartition(1).select((F.col("id") / 7).cast("int").alias("doc_id"), (F.col("id") % 7).cast("int").alias("ord"))
+    pairs = rows.where("ord < 6").select("doc_id", F.col("ord").alias("a"), (F.col("ord") + 1).alias("b"), F.lit(0.7).alias("similarity"))
+    out = N.clusters(rows, pairs, store).agg(F.count("*"), F.max("cluster"), F.min("size"), F.max("size"), F.round(F.min("similarity"), 6)).first()
+    assert tuple(out) == (420_000, 0, 7, 7, 0.2)
+
+
+def test_texts_under_one_key_give_each_word_once(spark):
+    held = spark.createDataFrame([(d, p, w) for d in (1, 1, 2, 3) for p, w in ((0, "several"), (1, "several"), (1, "another"))], "doc_id long, position int, word string")
+    got = sorted(tuple(r) for r in I.candidates(held).where("doc_id = 1").select("position", "word", "ord").collect())
+    assert got == [(0, "several", 1), (1, "another", 2), (1, "several", 3)]
+    words = ["a", "Straße", "classes", "naïves", "İtems", "x-rays", " s ", "", "foo_s", "bus", "yes", "ЯБЛОКИs", "ﬁles"]
+    whole = lambda n: F.array_join(F.transform(T.words(F.replace(F.regexp_replace(F.lower(n), r"(?U)[^\w\s-]", ""), F.lit("-"), F.lit(" "))), lambda w: F.when(F.endswith(w, F.lit("es")) & (F.length(w) > 4), F.substring(w, F.lit(1), F.length(w) - 2)).when(F.endswith(w, F.lit("s")) & (F.length(w) > 3), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)), " ")
+    assert not spark.createDataFrame([(w,) for w in words], "n string").where(T.name_key(F.col("n")) != whole(F.col("n"))).collect()
