@@ -152,38 +152,55 @@ def scan(q: np.ndarray, q_rows: np.ndarray, x: np.ndarray, x_rows: np.ndarray, x
     # Rounding of the rotated sums.
     slack = 1e-9 * (whole_q + whole_x.max())
     part = qr[:, : cuts[0]] @ xr[:, : cuts[0]].T
-    on = q_rows[:, None] != x_rows[None, :]
+    # Where a query meets itself.
+    by_row = np.argsort(x_rows, kind="stable")
+    begin, end = (np.searchsorted(x_rows, q_rows, side=s, sorter=by_row) for s in ("left", "right"))
+    own_q = np.repeat(np.arange(len(q)), end - begin)
+    own_x = by_row[np.arange(len(own_q)) + np.repeat(begin - np.cumsum(end - begin) + (end - begin), end - begin)]
     best, first = np.full(len(q), -np.inf), None
     if len(x) > k:
-        nearness = np.where(on, part - 0.5 * x_norms[0][None, :] + 0.5 * cuts[0] / cuts[-1] * whole_x[None, :], -np.inf)
-        first = np.argpartition(-nearness, k - 1, axis=1)[:, :k]
+        nearness = part + (0.5 * cuts[0] / cuts[-1] * whole_x - 0.5 * x_norms[0])[None, :]
+        nearness[own_q, own_x] = -np.inf
+        first = np.argpartition(nearness, len(x) - k, axis=1)[:, len(x) - k :]
+        taken = np.isfinite(np.take_along_axis(nearness, first, axis=1))
         exact = np.einsum("qkd,qd->qk", x[first], q)
-        exact[~np.take_along_axis(on, first, axis=1)] = -np.inf
+        exact[~taken] = -np.inf
         best = exact.min(axis=1) - slack
 
-    def near(n: int, i: np.ndarray, j: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        return q_norms[n][i] + x_norms[n][j] - 2 * sums <= shares[n] * (whole_q[i] + whole_x[j] - 2 * best[i]) + slack[i]
+    def least(n: int) -> tuple[np.ndarray, np.ndarray]:
+        # A pair stays if its sum so far is at least that of these parts, of the query and of the vector.
+        return 0.5 * (q_norms[n] - shares[n] * (whole_q - 2 * best) - slack), 0.5 * (x_norms[n] - shares[n] * whole_x)
 
     if first is None:
+        on = np.ones((len(q), len(x)), bool)
+        on[own_q, own_x] = False
         i, j = np.nonzero(on)
     else:
-        rows, columns = np.arange(len(q))[:, None], np.arange(len(x))[None, :]
-        alive, i, j, sums = on & near(0, rows, columns, part), None, None, None
+        of_q, of_x = least(0)
+        alive, i, j, sums = part >= of_q[:, None] + of_x[None, :], None, None, None
+        alive[own_q, own_x] = False
         for n, (begin, end) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), 1):
-            if i is None and alive.sum() > DENSE * alive.size:
+            of_q, of_x = least(n)
+            if i is None and np.count_nonzero(alive) > DENSE * alive.size:
                 part += qr[:, begin:end] @ xr[:, begin:end].T
-                alive &= near(n, rows, columns, part)
+                alive &= part >= of_q[:, None] + of_x[None, :]
                 continue
             if i is None:
                 i, j = np.nonzero(alive)
                 sums = part[i, j]
             sums = sums + np.einsum("nd,nd->n", qr[i, begin:end], xr[j, begin:end])
-            left = near(n, i, j, sums)
+            left = sums >= of_q[i] + of_x[j]
             i, j, sums = i[left], j[left], sums[left]
         if i is None:
-            i, j = np.nonzero(alive)
+            # All have their whole sum: only the k best of a query, with the first ones, need an exact score.
+            q_at, k_at = np.nonzero(taken)
+            alive[q_at, first[q_at, k_at]] = True
+            part[~alive] = -np.inf
+            least_best = np.partition(part, len(x) - k, axis=1)[:, len(x) - k] - slack
+            i, j = np.nonzero(alive & (part >= least_best[:, None]))
+            first, taken = first[:, :0], taken[:, :0]
         # The first ones with those that were left, each pair once.
-        at = np.unique(np.concatenate([i * len(x) + j, (rows * len(x) + first)[np.take_along_axis(on, first, axis=1)]]))
+        at = np.unique(np.concatenate([i * len(x) + j, (np.arange(len(q))[:, None] * len(x) + first)[taken]]))
         i, j = at // len(x), at % len(x)
     score = (q[i] * x[j]).sum(axis=1)
     order = np.lexsort((x_ids[j], -score, i))

@@ -301,3 +301,21 @@ def test_pipeline_stages(spark, tmp_path):
         kept.append(len(now))
         docs = after
     assert kept[0] >= kept[2] > 0 and tokenizer_path()
+
+
+def test_scan_scores_only_the_best_exactly(monkeypatch):
+    """Against all pairs where nothing is abandoned by chance; about ``k`` pairs of a query get an exact score."""
+    rng, k = np.random.default_rng(4), 5
+    x = np.repeat(rng.normal(size=(400, 64)), 2, axis=0)  # each twice
+    rotation = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    ids, asked = rng.permutation(800), np.arange(0, 800, 20)
+    scored = []
+    monkeypatch.setattr(ann.np, "lexsort", lambda keys, sort=np.lexsort: scored.append(len(keys[0])) or sort(keys))
+    i, j, score = ann.scan(x[asked], asked, x, np.arange(800), ids, x[asked] @ rotation, x @ rotation, k, [1.0] * 4)
+    want = []
+    for n, q in enumerate(asked):
+        exact = (x[q] * x).sum(axis=1)
+        exact[q] = -np.inf
+        want += [(n, int(r)) for r in sorted(range(800), key=lambda r: (-exact[r], ids[r]))[:k]]
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == want
+    assert np.array_equal(score, (x[asked][i] * x[j]).sum(axis=1)) and scored[0] <= (k + 1) * len(asked)
