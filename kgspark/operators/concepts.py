@@ -18,6 +18,8 @@ MIN_TEXT = 20
 MIN_CONFIDENCE = 0.5
 DEFAULT_CONFIDENCE = 0.6
 MOST_WORDS = 25
+#: The parts of items that are read.
+_ITEMS = "array<struct<name variant, type variant, description variant, confidence variant>>"
 
 
 def eligible(blocks: DataFrame) -> DataFrame:
@@ -41,22 +43,26 @@ def parse(replies: DataFrame, parity: bool = False) -> DataFrame:
     descriptions end after 25 words.  A top-level array is read too unless
     ``parity``.
     """
-    # A reply is parsed once; items and their parts are read from the parsed form.
+    # A reply is parsed once, and an item read once, before there is a row for it.
     whole = F.try_parse_json(J.json_of(F.col("raw_output"), arrays=not parity))
-    read = replies.where(T.strip(F.coalesce("raw_output", F.lit(""))) != "").select("doc_id", "block_id", "ord", whole.alias("v"))
-    items = F.try_variant_get("v", "$.concepts", "array<variant>")
-    items = items if parity else F.coalesce(items, F.try_variant_get("v", "$", "array<variant>"))
-    rows = read.select("doc_id", "block_id", "ord", F.posexplode(items).alias("place", "item"))
-    part = lambda n: F.try_variant_get("item", f"$.{n}", "variant")
-    text = lambda n: F.try_variant_get("item", f"$.{n}", "string")
-    is_text = lambda n: F.schema_of_variant(part(n)) == "STRING"
-    rows = rows.where(is_text("name") & (F.coalesce(is_text("description"), F.lit(True))))
-    name = text("name")
-    description = F.coalesce(text("description"), name)
+    read = replies.select("doc_id", "block_id", "ord", whole.alias("v"))
+    items = F.try_variant_get("v", "$.concepts", _ITEMS)
+    items = items if parity else F.coalesce(items, F.try_variant_get("v", "$", _ITEMS))
+    text = lambda v: F.try_variant_get(v, "$", "string")
+    is_text = lambda v: F.schema_of_variant(v) == "STRING"
+    number = lambda v: J.clamp(F.coalesce(J.as_number(text(v)), F.lit(DEFAULT_CONFIDENCE)))
+    one = lambda x: F.struct(
+        F.when(is_text(x["name"]) & F.coalesce(is_text(x["description"]), F.lit(True)), text(x["name"])).alias("name"),
+        F.when(is_text(x["type"]), text(x["type"])).otherwise("core_concept").alias("type"),
+        text(x["description"]).alias("description"),
+        number(x["confidence"]).alias("confidence"),
+    )
+    rows = read.select("doc_id", "block_id", "ord", F.posexplode(F.transform(items, one)).alias("place", "item")).where("item.name is not null")
+    name = F.col("item.name")
+    description = F.coalesce("item.description", name)
     many = T.words(description)
     cut = F.when(F.size(many) > MOST_WORDS, F.concat(F.array_join(F.slice(many, 1, MOST_WORDS), " "), F.lit("..."))).otherwise(description)
-    confidence = J.clamp(F.coalesce(J.as_number(text("confidence")), F.lit(DEFAULT_CONFIDENCE)))
-    return rows.select("doc_id", "block_id", "ord", "place", name.alias("name"), F.when(is_text("type"), text("type")).otherwise("core_concept").alias("type"), cut.alias("description"), confidence.alias("confidence"))
+    return rows.select("doc_id", "block_id", "ord", "place", name.alias("name"), F.col("item.type").alias("type"), cut.alias("description"), F.col("item.confidence").alias("confidence"))
 
 
 def is_valid(name: Column, type_: Column, description: Column, confidence: Column) -> Column:
