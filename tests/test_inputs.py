@@ -3,12 +3,15 @@
 import re
 from collections import defaultdict
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from kgspark.operators import concepts as C
 from kgspark.plans import inputs as I
+from kgspark.plans import registry
 
-WORDS = "several another neighbour Graphs' theories, learning; machine's wählbar naïvely x short 1234567 ΛΟΓΙΚΗΣ".split()
+WORDS = "several another neighbour Graphs' theories, learning; machine's wählbar naïvely x short 1234567 ΛΟΓΙΚΗ".split()
 
 
 def documents(spark, path, rows):
@@ -82,3 +85,22 @@ def test_a_reply_is_parsed_once(spark):
     filters = " ".join(x for x in plan.split("\n") if "Filter" in x)
     assert "variant" not in filters.lower() and "raw_output" not in filters
     assert [tuple(r) for r in kept.select("name", "confidence").collect()] == [("graph", 0.7)]
+
+
+@pytest.mark.parametrize("name", ["concept_dedup_doc", "normalization_funnel"])
+def test_odd_keys_give_what_the_sql_gives(spark, tmp_path, name):
+    rows = [(None if d % 11 == 5 else d % 17, t) for d, t in texts(40)]
+    sf = documents(spark, tmp_path, [(d, t, "en", "s", 0) for d, t in rows])
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{sf}/documents.parquet/*.parquet')")
+    got = registry.QUERIES[name](spark, sf)
+    want = con.sql(registry.ORACLES[name]).project(", ".join(got.columns)).fetchall()
+    have = {tuple(r) for r in got.collect()}
+    assert len(want) > 10 and have ^ set(want) == set()
+
+
+def test_counts_of_clusters_write_no_texts(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(registry, "store", lambda df: written.append(df.columns) or df)
+    registry._clustered(spark, "/root/testdata/sf0.001", "total")
+    assert ["doc_id", "ord", "next_ord", "total"] in written
